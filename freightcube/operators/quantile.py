@@ -38,16 +38,26 @@ def _bucket_of(v: Column, bounds: Column, steps: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
-def ranked_values(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """(v, first, last): each distinct non-null value with the 0-based rank range it covers."""
+def quantile_value(df: DataFrame, col: str, q: float, buckets: int = DEFAULT_BUCKETS) -> Column:
+    """A scalar-subquery Column holding the exact linear-interpolated quantile of ``col``
+    (NULL on empty input). Interpolates like NumPy: a + (b - a) * t, or b - (b - a) * (1 - t)
+    when t >= 0.5.
+
+    Two scalar subqueries in total: the stats row (count and approximate bounds) and the
+    final pick, which nests the first.
+    """
+    if not 0.0 <= q <= 1.0:
+        raise ValueError("quantile must be within [0, 1]")
     vc = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")) \
         .agg(F.count(F.lit(1)).alias("c"))
     fracs = [i / buckets for i in range(1, buckets)]
-    bounds = vc.select(F.percentile_approx("v", fracs, 10000).alias("b")).scalar()
+    stats = vc.select(F.struct(F.sum("c").alias("n"),
+                               F.percentile_approx("v", fracs, 10000).alias("bounds")).alias("s")).scalar()
     steps = max(1, math.ceil(math.log2(buckets)) + 1)
-    # the bounds subquery is projected first: subqueries may not sit inside lambdas
-    vb = vc.withColumn("_bounds", bounds).withColumn("bucket", _bucket_of(F.col("v"), F.col("_bounds"), steps)) \
-        .drop("_bounds")
+    # the stats subquery is projected first: subqueries may not sit inside lambdas
+    vb = vc.withColumn("_s", stats) \
+        .withColumn("bucket", _bucket_of(F.col("v"), F.col("_s.bounds"), steps)) \
+        .withColumn("n", F.col("_s.n")).drop("_s")
     within = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = vb.withColumn("cum", F.sum("c").over(within))
     totals = vb.groupBy("bucket").agg(F.sum("c").alias("bt"))
@@ -56,27 +66,20 @@ def ranked_values(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> Da
     offsets = totals.select("bucket", F.coalesce(F.sum("bt").over(before), F.lit(0)).alias("off"))
     r = running.join(F.broadcast(offsets), "bucket")
     first = F.col("off") + F.col("cum") - F.col("c")
-    return r.select("v", first.alias("first"), (first + F.col("c") - F.lit(1)).alias("last"))
-
-
-def quantile_value(df: DataFrame, col: str, q: float, buckets: int = DEFAULT_BUCKETS) -> Column:
-    """A scalar-subquery Column holding the exact linear-interpolated quantile of ``col``
-    (NULL on empty input). Interpolates like NumPy: a + (b - a) * t, or b - (b - a) * (1 - t)
-    when t >= 0.5."""
-    if not 0.0 <= q <= 1.0:
-        raise ValueError("quantile must be within [0, 1]")
-    rv = ranked_values(df, col, buckets)
-    n = df.where(F.col(col).isNotNull()).select(F.count(F.lit(1))).scalar()
+    last = first + F.col("c") - F.lit(1)
     # NumPy's virtual index for the linear method: n*q + (1 - q) - 1
-    pos = n.cast("double") * F.lit(float(q)) + F.lit(1.0 - float(q)) - F.lit(1.0)
-    lo_rank, hi_rank = F.floor(pos), F.ceil(pos)
-    t = pos - lo_rank
+    r = r.select("v", first.alias("first"), last.alias("last"),
+                 (F.col("n").cast("double") * F.lit(float(q)) + F.lit(1.0 - float(q)) - F.lit(1.0)).alias("pos"))
+    lo_rank, hi_rank = F.floor("pos"), F.ceil("pos")
     covers = lambda k: (F.col("first") <= k) & (k <= F.col("last"))
-    ab = rv.select(F.struct(F.max(F.when(covers(lo_rank), F.col("v"))).alias("a"),
-                            F.max(F.when(covers(hi_rank), F.col("v"))).alias("b"))).scalar()
-    a, b = ab["a"], ab["b"]
+    picked = r.where(covers(lo_rank) | covers(hi_rank)).agg(
+        F.max(F.when(covers(lo_rank), F.col("v"))).alias("a"),
+        F.max(F.when(covers(hi_rank), F.col("v"))).alias("b"),
+        F.max(F.col("pos") - F.floor("pos")).alias("t"))
+    a, b, t = F.col("a"), F.col("b"), F.col("t")
     d = b - a
-    return F.when(t >= F.lit(0.5), b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
+    value = F.when(t >= F.lit(0.5), b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
+    return picked.select(value.alias("quantile")).scalar()
 
 
 def quantile_frame(df: DataFrame, col: str, q: float, alias: str = "quantile",

@@ -48,7 +48,8 @@ _M = SEL_MIXED
 
 
 def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.od_cube(load_tables(spark, sf_dir))
+    """The stored cube (built once per input version); reports read it."""
+    return star.stored_od_cube(load_tables(spark, sf_dir))
 
 
 def _round1(x: str) -> str:
@@ -59,7 +60,8 @@ def _round1(x: str) -> str:
 
 @register("od_cube", with_cube() + "SELECT * FROM cube")
 def q_od_cube(spark, sf_dir):
-    return _cube(spark, sf_dir)
+    # the cube build itself, from the base tables
+    return star.od_cube(load_tables(spark, sf_dir))
 
 
 _FLOW_TABLE_SQL = with_cube(PAIRS_CTE) + f"""
@@ -137,7 +139,7 @@ cft AS (
 
 def _county_flow_totals(spark, sf_dir):
     t = load_tables(spark, sf_dir)
-    return C.county_flow_totals(star.county_level_flows(t), star.state_region_mapping(t), FLOW_MODE,
+    return C.county_flow_totals(star.stored_county_level_flows(t), star.state_region_mapping(t), FLOW_MODE,
                                 list(FLOW_COMMODITIES), star.SOUTHEAST)
 
 
@@ -264,7 +266,7 @@ def _supp_pts() -> str:
 
 def _flow_lines(spark, sf_dir, sel):
     t = load_tables(spark, sf_dir)
-    return R.flow_lines(star.od_cube(t), sel, star.region_points(t), star.origin_county_points(t),
+    return R.flow_lines(star.stored_od_cube(t), sel, star.region_points(t), star.origin_county_points(t),
                         star.dest_points(t), with_geometry=False)
 
 
@@ -333,7 +335,7 @@ SELECT t.dest_cnty, t.dest_cnty_name, t.filtered_flow, {_class_sql('t.filtered_f
 def q_dest_layer_classes(spark, sf_dir):
     t = load_tables(spark, sf_dir)
     dest_table = t.nation.select(F.col("n_nationkey").alias("dest_cnty"), F.col("n_name").alias("dest_cnty_name"))
-    return R.destination_layer(star.od_cube(t), SEL_MIXED, dest_table)
+    return R.destination_layer(star.stored_od_cube(t), SEL_MIXED, dest_table)
 
 
 @register("region_classes", with_cube() + f"""
@@ -347,7 +349,7 @@ SELECT t.cluster, t.name, t.transload_flow, {_class_sql('t.transload_flow', 'b.b
 def q_region_classes(spark, sf_dir):
     t = load_tables(spark, sf_dir)
     regions = t.nation.select(F.col("n_nationkey").alias("cluster"), F.col("n_name").alias("name"))
-    return R.region_layer(regions, C.region_totals(star.od_cube(t)))
+    return R.region_layer(regions, C.region_totals(star.stored_od_cube(t)))
 
 
 @register("region_options", """
@@ -411,7 +413,7 @@ FROM cube JOIN nation n ON cube.dest_cnty = n.n_nationkey JOIN region r ON n.n_r
 LEFT JOIN labels ON cube.commodity_code = labels.commodity_code""")
 def q_lookup_labels(spark, sf_dir):
     t = load_tables(spark, sf_dir)
-    cube = star.od_cube(t)
+    cube = star.stored_od_cube(t)
     states = t.nation.join(F.broadcast(t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name")),
                            "n_regionkey").select(F.col("n_nationkey").alias("dest_cnty"), "r_name")
     out = cube.join(F.broadcast(states), "dest_cnty").join(F.broadcast(commodity_names(spark)), "commodity_code", "left")

@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cube import assemble_od_cube
+from ..operators.cube import CUBE_KEYS, assemble_od_cube
+from .materialize import materialized
 from .tables import Tables
 
 SOUTHEAST_SOURCE_REGION = "AMERICA"
@@ -63,6 +64,15 @@ def od_cube(t: Tables) -> DataFrame:
     return assemble_od_cube(flow_rows(t), origin_counties(t), dest_counties(t))
 
 
+CUBE_INPUTS = ("lineitem", "orders", "customer", "nation", "supplier", "part")
+
+
+def stored_od_cube(t: Tables) -> DataFrame:
+    """The cube written once as Parquet (clustered by region and origin) and read back."""
+    return materialized(t.spark, "od_cube", [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS],
+                        lambda: od_cube(t), cluster_by=("orig_reg", "orig_cnty")).select(*CUBE_KEYS, "tons")
+
+
 # ---------------------------------------------------------------- dimensions
 
 def state_region_mapping(t: Tables) -> DataFrame:
@@ -98,6 +108,11 @@ def county_level_flows(t: Tables) -> DataFrame:
     return agg.join(names, "geoid").withColumn("state_name", F.col("name"))
 
 
+def stored_county_level_flows(t: Tables) -> DataFrame:
+    return materialized(t.spark, "county_level_flows", [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS],
+                        lambda: county_level_flows(t))
+
+
 # ---------------------------------------------------------------- geometry from keys
 
 def _coord(key: Column, mult: int, base: float) -> Column:
