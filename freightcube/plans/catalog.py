@@ -479,3 +479,147 @@ def q_terminal_name_filter(spark, sf_dir):
     tp = star.terminal_points(load_tables(spark, sf_dir))
     return tp.where(F.col("name").contains("00000001") & (F.col("state") != "NATION_0")) \
         .select("terminal_id", "name", "state", "lon", "lat")
+
+
+# ------------------------------------------------------------------ spatial
+
+RADIUS_MILES = 50.0
+RAIL_BUFFER_DEG = 1.0 / 69.0
+EARTH_R = 3958.8
+
+
+def _radius_pairs(spark, sf_dir, miles=RADIUS_MILES, centers=None):
+    from ..operators.spatial import radius_join
+    t = load_tables(spark, sf_dir)
+    c = centers if centers is not None else star.terminal_points(t)
+    return radius_join(star.county_points(t), c, miles, "geoid", "terminal_id")
+
+
+def _radius_sql(miles: float, where: str = "TRUE") -> str:
+    from .sql_parts import haversine_angle, supp_lat, supp_lon
+    ang = haversine_angle(supp_lat("s.s_suppkey"), supp_lon("s.s_suppkey"),
+                          cust_lat("c.c_custkey"), cust_lon("c.c_custkey"))
+    return (f"SELECT s.s_suppkey AS terminal_id, c.c_custkey AS geoid FROM supplier s, customer c "
+            f"WHERE {where} AND {ang} <= CAST({miles!r} AS DOUBLE) / CAST({EARTH_R!r} AS DOUBLE)")
+
+
+@register("radius_pairs", _radius_sql(RADIUS_MILES))
+def q_radius_pairs(spark, sf_dir):
+    return _radius_pairs(spark, sf_dir)
+
+
+@register("radius_counties", f"SELECT DISTINCT geoid FROM ({_radius_sql(RADIUS_MILES)})")
+def q_radius_counties(spark, sf_dir):
+    from ..operators.spatial import distinct_members
+    return distinct_members(_radius_pairs(spark, sf_dir), "geoid")
+
+
+@register("terminal_merge", f"""
+WITH a AS ({_radius_sql(RADIUS_MILES)}),
+b AS ({_radius_sql(25.0, "contains(s.s_name, '00000001')")}),
+bk AS (SELECT s_suppkey AS terminal_id FROM supplier WHERE contains(s_name, '00000001'))
+SELECT terminal_id, geoid FROM a WHERE terminal_id NOT IN (SELECT terminal_id FROM bk)
+UNION ALL SELECT terminal_id, geoid FROM b""")
+def q_terminal_merge(spark, sf_dir):
+    """Station map (50 mi) merged with a second terminal set's map (25 mi); the second
+    wins per terminal (SET4)."""
+    from ..operators.spatial import merge_right_wins
+    t = load_tables(spark, sf_dir)
+    second = star.terminal_points(t).where(F.col("name").contains("00000001"))
+    left = _radius_pairs(spark, sf_dir)
+    right = _radius_pairs(spark, sf_dir, 25.0, second)
+    return merge_right_wins(left, right, second.select("terminal_id"), "terminal_id")
+
+
+def _rail_sql() -> str:
+    from .sql_parts import dist2_point_segment, segments_cross, supp_lat, supp_lon
+    r2 = f"(CAST({RAIL_BUFFER_DEG!r} AS DOUBLE) * CAST({RAIL_BUFFER_DEG!r} AS DOUBLE))"
+    a, b = ("sx1", "sy1"), ("sx2", "sy2")
+    c, d = ("ex1", "ey1"), ("ex2", "ey2")
+    near = (f"({segments_cross(a, b, c, d)} OR {dist2_point_segment('sx1', 'sy1', 'ex1', 'ey1', 'ex2', 'ey2')} <= {r2} "
+            f"OR {dist2_point_segment('sx2', 'sy2', 'ex1', 'ey1', 'ex2', 'ey2')} <= {r2} "
+            f"OR {dist2_point_segment('ex1', 'ey1', 'sx1', 'sy1', 'sx2', 'sy2')} <= {r2} "
+            f"OR {dist2_point_segment('ex2', 'ey2', 'sx1', 'sy1', 'sx2', 'sy2')} <= {r2})")
+    return f"""WITH seg AS (
+  SELECT a.s_suppkey AS feature_id, 'RR' || CAST(CAST(floor(a.s_suppkey / 10) AS BIGINT) AS VARCHAR) AS owner,
+         {supp_lon('a.s_suppkey')} AS sx1, {supp_lat('a.s_suppkey')} AS sy1,
+         {supp_lon('b.s_suppkey')} AS sx2, {supp_lat('b.s_suppkey')} AS sy2
+  FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_suppkey % 10 <> 9),
+sq AS (SELECT c_custkey AS geoid, {cust_lon('c_custkey')} AS x, {cust_lat('c_custkey')} AS y,
+              (1 + c_custkey % 5) / CAST(10 AS DOUBLE) AS h FROM customer),
+v AS (SELECT geoid, x - h AS x0, y - h AS y0, x + h AS x1, y + h AS y1 FROM sq),
+edges AS (
+  SELECT geoid, x0 AS ex1, y0 AS ey1, x1 AS ex2, y0 AS ey2 FROM v UNION ALL
+  SELECT geoid, x1, y0, x1, y1 FROM v UNION ALL
+  SELECT geoid, x1, y1, x0, y1 FROM v UNION ALL
+  SELECT geoid, x0, y1, x0, y0 FROM v),
+pairs AS (
+  SELECT feature_id, owner, geoid FROM seg, edges WHERE {near}
+  UNION
+  SELECT feature_id, owner, geoid FROM seg, v WHERE sx1 > x0 AND sx1 < x1 AND sy1 > y0 AND sy1 < y1)
+"""
+
+
+def _rail_pairs(spark, sf_dir):
+    from ..operators.spatial import lines_near_polygons
+    t = load_tables(spark, sf_dir)
+    return lines_near_polygons(star.rail_segments(t), star.county_squares(t), RAIL_BUFFER_DEG,
+                               ["feature_id", "owner"], "geoid", cell=1.0)
+
+
+@register("rail_buffer_pairs", _rail_sql() + "SELECT DISTINCT feature_id, owner, geoid FROM pairs")
+def q_rail_buffer_pairs(spark, sf_dir):
+    return _rail_pairs(spark, sf_dir)
+
+
+@register("rail_buffer_counties", _rail_sql() + "SELECT DISTINCT owner, geoid FROM pairs")
+def q_rail_buffer_counties(spark, sf_dir):
+    return _rail_pairs(spark, sf_dir).select("owner", "geoid").distinct()
+
+
+def _r6(x: str) -> str:
+    return f"(round_even(({x}) * 1000000, 0) / 1000000)"
+
+
+@register("polygon_centroids", f"""
+SELECT c_custkey AS geoid, {_r6(cust_lon('c_custkey'))} AS cx, {_r6(cust_lat('c_custkey'))} AS cy FROM customer""")
+def q_polygon_centroids(spark, sf_dir):
+    from ..operators.spatial import polygon_centroid
+    sq = star.county_squares(load_tables(spark, sf_dir))
+    c = sq.select("geoid", polygon_centroid(F.col("geometry")).alias("c"))
+    r6 = lambda x: F.rint(x * F.lit(1e6)) / F.lit(1e6)
+    return c.select("geoid", r6(F.col("c.x")).alias("cx"), r6(F.col("c.y")).alias("cy"))
+
+
+@register("centroid_mean", f"""
+SELECT {_r6(f"AVG({cust_lon('c_custkey')})")} AS mean_lon, {_r6(f"AVG({cust_lat('c_custkey')})")} AS mean_lat
+FROM customer""")
+def q_centroid_mean(spark, sf_dir):
+    """AGG15: mean of the county centroids."""
+    from ..operators.spatial import polygon_centroid
+    sq = star.county_squares(load_tables(spark, sf_dir))
+    c = sq.select(polygon_centroid(F.col("geometry")).alias("c"))
+    r6 = lambda x: F.rint(x * F.lit(1e6)) / F.lit(1e6)
+    return c.agg(r6(F.avg("c.x")).alias("mean_lon"), r6(F.avg("c.y")).alias("mean_lat"))
+
+
+@register("thinned_lines")
+def q_thinned_lines(spark, sf_dir):
+    """GEO4: rail polylines thinned with a 0.05 degree tolerance (rows-only check)."""
+    from ..operators.spatial import simplify_line
+    pl = star.rail_polylines(load_tables(spark, sf_dir))
+    return pl.select("owner", F.size("geometry").alias("points_before"),
+                     simplify_line(F.col("geometry"), 0.05).alias("geometry")) \
+        .withColumn("points_after", F.size("geometry"))
+
+
+@register("geojson_features")
+def q_geojson_features(spark, sf_dir):
+    """SNK4 + GEO6: the flow lines as GeoJSON Feature strings (rows-only check)."""
+    from ..operators.spatial import geojson_feature, line_coordinates
+    t = load_tables(spark, sf_dir)
+    lines = R.flow_lines(star.stored_od_cube(t), SEL_ALL, star.region_points(t), star.origin_county_points(t),
+                         star.dest_points(t), with_geometry=True)
+    return lines.select(geojson_feature("LineString", line_coordinates(F.col("geometry")),
+                                        ["orig_id", "dest_cnty", "dest_cnty_name", "tons", "weight", "opacity"])
+                        .alias("feature"))

@@ -54,3 +54,35 @@ def supp_lat(k: str) -> str:
 
 def supp_lon(k: str) -> str:
     return coord(k, 3001, -95.0)
+
+
+# ---------------------------------------------------------------- planar geometry in SQL
+# Same operation order as the DataFrame expressions, so IEEE results are identical.
+
+def dist2_point_segment(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
+    len2 = f"({dx} * {dx} + {dy} * {dy})"
+    t = f"least(greatest((({px} - {ax}) * {dx} + ({py} - {ay}) * {dy}) / {len2}, 0.0::DOUBLE), 1.0::DOUBLE)"
+    qx, qy = f"({ax} + {t} * {dx})", f"({ay} + {t} * {dy})"
+    d_seg = f"(({px} - {qx}) * ({px} - {qx}) + ({py} - {qy}) * ({py} - {qy}))"
+    d_pt = f"(({px} - {ax}) * ({px} - {ax}) + ({py} - {ay}) * ({py} - {ay}))"
+    return f"(CASE WHEN {len2} > 0 THEN {d_seg} ELSE {d_pt} END)"
+
+
+def orient(ax, ay, bx, by, cx, cy) -> str:
+    return f"(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))"
+
+
+def segments_cross(a, b, c, d) -> str:
+    o1, o2 = orient(*a, *b, *c), orient(*a, *b, *d)
+    o3, o4 = orient(*c, *d, *a), orient(*c, *d, *b)
+    return f"({o1} * {o2} < 0 AND {o3} * {o4} < 0)"
+
+
+DEG2RAD_SQL = "CAST(0.017453292519943295 AS DOUBLE)"
+
+
+def haversine_angle(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    d = DEG2RAD_SQL
+    return (f"(2.0::DOUBLE * asin(sqrt(pow(sin((({lat2} - {lat1}) * {d}) / 2.0::DOUBLE), 2) + "
+            f"cos({lat1} * {d}) * cos({lat2} * {d}) * pow(sin((({lon2} - {lon1}) * {d}) / 2.0::DOUBLE), 2))))")
