@@ -60,13 +60,14 @@ def supp_lon(k: str) -> str:
 # Same operation order as the DataFrame expressions, so IEEE results are identical.
 
 def dist2_point_segment(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
-    dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
-    len2 = f"({dx} * {dx} + {dy} * {dy})"
-    t = f"least(greatest((({px} - {ax}) * {dx} + ({py} - {ay}) * {dy}) / {len2}, 0.0::DOUBLE), 1.0::DOUBLE)"
-    qx, qy = f"({ax} + {t} * {dx})", f"({ay} + {t} * {dy})"
-    d_seg = f"(({px} - {qx}) * ({px} - {qx}) + ({py} - {qy}) * ({py} - {qy}))"
-    d_pt = f"(({px} - {ax}) * ({px} - {ax}) + ({py} - {ay}) * ({py} - {ay}))"
-    return f"(CASE WHEN {len2} > 0 THEN {d_seg} ELSE {d_pt} END)"
+    ux, uy = f"({px} - {ax})", f"({py} - {ay})"
+    vx, vy = f"({bx} - {ax})", f"({by} - {ay})"
+    dot = f"({ux} * {vx} + {uy} * {vy})"
+    l2 = f"({vx} * {vx} + {vy} * {vy})"
+    cr = f"({ux} * {vy} - {uy} * {vx})"
+    return (f"(CASE WHEN {l2} <= 0 OR {dot} <= 0 THEN {ux} * {ux} + {uy} * {uy} "
+            f"WHEN {dot} >= {l2} THEN ({px} - {bx}) * ({px} - {bx}) + ({py} - {by}) * ({py} - {by}) "
+            f"ELSE {cr} * {cr} / {l2} END)")
 
 
 def orient(ax, ay, bx, by, cx, cy) -> str:
