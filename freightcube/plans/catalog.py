@@ -75,6 +75,15 @@ def q_flow_table(spark, sf_dir):
     return R.flow_table(_cube(spark, sf_dir), SEL_REGIONS)
 
 
+@register("flow_table_all", with_cube(PAIRS_CTE) + """
+SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_cnty_name,
+       CAST(trunc(tons * 1000) AS BIGINT) AS tons
+FROM pairs""")
+def q_flow_table_all(spark, sf_dir):
+    """The default selection of the app: every region, origin and destination."""
+    return R.flow_table(_cube(spark, sf_dir), SEL_ALL)
+
+
 @register("flow_table_mixed", with_cube(PAIRS_CTE) + f"""
 SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_cnty_name,
        CAST(trunc(tons * 1000) AS BIGINT) AS tons
@@ -623,3 +632,17 @@ def q_geojson_features(spark, sf_dir):
     return lines.select(geojson_feature("LineString", line_coordinates(F.col("geometry")),
                                         ["orig_id", "dest_cnty", "dest_cnty_name", "tons", "weight", "opacity"])
                         .alias("feature"))
+
+
+# ------------------------------------------------------------------ streaming
+
+@register("od_cube_streamed", with_cube() + "SELECT * FROM cube")
+def q_od_cube_streamed(spark, sf_dir):
+    """The cube kept by the streaming refresh (all present shipment files folded in);
+    must equal ``od_cube``."""
+    from ..session import scratch_path
+    from ..sources.materialize import input_fingerprint
+    from ..streaming.cube_refresh import refreshed_cube
+    inputs = [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in star.CUBE_INPUTS]
+    state = scratch_path(spark, f"cube_stream-{input_fingerprint(spark, inputs)}")
+    return refreshed_cube(spark, sf_dir, state)

@@ -1,0 +1,45 @@
+"""Selection semantics (FIXTURES section 4: None, [], ['-1'], ['-1','-1'], ['-1','13'], absent id)."""
+
+import pytest
+
+from freightcube.operators.selection import Selection, apply_selection, selected_ids, selected_shapes
+
+SCHEMA = "orig_reg int, orig_cnty bigint, dest_cnty int, tons double"
+ROWS = [(1, 10, 13, 1.0), (1, 11, 14, 2.0), (2, 20, 13, 3.0), (3, 30, 15, 4.0)]
+
+
+@pytest.mark.parametrize("values,expected", [
+    (None, None), ([], None), (["-1"], None), (["-1", "-1"], []), (["-1", "13"], [13]), (["7"], [7]),
+])
+def test_selected_ids(values, expected):
+    assert selected_ids(values) == expected
+
+
+def test_apply_selection(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    count = lambda sel: apply_selection(df, sel).count()
+    assert count(Selection.of()) == 4
+    assert count(Selection.of(regions=[], origins=["-1"], dests=None)) == 4
+    assert count(Selection.of(dests=["-1", "13"])) == 2
+    assert count(Selection.of(regions=["-1", "-1"])) == 0
+    assert count(Selection.of(regions=["1"], dests=["13"])) == 1
+    assert count(Selection.of(origins=["999"])) == 0
+
+
+def test_long_selection_uses_semi_join(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    ids = [str(i) for i in range(5000)]
+    out = apply_selection(df, Selection.of(origins=ids))
+    assert out.count() == 4
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_selected_shapes(spark):
+    counties = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, label string")
+    regions = spark.createDataFrame([(7, "r7"), (8, "r8")], "id bigint, label string")
+    pick = lambda **kw: sorted(r.id for r in selected_shapes(counties, regions, Selection.of(**kw), "id", "id").collect())  # noqa: E731,E501
+    assert pick(origins=["2"], regions=["7"]) == [2]
+    assert pick(origins=["-1"], regions=["7", "-1"]) == [7]
+    assert pick(origins=None, regions=["-1"]) == []
+    assert pick(origins=[], regions=None) == []
+    assert pick(origins=["-1", "-1"], regions=["7"]) == []
