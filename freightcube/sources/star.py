@@ -155,15 +155,15 @@ def terminal_points(t: Tables) -> DataFrame:
 
 
 def region_points(t: Tables) -> DataFrame:
-    """Origin-region centroids: one point per nation (key-derived)."""
+    """Origin-region centroids: one point per nation (key-derived; 25 rows, broadcast)."""
     k = F.col("n_nationkey")
-    return t.nation.select(k.alias("orig_reg"), customer_lon(k).alias("lon"), customer_lat(k).alias("lat"))
+    return F.broadcast(t.nation).select(k.alias("orig_reg"), customer_lon(k).alias("lon"), customer_lat(k).alias("lat"))
 
 
 def dest_points(t: Tables) -> DataFrame:
-    """Destination-county centroids: one point per nation (key-derived)."""
+    """Destination-county centroids: one point per nation (key-derived; 25 rows, broadcast)."""
     k = F.col("n_nationkey")
-    return t.nation.select(k.alias("dest_cnty"), customer_lon(k).alias("lon"), customer_lat(k).alias("lat"))
+    return F.broadcast(t.nation).select(k.alias("dest_cnty"), customer_lon(k).alias("lon"), customer_lat(k).alias("lat"))
 
 
 def origin_county_points(t: Tables) -> DataFrame:
