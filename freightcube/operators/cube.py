@@ -16,8 +16,9 @@ PAIR_KEYS = ["orig_reg", "orig_cnty", "orig_cnty_name", "dest_cnty", "dest_cnty_
 
 
 def sum_tons(col: str = "tons", alias: str = "tons"):
-    """Sum that treats an all-missing group as 0.0, like a pandas groupby sum."""
-    return F.coalesce(F.sum(col), F.lit(0.0)).alias(alias)
+    """Sum that treats missing values as 0 (an all-missing group sums to 0, like a pandas
+    groupby sum). Keeps the input type, so DECIMAL tonnage stays exact."""
+    return F.sum(F.coalesce(F.col(col), F.lit(0))).alias(alias)
 
 
 def drop_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -646,3 +646,71 @@ def q_od_cube_streamed(spark, sf_dir):
     inputs = [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in star.CUBE_INPUTS]
     state = scratch_path(spark, f"cube_stream-{input_fingerprint(spark, inputs)}")
     return refreshed_cube(spark, sf_dir, state)
+
+
+# ------------------------------------------------------------------ fractional tonnage
+# The same reports over a cube whose thousand tons are the extended price times 0.001,
+# kept as exact decimals: exercises truncation, half-even rounding and one-decimal
+# rounding on fractional values. SQL mirrors the decimal -> double conversions.
+
+def _vcube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.stored_od_cube_value(load_tables(spark, sf_dir))
+
+
+_VALUE_TONS = ("COALESCE(SUM(CAST(CAST(l.l_extendedprice AS DECIMAL(15,2)) * CAST(0.001 AS DECIMAL(4,3)) "
+               "AS DECIMAL(20,5))), 0)")
+_VCUBE_SQL = with_cube(PAIRS_CTE).replace("COALESCE(SUM(l.l_quantity), 0.0)", _VALUE_TONS)
+_DT = "CAST(tons AS DOUBLE)"
+
+
+@register("od_cube_value", _VCUBE_SQL + f"""
+SELECT orig_cnty, orig_cnty_name, orig_reg, dest_cnty, dest_cnty_name, commodity_code, {_DT} AS tons FROM cube""")
+def q_od_cube_value(spark, sf_dir):
+    return star.od_cube(load_tables(spark, sf_dir), star.value_tons()).withColumn("tons", F.col("tons").cast("double"))
+
+
+@register("flow_table_value", _VCUBE_SQL + f"""
+SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_cnty_name,
+       CAST(trunc({_DT} * CAST(1000 AS DOUBLE)) AS BIGINT) AS tons
+FROM pairs""")
+def q_flow_table_value(spark, sf_dir):
+    return R.flow_table(_vcube(spark, sf_dir), SEL_ALL)
+
+
+@register("load_metrics_value", _load_sql("TRUE").replace(
+    "COALESCE(SUM(CAST(round_even(tons * 1000, 0) AS BIGINT)), 0)",
+    f"COALESCE(SUM(CAST(round_even({_DT} * CAST(1000 AS DOUBLE), 0) AS BIGINT)), 0)").replace(
+    with_cube(PAIRS_CTE), _VCUBE_SQL))
+def q_load_metrics_value(spark, sf_dir):
+    return R.load_metrics(R.filtered_pairs(_vcube(spark, sf_dir), SEL_ALL))
+
+
+@register("heatmap_long_value", _VCUBE_SQL + f"""
+SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS origin, dest_cnty_name,
+       SUM(CAST(round_even({_DT} * CAST(1000 AS DOUBLE), 0) AS BIGINT)) AS tons
+FROM pairs GROUP BY orig_reg, dest_cnty_name""")
+def q_heatmap_long_value(spark, sf_dir):
+    return R.heatmap_long(_vcube(spark, sf_dir), ["-1"])
+
+
+@register("top_origins_value", _VCUBE_SQL + """
+SELECT orig_cnty_name, CAST(trunc(s) AS BIGINT) AS thousand_tons FROM (
+  SELECT orig_cnty_name, SUM(tons) AS s FROM pairs GROUP BY 1 ORDER BY s DESC, orig_cnty_name ASC LIMIT 10)""")
+def q_top_origins_value(spark, sf_dir):
+    return R.top_n(C.od_pairs(_vcube(spark, sf_dir)), "orig_cnty_name", 10)
+
+
+@register("dest_totals_value", _VCUBE_SQL + f"""
+SELECT dest_cnty, dest_cnty_name, {_round1('CAST(COALESCE(SUM(tons), 0) AS DOUBLE)')} AS tons
+FROM cube GROUP BY 1, 2""")
+def q_dest_totals_value(spark, sf_dir):
+    return C.dest_totals(_vcube(spark, sf_dir))
+
+
+@register("cube_summary_value", _VCUBE_SQL + """
+SELECT COUNT(DISTINCT orig_cnty) AS n_origins, COUNT(DISTINCT dest_cnty) AS n_destinations,
+       CAST(COALESCE(SUM(tons), 0) AS DOUBLE) AS total_tons,
+       CAST(ceil(CAST(COALESCE(SUM(tons), 0) AS DOUBLE) / 1000) AS BIGINT) AS million_tons
+FROM pairs""")
+def q_cube_summary_value(spark, sf_dir):
+    return R.cube_summary(C.od_pairs(_vcube(spark, sf_dir)))

@@ -45,13 +45,14 @@ def input_fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
 
 
 def materialized(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame],
-                 cluster_by: Sequence[str] = ()) -> DataFrame:
+                 cluster_by: Sequence[str] = (), version: str = "1") -> DataFrame:
     """Return the Parquet dataset ``name`` for these inputs, building it once if missing.
 
-    ``cluster_by`` range-partitions the rows before writing, so each file covers a
-    narrow key range and filters on those keys skip files and row groups.
+    ``version`` names the build logic (bump it when the logic changes); ``cluster_by``
+    range-partitions the rows before writing, so each file covers a narrow key range and
+    filters on those keys skip files and row groups.
     """
-    path = scratch_path(spark, f"{name}-{input_fingerprint(spark, inputs)}")
+    path = scratch_path(spark, f"{name}-v{version}-{input_fingerprint(spark, inputs)}")
     if not path_exists(spark, f"{path}/_SUCCESS"):
         df = build()
         if cluster_by:

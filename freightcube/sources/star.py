@@ -36,10 +36,17 @@ def order_nations(t: Tables) -> DataFrame:
     return o.join(c, "o_custkey").select("o_orderkey", "c_nationkey")
 
 
-def flow_rows(t: Tables, tons: str = "l_quantity") -> DataFrame:
+def value_tons() -> Column:
+    """Fractional thousand tons for the rounding rules: the extended price as an exact
+    DECIMAL(15,2) times 0.001 (so sums do not depend on the order of addition)."""
+    return (F.col("l_extendedprice").cast("decimal(15,2)") * F.lit(0.001).cast("decimal(4,3)")).cast("decimal(20,5)")
+
+
+def flow_rows(t: Tables, tons: Column | None = None) -> DataFrame:
     """SRC6 analogue: one row per shipment line with origin county, destination county,
-    commodity, mode and thousand tons."""
-    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", F.col(tons).alias("tons"))
+    commodity, mode and thousand tons (``l_quantity`` unless ``tons`` is given)."""
+    tons_col = F.col("l_quantity") if tons is None else tons
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", tons_col.alias("tons"))
     on = order_nations(t).withColumnRenamed("o_orderkey", "l_orderkey")
     p = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type")
     return (li.join(on, "l_orderkey").join(p, "l_partkey")
@@ -58,19 +65,28 @@ def dest_counties(t: Tables) -> DataFrame:
                                        F.col("n_name").alias("dest_cnty_name")))
 
 
-def od_cube(t: Tables) -> DataFrame:
+def od_cube(t: Tables, tons: Column | None = None) -> DataFrame:
     """The 6-key OD cube (orig_cnty, orig_cnty_name, orig_reg, dest_cnty, dest_cnty_name,
     commodity_code, tons)."""
-    return assemble_od_cube(flow_rows(t), origin_counties(t), dest_counties(t))
+    return assemble_od_cube(flow_rows(t, tons), origin_counties(t), dest_counties(t))
 
 
 CUBE_INPUTS = ("lineitem", "orders", "customer", "nation", "supplier", "part")
+# version of the stored tables' build logic: bump when the cube or county-flow logic changes
+STORE_VERSION = "2"
 
 
 def stored_od_cube(t: Tables) -> DataFrame:
     """The cube written once as Parquet (clustered by region and origin) and read back."""
     return materialized(t.spark, "od_cube", [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS],
-                        lambda: od_cube(t), cluster_by=("orig_reg", "orig_cnty")).select(*CUBE_KEYS, "tons")
+                        lambda: od_cube(t), cluster_by=("orig_reg", "orig_cnty"), version=STORE_VERSION).select(*CUBE_KEYS, "tons")
+
+
+def stored_od_cube_value(t: Tables) -> DataFrame:
+    """The cube with fractional (price-based, exact decimal) thousand tons, stored once."""
+    return materialized(t.spark, "od_cube_value", [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS],
+                        lambda: od_cube(t, value_tons()), cluster_by=("orig_reg", "orig_cnty"),
+                        version=STORE_VERSION).select(*CUBE_KEYS, "tons")
 
 
 # ---------------------------------------------------------------- dimensions
@@ -110,7 +126,7 @@ def county_level_flows(t: Tables) -> DataFrame:
 
 def stored_county_level_flows(t: Tables) -> DataFrame:
     return materialized(t.spark, "county_level_flows", [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS],
-                        lambda: county_level_flows(t))
+                        lambda: county_level_flows(t), version=STORE_VERSION)
 
 
 # ---------------------------------------------------------------- geometry from keys
