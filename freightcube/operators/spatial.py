@@ -92,12 +92,6 @@ def distinct_members(pairs: DataFrame, member: str) -> DataFrame:
     return pairs.select(member).distinct()
 
 
-def group_members(pairs: DataFrame, key: str, member: str) -> DataFrame:
-    """SNK3 / AGG12 output form: key -> sorted distinct members (one row per key; the
-    list length is bounded by what one key can reach)."""
-    return pairs.groupBy(key).agg(F.sort_array(F.collect_set(member)).alias(f"{member}s"))
-
-
 # ------------------------------------------------------------------ planar helpers
 
 def _dist2_point_segment(p, a, b) -> Column:
