@@ -714,3 +714,24 @@ SELECT COUNT(DISTINCT orig_cnty) AS n_origins, COUNT(DISTINCT dest_cnty) AS n_de
 FROM pairs""")
 def q_cube_summary_value(spark, sf_dir):
     return R.cube_summary(C.od_pairs(_vcube(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ JN6 with its semi join
+
+@register("od_cube_transload", f"""
+WITH near AS ({_radius_sql(RADIUS_MILES)}),
+dests AS (SELECT DISTINCT c.c_nationkey AS dest_cnty FROM customer c WHERE c.c_custkey IN (SELECT geoid FROM near)),
+""" + with_cube().replace("WITH ", "", 1).replace(
+    "WHERE s.s_name IS NOT NULL",
+    f"WHERE l.l_returnflag = '{FLOW_MODE}' AND c.c_nationkey IN (SELECT dest_cnty FROM dests) AND s.s_name IS NOT NULL")
+    + "SELECT * FROM cube")
+def q_od_cube_transload(spark, sf_dir):
+    """JN6: flows in truck mode whose destination is a transload county (a nation holding
+    a county within 50 miles of a terminal: JN7 -> SET3 -> left semi join)."""
+    from ..operators.spatial import distinct_members
+    t = load_tables(spark, sf_dir)
+    near = distinct_members(_radius_pairs(spark, sf_dir), "geoid")
+    dests = t.customer.select(F.col("c_custkey").alias("geoid"), F.col("c_nationkey").alias("dest_cnty")) \
+        .join(near, "geoid", "left_semi").select("dest_cnty").distinct()
+    flows = star.flow_rows(t).where(F.col("mode") == F.lit(FLOW_MODE)).join(dests, "dest_cnty", "left_semi")
+    return C.assemble_od_cube(flows, star.origin_counties(t), star.dest_counties(t))
