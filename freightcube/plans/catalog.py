@@ -432,9 +432,17 @@ def q_lookup_labels(spark, sf_dir):
 
 @register("distinct_states", """
 SELECT DISTINCT n.n_name AS state_name, CASE WHEN r.r_name = 'AMERICA' THEN 'Southeast' ELSE r.r_name END AS region
-FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""")
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""")
 def q_distinct_states(spark, sf_dir):
-    return star.state_region_mapping(load_tables(spark, sf_dir)).distinct()
+    """SET1: the distinct (state, region) pairs of the states that have counties."""
+    t = load_tables(spark, sf_dir)
+    used = t.customer.select(F.col("c_nationkey").alias("n_nationkey"))
+    r = F.broadcast(t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"))
+    n = F.broadcast(t.nation.join(r, "n_regionkey").select(
+        "n_nationkey", F.col("n_name").alias("state_name"),
+        F.when(F.col("r_name") == F.lit(star.SOUTHEAST_SOURCE_REGION), F.lit(star.SOUTHEAST))
+         .otherwise(F.col("r_name")).alias("region")))
+    return used.join(n, "n_nationkey").select("state_name", "region").distinct()
 
 
 @register("distinct_commodities", "SELECT DISTINCT p_type AS commodity_code FROM part")
@@ -453,13 +461,22 @@ def q_selected_shapes(spark, sf_dir):
     return selected_shapes(counties, regions, Selection.of(regions=["1"], origins=["-1", "5", "17", "300"]), "id", "id")
 
 
-@register("selected_region_shapes", """
-SELECT 'region' AS kind, CAST(n_nationkey AS BIGINT) AS id, n_name AS label FROM nation WHERE n_nationkey IN (1, 6)""")
+@register("selected_region_shapes", f"""
+SELECT 'region' AS kind, CAST(c_nationkey AS BIGINT) AS id,
+       MIN({cust_lon('c_custkey')}) AS min_lon, MIN({cust_lat('c_custkey')}) AS min_lat,
+       MAX({cust_lon('c_custkey')}) AS max_lon, MAX({cust_lat('c_custkey')}) AS max_lat
+FROM customer WHERE c_nationkey IN (1, 6) GROUP BY c_nationkey""")
 def q_selected_region_shapes(spark, sf_dir):
+    """FLT7, region branch: region shapes (the bounding box of the region's county points)
+    filtered by the region list because no county is selected."""
     t = load_tables(spark, sf_dir)
-    counties = t.customer.select(F.lit("county").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("label"))
-    regions = t.nation.select(F.lit("region").alias("kind"), F.col("n_nationkey").cast("bigint").alias("id"),
-                              F.col("n_name").alias("label"))
+    pts = star.county_points(t)
+    regions = pts.groupBy(F.col("cluster").cast("bigint").alias("id")).agg(
+        F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"),
+        F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat")).select(F.lit("region").alias("kind"), "*")
+    counties = pts.select(F.lit("county").alias("kind"), F.col("geoid").alias("id"),
+                          F.col("lon").alias("min_lon"), F.col("lat").alias("min_lat"),
+                          F.col("lon").alias("max_lon"), F.col("lat").alias("max_lat"))
     return selected_shapes(counties, regions, Selection.of(regions=["1", "6", "-1"], origins=["-1"]), "id", "id")
 
 
