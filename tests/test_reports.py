@@ -91,8 +91,9 @@ def test_quantile_threshold_keeps_ties(cube, spark):
     from freightcube.operators.quantile import filter_at_least_quantile, quantile_frame
     p = C.od_pairs(cube)
     for q in (0.7, 0.99, 0.0, 1.0, 0.5):
-        got = quantile_frame(p, "tons", q).collect()[0][0]
-        assert got == pytest.approx(float(pandas_pairs().tons.quantile(q)), rel=0, abs=1e-12)
+        for limit in (None, 1000):       # distributed plan and the checked single-task plan
+            got = quantile_frame(p, "tons", q, single_task_limit=limit).collect()[0][0]
+            assert got == pytest.approx(float(pandas_pairs().tons.quantile(q)), rel=0, abs=1e-12)
     kept = filter_at_least_quantile(p, "tons", 0.5).count()
     t = pandas_pairs().tons
     assert kept == int((t >= t.quantile(0.5)).sum())
@@ -104,8 +105,10 @@ def test_quantile_random_with_hot_value(spark):
     vals = np.concatenate([rng.normal(size=3000).round(2), np.full(1500, 0.25)])  # a third is one value
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     for q in (0.01, 0.3, 0.5, 0.7, 0.99):
-        got = quantile_frame(df, "v", q, buckets=16).collect()[0][0]
+        got = quantile_frame(df, "v", q, buckets=16, single_task_limit=None).collect()[0][0]
         assert got == pytest.approx(float(np.quantile(vals, q)), abs=1e-12)
+        assert quantile_frame(df, "v", q).collect()[0][0] == pytest.approx(float(np.quantile(vals, q)), abs=1e-12)
+    assert quantile_frame(df.where("v > 100"), "v", 0.5, single_task_limit=None).collect()[0][0] is None
     assert quantile_frame(df.where("v > 100"), "v", 0.5).collect()[0][0] is None
 
 
