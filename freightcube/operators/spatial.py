@@ -214,14 +214,29 @@ def polygon_edge_rows(polygons: DataFrame, key: str) -> DataFrame:
     return _non_null_coords(e, [key], ["ex1", "ey1", "ex2", "ey2"])
 
 
+def segment_edge_maybe_near(r: float) -> Column:
+    """Cheap conservative reject: the edge midpoint is farther than r + half the edge
+    length from the segment's supporting line (then no point of the edge is within r)."""
+    c = F.col
+    vx, vy = c("sx2") - c("sx1"), c("sy2") - c("sy1")
+    mx = (c("ex1") + c("ex2")) / F.lit(2.0) - c("sx1")
+    my = (c("ey1") + c("ey2")) / F.lit(2.0) - c("sy1")
+    cr = vx * my - vy * mx
+    ex, ey = c("ex2") - c("ex1"), c("ey2") - c("ey1")
+    reach = F.lit(float(r)) + F.sqrt(ex * ex + ey * ey) / F.lit(2.0)
+    # |cross| / |v| <= reach, squared; a degenerate segment (|v| = 0) always passes
+    return cr * cr <= reach * reach * (vx * vx + vy * vy) * F.lit(1.0 + 1e-9)
+
+
 def segment_edge_near(r: float) -> Column:
     """Flat-column test: segment (sx, sy) and edge (ex, ey) cross or lie within r."""
     a, b = _Pt(F.col("sx1"), F.col("sy1")), _Pt(F.col("sx2"), F.col("sy2"))
     c, d = _Pt(F.col("ex1"), F.col("ey1")), _Pt(F.col("ex2"), F.col("ey2"))
     r2 = F.lit(float(r) * float(r))
-    return (_segments_cross(a, b, c, d)
-            | (_dist2_point_segment(a, c, d) <= r2) | (_dist2_point_segment(b, c, d) <= r2)
-            | (_dist2_point_segment(c, a, b) <= r2) | (_dist2_point_segment(d, a, b) <= r2))
+    exact = (_segments_cross(a, b, c, d)
+             | (_dist2_point_segment(a, c, d) <= r2) | (_dist2_point_segment(b, c, d) <= r2)
+             | (_dist2_point_segment(c, a, b) <= r2) | (_dist2_point_segment(d, a, b) <= r2))
+    return segment_edge_maybe_near(r) & exact
 
 
 def lines_near_polygons(lines: DataFrame, polygons: DataFrame, r: float, line_keys: list[str],
