@@ -387,3 +387,8 @@ def line_coordinates(line: Column) -> Column:
 
 def point_coordinates(x: Column, y: Column) -> Column:
     return F.array(x, y)
+
+
+def multipolygon_coordinates(geometry: Column) -> Column:
+    """GeoJSON MultiPolygon coordinates of a multipolygon column."""
+    return F.transform(geometry, lambda poly: F.transform(poly, line_coordinates))

@@ -123,3 +123,19 @@ def read_terminal_geojson(spark: SparkSession, path: str) -> DataFrame:
     g = geometry_from_geojson(read_geojson(spark, path, ["Location", "State", "Address", "Service Provider"]))
     return g.select("Location", "State", "Address", "Service Provider",
                     F.col("point.x").alias("lon"), F.col("point.y").alias("lat"))
+
+
+_GEOMETRY_JSON = T.StructType([T.StructField("type", S), T.StructField("coordinates", S)])
+
+
+def shapes_from_geojson_column(df: DataFrame, geom_col: str = "geom",
+                               double_cols: tuple[str, ...] = ("intptlat", "intptlon")) -> DataFrame:
+    """SRC2: rows of a shape query whose geometry arrives as GeoJSON text (for example
+    ``ST_AsGeoJSON(geom)`` through JDBC) -> ``multipolygon`` / ``line`` / ``point`` columns;
+    the internal-point coordinates are cast from text to double."""
+    g = F.from_json(F.col(geom_col), _GEOMETRY_JSON)
+    out = df.withColumn("geometry_type", g["type"]).withColumn("coordinates_json", g["coordinates"])
+    for c in double_cols:
+        if c in df.columns:
+            out = out.withColumn(c, F.col(c).cast("double"))
+    return geometry_from_geojson(out).drop("coordinates_json")

@@ -135,3 +135,18 @@ def test_county_prep_job(spark, tmp):
     assert sorted(r.geoid for r in spark.read.parquet(f"{tmp}/prep/ll_se_counties").collect()) == [4]
     tm = {(r.terminal_id, r.geoid) for r in out["terminal_county_map"].collect()}
     assert ("Chicago Yard|NS", 2) in tm and ("29|GSWR", 1) in tm
+
+
+def test_shapes_from_geojson_column(spark):
+    geom = json.dumps({"type": "MultiPolygon", "coordinates": [[[[0, 0], [2, 0], [2, 2], [0, 0]]]]})
+    df = spark.createDataFrame([(1, "A", "31.5", "-84.25", geom)],
+                               "geoid int, name string, intptlat string, intptlon string, geom string")
+    out = SF.shapes_from_geojson_column(df).first()
+    assert out.intptlat == 31.5 and out.intptlon == -84.25 and out.geometry_type == "MultiPolygon"
+    assert [(p.x, p.y) for p in out.multipolygon[0][0]] == [(0, 0), (2, 0), (2, 2), (0, 0)]
+    from freightcube.operators.spatial import multipolygon_coordinates, polygon_centroid
+    feat = SF.shapes_from_geojson_column(df).select(
+        F.to_json(multipolygon_coordinates(F.col("multipolygon"))).alias("c"),
+        polygon_centroid(F.col("multipolygon")).alias("cen")).first()
+    assert json.loads(feat.c) == [[[[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 0.0]]]]
+    assert (feat.cen.x, feat.cen.y) == pytest.approx((4 / 3, 2 / 3))
