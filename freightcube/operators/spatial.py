@@ -123,8 +123,8 @@ def _segments_cross(a, b, c, d) -> Column:
 
 
 def polygon_edges(geometry: Column) -> Column:
-    """All ring edges of a multipolygon as array<struct<p, q>>."""
-    rings = F.flatten(geometry)
+    """All ring edges of a multipolygon as array<struct<p, q>> (rings of < 2 points skipped)."""
+    rings = F.filter(F.flatten(geometry), lambda ring: F.size(ring) >= F.lit(2))
     return F.flatten(F.transform(rings, lambda ring: F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(ring) - F.lit(2), F.lit(0))),
         lambda i: F.struct(F.element_at(ring, i + F.lit(1)).alias("p"),
@@ -294,6 +294,7 @@ def polygon_centroid(geometry: Column) -> Column:
     rings = F.flatten(F.transform(geometry, lambda poly: F.transform(
         poly, lambda ring, i: F.struct(ring.alias("ring"),
                                        F.when(i == F.lit(0), F.lit(1.0)).otherwise(F.lit(-1.0)).alias("role")))))
+    rings = F.filter(rings, lambda r: F.size(r["ring"]) >= F.lit(2))  # degenerate rings have no area
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
 
     def ring_step(ring):

@@ -169,3 +169,13 @@ def test_geojson_feature_json(spark):
     f = json.loads(s)
     assert f == {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[1.0, 2.0], [3.0, 4.0]]},
                  "properties": {"id": 1, "tons": 2.5}}
+
+
+def test_degenerate_rings_are_ignored(spark):
+    sq = square(0.0, 0.0, 1.0)[0]
+    df = spark.createDataFrame([(1, [[sq, []], [[{"x": 5.0, "y": 5.0}]]])], POLY_SCHEMA)
+    c = df.select(S.polygon_centroid(F.col("geometry")).alias("c")).first().c
+    assert (c.x, c.y) == pytest.approx((0.0, 0.0))
+    lines = spark.createDataFrame([("L", [{"x": 0.5, "y": 0.5}])], LINE_SCHEMA)       # a one-point line
+    got = pairs(S.lines_near_polygons(lines, df, 0.1, ["owner"], "geoid"), "owner", "geoid")
+    assert got == [("L", 1)]
