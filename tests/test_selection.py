@@ -43,3 +43,19 @@ def test_selected_shapes(spark):
     assert pick(origins=None, regions=["-1"]) == []
     assert pick(origins=[], regions=None) == []
     assert pick(origins=["-1", "-1"], regions=["7"]) == []
+
+
+def test_county_option_cascade(spark):
+    from freightcube.operators.reports import county_options, region_options
+    c = spark.createDataFrame([(1, 10, "A", "S1"), (1, 11, "B", "S1"), (2, 20, "C", "S2")],
+                              "orig_reg int, orig_cnty bigint, orig_cnty_name string, state_name string")
+    full = county_options(c, None).orderBy("ord", "group_key", "item_key").collect()
+    assert [(r.group, r.label) for r in full] == [("All Regions", "All"), ("Region 1", "A, S1"),
+                                                  ("Region 1", "B, S1"), ("Region 2", "C, S2")]
+    assert len(county_options(c, []).collect()) == 4
+    only_all = county_options(c, ["-1"]).collect()
+    assert [(r.group, r.label, r.value) for r in only_all] == [(None, "All", "-1")]
+    two = county_options(c, ["2", "-1"]).orderBy("ord", "item_key").collect()
+    assert [(r.group, r.value) for r in two] == [(None, "-1"), ("Region 2", "20")]
+    regs = region_options(c).orderBy("ord", "sort_key").collect()
+    assert [(r.label, r.value) for r in regs] == [("All", "-1"), ("Region 1", "1"), ("Region 2", "2")]
