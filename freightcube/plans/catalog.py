@@ -437,12 +437,7 @@ def q_distinct_states(spark, sf_dir):
     """SET1: the distinct (state, region) pairs of the states that have counties."""
     t = load_tables(spark, sf_dir)
     used = t.customer.select(F.col("c_nationkey").alias("n_nationkey"))
-    r = F.broadcast(t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"))
-    n = F.broadcast(t.nation.join(r, "n_regionkey").select(
-        "n_nationkey", F.col("n_name").alias("state_name"),
-        F.when(F.col("r_name") == F.lit(star.SOUTHEAST_SOURCE_REGION), F.lit(star.SOUTHEAST))
-         .otherwise(F.col("r_name")).alias("region")))
-    return used.join(n, "n_nationkey").select("state_name", "region").distinct()
+    return used.join(F.broadcast(star.nation_states(t)), "n_nationkey").select("state_name", "region").distinct()
 
 
 @register("distinct_commodities", "SELECT DISTINCT p_type AS commodity_code FROM part")

@@ -91,15 +91,21 @@ def stored_od_cube_value(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- dimensions
 
-def state_region_mapping(t: Tables) -> DataFrame:
-    """(state_name, region): every nation is a 'state'; AMERICA's nations are the Southeast."""
+def nation_states(t: Tables) -> DataFrame:
+    """(n_nationkey, state_name, region): every nation is a 'state'; AMERICA's nations are
+    the Southeast. 25 rows by construction."""
     r = F.broadcast(t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"))
     return t.nation.join(r, "n_regionkey").select(
-        F.col("n_name").alias("state_name"),
+        "n_nationkey", F.col("n_name").alias("state_name"),
         F.when(F.col("r_name") == F.lit(SOUTHEAST_SOURCE_REGION), F.lit(SOUTHEAST))
          .otherwise(F.col("r_name")).alias("region"))
 
 
+def state_region_mapping(t: Tables) -> DataFrame:
+    """(state_name, region)."""
+    return nation_states(t).select("state_name", "region")
+
+
 def county_level_flows(t: Tables) -> DataFrame:
     """Per nation-county, mode and commodity: inter (same nation), inbound, outbound.
 
