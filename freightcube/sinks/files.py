@@ -6,15 +6,39 @@ or a single task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from ..operators.spatial import geojson_feature
 
 
+def replace_dataset(df: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None]) -> None:
+    """Write to a temporary sibling folder, then swap it in for ``path``.
+
+    A failed or interrupted job leaves the previous dataset untouched (an overwrite-mode
+    write would already have deleted it); retried tasks of a lost executor are handled by
+    Spark's commit protocol inside the temporary folder.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex[:8]}"
+    write(df.write.mode("errorifexists"), tmp)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(conf)
+    if fs.exists(dst):
+        fs.delete(dst, True)
+    if not fs.rename(src, dst):
+        raise OSError(f"could not move {tmp} to {path}")
+
+
 def write_key_table(df: DataFrame, path: str, key: str = "geoid") -> None:
     """SNK1: replace a one-column key table (distinct keys) at ``path``."""
-    df.select(key).where(F.col(key).isNotNull()).distinct().write.mode("overwrite").parquet(path)
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    replace_dataset(keys, path, lambda w, p: w.parquet(p))
 
 
 def append_rows(df: DataFrame, path: str) -> None:
@@ -24,15 +48,16 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 def write_pair_map(pairs: DataFrame, path: str, key: str, member: str) -> None:
     """SNK3: key -> members as a pair table (sorted within files for compact reads)."""
-    pairs.select(key, member).distinct().sortWithinPartitions(key, member).write.mode("overwrite").parquet(path)
+    out = pairs.select(key, member).distinct().sortWithinPartitions(key, member)
+    replace_dataset(out, path, lambda w, p: w.parquet(p))
 
 
 def write_geojson_lines(df: DataFrame, path: str, geometry_type: str, coordinates, properties: list[str]) -> None:
     """SNK4: one GeoJSON Feature per line (a GeoJSON text sequence), written in parallel."""
-    df.select(geojson_feature(geometry_type, coordinates, properties).alias("value")) \
-        .write.mode("overwrite").text(path)
+    out = df.select(geojson_feature(geometry_type, coordinates, properties).alias("value"))
+    replace_dataset(out, path, lambda w, p: w.text(p))
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     """SNK5: CSV export (e.g. the flow table) with a header line in every part file."""
-    df.write.mode("overwrite").option("header", header).csv(path)
+    replace_dataset(df, path, lambda w, p: w.option("header", header).csv(p))

@@ -150,3 +150,13 @@ def test_shapes_from_geojson_column(spark):
         polygon_centroid(F.col("multipolygon")).alias("cen")).first()
     assert json.loads(feat.c) == [[[[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 0.0]]]]
     assert (feat.cen.x, feat.cen.y) == pytest.approx((4 / 3, 2 / 3))
+
+
+def test_failed_replace_keeps_the_old_table(spark, tmp):
+    good = spark.createDataFrame([(1,), (2,)], "geoid bigint")
+    write_key_table(good, f"{tmp}/keys")
+    bad = spark.range(3).select(F.when(F.col("id") == 2, F.raise_error(F.lit("boom")))
+                                .otherwise(F.col("id")).cast("bigint").alias("geoid"))
+    with pytest.raises(Exception):
+        write_key_table(bad, f"{tmp}/keys")
+    assert sorted(r.geoid for r in spark.read.parquet(f"{tmp}/keys").collect()) == [1, 2]
