@@ -26,11 +26,18 @@ from ..sources.tables import Tables
 
 
 class _BatchTables(Tables):
-    """The star tables with ``lineitem`` replaced by one micro-batch."""
+    """The star tables with ``lineitem`` replaced by one micro-batch, and ``orders`` /
+    ``part`` reduced to the keys that batch references (left semi joins against the
+    batch's distinct keys, which AQE broadcasts when they are small), so a batch never
+    shuffles the full dimension tables."""
 
     def __init__(self, base: Tables, lineitem: DataFrame):
         super().__init__(base.spark, base.base_dir)
         self.__dict__["lineitem"] = lineitem
+        okeys = lineitem.select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+        pkeys = lineitem.select(F.col("l_partkey").alias("p_partkey")).distinct()
+        self.__dict__["orders"] = base.orders.join(okeys, "o_orderkey", "left_semi")
+        self.__dict__["part"] = base.part.join(pkeys, "p_partkey", "left_semi")
 
 
 def start_cube_refresh(spark: SparkSession, base_dir: str, state_dir: str, file_glob: str = "lineitem*.parquet",
@@ -42,9 +49,11 @@ def start_cube_refresh(spark: SparkSession, base_dir: str, state_dir: str, file_
               .option("maxFilesPerTrigger", 64).parquet(base_dir))
 
     def fold(batch: DataFrame, epoch_id: int) -> None:
+        batch = batch.persist()  # read once, used for the rows and for the key sets
         bt = _BatchTables(t, batch)
         part = star.flow_rows(bt).groupBy("orig_cnty", "dest_cnty", "commodity_code").agg(sum_tons())
         part.write.mode("overwrite").parquet(f"{state_dir}/deltas/epoch={epoch_id}")
+        batch.unpersist()
 
     w = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{state_dir}/checkpoint")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
