@@ -747,3 +747,18 @@ def q_od_cube_transload(spark, sf_dir):
         .join(near, "geoid", "left_semi").select("dest_cnty").distinct()
     flows = star.flow_rows(t).where(F.col("mode") == F.lit(FLOW_MODE)).join(dests, "dest_cnty", "left_semi")
     return C.assemble_od_cube(flows, star.origin_counties(t), star.dest_counties(t))
+
+
+# ------------------------------------------------------------------ FLT8 grid filter and sort
+
+@register("flow_table_grid", with_cube(PAIRS_CTE) + """
+SELECT * FROM (
+  SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_cnty_name,
+         CAST(trunc(tons * 1000) AS BIGINT) AS tons
+  FROM pairs)
+WHERE tons >= 5000 AND starts_with(dest_cnty_name, 'NATION_1')""")
+def q_flow_table_grid(spark, sf_dir):
+    """FLT8: the flow table as a user filters and sorts its columns in the grid."""
+    ft = R.flow_table(_cube(spark, sf_dir), SEL_ALL)
+    return ft.where((F.col("tons") >= 5000) & F.col("dest_cnty_name").startswith("NATION_1")) \
+        .orderBy(F.col("tons").desc(), "orig_cnty_name", "dest_cnty_name")
