@@ -18,7 +18,7 @@ from ..functions.rounding import clip, round1, to_tons_even, trunc_int
 from .classify import assign_class, breaks_text, class_label, destination_breaks, region_breaks
 from .cube import od_pairs, sum_tons
 from .quantile import filter_at_least_quantile
-from .selection import Selection, apply_region_only, apply_selection, is_unfiltered
+from .selection import Selection, apply_region_only, apply_selection
 
 # Fixed values that must equal the reference's (load metrics).
 MAX_TRUCK_PALLETS = 26      # single floor of a 53 ft container

@@ -1,7 +1,6 @@
 """File sources and sinks, JDBC options, stored datasets and the preparation jobs."""
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F

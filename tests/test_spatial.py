@@ -1,6 +1,5 @@
 """Spatial operators: grid joins against brute force, exact boundary cases, centroids, thinning."""
 
-import math
 
 import numpy as np
 import pytest
