@@ -43,3 +43,40 @@ def test_hot_order_key_is_split_and_exact(spark, tmp_path):
         .merge(p, left_on="l_partkey", right_on="p_partkey")
     exp = m.groupby(["l_suppkey", "c_nationkey", "p_type"])["l_quantity"].sum()
     assert got == {k: v for k, v in exp.items()}
+
+
+def test_hot_cell_in_radius_join(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from freightcube.operators.spatial import EARTH_RADIUS_MILES, haversine_angle, radius_join
+    rng = np.random.default_rng(5)
+    n = 900
+    lon = np.where(np.arange(n) % 3 == 0, -87.63 + rng.normal(0, 0.01, n), rng.uniform(-100, -70, n))
+    lat = np.where(np.arange(n) % 3 == 0, 41.88 + rng.normal(0, 0.01, n), rng.uniform(25, 45, n))
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lon, lat))],
+                                "geoid bigint, lon double, lat double")
+    ctr = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in
+                                 enumerate(zip(lon[:60] + 0.05, lat[:60] - 0.05))],
+                                "terminal_id bigint, lon double, lat double")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = radius_join(pts, ctr, 25.0)
+        got = sorted((r.terminal_id, r.geoid) for r in df.collect())
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan
+    p = pts.select("geoid", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
+    c = ctr.select("terminal_id", F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"))
+    ang = haversine_angle(F.col("c_lat"), F.col("c_lon"), F.col("p_lat"), F.col("p_lon"))
+    exp = sorted((r.terminal_id, r.geoid) for r in
+                 c.crossJoin(p).where(ang <= F.lit(25.0 / EARTH_RADIUS_MILES)).collect())
+    assert got == exp and len(got) > 1000
