@@ -248,9 +248,10 @@ def lines_near_polygons(lines: DataFrame, polygons: DataFrame, r: float, line_ke
 
     * segments (cells of their buffered cover) x polygon edges (cells of their cover):
       the segment crosses an edge or comes within r of it;
-    * segment start points (their cell) x polygon bounding boxes (their cells): the
-      point lies inside the polygon (even-odd ray casting over the polygon's edges), which
-      catches a line lying wholly inside a large polygon.
+    * the first vertex of each line (its cell) x polygon bounding boxes (their cells):
+      the vertex lies inside the polygon (even-odd ray casting over the polygon's edges),
+      which catches a line lying wholly inside a large polygon. A line that meets a
+      polygon otherwise crosses or nears its boundary, so one vertex per line suffices.
     """
     s = line_segments(lines, line_keys)
     e = polygon_edge_rows(polygons, polygon_key)
@@ -271,8 +272,13 @@ def lines_near_polygons(lines: DataFrame, polygons: DataFrame, r: float, line_ke
                             F.array_max(xs).alias("pmaxx"), F.array_max(ys).alias("pmaxy"))
     boxes = boxes.withColumn("g", F.explode(_bbox_cells(F.col("pminx"), F.col("pminy"), F.col("pmaxx"),
                                                          F.col("pmaxy"), cell))).select("*", "g.gx", "g.gy").drop("g")
-    starts = s.select(*line_keys, "sx1", "sy1", F.floor(F.col("sx1") / F.lit(cell)).alias("gx"),
-                      F.floor(F.col("sy1") / F.lit(cell)).alias("gy"))
+    # a line meeting a polygon either crosses / nears its boundary (found above) or lies
+    # wholly inside it, so one vertex per line decides the rest
+    first = lines.where(F.size("geometry") > F.lit(0)).select(
+        *line_keys, F.element_at("geometry", 1)["x"].alias("sx1"), F.element_at("geometry", 1)["y"].alias("sy1"))
+    starts = _non_null_coords(first, line_keys, ["sx1", "sy1"]).select(
+        *line_keys, "sx1", "sy1", F.floor(F.col("sx1") / F.lit(cell)).alias("gx"),
+        F.floor(F.col("sy1") / F.lit(cell)).alias("gy"))
     inside_box = ((F.col("sx1") >= F.col("pminx")) & (F.col("sx1") <= F.col("pmaxx"))
                   & (F.col("sy1") >= F.col("pminy")) & (F.col("sy1") <= F.col("pmaxy")))
     cand = starts.join(boxes, ["gx", "gy"]).where(inside_box)
