@@ -120,7 +120,7 @@ def q_region_totals(spark, sf_dir):
     return C.region_totals(_cube(spark, sf_dir))
 
 
-_CLF_SQL = """f AS (
+_CLF_BASE_SQL = """f AS (
   SELECT s.s_nationkey AS sn, c.c_nationkey AS cn, l.l_returnflag AS mode, p.p_type AS commodity_code,
          SUM(l.l_quantity) AS q
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
@@ -137,14 +137,18 @@ clf AS (
   FROM parts p JOIN nation n ON p.geoid = n.n_nationkey GROUP BY 1, 2, 3, 4, 5),
 srm AS (
   SELECT n.n_name AS state_name, CASE WHEN r.r_name = 'AMERICA' THEN 'Southeast' ELSE r.r_name END AS region
-  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
-cft AS (
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)
+"""
+
+_CFT_SQL = """cft AS (
   SELECT clf.geoid, clf.name, clf.state_name, SUM(inter) AS inter, SUM(inbound) AS inbound, SUM(outbound) AS outbound
   FROM clf JOIN srm ON clf.state_name = srm.state_name
   WHERE mode = 'N' AND commodity_code IN ('ECONOMY', 'PROMO', 'STANDARD') AND region = 'Southeast'
   GROUP BY 1, 2, 3)
 """
 
+_CLF_SQL = _CLF_BASE_SQL.rstrip() + ",\n" + _CFT_SQL
+
 
 def _county_flow_totals(spark, sf_dir):
     t = load_tables(spark, sf_dir)
@@ -762,3 +766,56 @@ def q_flow_table_grid(spark, sf_dir):
     ft = R.flow_table(_cube(spark, sf_dir), SEL_ALL)
     return ft.where((F.col("tons") >= 5000) & F.col("dest_cnty_name").startswith("NATION_1")) \
         .orderBy(F.col("tons").desc(), "orig_cnty_name", "dest_cnty_name")
+
+
+# ------------------------------------------------------------------ load-time county tables
+
+_SE_SQL = """se AS (
+  SELECT c.c_custkey AS geoid, c.c_name AS name, n.n_name AS state_name
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+  WHERE r.r_name = 'AMERICA')"""
+
+
+def _southeast_counties(t):
+    """JN1 + FLT3: counties joined to the state -> region mapping, region = Southeast."""
+    states = F.broadcast(star.nation_states(t).where(F.col("region") == F.lit(star.SOUTHEAST)))
+    return t.customer.select(F.col("c_custkey").alias("geoid"), F.col("c_name").alias("name"),
+                             F.col("c_nationkey").alias("n_nationkey")) \
+        .join(states, "n_nationkey").select("geoid", "name", "state_name")
+
+
+@register("southeast_counties", f"WITH {_SE_SQL} SELECT * FROM se")
+def q_southeast_counties(spark, sf_dir):
+    return _southeast_counties(load_tables(spark, sf_dir))
+
+
+@register("transload_outside_southeast", f"""
+WITH near AS ({_radius_sql(RADIUS_MILES)}), {_SE_SQL}
+SELECT DISTINCT geoid FROM near WHERE geoid NOT IN (SELECT geoid FROM se)""")
+def q_transload_outside_southeast(spark, sf_dir):
+    """JN3: transload counties (within 50 miles of a terminal) that are not Southeast
+    counties, as a left anti join (no NOT IN null trap)."""
+    from ..operators.spatial import distinct_members
+    near = distinct_members(_radius_pairs(spark, sf_dir), "geoid")
+    return near.join(_southeast_counties(load_tables(spark, sf_dir)).select("geoid"), "geoid", "left_anti")
+
+
+@register("transload_county_flows", "WITH " + _CLF_BASE_SQL.rstrip() + f""",
+near AS ({_radius_sql(RADIUS_MILES)}),
+dests AS (SELECT DISTINCT c.c_nationkey AS geoid FROM customer c WHERE c.c_custkey IN (SELECT geoid FROM near)),
+cs AS (SELECT geoid, name, state_name, SUM(inter) AS inter, SUM(inbound) AS inbound, SUM(outbound) AS outbound
+       FROM clf GROUP BY 1, 2, 3)
+SELECT cs.*, inter + inbound + outbound AS total FROM cs WHERE geoid IN (SELECT geoid FROM dests)""")
+def q_transload_county_flows(spark, sf_dir):
+    """JN2 + PRJ1: county flow totals (all modes and commodities) for the transload
+    counties only - the IN-subquery read of county shapes with flows, as a left semi join."""
+    from ..operators.spatial import distinct_members
+    t = load_tables(spark, sf_dir)
+    near = distinct_members(_radius_pairs(spark, sf_dir), "geoid")
+    dests = t.customer.select(F.col("c_custkey").alias("geoid"), F.col("c_nationkey").cast("int").alias("dest")) \
+        .join(near, "geoid", "left_semi").select(F.col("dest").alias("geoid")).distinct()
+    clf = star.stored_county_level_flows(t)
+    cs = clf.groupBy("geoid", "name", "state_name").agg(
+        F.sum("inter").alias("inter"), F.sum("inbound").alias("inbound"), F.sum("outbound").alias("outbound"))
+    return cs.join(dests, "geoid", "left_semi") \
+        .withColumn("total", F.col("inter") + F.col("inbound") + F.col("outbound"))
