@@ -199,9 +199,11 @@ def heatmap_wide(cube: DataFrame, regions, dest_names: list[str] | None = None)
         if len(rows) > MAX_PIVOT_COLUMNS:
             raise ValueError("too many destinations for a matrix; use heatmap_long")
         dest_names = [r[0] for r in rows]
-    w = f.groupBy(idx).pivot("dest_cnty_name", dest_names).agg(F.sum("tons")).na.fill(0, subset=dest_names)
+    w = f.groupBy(idx).pivot("dest_cnty_name", dest_names).agg(F.sum("tons"))
     origin = region_label(idx) if region_grain else F.col(idx)
-    return w.select(origin.alias("origin"), *[F.col(f"`{c}`") for c in dest_names])
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")  # noqa: E731  (names may hold dots)
+    return w.select(origin.alias("origin"),
+                    *[F.coalesce(quoted(c), F.lit(0).cast("bigint")).alias(c) for c in dest_names])
 
 
 # ------------------------------------------------------------------ RPT4 destination layer

@@ -135,3 +135,11 @@ def test_heatmap_wide_fill_zero(cube):
     got = {r.origin: {k: v for k, v in r.asDict().items() if k != "origin"} for r in w}
     for reg, row in exp.iterrows():
         assert got[f"Region {reg}"] == {k: int(v) for k, v in row.items()}
+
+
+def test_heatmap_wide_odd_names(spark):
+    rows = [(1, "A", 1, 10, "St. Louis, MO", "c1", 1.0), (2, "B", 1, 11, "a`b", "c1", 2.0),
+            (3, "C", 2, 11, "a`b", "c1", 0.5)]
+    w = {r.origin: r.asDict() for r in R.heatmap_wide(spark.createDataFrame(rows, CUBE_SCHEMA), ["-1"]).collect()}
+    assert w["Region 1"] == {"origin": "Region 1", "St. Louis, MO": 1000, "a`b": 2000}
+    assert w["Region 2"] == {"origin": "Region 2", "St. Louis, MO": 0, "a`b": 500}
