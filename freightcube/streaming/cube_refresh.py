@@ -8,7 +8,8 @@ be kept current by a Structured Streaming query over the shipment (lineitem) fil
 * the batch result is written to ``deltas/epoch=<id>`` with overwrite, so a replayed
   epoch after a failure replaces its own output instead of duplicating it;
 * the current cube is the sum over all epochs, joined with the origin and destination
-  dimensions exactly like the batch cube (``assemble_od_cube``).
+  dimensions exactly like the batch cube (``assemble_od_cube``);
+* ``compact`` folds the epochs into a snapshot so reads stay bounded as epochs pile up.
 
 Progress and the list of processed files live in the streaming checkpoint, which must
 be in the shared checkpoint folder of the cluster.
@@ -16,6 +17,8 @@ be in the shared checkpoint folder of the cluster.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -60,11 +63,83 @@ def start_cube_refresh(spark: SparkSession, base_dir: str, state_dir: str, file_
     return w.start()
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _numbered_dirs(spark: SparkSession, parent: str, prefix: str) -> list[int]:
+    """Numbers n of committed ``parent/prefix<n>`` folders (those with a _SUCCESS marker)."""
+    p, fs = _fs(spark, parent)
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith(prefix) and name[len(prefix):].isdigit():
+            if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out.append(int(name[len(prefix):]))
+    return sorted(out)
+
+
+def _flow_sums(spark: SparkSession, state_dir: str) -> DataFrame | None:
+    """Latest compacted snapshot plus the epochs after it, as (orig_cnty, dest_cnty,
+    commodity_code, tons) rows (not yet summed)."""
+    snaps = _numbered_dirs(spark, f"{state_dir}/base", "upto=")
+    parts = []
+    upto = -1
+    if snaps:
+        upto = snaps[-1]
+        parts.append(spark.read.parquet(f"{state_dir}/base/upto={upto}"))
+    if _numbered_dirs(spark, f"{state_dir}/deltas", "epoch="):
+        d = spark.read.parquet(f"{state_dir}/deltas")
+        parts.append(d.where(F.col("epoch") > F.lit(upto)).drop("epoch"))   # partition pruning
+    if not parts:
+        return None
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def current_cube(spark: SparkSession, base_dir: str, state_dir: str) -> DataFrame:
     """The cube as of the last completed epoch."""
     t = Tables(spark, base_dir)
-    deltas = spark.read.parquet(f"{state_dir}/deltas").drop("epoch")
-    return assemble_od_cube(deltas, star.origin_counties(t), star.dest_counties(t)).select(*CUBE_KEYS, "tons")
+    sums = _flow_sums(spark, state_dir)
+    if sums is None:
+        raise ValueError(f"no refresh output under {state_dir}")
+    return assemble_od_cube(sums, star.origin_counties(t), star.dest_counties(t)).select(*CUBE_KEYS, "tons")
+
+
+def compact(spark: SparkSession, state_dir: str) -> int | None:
+    """Fold the latest snapshot and all committed epochs into a new snapshot
+    ``base/upto=<last epoch>`` (written to a temporary folder, then renamed). Readers keep
+    working throughout; epoch folders are left in place (they are pruned by the epoch
+    filter), so a running stream is never disturbed. Returns the new ``upto`` or None."""
+    epochs = _numbered_dirs(spark, f"{state_dir}/deltas", "epoch=")
+    if not epochs:
+        return None
+    upto = epochs[-1]
+    d = spark.read.parquet(f"{state_dir}/deltas").where(F.col("epoch") <= F.lit(upto)).drop("epoch")
+    snaps = _numbered_dirs(spark, f"{state_dir}/base", "upto=")
+    if snaps:
+        if snaps[-1] >= upto:
+            return snaps[-1]
+        d = spark.read.parquet(f"{state_dir}/base/upto={snaps[-1]}").unionByName(
+            spark.read.parquet(f"{state_dir}/deltas").where(
+                (F.col("epoch") > F.lit(snaps[-1])) & (F.col("epoch") <= F.lit(upto))).drop("epoch"))
+    folded = d.groupBy("orig_cnty", "dest_cnty", "commodity_code").agg(sum_tons())
+    target = f"{state_dir}/base/upto={upto}"
+    tmp = f"{state_dir}/base/.tmp-{upto}-{uuid.uuid4().hex[:8]}"
+    folded.write.mode("errorifexists").parquet(tmp)
+    src, fs = _fs(spark, tmp)
+    dst, _ = _fs(spark, target)
+    if fs.exists(dst):
+        fs.delete(src, True)
+    else:
+        fs.rename(src, dst)
+    return upto
 
 
 def refreshed_cube(spark: SparkSession, base_dir: str, state_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from freightcube.plans.jobs import cube_prep
 from freightcube.sources import star
 from freightcube.sources.dims import lookup
 from freightcube.sources.tables import load_tables
-from freightcube.streaming.cube_refresh import current_cube, start_cube_refresh
+from freightcube.streaming.cube_refresh import compact, current_cube, start_cube_refresh
 
 from conftest import SF_SMALL
 
@@ -30,6 +30,8 @@ def test_stream_folds_new_files_into_the_cube(spark, tmp_path):
     first = current_cube(spark, str(base), str(state))
     assert first.count() > 0
 
+    assert compact(spark, str(state)) == 0                             # snapshot of epoch 0
+    assert rows(current_cube(spark, str(base), str(state))) == rows(first)
     pq.write_table(li.slice(half), base / "lineitem-2.parquet")      # a new file arrives
     q = start_cube_refresh(spark, str(base), str(state))
     q.awaitTermination()
@@ -38,6 +40,8 @@ def test_stream_folds_new_files_into_the_cube(spark, tmp_path):
     q = start_cube_refresh(spark, str(base), str(state))               # nothing new: unchanged
     q.awaitTermination()
     assert rows(current_cube(spark, str(base), str(state))) == rows(star.od_cube(load_tables(spark, SF_SMALL)))
+    assert compact(spark, str(state)) == 1                             # snapshot + epoch 1
+    assert rows(current_cube(spark, str(base), str(state))) == rows(star.od_cube(load_tables(spark, SF_SMALL)))
 
 
 def test_lookup_last_wins(spark):
