@@ -297,14 +297,14 @@ def q_flow_lines_county(spark, sf_dir):
 
 @register("heatmap_long", with_cube(PAIRS_CTE) + """
 SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS origin, dest_cnty_name,
-       SUM(CAST(round_even(tons * 1000, 0) AS BIGINT)) AS tons
+       CAST(SUM(CAST(round_even(tons * 1000, 0) AS BIGINT)) AS BIGINT) AS tons
 FROM pairs GROUP BY orig_reg, dest_cnty_name""")
 def q_heatmap_long(spark, sf_dir):
     return R.heatmap_long(_cube(spark, sf_dir), ["-1"])
 
 
 @register("heatmap_long_counties", with_cube(PAIRS_CTE) + f"""
-SELECT orig_cnty_name AS origin, dest_cnty_name, SUM(CAST(round_even(tons * 1000, 0) AS BIGINT)) AS tons
+SELECT orig_cnty_name AS origin, dest_cnty_name, CAST(SUM(CAST(round_even(tons * 1000, 0) AS BIGINT)) AS BIGINT) AS tons
 FROM pairs WHERE {id_filter('orig_reg', [2, 4])} GROUP BY orig_cnty_name, dest_cnty_name""")
 def q_heatmap_long_counties(spark, sf_dir):
     return R.heatmap_long(_cube(spark, sf_dir), REGION_ONLY)
@@ -703,7 +703,7 @@ def q_load_metrics_value(spark, sf_dir):
 
 @register("heatmap_long_value", _VCUBE_SQL + f"""
 SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS origin, dest_cnty_name,
-       SUM(CAST(round_even({_DT} * CAST(1000 AS DOUBLE), 0) AS BIGINT)) AS tons
+       CAST(SUM(CAST(round_even({_DT} * CAST(1000 AS DOUBLE), 0) AS BIGINT)) AS BIGINT) AS tons
 FROM pairs GROUP BY orig_reg, dest_cnty_name""")
 def q_heatmap_long_value(spark, sf_dir):
     return R.heatmap_long(_vcube(spark, sf_dir), ["-1"])

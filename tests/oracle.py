@@ -45,10 +45,28 @@ def rows_duck(con, sql):
     return cols, sorted((tuple(_norm(r[i]) for i in idx) for r in data), key=repr)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT",
+                 "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
+def type_problems(df, con, sql):
+    """Column types must agree too (e.g. DuckDB's SUM over BIGINT is HUGEINT)."""
+    rel = con.sql(sql)
+    duck_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    out = []
+    for name, st in df.dtypes:
+        dt = duck_types.get(name)
+        want = SPARK_TO_DUCK.get(st, st.upper())
+        if dt is not None and dt != want and not (st.startswith("decimal") and dt.startswith("DECIMAL")):
+            out.append(f"type of {name}: spark={st} duck={dt}")
+    return out
+
+
 def compare(df, con, sql):
     cs, rs = rows_spark(df)
     cd, rd = rows_duck(con, sql)
-    problems = []
+    problems = type_problems(df, con, sql)
     if cs != cd:
         problems.append(f"columns differ: spark={cs} duck={cd}")
     if len(rs) != len(rd):
