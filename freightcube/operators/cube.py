@@ -51,7 +51,11 @@ def assemble_od_cube(flows: DataFrame, origins: DataFrame, dests: DataFrame) ->
 
 
 def od_pairs(cube: DataFrame) -> DataFrame:
-    """AGG2: collapse commodities, sum by the five OD keys."""
+    """AGG2: collapse commodities, sum by the five OD keys. A frame without
+    ``commodity_code`` is already at pair grain (e.g. the stored pair table) and passes
+    through unchanged."""
+    if "commodity_code" not in cube.columns:
+        return cube.select(*PAIR_KEYS, "tons")
     return cube.groupBy(*PAIR_KEYS).agg(sum_tons())
 
 

@@ -48,10 +48,15 @@ _M = SEL_MIXED
 
 
 def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored cube (built once per input version); reports read it."""
+    """The stored 6-key cube (built once per input version): for reports by commodity."""
     return star.stored_od_cube(load_tables(spark, sf_dir))
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored 5-key pair table: for every report that sums over commodities."""
+    return star.stored_od_pairs(load_tables(spark, sf_dir))
+
+
 def _round1(x: str) -> str:
     return f"(round_even(({x}) * 10, 0) / 10)"
 
@@ -72,7 +77,7 @@ FROM pairs WHERE {id_filter('orig_reg', _R)}"""
 
 @register("flow_table", _FLOW_TABLE_SQL)
 def q_flow_table(spark, sf_dir):
-    return R.flow_table(_cube(spark, sf_dir), SEL_REGIONS)
+    return R.flow_table(_pairs(spark, sf_dir), SEL_REGIONS)
 
 
 @register("flow_table_all", with_cube(PAIRS_CTE) + """
@@ -81,7 +86,7 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_
 FROM pairs""")
 def q_flow_table_all(spark, sf_dir):
     """The default selection of the app: every region, origin and destination."""
-    return R.flow_table(_cube(spark, sf_dir), SEL_ALL)
+    return R.flow_table(_pairs(spark, sf_dir), SEL_ALL)
 
 
 @register("flow_table_mixed", with_cube(PAIRS_CTE) + f"""
@@ -90,7 +95,7 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_
 FROM pairs WHERE {id_filter('dest_cnty', _M.dest_ids)} AND {id_filter('orig_reg', _M.region_ids)}
   AND {id_filter('orig_cnty', _M.origin_ids)}""")
 def q_flow_table_mixed(spark, sf_dir):
-    return R.flow_table(_cube(spark, sf_dir), SEL_MIXED)
+    return R.flow_table(_pairs(spark, sf_dir), SEL_MIXED)
 
 
 @register("flow_table_empty", with_cube(PAIRS_CTE) + """
@@ -99,25 +104,25 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_
 FROM pairs WHERE FALSE""")
 def q_flow_table_empty(spark, sf_dir):
     # ['-1', '-1'] is an empty IN-list: no rows
-    return R.flow_table(_cube(spark, sf_dir), Selection.of(regions=["-1", "-1"]))
+    return R.flow_table(_pairs(spark, sf_dir), Selection.of(regions=["-1", "-1"]))
 
 
 @register("selection_region_only", with_cube(PAIRS_CTE) + f"""
 SELECT * FROM pairs WHERE {id_filter('orig_reg', [2, 4])}""")
 def q_selection_region_only(spark, sf_dir):
-    return apply_region_only(C.od_pairs(_cube(spark, sf_dir)), REGION_ONLY)
+    return apply_region_only(C.od_pairs(_pairs(spark, sf_dir)), REGION_ONLY)
 
 
 @register("dest_totals", with_cube() + f"""
 SELECT dest_cnty, dest_cnty_name, {_round1('COALESCE(SUM(tons), 0.0)')} AS tons FROM cube GROUP BY 1, 2""")
 def q_dest_totals(spark, sf_dir):
-    return C.dest_totals(_cube(spark, sf_dir))
+    return C.dest_totals(_pairs(spark, sf_dir))
 
 
 @register("region_totals", with_cube() + f"""
 SELECT orig_reg, {_round1('COALESCE(SUM(tons), 0.0)')} AS tons FROM cube GROUP BY 1""")
 def q_region_totals(spark, sf_dir):
-    return C.region_totals(_cube(spark, sf_dir))
+    return C.region_totals(_pairs(spark, sf_dir))
 
 
 _CLF_BASE_SQL = """f AS (
@@ -189,12 +194,12 @@ SELECT {by}, CAST(trunc(s) AS BIGINT) AS thousand_tons FROM (
 
 @register("top_origins", _top_sql("orig_cnty_name"))
 def q_top_origins(spark, sf_dir):
-    return R.top_n(R.region_filtered_pairs(_cube(spark, sf_dir), REGION_ONLY), "orig_cnty_name", 10)
+    return R.top_n(R.region_filtered_pairs(_pairs(spark, sf_dir), REGION_ONLY), "orig_cnty_name", 10)
 
 
 @register("top_destinations", _top_sql("dest_cnty_name"))
 def q_top_destinations(spark, sf_dir):
-    return R.top_n(R.region_filtered_pairs(_cube(spark, sf_dir), REGION_ONLY), "dest_cnty_name", 10)
+    return R.top_n(R.region_filtered_pairs(_pairs(spark, sf_dir), REGION_ONLY), "dest_cnty_name", 10)
 
 
 def _labels_values_sql() -> str:
@@ -219,7 +224,7 @@ SELECT COUNT(DISTINCT orig_cnty) AS n_origins, COUNT(DISTINCT dest_cnty) AS n_de
        COALESCE(SUM(tons), 0.0) AS total_tons, CAST(ceil(COALESCE(SUM(tons), 0.0) / 1000) AS BIGINT) AS million_tons
 FROM pairs""")
 def q_cube_summary(spark, sf_dir):
-    return R.cube_summary(C.od_pairs(_cube(spark, sf_dir)))
+    return R.cube_summary(C.od_pairs(_pairs(spark, sf_dir)))
 
 
 def _load_sql(where: str) -> str:
@@ -241,12 +246,12 @@ UNION ALL SELECT '#Box Cars (Cap: ~42,000 lbs)', ftl_box, ltl_box, ftl_box + ltl
     f"{id_filter('dest_cnty', _M.dest_ids)} AND {id_filter('orig_reg', _M.region_ids)} AND "
     f"{id_filter('orig_cnty', _M.origin_ids)}"))
 def q_load_metrics(spark, sf_dir):
-    return R.load_metrics(R.filtered_pairs(_cube(spark, sf_dir), SEL_MIXED))
+    return R.load_metrics(R.filtered_pairs(_pairs(spark, sf_dir), SEL_MIXED))
 
 
 @register("load_metrics_empty", _load_sql("FALSE"))
 def q_load_metrics_empty(spark, sf_dir):
-    return R.load_metrics(R.filtered_pairs(_cube(spark, sf_dir), Selection.of(dests=["-1", "-1"])))
+    return R.load_metrics(R.filtered_pairs(_pairs(spark, sf_dir), Selection.of(dests=["-1", "-1"])))
 
 
 def _flow_lines_sql(q: float, where: str, key: str, pts: str) -> str:
@@ -279,7 +284,7 @@ def _supp_pts() -> str:
 
 def _flow_lines(spark, sf_dir, sel):
     t = load_tables(spark, sf_dir)
-    return R.flow_lines(star.stored_od_cube(t), sel, star.region_points(t), star.origin_county_points(t),
+    return R.flow_lines(star.stored_od_pairs(t), sel, star.region_points(t), star.origin_county_points(t),
                         star.dest_points(t), with_geometry=False)
 
 
@@ -300,14 +305,14 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS origin, dest_cnty_name,
        CAST(SUM(CAST(round_even(tons * 1000, 0) AS BIGINT)) AS BIGINT) AS tons
 FROM pairs GROUP BY orig_reg, dest_cnty_name""")
 def q_heatmap_long(spark, sf_dir):
-    return R.heatmap_long(_cube(spark, sf_dir), ["-1"])
+    return R.heatmap_long(_pairs(spark, sf_dir), ["-1"])
 
 
 @register("heatmap_long_counties", with_cube(PAIRS_CTE) + f"""
 SELECT orig_cnty_name AS origin, dest_cnty_name, CAST(SUM(CAST(round_even(tons * 1000, 0) AS BIGINT)) AS BIGINT) AS tons
 FROM pairs WHERE {id_filter('orig_reg', [2, 4])} GROUP BY orig_cnty_name, dest_cnty_name""")
 def q_heatmap_long_counties(spark, sf_dir):
-    return R.heatmap_long(_cube(spark, sf_dir), REGION_ONLY)
+    return R.heatmap_long(_pairs(spark, sf_dir), REGION_ONLY)
 
 
 @register("heatmap_wide", with_cube(PAIRS_CTE) + """
@@ -315,7 +320,7 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS origin, CAST(COALESCE(COLUMNS(*
 FROM (PIVOT (SELECT orig_reg, dest_cnty_name, CAST(round_even(tons * 1000, 0) AS BIGINT) AS tons FROM pairs)
       ON dest_cnty_name USING SUM(tons) GROUP BY orig_reg)""")
 def q_heatmap_wide(spark, sf_dir):
-    return R.heatmap_wide(_cube(spark, sf_dir), ["-1"])
+    return R.heatmap_wide(_pairs(spark, sf_dir), ["-1"])
 
 
 def _class_sql(v: str, br: str) -> str:
@@ -348,7 +353,7 @@ SELECT t.dest_cnty, t.dest_cnty_name, t.filtered_flow, {_class_sql('t.filtered_f
 def q_dest_layer_classes(spark, sf_dir):
     t = load_tables(spark, sf_dir)
     dest_table = t.nation.select(F.col("n_nationkey").alias("dest_cnty"), F.col("n_name").alias("dest_cnty_name"))
-    return R.destination_layer(star.stored_od_cube(t), SEL_MIXED, dest_table)
+    return R.destination_layer(star.stored_od_pairs(t), SEL_MIXED, dest_table)
 
 
 @register("region_classes", with_cube() + f"""
@@ -362,7 +367,7 @@ SELECT t.cluster, t.name, t.transload_flow, {_class_sql('t.transload_flow', 'b.b
 def q_region_classes(spark, sf_dir):
     t = load_tables(spark, sf_dir)
     regions = t.nation.select(F.col("n_nationkey").alias("cluster"), F.col("n_name").alias("name"))
-    return R.region_layer(regions, C.region_totals(star.stored_od_cube(t)))
+    return R.region_layer(regions, C.region_totals(star.stored_od_pairs(t)))
 
 
 @register("region_options", """
@@ -643,7 +648,7 @@ def q_geojson_features(spark, sf_dir):
     """SNK4 + GEO6: the flow lines as GeoJSON Feature strings (rows-only check)."""
     from ..operators.spatial import geojson_feature, line_coordinates
     t = load_tables(spark, sf_dir)
-    lines = R.flow_lines(star.stored_od_cube(t), SEL_ALL, star.region_points(t), star.origin_county_points(t),
+    lines = R.flow_lines(star.stored_od_pairs(t), SEL_ALL, star.region_points(t), star.origin_county_points(t),
                          star.dest_points(t), with_geometry=True)
     return lines.select(geojson_feature("LineString", line_coordinates(F.col("geometry")),
                                         ["orig_id", "dest_cnty", "dest_cnty_name", "tons", "weight", "opacity"])
@@ -669,8 +674,8 @@ def q_od_cube_streamed(spark, sf_dir):
 # kept as exact decimals: exercises truncation, half-even rounding and one-decimal
 # rounding on fractional values. SQL mirrors the decimal -> double conversions.
 
-def _vcube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.stored_od_cube_value(load_tables(spark, sf_dir))
+def _vpairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.stored_od_pairs_value(load_tables(spark, sf_dir))
 
 
 _VALUE_TONS = ("COALESCE(SUM(CAST(CAST(l.l_extendedprice AS DECIMAL(15,2)) * CAST(0.001 AS DECIMAL(4,3)) "
@@ -690,7 +695,7 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_
        CAST(trunc({_DT} * CAST(1000 AS DOUBLE)) AS BIGINT) AS tons
 FROM pairs""")
 def q_flow_table_value(spark, sf_dir):
-    return R.flow_table(_vcube(spark, sf_dir), SEL_ALL)
+    return R.flow_table(_vpairs(spark, sf_dir), SEL_ALL)
 
 
 @register("load_metrics_value", _load_sql("TRUE").replace(
@@ -698,7 +703,7 @@ def q_flow_table_value(spark, sf_dir):
     f"COALESCE(SUM(CAST(round_even({_DT} * CAST(1000 AS DOUBLE), 0) AS BIGINT)), 0)").replace(
     with_cube(PAIRS_CTE), _VCUBE_SQL))
 def q_load_metrics_value(spark, sf_dir):
-    return R.load_metrics(R.filtered_pairs(_vcube(spark, sf_dir), SEL_ALL))
+    return R.load_metrics(R.filtered_pairs(_vpairs(spark, sf_dir), SEL_ALL))
 
 
 @register("heatmap_long_value", _VCUBE_SQL + f"""
@@ -706,21 +711,21 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS origin, dest_cnty_name,
        CAST(SUM(CAST(round_even({_DT} * CAST(1000 AS DOUBLE), 0) AS BIGINT)) AS BIGINT) AS tons
 FROM pairs GROUP BY orig_reg, dest_cnty_name""")
 def q_heatmap_long_value(spark, sf_dir):
-    return R.heatmap_long(_vcube(spark, sf_dir), ["-1"])
+    return R.heatmap_long(_vpairs(spark, sf_dir), ["-1"])
 
 
 @register("top_origins_value", _VCUBE_SQL + """
 SELECT orig_cnty_name, CAST(trunc(s) AS BIGINT) AS thousand_tons FROM (
   SELECT orig_cnty_name, SUM(tons) AS s FROM pairs GROUP BY 1 ORDER BY s DESC, orig_cnty_name ASC LIMIT 10)""")
 def q_top_origins_value(spark, sf_dir):
-    return R.top_n(C.od_pairs(_vcube(spark, sf_dir)), "orig_cnty_name", 10)
+    return R.top_n(C.od_pairs(_vpairs(spark, sf_dir)), "orig_cnty_name", 10)
 
 
 @register("dest_totals_value", _VCUBE_SQL + f"""
 SELECT dest_cnty, dest_cnty_name, {_round1('CAST(COALESCE(SUM(tons), 0) AS DOUBLE)')} AS tons
 FROM cube GROUP BY 1, 2""")
 def q_dest_totals_value(spark, sf_dir):
-    return C.dest_totals(_vcube(spark, sf_dir))
+    return C.dest_totals(_vpairs(spark, sf_dir))
 
 
 @register("cube_summary_value", _VCUBE_SQL + """
@@ -729,7 +734,7 @@ SELECT COUNT(DISTINCT orig_cnty) AS n_origins, COUNT(DISTINCT dest_cnty) AS n_de
        CAST(ceil(CAST(COALESCE(SUM(tons), 0) AS DOUBLE) / 1000) AS BIGINT) AS million_tons
 FROM pairs""")
 def q_cube_summary_value(spark, sf_dir):
-    return R.cube_summary(C.od_pairs(_vcube(spark, sf_dir)))
+    return R.cube_summary(C.od_pairs(_vpairs(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ JN6 with its semi join
@@ -763,7 +768,7 @@ SELECT * FROM (
 WHERE tons >= 5000 AND starts_with(dest_cnty_name, 'NATION_1')""")
 def q_flow_table_grid(spark, sf_dir):
     """FLT8: the flow table as a user filters and sorts its columns in the grid."""
-    ft = R.flow_table(_cube(spark, sf_dir), SEL_ALL)
+    ft = R.flow_table(_pairs(spark, sf_dir), SEL_ALL)
     return ft.where((F.col("tons") >= 5000) & F.col("dest_cnty_name").startswith("NATION_1")) \
         .orderBy(F.col("tons").desc(), "orig_cnty_name", "dest_cnty_name")
 

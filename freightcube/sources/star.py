@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cube import CUBE_KEYS, assemble_od_cube
+from ..operators.cube import CUBE_KEYS, PAIR_KEYS, assemble_od_cube, od_pairs
 from .materialize import materialized
 from .tables import Tables
 
@@ -89,6 +89,20 @@ def stored_od_cube_value(t: Tables) -> DataFrame:
                         version=STORE_VERSION).select(*CUBE_KEYS, "tons")
 
 
+def stored_od_pairs(t: Tables) -> DataFrame:
+    """The cube summed over commodities (5 keys), stored once: the grain most reports read,
+    so an unfiltered report does not re-aggregate the whole cube."""
+    return materialized(t.spark, "od_pairs", [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS],
+                        lambda: od_pairs(stored_od_cube(t)), cluster_by=("orig_reg", "orig_cnty"),
+                        version=STORE_VERSION).select(*PAIR_KEYS, "tons")
+
+
+def stored_od_pairs_value(t: Tables) -> DataFrame:
+    return materialized(t.spark, "od_pairs_value", [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS],
+                        lambda: od_pairs(stored_od_cube_value(t)), cluster_by=("orig_reg", "orig_cnty"),
+                        version=STORE_VERSION).select(*PAIR_KEYS, "tons")
+
+
 # ---------------------------------------------------------------- dimensions
 
 def nation_states(t: Tables) -> DataFrame:
