@@ -56,3 +56,16 @@ def test_cube_prep_writes_totals(spark, tmp_path):
     n_dest = spark.read.parquet(f"{tmp_path}/dest_totals").count()
     assert n_dest == out["od_cube"].select("dest_cnty").distinct().count()
     assert spark.read.parquet(f"{tmp_path}/region_totals").count() > 0
+
+
+def test_stored_pairs_equal_aggregated_cube(spark):
+    from freightcube.operators.cube import PAIR_KEYS, od_pairs
+    t = load_tables(spark, SF_SMALL)
+    stored = star.stored_od_pairs(t)
+    key = lambda df: sorted(tuple(r[c] for c in PAIR_KEYS + ["tons"]) for r in df.collect())
+    assert key(stored) == key(od_pairs(star.od_cube(t)))
+    assert stored.inputFiles() == star.stored_od_pairs(t).inputFiles()   # reused, not rebuilt
+
+
+def test_compact_without_epochs(spark, tmp_path):
+    assert compact(spark, str(tmp_path / "nothing")) is None
