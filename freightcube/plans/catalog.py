@@ -66,6 +66,7 @@ def _round1(x: str) -> str:
 @register("od_cube", with_cube() + "SELECT * FROM cube")
 def q_od_cube(spark, sf_dir):
     # the cube build itself, from the base tables
+    """JN5, JN6, AGG1: the 6-key OD cube built from the base tables."""
     return star.od_cube(load_tables(spark, sf_dir))
 
 
@@ -77,6 +78,7 @@ FROM pairs WHERE {id_filter('orig_reg', _R)}"""
 
 @register("flow_table", _FLOW_TABLE_SQL)
 def q_flow_table(spark, sf_dir):
+    """RPT5, FLT1, PRJ3, PRJ4, PRJ14: flow table for a region selection."""
     return R.flow_table(_pairs(spark, sf_dir), SEL_REGIONS)
 
 
@@ -95,6 +97,7 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_
 FROM pairs WHERE {id_filter('dest_cnty', _M.dest_ids)} AND {id_filter('orig_reg', _M.region_ids)}
   AND {id_filter('orig_cnty', _M.origin_ids)}""")
 def q_flow_table_mixed(spark, sf_dir):
+    """RPT5 with all three selection lists (destinations, regions, origins)."""
     return R.flow_table(_pairs(spark, sf_dir), SEL_MIXED)
 
 
@@ -104,24 +107,28 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_
 FROM pairs WHERE FALSE""")
 def q_flow_table_empty(spark, sf_dir):
     # ['-1', '-1'] is an empty IN-list: no rows
+    """FLT1: ['-1', '-1'] is an empty IN-list, so no rows."""
     return R.flow_table(_pairs(spark, sf_dir), Selection.of(regions=["-1", "-1"]))
 
 
 @register("selection_region_only", with_cube(PAIRS_CTE) + f"""
 SELECT * FROM pairs WHERE {id_filter('orig_reg', [2, 4])}""")
 def q_selection_region_only(spark, sf_dir):
+    """FLT2 + AGG2: the 5-key pairs of the selected regions."""
     return apply_region_only(C.od_pairs(_pairs(spark, sf_dir)), REGION_ONLY)
 
 
 @register("dest_totals", with_cube() + f"""
 SELECT dest_cnty, dest_cnty_name, {_round1('COALESCE(SUM(tons), 0.0)')} AS tons FROM cube GROUP BY 1, 2""")
 def q_dest_totals(spark, sf_dir):
+    """AGG3 + PRJ6: thousand tons by destination, one decimal."""
     return C.dest_totals(_pairs(spark, sf_dir))
 
 
 @register("region_totals", with_cube() + f"""
 SELECT orig_reg, {_round1('COALESCE(SUM(tons), 0.0)')} AS tons FROM cube GROUP BY 1""")
 def q_region_totals(spark, sf_dir):
+    """AGG4 + PRJ6: thousand tons by origin region, one decimal."""
     return C.region_totals(_pairs(spark, sf_dir))
 
 
@@ -164,6 +171,7 @@ def _county_flow_totals(spark, sf_dir):
 @register("county_flow_totals", "WITH " + _CLF_SQL + """
 SELECT geoid, name, state_name, inter, inbound, outbound, inter + inbound + outbound AS total FROM cft""")
 def q_county_flow_totals(spark, sf_dir):
+    """JN1, FLT3, AGG5, PRJ1: Southeast county totals for one mode and three commodities."""
     return _county_flow_totals(spark, sf_dir)
 
 
@@ -177,6 +185,7 @@ def _mt_sql(x: str) -> str:
 SELECT geoid, {_mt_sql('inbound')} AS inbound_label, {_mt_sql('outbound')} AS outbound_label,
        {_mt_sql('inter')} AS within_label, {_mt_sql('inter + inbound + outbound')} AS total_label FROM cft""")
 def q_million_ton_labels(spark, sf_dir):
+    """PRJ13: million-ton labels of the county totals."""
     t = _county_flow_totals(spark, sf_dir)
     return t.select("geoid", million_ton_label("inbound").alias("inbound_label"),
                     million_ton_label("outbound").alias("outbound_label"),
@@ -194,11 +203,13 @@ SELECT {by}, CAST(trunc(s) AS BIGINT) AS thousand_tons FROM (
 
 @register("top_origins", _top_sql("orig_cnty_name"))
 def q_top_origins(spark, sf_dir):
+    """SRT1 + PRJ7: ten largest origin counties of the selected regions."""
     return R.top_n(R.region_filtered_pairs(_pairs(spark, sf_dir), REGION_ONLY), "orig_cnty_name", 10)
 
 
 @register("top_destinations", _top_sql("dest_cnty_name"))
 def q_top_destinations(spark, sf_dir):
+    """SRT1 + PRJ7: ten largest destination counties of the selected regions."""
     return R.top_n(R.region_filtered_pairs(_pairs(spark, sf_dir), REGION_ONLY), "dest_cnty_name", 10)
 
 
@@ -216,6 +227,7 @@ SELECT g.commodity_code, g.tons, {_round1('g.tons / NULLIF((SELECT SUM(tons) FRO
        labels.commodity_name
 FROM g LEFT JOIN labels ON g.commodity_code = labels.commodity_code""")
 def q_commodity_share(spark, sf_dir):
+    """AGG9, SRT2, PRJ9: commodity shares in percent with labels."""
     return R.commodity_share(_cube(spark, sf_dir), SEL_MIXED, commodity_names(spark))
 
 
@@ -224,6 +236,7 @@ SELECT COUNT(DISTINCT orig_cnty) AS n_origins, COUNT(DISTINCT dest_cnty) AS n_de
        COALESCE(SUM(tons), 0.0) AS total_tons, CAST(ceil(COALESCE(SUM(tons), 0.0) / 1000) AS BIGINT) AS million_tons
 FROM pairs""")
 def q_cube_summary(spark, sf_dir):
+    """AGG8 / RPT6: origins, destinations and totals of the whole cube."""
     return R.cube_summary(C.od_pairs(_pairs(spark, sf_dir)))
 
 
@@ -246,11 +259,13 @@ UNION ALL SELECT '#Box Cars (Cap: ~42,000 lbs)', ftl_box, ltl_box, ftl_box + ltl
     f"{id_filter('dest_cnty', _M.dest_ids)} AND {id_filter('orig_reg', _M.region_ids)} AND "
     f"{id_filter('orig_cnty', _M.origin_ids)}"))
 def q_load_metrics(spark, sf_dir):
+    """RPT1: tonnage, trucks and boxcars for a selection."""
     return R.load_metrics(R.filtered_pairs(_pairs(spark, sf_dir), SEL_MIXED))
 
 
 @register("load_metrics_empty", _load_sql("FALSE"))
 def q_load_metrics_empty(spark, sf_dir):
+    """RPT1 on an empty selection: all zeros."""
     return R.load_metrics(R.filtered_pairs(_pairs(spark, sf_dir), Selection.of(dests=["-1", "-1"])))
 
 
@@ -290,6 +305,7 @@ def _flow_lines(spark, sf_dir, sel):
 
 @register("flow_lines", _flow_lines_sql(0.99, "TRUE", "orig_reg", _REGION_PTS))
 def q_flow_lines(spark, sf_dir):
+    """RPT2 at region grain (quantile 0.99)."""
     return _flow_lines(spark, sf_dir, SEL_ALL)
 
 
@@ -297,6 +313,7 @@ def q_flow_lines(spark, sf_dir):
     0.7, f"{id_filter('dest_cnty', _M.dest_ids)} AND {id_filter('orig_reg', _M.region_ids)} AND "
     f"{id_filter('orig_cnty', _M.origin_ids)}", "orig_cnty", _supp_pts()))
 def q_flow_lines_county(spark, sf_dir):
+    """RPT2 at county grain (quantile 0.7)."""
     return _flow_lines(spark, sf_dir, SEL_MIXED)
 
 
@@ -305,6 +322,7 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS origin, dest_cnty_name,
        CAST(SUM(CAST(round_even(tons * 1000, 0) AS BIGINT)) AS BIGINT) AS tons
 FROM pairs GROUP BY orig_reg, dest_cnty_name""")
 def q_heatmap_long(spark, sf_dir):
+    """RPT3 long form at region grain."""
     return R.heatmap_long(_pairs(spark, sf_dir), ["-1"])
 
 
@@ -312,6 +330,7 @@ def q_heatmap_long(spark, sf_dir):
 SELECT orig_cnty_name AS origin, dest_cnty_name, CAST(SUM(CAST(round_even(tons * 1000, 0) AS BIGINT)) AS BIGINT) AS tons
 FROM pairs WHERE {id_filter('orig_reg', [2, 4])} GROUP BY orig_cnty_name, dest_cnty_name""")
 def q_heatmap_long_counties(spark, sf_dir):
+    """RPT3 long form at county-name grain (regions selected)."""
     return R.heatmap_long(_pairs(spark, sf_dir), REGION_ONLY)
 
 
@@ -320,6 +339,7 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS origin, CAST(COALESCE(COLUMNS(*
 FROM (PIVOT (SELECT orig_reg, dest_cnty_name, CAST(round_even(tons * 1000, 0) AS BIGINT) AS tons FROM pairs)
       ON dest_cnty_name USING SUM(tons) GROUP BY orig_reg)""")
 def q_heatmap_wide(spark, sf_dir):
+    """AGG7 / RPT3 matrix: pivot with 0 fill."""
     return R.heatmap_wide(_pairs(spark, sf_dir), ["-1"])
 
 
@@ -351,6 +371,7 @@ b AS (SELECT CASE WHEN rows = 0 THEN NULL WHEN floor(mx) = 0 THEN [CAST(0 AS BIG
                               [CAST(ceil(mx) AS BIGINT)]) END AS br FROM a)
 SELECT t.dest_cnty, t.dest_cnty_name, t.filtered_flow, {_class_sql('t.filtered_flow', 'b.br')} FROM t, b""")
 def q_dest_layer_classes(spark, sf_dir):
+    """RPT4 + CLS1/3/4: destination layer with class breaks and classes."""
     t = load_tables(spark, sf_dir)
     dest_table = t.nation.select(F.col("n_nationkey").alias("dest_cnty"), F.col("n_name").alias("dest_cnty_name"))
     return R.destination_layer(star.stored_od_pairs(t), SEL_MIXED, dest_table)
@@ -365,6 +386,7 @@ b AS (SELECT CASE WHEN mn IS NULL OR mn <= 0 OR mxf <= 0 THEN NULL
              ELSE list_concat({_geom_sql('mn', 'mxf', '5')}, [CAST(mxf AS BIGINT)]) END AS br FROM a)
 SELECT t.cluster, t.name, t.transload_flow, {_class_sql('t.transload_flow', 'b.br')} FROM t, b""")
 def q_region_classes(spark, sf_dir):
+    """CLS2/3/4: region layer classes."""
     t = load_tables(spark, sf_dir)
     regions = t.nation.select(F.col("n_nationkey").alias("cluster"), F.col("n_name").alias("name"))
     return R.region_layer(regions, C.region_totals(star.stored_od_pairs(t)))
@@ -376,6 +398,7 @@ UNION ALL
 SELECT DISTINCT 1, CAST(s_nationkey AS BIGINT), 'Region ' || CAST(s_nationkey AS VARCHAR), CAST(s_nationkey AS VARCHAR)
 FROM supplier""")
 def q_region_options(spark, sf_dir):
+    """RPT7: the region menu."""
     t = load_tables(spark, sf_dir)
     return R.region_options(star.origin_counties(t))
 
@@ -388,6 +411,7 @@ SELECT DISTINCT 1, CAST(s.s_nationkey AS BIGINT), 'Region ' || CAST(s.s_nationke
        s.s_name || ', ' || n.n_name, CAST(s.s_suppkey AS VARCHAR)
 FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE s.s_nationkey IN (1, 6)""")
 def q_county_options(spark, sf_dir):
+    """RPT7 + AGG12: the county menu cascaded from a region list (long form)."""
     t = load_tables(spark, sf_dir)
     c = star.origin_counties(t).join(
         F.broadcast(t.nation.select(F.col("n_nationkey").alias("orig_reg"), F.col("n_name").alias("state_name"))),
@@ -405,6 +429,7 @@ SELECT c.c_custkey AS geoid, c.c_name AS name, n.n_name AS state_name
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 WHERE c.c_custkey IN (SELECT o_custkey FROM orders WHERE {_URGENT})""")
 def q_semi(spark, sf_dir):
+    """JN2: counties having an urgent order (left semi join)."""
     t = load_tables(spark, sf_dir)
     urgent = t.orders.where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("c_custkey"))
     n = F.broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("state_name")))
@@ -417,6 +442,7 @@ SELECT c.c_custkey AS geoid, c.c_name AS name, n.n_name AS state_name
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND {_URGENT})""")
 def q_anti(spark, sf_dir):
+    """JN3: counties without an urgent order (left anti join)."""
     t = load_tables(spark, sf_dir)
     urgent = t.orders.where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("c_custkey"))
     n = F.broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("state_name")))
@@ -430,6 +456,7 @@ SELECT cube.*, COALESCE(NULLIF(orig_cnty_name, ''), 'Region ' || CAST(orig_reg A
 FROM cube JOIN nation n ON cube.dest_cnty = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 LEFT JOIN labels ON cube.commodity_code = labels.commodity_code""")
 def q_lookup_labels(spark, sf_dir):
+    """JN4, PRJ2, PRJ9, PRJ15: labels looked up onto the cube."""
     t = load_tables(spark, sf_dir)
     cube = star.stored_od_cube(t)
     states = t.nation.join(F.broadcast(t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name")),
@@ -451,6 +478,7 @@ def q_distinct_states(spark, sf_dir):
 
 @register("distinct_commodities", "SELECT DISTINCT p_type AS commodity_code FROM part")
 def q_distinct_commodities(spark, sf_dir):
+    """SET1 / SET2: distinct commodity codes."""
     return load_tables(spark, sf_dir).part.select(F.col("p_type").alias("commodity_code")) \
         .dropDuplicates(["commodity_code"])
 
@@ -458,6 +486,7 @@ def q_distinct_commodities(spark, sf_dir):
 @register("selected_shapes", """
 SELECT 'county' AS kind, c_custkey AS id, c_name AS label FROM customer WHERE c_custkey IN (5, 17, 300)""")
 def q_selected_shapes(spark, sf_dir):
+    """FLT7: a county selection wins over the region list."""
     t = load_tables(spark, sf_dir)
     counties = t.customer.select(F.lit("county").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("label"))
     regions = t.nation.select(F.lit("region").alias("kind"), F.col("n_nationkey").cast("bigint").alias("id"),
@@ -497,6 +526,7 @@ SELECT terminal_id, name, state, provider, lon AS "Longitude", lat AS "Latitude"
        CASE WHEN state = 'NATION_1' THEN 'Origin' ELSE 'Destination' END AS role
 FROM terminals WHERE provider IN ('RR1', 'RR2', 'RR3', 'RR4', 'RR5')""")
 def q_terminal_role(spark, sf_dir):
+    """PRJ8, PRJ10, PRJ11, FLT4: terminal roles for a set of providers."""
     tp = star.terminal_points(load_tables(spark, sf_dir))
     return (tp.where(F.col("provider").isin(["RR1", "RR2", "RR3", "RR4", "RR5"]))
             .withColumnsRenamed({"lon": "Longitude", "lat": "Latitude"})
@@ -506,6 +536,7 @@ def q_terminal_role(spark, sf_dir):
 @register("terminal_name_filter", f"""WITH {_terminals_sql()}
 SELECT terminal_id, name, state, lon, lat FROM terminals WHERE contains(name, '00000001') AND state <> 'NATION_0'""")
 def q_terminal_name_filter(spark, sf_dir):
+    """FLT5 + FLT4: terminals by a name substring and a state."""
     tp = star.terminal_points(load_tables(spark, sf_dir))
     return tp.where(F.col("name").contains("00000001") & (F.col("state") != "NATION_0")) \
         .select("terminal_id", "name", "state", "lon", "lat")
@@ -535,11 +566,13 @@ def _radius_sql(miles: float, where: str = "TRUE") -> str:
 
 @register("radius_pairs", _radius_sql(RADIUS_MILES))
 def q_radius_pairs(spark, sf_dir):
+    """JN7 + GEO2: (terminal, county) pairs within 50 miles."""
     return _radius_pairs(spark, sf_dir)
 
 
 @register("radius_counties", f"SELECT DISTINCT geoid FROM ({_radius_sql(RADIUS_MILES)})")
 def q_radius_counties(spark, sf_dir):
+    """JN7 + SET3: counties within 50 miles of any terminal."""
     from ..operators.spatial import distinct_members
     return distinct_members(_radius_pairs(spark, sf_dir), "geoid")
 
@@ -599,11 +632,13 @@ def _rail_pairs(spark, sf_dir):
 
 @register("rail_buffer_pairs", _rail_sql() + "SELECT DISTINCT feature_id, owner, geoid FROM pairs")
 def q_rail_buffer_pairs(spark, sf_dir):
+    """JN8 + GEO3: (rail feature, county) pairs within the buffer."""
     return _rail_pairs(spark, sf_dir)
 
 
 @register("rail_buffer_counties", _rail_sql() + "SELECT DISTINCT owner, geoid FROM pairs")
 def q_rail_buffer_counties(spark, sf_dir):
+    """JN8 + SET3: (railroad owner, county) pairs."""
     return _rail_pairs(spark, sf_dir).select("owner", "geoid").distinct()
 
 
@@ -614,6 +649,7 @@ def _r6(x: str) -> str:
 @register("polygon_centroids", f"""
 SELECT c_custkey AS geoid, {_r6(cust_lon('c_custkey'))} AS cx, {_r6(cust_lat('c_custkey'))} AS cy FROM customer""")
 def q_polygon_centroids(spark, sf_dir):
+    """GEO1: county polygon centroids (rounded to 6 decimals)."""
     from ..operators.spatial import polygon_centroid
     sq = star.county_squares(load_tables(spark, sf_dir))
     c = sq.select("geoid", polygon_centroid(F.col("geometry")).alias("c"))
@@ -687,6 +723,7 @@ _DT = "CAST(tons AS DOUBLE)"
 @register("od_cube_value", _VCUBE_SQL + f"""
 SELECT orig_cnty, orig_cnty_name, orig_reg, dest_cnty, dest_cnty_name, commodity_code, {_DT} AS tons FROM cube""")
 def q_od_cube_value(spark, sf_dir):
+    """The cube with fractional (exact decimal) tonnage."""
     return star.od_cube(load_tables(spark, sf_dir), star.value_tons()).withColumn("tons", F.col("tons").cast("double"))
 
 
@@ -695,6 +732,7 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_
        CAST(trunc({_DT} * CAST(1000 AS DOUBLE)) AS BIGINT) AS tons
 FROM pairs""")
 def q_flow_table_value(spark, sf_dir):
+    """PRJ4 truncation on fractional tonnage."""
     return R.flow_table(_vpairs(spark, sf_dir), SEL_ALL)
 
 
@@ -703,6 +741,7 @@ def q_flow_table_value(spark, sf_dir):
     f"COALESCE(SUM(CAST(round_even({_DT} * CAST(1000 AS DOUBLE), 0) AS BIGINT)), 0)").replace(
     with_cube(PAIRS_CTE), _VCUBE_SQL))
 def q_load_metrics_value(spark, sf_dir):
+    """PRJ5 half-even rounding per row on fractional tonnage."""
     return R.load_metrics(R.filtered_pairs(_vpairs(spark, sf_dir), SEL_ALL))
 
 
@@ -711,6 +750,7 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS origin, dest_cnty_name,
        CAST(SUM(CAST(round_even({_DT} * CAST(1000 AS DOUBLE), 0) AS BIGINT)) AS BIGINT) AS tons
 FROM pairs GROUP BY orig_reg, dest_cnty_name""")
 def q_heatmap_long_value(spark, sf_dir):
+    """PRJ5 per-row rounding before the sum on fractional tonnage."""
     return R.heatmap_long(_vpairs(spark, sf_dir), ["-1"])
 
 
@@ -718,6 +758,7 @@ def q_heatmap_long_value(spark, sf_dir):
 SELECT orig_cnty_name, CAST(trunc(s) AS BIGINT) AS thousand_tons FROM (
   SELECT orig_cnty_name, SUM(tons) AS s FROM pairs GROUP BY 1 ORDER BY s DESC, orig_cnty_name ASC LIMIT 10)""")
 def q_top_origins_value(spark, sf_dir):
+    """PRJ7 truncation after the sum on fractional tonnage."""
     return R.top_n(C.od_pairs(_vpairs(spark, sf_dir)), "orig_cnty_name", 10)
 
 
@@ -725,6 +766,7 @@ def q_top_origins_value(spark, sf_dir):
 SELECT dest_cnty, dest_cnty_name, {_round1('CAST(COALESCE(SUM(tons), 0) AS DOUBLE)')} AS tons
 FROM cube GROUP BY 1, 2""")
 def q_dest_totals_value(spark, sf_dir):
+    """PRJ6 one-decimal rounding on fractional tonnage."""
     return C.dest_totals(_vpairs(spark, sf_dir))
 
 
@@ -734,6 +776,7 @@ SELECT COUNT(DISTINCT orig_cnty) AS n_origins, COUNT(DISTINCT dest_cnty) AS n_de
        CAST(ceil(CAST(COALESCE(SUM(tons), 0) AS DOUBLE) / 1000) AS BIGINT) AS million_tons
 FROM pairs""")
 def q_cube_summary_value(spark, sf_dir):
+    """AGG8 on fractional tonnage."""
     return R.cube_summary(C.od_pairs(_vpairs(spark, sf_dir)))
 
 
@@ -791,6 +834,7 @@ def _southeast_counties(t):
 
 @register("southeast_counties", f"WITH {_SE_SQL} SELECT * FROM se")
 def q_southeast_counties(spark, sf_dir):
+    """JN1 + FLT3: counties of the Southeast."""
     return _southeast_counties(load_tables(spark, sf_dir))
 
 
