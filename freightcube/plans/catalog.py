@@ -868,3 +868,10 @@ def q_transload_county_flows(spark, sf_dir):
         F.sum("inter").alias("inter"), F.sum("inbound").alias("inbound"), F.sum("outbound").alias("outbound"))
     return cs.join(dests, "geoid", "left_semi") \
         .withColumn("total", F.col("inter") + F.col("inbound") + F.col("outbound"))
+
+
+@register("flow_lines_regions", _flow_lines_sql(0.7, id_filter("orig_reg", SEL_REGIONS.region_ids), "orig_reg",
+                                                _REGION_PTS))
+def q_flow_lines_regions(spark, sf_dir):
+    """RPT2 with regions selected but no county: quantile 0.7 at region grain."""
+    return _flow_lines(spark, sf_dir, SEL_REGIONS)
