@@ -875,3 +875,13 @@ def q_transload_county_flows(spark, sf_dir):
 def q_flow_lines_regions(spark, sf_dir):
     """RPT2 with regions selected but no county: quantile 0.7 at region grain."""
     return _flow_lines(spark, sf_dir, SEL_REGIONS)
+
+
+@register("heatmap_wide_counties", with_cube(PAIRS_CTE) + f"""
+SELECT orig_cnty_name AS origin, CAST(COALESCE(COLUMNS(* EXCLUDE (orig_cnty_name)), 0) AS BIGINT)
+FROM (PIVOT (SELECT orig_cnty_name, dest_cnty_name, CAST(round_even(tons * 1000, 0) AS BIGINT) AS tons
+             FROM pairs WHERE {id_filter('orig_reg', [2, 4])})
+      ON dest_cnty_name USING SUM(tons) GROUP BY orig_cnty_name)""")
+def q_heatmap_wide_counties(spark, sf_dir):
+    """AGG7 / RPT3 matrix at county-name grain (regions selected)."""
+    return R.heatmap_wide(_pairs(spark, sf_dir), REGION_ONLY)
