@@ -4,12 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .bpe import decode_documents, encode_documents
+from .chat import format_conversations, read_back
+from .common import read_table, scratch
+from .fingerprints import fingerprint_documents
 from .mixing import mix_sources
 from .sharding import shard_by_bytes
+from .simhash import print_hex, simhash_components
+from .token_counts import count_tokens
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+#: The first id that the ranks of BYTE_BPE leave free.
+FREE_ID = 50256
+TOKEN_LIMIT = 4096
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return found.select("doc_id", print_hex().alias("fingerprint"), "component_id")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +39,26 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+    return decode_documents(encoded, BYTE_BPE).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache of this query is new, so every distinct text is encoded."""
+    counted = count_tokens(read_table(spark, sf_dir, "documents"), PIECE_BPE, scratch(spark, "token-cache"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    formatted = format_conversations(turns.unionByName(planted), BYTE_BPE, public_tokenizers.PATTERN, FREE_ID)
+    return read_back(formatted, BYTE_BPE, FREE_ID)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read_table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_epochs=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -58,9 +99,31 @@ SELECT doc_id, size, source_size, target,
 FROM cuts
 """
 
+_OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+measured AS (
+  SELECT *, 16 + length(role) + length(text)
+         + len(regexp_extract_all(role, '[<\[]\\*/?(s>|INST\])')) + len(regexp_extract_all(text, '[<\[]\\*/?(s>|INST\])')) AS chars
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) + 4 AS BIGINT) AS formatted_chars
+FROM measured GROUP BY conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_fingerprints": op3_fingerprints,
+    "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_token_counts": op8_token_counts,
+    "op9_chat_format": op9_chat_format,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_mixing": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_chat_format": _OP9_SQL, "op10_mixing": _OP10_SQL}
