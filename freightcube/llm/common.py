@@ -63,6 +63,40 @@ def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends
 
 
+class Sums:
+    """Hashes of substrings from prefix sums of byte values times powers of an odd number, modulo 2**64."""
+
+    STEP = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        """Have powers and inverse powers up to ``n``; those already there are kept."""
+        if len(self.powers) < n:
+            size = max(n, 2 * len(self.powers), 1 << 17)
+            self.powers, self.inverses = (np.cumprod(np.array([1] + [x] * (size - 1), np.uint64))
+                                          for x in (self.STEP, pow(self.STEP, -1, 1 << 64)))
+
+    def of(self, data: np.ndarray) -> np.ndarray:
+        """n + 1 prefix sums of n bytes."""
+        n = len(data)
+        self.grow(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:n], out=sums[1:])
+        return sums
+
+    def between(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((sums[ends] - sums[starts]) * self.inverses[starts])
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads low entropy over all bits."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Rows sorted by ``key`` (not null) in tables that never end inside a group."""
     kept: list[pa.RecordBatch] = []

@@ -17,7 +17,6 @@ an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -27,37 +26,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship_by_value, text_or_empty
+from .common import Sums, saved, ship_by_value, text_or_empty
 
 WINDOW, MAX_CHUNKS, MIN_BITS = 7, 64, 2
-_STEP = 0x9E3779B97F4A7C15
 _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
-class Hasher:
-    """Fingerprints of byte strings; keeps the powers it has needed."""
-
-    def __init__(self):
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = max(n, 2 * len(self.powers), 1 << 17)
-            inverse = pow(_STEP, -1, 1 << 64)
-            self.powers, self.inverses = (np.cumprod(np.array([1] + [x] * (size - 1), np.uint64)) for x in (_STEP, inverse))
+class Hasher(Sums):
+    """Fingerprints of byte strings."""
 
     def signature(self, sums: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """One 12-bit hash per chunk; ``sums`` are prefix sums of byte values times powers."""
-        starts = np.concatenate(([0], ends[:-1]))
-        h = (sums[ends] - sums[starts]) * self.inverses[starts]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (h >> np.uint64(52)).astype(np.int16)
+        """One 12-bit hash per chunk."""
+        return (self.between(sums, np.concatenate(([0], ends[:-1])), ends) >> np.uint64(52)).astype(np.int16)
 
     def fingerprint(self, data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
         n = len(data)
         if not n:
             return MIN_BITS, np.empty(0, np.int16), np.empty(0, np.int16)
-        self._grow(n + 1)
         b = np.frombuffer(data, np.uint8)
         wide = b.astype(np.uint32) + np.uint32(1)
         rolling = np.zeros(n, np.uint32)
@@ -75,8 +60,7 @@ class Hasher:
         bits = MIN_BITS
         while reaching[bits] + 1 > MAX_CHUNKS:
             bits += 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(wide.astype(np.uint64) * self.powers[:n], out=sums[1:])
+        sums = self.of(b)
         return (bits, *(self.signature(sums, np.append(ends[zeros >= at], n)) for at in (bits, bits + 1)))
 
 

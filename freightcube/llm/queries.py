@@ -15,6 +15,7 @@ from .fingerprints import fingerprint_documents
 from .mixing import mix_sources
 from .sharding import shard_by_bytes
 from .simhash import print_hex, simhash_components
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -28,6 +29,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=200)
+    return cut.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", print_hex().alias("fingerprint"), "component_id")
@@ -118,6 +125,7 @@ FROM measured GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_byte_bpe": op7_byte_bpe,
