@@ -17,6 +17,7 @@ from .sharding import shard_by_bytes
 from .simhash import print_hex, simhash_components
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
+from .topk_search import top_k
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +26,11 @@ FREE_ID = 50256
 TOKEN_LIMIT = 4096
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
@@ -106,6 +112,18 @@ SELECT doc_id, size, source_size, target,
 FROM cuts
 """
 
+_OP1_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rnk FROM scored)
+SELECT query_id, CAST(rnk AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rnk <= 10
+"""
+
 _OP9_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -124,6 +142,7 @@ FROM measured GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
     "op3_fingerprints": op3_fingerprints,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
@@ -134,4 +153,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_chat_format": _OP9_SQL, "op10_mixing": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": _OP1_SQL, "op9_chat_format": _OP9_SQL, "op10_mixing": _OP10_SQL}
