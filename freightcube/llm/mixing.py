@@ -65,16 +65,18 @@ def water_fill(sources: DataFrame, weights: Sequence[int], max_epochs: int,
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3,
                 total: float | None = None, id_column: str = "doc_id", text_column: str = "text",
                 source_column: str = "source", size: Column | None = None,
-                range_digits: int = 3) -> DataFrame:
+                range_digits: int = 3, extra: dict[str, Column] | None = None) -> DataFrame:
     """How many words the mix takes of every document.
 
-    Returns doc_id, source, size, source_size, target, taken, and the document's key
-    (``md5`` of its id), which orders the documents of a source.
+    Returns doc_id, source, size, source_size, target, taken, the document's key (``md5`` of its id), which orders the
+    documents of a source, and the columns of ``extra``.
     """
+    extra = extra or {}
     sized = saved(
         docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"),
                     (word_count(text_column) if size is None else size).alias("size"),
-                    F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")).alias("key")),
+                    F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")).alias("key"),
+                    *[c.alias(n) for n, c in extra.items()]),
         "mix-sizes")
     # Null sources join like any other value through a name and a flag.
     keyed = (sized.withColumn("name", F.coalesce("source", F.lit("")))
@@ -98,4 +100,4 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs:
     rest = budget - epochs * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least("size", rest - (F.col("offset") + F.col("ahead"))))
     return lined.select("doc_id", "source", "size", "source_size", "target",
-                        (epochs * F.col("size") + cut).cast("long").alias("taken"), "key")
+                        (epochs * F.col("size") + cut).cast("long").alias("taken"), "key", *extra)

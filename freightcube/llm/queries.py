@@ -13,6 +13,7 @@ from .chat import format_conversations, read_back
 from .common import read_table, scratch
 from .fingerprints import fingerprint_documents
 from .mixing import mix_sources
+from .quality import classify_quality
 from .sharding import shard_by_bytes
 from .simhash import print_hex, simhash_components
 from .suffix_dedup import remove_repeats
@@ -31,6 +32,11 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = classify_quality(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("row.doc_id", "score", "keep")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
@@ -143,6 +149,7 @@ FROM measured GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,

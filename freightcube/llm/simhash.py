@@ -67,15 +67,15 @@ def _fingerprints(shingle: int):
             raw = memoryview(raw)
             prints = np.fromiter((fingerprint(bytes(raw[a:b]), shingle) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())),
                                  np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(prints.view(np.int64))], ["doc_id", "text_key", "print"])
 
     return apply
 
 
 def simhash(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and the fingerprint, ``print`` (the 64 bits as a signed long), of every document."""
-    ids = F.col(id_column).cast("long").alias("doc_id")
-    return docs.select(ids, text_or_empty(text_column).alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, print long")
+    """doc_id, the hash of the text, and the fingerprint ``print`` (the 64 bits as a signed long) of every document."""
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
+    return texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_fingerprints(shingle), "doc_id long, text_key long, print long")
 
 
 def popcounts(prints: np.ndarray) -> np.ndarray:
@@ -161,14 +161,15 @@ def _links(max_bits: int):
 
 
 def fingerprint_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
-    """(print, component_id) for every distinct fingerprint of (doc_id, print) rows: the smallest doc_id reachable."""
+    """print, root, component_id of every distinct fingerprint of (doc_id, print) rows: ``root`` names the component,
+    component_id is the smallest doc_id in it."""
     distinct = saved(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "prints")
     cells = distinct.select("print").mapInArrow(_cell_keys(max_bits), "cell long, print long")
     links = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(max_bits), "a long, b long")
     roots = connected_components(links).withColumnRenamed("node", "print")
     rooted = distinct.join(roots, "print", "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(least, "root").select("print", "component_id")
+    return rooted.join(least, "root").select("print", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_column: str = "doc_id",
@@ -178,6 +179,22 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_
     return prints.join(fingerprint_components(prints, max_bits), "print").select("doc_id", "print", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_column: str = "doc_id",
+                text_column: str = "text") -> DataFrame:
+    """The documents that stay when each component keeps one: that of the smallest id, and of equal ids the text of the
+    smallest hash. All columns stay; of rows repeated in full one stays."""
+    prints = saved(simhash(docs, shingle, id_column, text_column), "simhash")
+    rooted = prints.join(fingerprint_components(prints, max_bits), "print")
+    # Null ids come last, so they stay only where a component has no other.
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"))
+    stay = least.select(F.coalesce("least.doc_id", F.lit(0)).alias("own_id"), "least.none", F.col("least.text_key").alias("text_key"))
+    own_id = F.col(id_column).cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(own_id, F.lit(0)).alias("own_id"), own_id.isNull().alias("none"),
+                       F.xxhash64(text_or_empty(text_column)).alias("text_key"))
+    keys = ["own_id", "none", "text_key"]
+    return rows.join(stay, keys, "left_semi").dropDuplicates(keys).select("row.*")
+
+
 def print_hex(column: str = "print") -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 

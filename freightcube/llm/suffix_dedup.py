@@ -194,7 +194,16 @@ def _string_rows(threshold: int):
     return apply
 
 
-def _cut(text_column: str):
+def _whole_characters(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans shrunk to the code points (up to four bytes) that they cover whole."""
+    inner = np.append((data & 0xC0) == 0x80, False)  # bytes that continue a code point
+    for _ in range(3):
+        begin = begin + (inner[begin] & (begin < stop))
+        stop = stop - (inner[stop] & (begin < stop))
+    return begin[begin < stop], stop[begin < stop]
+
+
+def _cut(text_column: str, whole_characters: bool):
     names = ["row", "n_bytes", "n_removed", "spans", "kept"]
     span_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
@@ -218,6 +227,8 @@ def _cut(text_column: str):
                 begin, reach = np.maximum(begins[at:to][order], 0), np.maximum.accumulate(np.minimum(stops[at:to][order], len(data)))
                 opens = np.concatenate(([True], begin[1:] > reach[:-1]))
                 begin, stop = begin[opens], reach[np.append(np.flatnonzero(opens)[1:] - 1, len(reach) - 1)]
+                if whole_characters:
+                    begin, stop = _whole_characters(data, begin, stop)
                 kept.append(b"".join(data[a:b].tobytes() for a, b in zip(np.concatenate(([0], stop)), np.append(begin, len(data)))))
                 spans.append([{"begin": int(a), "end": int(b)} for a, b in zip(begin, stop)])
                 removed.append(int((stop - begin).sum()))
@@ -234,9 +245,9 @@ def _keys(docs: DataFrame, id_column: str, text_column: str) -> tuple[Column, Co
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 200, id_column: str = "doc_id", text_column: str = "text",
-                   hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+                   hot_contexts: int = HOT_CONTEXTS, whole_characters: bool = False) -> DataFrame:
     """Every document as ``row`` (its columns), n_bytes, n_removed, spans (maximal removed runs of bytes) and kept (the
-    remaining bytes)."""
+    remaining bytes). ``whole_characters``: code points of which a run covers a part stay, so kept is UTF-8."""
     if threshold < 2 * DIGIT:
         raise ValueError(f"the threshold must be {2 * DIGIT} bytes or more")
     pad = threshold - DIGIT
@@ -277,7 +288,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 200, id_column: str = "doc_
     spans = alike.union(ends).groupBy("own_id", "text_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     row_type = docs.select(F.struct(*docs.columns).alias("row")).schema["row"].dataType.simpleString()
     return rows.join(spans, ["own_id", "text_key"], "left").select("row", "spans").mapInArrow(
-        _cut(text_column), f"row {row_type}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary")
+        _cut(text_column, whole_characters), f"row {row_type}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary")
 
 
 ship_by_value(__name__)
