@@ -178,10 +178,11 @@ class Encoder:
 
     def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """The table of pieces with all of ``pieces`` in it."""
-        new = [p for p in set(pieces) if p not in self.known]
+        pieces = set(pieces)
+        new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = list(set(pieces))
+            new = list(pieces)
         self.known.update(zip(new, self.encode([p.encode() for p in new])))
         return self.known
 
