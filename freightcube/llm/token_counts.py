@@ -94,7 +94,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_colum
                     "token-digests")
     one_each = digests.groupBy("digest").agg(F.min("row_key").alias("row_key"))
     misses = one_each.join(read_cache(spark, cache_path, tokenizer), "digest", "left_anti")
-    found = texts.select("digest", "row_key", "text").join(misses, ["digest", "row_key"])
+    # Of rows repeated in full one is encoded; they lie together after the join.
+    found = texts.select("digest", "row_key", "text").join(misses, ["digest", "row_key"]).dropDuplicates(["digest", "row_key"])
     counts = found.select("digest", "text").mapInArrow(_counter(tokenizer_path), "digest binary, n_tokens long")
     counts.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     return digests.join(read_cache(spark, cache_path, tokenizer), "digest").select("doc_id", "n_bytes", "n_tokens")

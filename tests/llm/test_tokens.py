@@ -1,0 +1,135 @@
+import base64
+import hashlib
+import random
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+import sentencepiece
+import tiktoken
+from freightcube.llm import bpe, chat, queries
+from freightcube.llm.common import scratch
+from freightcube.llm.token_counts import count_tokens, read_cache, tokenizer_digest
+
+SF = "/root/testdata/sf0.01"
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def tik():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def texts():
+    rnd = random.Random(8)
+    alphabet = "abcdefgh thetinés ñ漢字🙂'  \n\t\r.!?0123456789'sdll  \x1c\x85\xa0"
+    out = ["".join(rnd.choices(alphabet, k=rnd.choice([0, 1, 5, 50, 400]))) for _ in range(500)]
+    out += ["a" * n for n in (1, 2, 63, 64, 65, 1000, 30000)]
+    return out + ["word%%%" * 500, "ab" * 4000, " " * 900 + "x", "\x00\x01", "don't we'll I'VE'd", "", None, "<|endoftext|> </s>"]
+
+
+def test_encoder_against_library(tik):
+    encoder, cut = bpe.Encoder(bpe.load_vocabulary(RANKS)), regex.compile(public_tokenizers.PATTERN)
+    for text in texts():
+        pieces = cut.findall(text or "")
+        known = encoder.learn(pieces)
+        assert np.frombuffer(b"".join(known[p] for p in pieces), "<u4").tolist() == tik.encode_ordinary(text or "")
+
+
+def test_long_pieces_alone_and_together(tik):
+    encoder = bpe.Encoder(bpe.load_vocabulary(RANKS))
+    rnd = random.Random(4)
+    for n in (2, 3, 17, 40, 64):
+        pieces = [bytes(rnd.choices(b"abcthein .%", k=n)) for _ in range(200)]
+        assert [encoder._alone(p) for p in pieces] == encoder._together(pieces, 1 << (n - 1).bit_length() if n > 1 else 2)
+
+
+def test_byte_bpe_table(spark, tik, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 64)  # long texts come in blocks
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    rows = [(i, t, "x") for i, t in enumerate(texts()[400:])] + [(None, "a b", "x"), (None, "a b", "x")]
+    encoded = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string, ids string"), RANKS, public_tokenizers.PATTERN)
+    got = bpe.decode_documents(encoded, RANKS).collect()
+    assert sorted((r["doc_id"] or -1, bytes(r["decoded"])) for r in got) == sorted((i or -1, (t or "").encode()) for i, t, _ in rows)
+    want = {i: tik.encode_ordinary(t or "") for i, t, _ in rows}
+    assert all(np.frombuffer(r["ids"], "<u4").tolist() == want[r["doc_id"]] and r["n_tokens"] == len(want[r["doc_id"]]) for r in got)
+    assert bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_byte_bpe_query(spark, tik):
+    rows = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
+    got = queries.op7_byte_bpe(spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids = tik.encode_ordinary(rows[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (
+            len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(rows[r["doc_id"]].encode()).hexdigest())
+
+
+def test_token_counts_and_cache(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(i, t, 5) for i, t in enumerate(texts())] + [(None, "a b", 5)] * 2 + [(9000 + i, "same text", 5) for i in range(50)]
+    cache = scratch(spark, "cache")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    want = sorted(((i or -1, len((t or "").encode()), len(model.encode(t or ""))) for i, t, _ in rows))
+    for _ in range(2):  # the second run finds all counts
+        got = count_tokens(docs, path, cache).collect()
+        assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_tokens"]) for r in got) == want
+    stored = spark.read.parquet(cache)
+    assert stored.count() == len({t or "" for _, t, _ in rows}) == read_cache(spark, cache, tokenizer_digest(path)).count()
+    assert read_cache(spark, cache, "another tokenizer").count() == 0
+    grown = docs.union(spark.createDataFrame([(1, "a new text", 5)], docs.schema))
+    assert count_tokens(grown, path, cache).count() == len(rows) + 1
+    assert read_cache(spark, cache, tokenizer_digest(path)).count() == len({t or "" for _, t, _ in rows}) + 1
+    assert count_tokens(spark.createDataFrame([], docs.schema), path, scratch(spark, "cache")).count() == 0
+
+
+def test_token_counts_of_json_tokenizer(spark):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = [(0, "Some WORDS here, twice"), (1, ""), (2, None)]
+    got = count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, scratch(spark, "cache")).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+
+
+def test_token_count_query(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.op8_token_counts(spark, SF).collect()}
+    counts = {i: len(model.encode(t)) for i, t in rows.items()}
+    assert got == {i: (len(t.encode()), counts[i], counts[i] > 4096) for i, t in rows.items()}
+
+
+@pytest.mark.parametrize("text", ["", "plain", "<s>", "</s>[INST] ok [/INST]", "<\\s>", "[\\\\/INST]", "<<s>", "\\<s>", "[INST", "<s", "[\\INST]<\\\\/s>"])
+def test_escape_round_trip(text):
+    escaped = chat.escape(text)
+    assert not any(c in escaped for c in chat.CONTROLS) and chat.unescape(escaped) == text
+
+
+def turns_of(spark, rows):
+    schema = "conv_id long, turn long, role string, text string, ids string"
+    return chat.format_conversations(spark.createDataFrame(rows, schema), RANKS, public_tokenizers.PATTERN, queries.FREE_ID)
+
+
+def test_formatted_ids(spark, tik):
+    rows = [(1, 1, "assistant", "</s> é", "x"), (1, 0, "user", "hi [INST]", "x"), (2, 0, None, None, "x"), (None, None, "user", "null", "x"),
+            (3, 5, "assistant", "a", "x"), (3, 5, "assistant", "a", "x"), (3, 7, "assistant", "", "x")]
+    out = sorted(turns_of(spark, rows).collect(), key=lambda r: (r["conv_id"], r["nth"]))
+    assert [r["nth"] for r in out if r["conv_id"] == 3] == [0, 1, 2]
+    first, second = (r for r in out if r["conv_id"] == 1)
+    body = tik.encode_ordinary("<\\/s> é")
+    assert second["ids"] == [50256, *tik.encode_ordinary("assistant"), 50258, *body, 50259, 50257]
+    assert first["loss_mask"] == [0] * len(first["ids"]) and second["offset"] == len(first["ids"])
+    at = second["ids"].index(50258) + 1
+    assert second["loss_mask"] == [0] * at + [1] * len(body) + [0, 0]
+    back = {r["conv_id"]: r for r in chat.read_back(turns_of(spark, rows), RANKS, queries.FREE_ID).collect()}
+    assert back[1]["turns_sha256"] == hashlib.sha256("user\nhi [INST]\nassistant\n</s> é\n".encode()).hexdigest()
+    assert back[1]["loss_sha256"] == hashlib.sha256("</s> é".encode()).hexdigest() and back[1]["loss_chars"] == 6
+    assert back[1]["formatted_chars"] == len("<s>user[INST]hi [\\INST][/INST]<s>assistant[INST]<\\/s> é[/INST]</s>")
+    assert back[2]["n_turns"] == 1 and back[3]["n_turns"] == 3 and back[None]["n_turns"] == 1
+    assert chat.read_back(turns_of(spark, []), RANKS, queries.FREE_ID).count() == 0
