@@ -52,8 +52,8 @@ def assemble_od_cube(flows: DataFrame, origins: DataFrame, dests: DataFrame) ->
 
 def od_pairs(cube: DataFrame) -> DataFrame:
     """AGG2: collapse commodities, sum by the five OD keys. A frame without
-    ``commodity_code`` is already at pair grain (e.g. the stored pair table) and passes
-    through unchanged."""
+    ``commodity_code`` is already at pair grain and passes through unchanged: over the stored
+    pair table the sum was made when that table was built."""
     if "commodity_code" not in cube.columns:
         return cube.select(*PAIR_KEYS, "tons")
     return cube.groupBy(*PAIR_KEYS).agg(sum_tons())
@@ -80,7 +80,7 @@ def county_flow_totals(county_flows: DataFrame, state_regions: DataFrame, mode:
     multiplies, as in SQL). Geometry is not a group key here: join it back by geoid.
     SQL sums keep NULL for all-NULL groups, and the total is NULL if any part is NULL.
     """
-    sr = F.broadcast(state_regions.select("state_name", "region"))
+    sr = state_regions.select("state_name", "region")
     rows = (county_flows
             .where((F.col("mode") == F.lit(mode)) & F.col("commodity_code").isin(list(commodities)))
             .join(sr.where(F.col("region") == F.lit(region)), "state_name"))

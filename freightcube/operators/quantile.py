@@ -1,16 +1,15 @@
 """Exact quantile with linear interpolation (AGG11), without an unbounded global group.
 
 Spark's ``percentile`` keeps every distinct value of its group in one task; for the
-single global group of a threshold that is the whole column. It is used only when a
-HyperLogLog estimate bounds the distinct values (a checked size, like a broadcast
-threshold). Otherwise the work is spread:
+single global group of a threshold that is the whole column. Here the work is spread, by
+one plan at every size:
 
 1. distinct values with their counts (map-side combined, so a hot value is one row);
 2. ~``buckets`` value ranges from approximate bounds (one small array, computed once
    as a scalar subquery) and a binary search that maps each value to its range;
 3. exact running counts inside each range (a window partitioned by range) plus an
    exclusive prefix sum over the per-range totals (one row per range);
-4. the two order statistics around position ``q * (n - 1)`` and the interpolation.
+4. the two order statistics around position ``(n - 1) * q`` and the interpolation.
 
 The result is exact whatever the approximate bounds are; they only balance the work.
 """
@@ -23,9 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 256
-# Up to this many distinct values (HyperLogLog estimate, 5 % error, hence the margin)
-# Spark's exact ``percentile`` may keep them in one task; above it the bucketed plan runs.
-SINGLE_TASK_DISTINCT_LIMIT = 800_000
 
 
 def _bucket_of(v: Column, bounds: Column, steps: int) -> Column:
@@ -43,32 +39,12 @@ def _bucket_of(v: Column, bounds: Column, steps: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
-def quantile_value(df: DataFrame, col: str, q: float, buckets: int = DEFAULT_BUCKETS,
-                   single_task_limit: int | None = SINGLE_TASK_DISTINCT_LIMIT) -> Column:
-    """Exact linear-interpolated quantile of ``col`` as a scalar Column (NULL on no values).
-
-    A small job first estimates the number of distinct values. Within the checked bound
-    the built-in ``percentile`` (one task holds the value counts) is used; beyond it, or
-    with ``single_task_limit=None``, the distributed bucketed plan of
-    :func:`bucketed_quantile_value`. Both give the same rows for ``col >= quantile``: the
-    value always lies between the two neighbouring order statistics.
-    """
-    if not 0.0 <= q <= 1.0:
-        raise ValueError("quantile must be within [0, 1]")
-    if single_task_limit is not None:
-        est = df.select(F.approx_count_distinct(col, 0.05)).first()[0]
-        if est <= single_task_limit:
-            return df.select(F.percentile(F.col(col).cast("double"), F.lit(float(q))).alias("quantile")).scalar()
-    return bucketed_quantile_value(df, col, q, buckets)
-
-
-def bucketed_quantile_value(df: DataFrame, col: str, q: float, buckets: int = DEFAULT_BUCKETS) -> Column:
-    """Distributed form: a scalar-subquery Column holding the exact linear-interpolated quantile of ``col``
-    (NULL on empty input). Interpolates like NumPy: a + (b - a) * t, or b - (b - a) * (1 - t)
-    when t >= 0.5.
+def quantile_value(df: DataFrame, col: str, q: float, buckets: int = DEFAULT_BUCKETS) -> Column:
+    """Exact linear-interpolated quantile of ``col`` as a scalar-subquery Column (NULL on no
+    values). Interpolates like NumPy: a + (b - a) * t, or b - (b - a) * (1 - t) when t >= 0.5.
 
     Two scalar subqueries in total: the stats row (count and approximate bounds) and the
-    final pick, which nests the first.
+    final pick, which nests the first. No job runs before the query itself does.
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError("quantile must be within [0, 1]")
@@ -91,9 +67,9 @@ def bucketed_quantile_value(df: DataFrame, col: str, q: float, buckets: int = DE
     r = running.join(F.broadcast(offsets), "bucket")
     first = F.col("off") + F.col("cum") - F.col("c")
     last = first + F.col("c") - F.lit(1)
-    # NumPy's virtual index for the linear method: n*q + (1 - q) - 1
+    # NumPy's virtual index for the linear method
     r = r.select("v", first.alias("first"), last.alias("last"),
-                 (F.col("n").cast("double") * F.lit(float(q)) + F.lit(1.0 - float(q)) - F.lit(1.0)).alias("pos"))
+                 ((F.col("n") - F.lit(1)).cast("double") * F.lit(float(q))).alias("pos"))
     lo_rank, hi_rank = F.floor("pos"), F.ceil("pos")
     covers = lambda k: (F.col("first") <= k) & (k <= F.col("last"))
     picked = r.where(covers(lo_rank) | covers(hi_rank)).agg(
@@ -106,13 +82,11 @@ def bucketed_quantile_value(df: DataFrame, col: str, q: float, buckets: int = DE
     return picked.select(value.alias("quantile")).scalar()
 
 
-def quantile_frame(df: DataFrame, col: str, q: float, alias: str = "quantile",
-                   buckets: int = DEFAULT_BUCKETS, single_task_limit: int | None = SINGLE_TASK_DISTINCT_LIMIT) -> DataFrame:
+def quantile_frame(df: DataFrame, col: str, q: float, alias: str = "quantile", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """One-row DataFrame with the exact quantile."""
-    return df.sparkSession.range(1).select(quantile_value(df, col, q, buckets, single_task_limit).alias(alias))
+    return df.sparkSession.range(1).select(quantile_value(df, col, q, buckets).alias(alias))
 
 
-def filter_at_least_quantile(df: DataFrame, col: str, q: float, buckets: int = DEFAULT_BUCKETS,
-                             single_task_limit: int | None = SINGLE_TASK_DISTINCT_LIMIT) -> DataFrame:
+def filter_at_least_quantile(df: DataFrame, col: str, q: float, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """FLT6: keep rows with ``col >= quantile(col, q)`` (ties kept)."""
-    return df.where(F.col(col) >= quantile_value(df, col, q, buckets, single_task_limit))
+    return df.where(F.col(col) >= quantile_value(df, col, q, buckets))

@@ -14,19 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import name_state_label, region_label
-from ..functions.rounding import clip, round1, to_tons_even, trunc_int
+from ..functions.rounding import clip, round1, to_tons_even, to_tons_trunc, trunc_int
 from .classify import assign_class, breaks_text, class_label, destination_breaks, region_breaks
 from .cube import od_pairs, sum_tons
 from .quantile import filter_at_least_quantile
+from .spatial import two_point_line
 from .selection import Selection, apply_region_only, apply_selection
 
-# Fixed values that must equal the reference's (load metrics).
-MAX_TRUCK_PALLETS = 26      # single floor of a 53 ft container
-BOX_CAR_PALLETS = 28        # default pallets per boxcar
-PALLET_CAPACITY = 1500      # lbs per pallet
+# Fixed values that must equal the reference's: load metrics, their row labels, line weight.
+MAX_TRUCK_PALLETS = 26
+BOX_CAR_PALLETS = 28
+PALLET_CAPACITY = 1500
+TONNAGE_LABEL = "Tonnage (in tons)"
+TRUCKS_LABEL = "#Trucks (Cap: ~{:,} lbs)"
+BOX_CARS_LABEL = "#Box Cars (Cap: ~{:,} lbs)"
 MAX_LINE_WEIGHT = 5
-# Above this many destinations the wide heatmap is refused; the long form has no limit.
-MAX_PIVOT_COLUMNS = 5000
 
 
 # ------------------------------------------------------------------ RPT5 flow table
@@ -35,7 +37,7 @@ def flow_table(cube: DataFrame, sel: Selection) -> DataFrame:
     """RPT5: 5-key sums for the selection, 'Region n' labels, whole tons truncated."""
     f = apply_selection(od_pairs(cube), sel)
     return f.select(region_label("orig_reg").alias("orig_reg"), "orig_cnty_name", "dest_cnty_name",
-                    (F.col("tons") * F.lit(1000.0)).cast("bigint").alias("tons"))
+                    to_tons_trunc("tons").alias("tons"))
 
 
 def filtered_pairs(cube: DataFrame, sel: Selection) -> DataFrame:
@@ -65,8 +67,8 @@ def commodity_share(cube: DataFrame, sel: Selection, labels: DataFrame | None =
     out = g.select("commodity_code", "tons",
                    round1(F.try_divide(F.col("tons"), total) * F.lit(100.0)).alias("percent"))
     if labels is not None:
-        # the label table is a literal code list (bounded): broadcast lookup
-        out = out.join(F.broadcast(labels), "commodity_code", "left")
+        out = out.join(labels, "commodity_code", "left").select("commodity_code", "tons", "percent",
+                                                                *[c for c in labels.columns if c != "commodity_code"])
     return out.orderBy(F.col("tons").desc(), F.col("commodity_code"))
 
 
@@ -124,9 +126,9 @@ def load_metrics(pairs: DataFrame, params: LoadParams = LoadParams()) -> DataFra
                                           c.alias("total"))
     c = F.col
     return m.select(F.inline(F.array(
-        row("Tonnage (in tons)", c("ftl"), c("total") - c("ftl"), c("total")),
-        row(f"#Trucks (Cap: ~{truck:,} lbs)", c("ftl_trucks"), c("ltl_trucks"), c("ftl_trucks") + c("ltl_trucks")),
-        row(f"#Box Cars (Cap: ~{box:,} lbs)", c("ftl_box"), c("ltl_box"), c("ftl_box") + c("ltl_box")),
+        row(TONNAGE_LABEL, c("ftl"), c("total") - c("ftl"), c("total")),
+        row(TRUCKS_LABEL.format(truck), c("ftl_trucks"), c("ltl_trucks"), c("ftl_trucks") + c("ltl_trucks")),
+        row(BOX_CARS_LABEL.format(box), c("ftl_box"), c("ltl_box"), c("ftl_box") + c("ltl_box")),
     )))
 
 
@@ -158,15 +160,13 @@ def flow_lines(cube: DataFrame, sel: Selection, region_points: DataFrame, county
     d = dest_points.select("dest_cnty", F.col("lon").alias("dest_lon"), F.col("lat").alias("dest_lat"))
     out = g.join(o, "orig_id").join(d, "dest_cnty")
     if with_geometry:
-        out = out.withColumn("geometry", F.array(
-            F.struct(F.col("orig_lon").alias("x"), F.col("orig_lat").alias("y")),
-            F.struct(F.col("dest_lon").alias("x"), F.col("dest_lat").alias("y"))))
+        out = out.withColumn("geometry", two_point_line(*map(F.col, ("orig_lon", "orig_lat", "dest_lon", "dest_lat"))))
     return out
 
 
 def is_unfiltered_strict(values) -> bool:
-    """The reference's literal test ``v in ([], None, ['-1'])`` ("['-1','-1']" is a filter)."""
-    return values is None or list(values) in ([], ["-1"])
+    """The reference's literal test ``v in ([], None, ['-1'])`` ("['-1','-1']" and a table are filters)."""
+    return values is None or (not isinstance(values, DataFrame) and list(values) in ([], ["-1"]))
 
 
 # ------------------------------------------------------------------ RPT3 heatmap
@@ -190,22 +190,37 @@ def heatmap_long(cube: DataFrame, regions) -> DataFrame:
 def heatmap_wide(cube: DataFrame, regions, dest_names: list[str] | None = None) -> DataFrame:
     """RPT3 / AGG7, matrix form: one row per origin, one column per destination, 0-filled.
 
-    The destination list is the matrix width; it is read once (bounded by
-    MAX_PIVOT_COLUMNS) unless the caller passes it.
+    ``dest_names``, the matrix columns, come from the caller (the destination dimension), so
+    no job runs to find them; destinations outside the list do not appear. Without a list
+    the result is the long form.
     """
-    f, idx, region_grain = _heat_base(cube, regions)
     if dest_names is None:
-        rows = f.select("dest_cnty_name").distinct().orderBy("dest_cnty_name").limit(MAX_PIVOT_COLUMNS + 1).collect()
-        if len(rows) > MAX_PIVOT_COLUMNS:
-            raise ValueError("too many destinations for a matrix; use heatmap_long")
-        dest_names = [r[0] for r in rows]
-    w = f.groupBy(idx).pivot("dest_cnty_name", dest_names).agg(F.sum("tons"))
+        return heatmap_long(cube, regions)
+    f, idx, region_grain = _heat_base(cube, regions)
+    w = f.groupBy(idx).pivot("dest_cnty_name", list(dest_names)).agg(F.sum("tons"))
     origin = region_label(idx) if region_grain else F.col(idx)
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")  # noqa: E731  (names may hold dots)
     return w.select(origin.alias("origin"),
                     *[F.coalesce(quoted(c), F.lit(0).cast("bigint")).alias(c) for c in dest_names])
 
 
+def heatmap_dense(cube: DataFrame, regions_dim: DataFrame, dests_dim: DataFrame) -> DataFrame:
+    """RPT3, long form with the 0 cells, at region grain: every region of ``regions_dim``
+    (orig_reg) that has a flow against every destination of ``dests_dim`` (dest_cnty_name) that has one.
+
+    The grid is made of the two dimensions, each reduced to what occurs, not of the fact: each
+    region row carries the list of destination names (one aggregate over the dimension) and explodes it.
+    """
+    f, _, _ = _heat_base(cube, None)
+    sums = f.groupBy("orig_reg", "dest_cnty_name").agg(F.sum("tons").alias("tons"))
+    used = dests_dim.select("dest_cnty_name").join(sums.select("dest_cnty_name"), "dest_cnty_name", "left_semi")
+    names = used.select(F.array_sort(F.collect_set("dest_cnty_name"))).scalar()
+    origins = regions_dim.select("orig_reg").distinct().join(sums.select("orig_reg"), "orig_reg", "left_semi")
+    grid = origins.withColumn("names", names).select("orig_reg", F.explode("names").alias("dest_cnty_name"))
+    return grid.join(sums, ["orig_reg", "dest_cnty_name"], "left").select(
+        region_label("orig_reg").alias("origin"), "dest_cnty_name", F.coalesce("tons", F.lit(0)).cast("bigint").alias("tons"))
+
+
 # ------------------------------------------------------------------ RPT4 destination layer
 
 def destination_layer(cube: DataFrame, sel: Selection, dest_table: DataFrame) -> DataFrame:
@@ -216,11 +231,12 @@ def destination_layer(cube: DataFrame, sel: Selection, dest_table: DataFrame) ->
     matches nothing.
     """
     f = apply_selection(od_pairs(cube), sel)
-    sums = f.groupBy("dest_cnty").agg(F.sum("tons").alias("s"))
+    sums = f.groupBy("dest_cnty").agg(F.sum("tons").alias("s"), F.count(F.lit(1)).alias("n"))
     t = dest_table.join(sums, "dest_cnty", "left") \
-        .withColumn("filtered_flow", round1(F.coalesce(F.col("s"), F.lit(0.0)))).drop("s")
-    nonempty = f.select(F.count(F.lit(1))).scalar() > F.lit(0)
-    t = t.where(nonempty)
+        .withColumn("filtered_flow", round1(F.coalesce(F.col("s"), F.lit(0.0))))
+    # emptiness, minimum and maximum all come from the small aggregated frame
+    nonempty = sums.select(F.sum("n")).scalar() > F.lit(0)
+    t = t.drop("s", "n").where(nonempty)
     return _with_classes(t, "filtered_flow", destination_breaks(t, "filtered_flow"))
 
 
@@ -253,6 +269,21 @@ def region_options(regions: DataFrame) -> DataFrame:
     return head.unionByName(opts)
 
 
+def destination_options(counties: DataFrame) -> DataFrame:
+    """Destination menu: 'All' (-1), then 'name, state' per destination county in state order
+    (names break ties). ``counties``: (geoid, name, state_name)."""
+    opts = counties.dropDuplicates(["geoid"]).select(
+        F.lit(1).alias("ord"), "state_name", name_state_label("name", "state_name").alias("label"),
+        F.col("geoid").cast("string").alias("value"))
+    head = counties.sparkSession.createDataFrame([(0, None, "All", "-1")], "ord int, state_name string, label string, value string")
+    return head.unionByName(opts).orderBy("ord", "state_name", "label")
+
+
+def region_counties(counties: DataFrame) -> DataFrame:
+    """Region to counties, long form: the distinct (orig_reg, orig_cnty, orig_cnty_name) triples."""
+    return counties.select("orig_reg", "orig_cnty", "orig_cnty_name").distinct()
+
+
 def county_options(counties: DataFrame, regions=None) -> DataFrame:
     """County menu in long form (group, label, value) with sort keys.
 

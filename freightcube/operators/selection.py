@@ -1,8 +1,9 @@
 """User selections (FLT1, FLT2, FLT7).
 
-Selections arrive as lists of strings from a UI. They are normalised once on the
-driver; the filters they produce are plain predicates that Catalyst pushes into the
-scans (``PushedFilters: [In(...)]``) or, for long lists, a semi join.
+Selections arrive as lists of strings from a UI, or as a table of ids. A list becomes a
+plain predicate that Catalyst pushes into the scans (``PushedFilters: [In(...)]``); a table,
+which may be of any size, becomes a semi join. Which of the two runs is the caller's choice
+and never depends on how many ids there are.
 """
 
 from __future__ import annotations
@@ -10,13 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ALL = "-1"
-# Above this many ids a selection is applied as a semi join against an id table
-# instead of an IN-list literal.
-ISIN_LIMIT = 1000
 
 
 def selected_ids(values: Sequence[str] | None) -> list[int] | None:
@@ -39,15 +37,16 @@ def is_unfiltered(values: Sequence[str] | None) -> bool:
 
 @dataclass(frozen=True)
 class Selection:
-    """Region, origin-county and destination-county selections of one request."""
+    """Region, origin-county and destination-county selections of one request: lists of ids
+    as text or, for the counties, one-column tables of ids."""
 
     regions: tuple[str, ...] | None = None
-    origins: tuple[str, ...] | None = None
-    dests: tuple[str, ...] | None = None
+    origins: tuple[str, ...] | DataFrame | None = None
+    dests: tuple[str, ...] | DataFrame | None = None
 
     @staticmethod
     def of(regions=None, origins=None, dests=None) -> "Selection":
-        t = lambda v: None if v is None else tuple(v)
+        t = lambda v: v if v is None or isinstance(v, DataFrame) else tuple(v)
         return Selection(t(regions), t(origins), t(dests))
 
     @property
@@ -56,24 +55,22 @@ class Selection:
 
     @property
     def origin_ids(self):
-        return selected_ids(self.origins)
+        return self.origins if isinstance(self.origins, DataFrame) else selected_ids(self.origins)
 
     @property
     def dest_ids(self):
-        return selected_ids(self.dests)
+        return self.dests if isinstance(self.dests, DataFrame) else selected_ids(self.dests)
 
 
-def filter_ids(df: DataFrame, column: str, ids: list[int] | None, spark: SparkSession | None = None) -> DataFrame:
-    """Keep rows whose ``column`` is in ``ids``; ``None`` keeps all, ``[]`` keeps none."""
+def filter_ids(df: DataFrame, column: str, ids: list[int] | DataFrame | None) -> DataFrame:
+    """Keep rows whose ``column`` is in ``ids``; ``None`` keeps all, ``[]`` keeps none. A table
+    of ids (its first column; repeats and nulls do not matter) is applied as a semi join."""
     if ids is None:
         return df
-    if len(ids) <= ISIN_LIMIT:
-        return df.where(F.col(column).isin(ids)) if ids else df.where(F.lit(False))
-    spark = spark or df.sparkSession
-    id_df = spark.createDataFrame([(i,) for i in sorted(set(ids))], f"{column} bigint")
-    # The id table comes from a user selection (driver memory already holds it): a
-    # bounded broadcast.
-    return df.join(F.broadcast(id_df), column, "left_semi")
+    if isinstance(ids, DataFrame):
+        wanted = ids.select(F.col(ids.columns[0]).alias("_id"))
+        return df.join(wanted, df[column] == wanted["_id"], "left_semi")
+    return df.where(F.col(column).isin(ids)) if ids else df.where(F.lit(False))
 
 
 def apply_selection(df: DataFrame, sel: Selection) -> DataFrame:
@@ -96,7 +93,7 @@ def selected_shapes(counties: DataFrame, regions: DataFrame, sel: Selection,
     the listed ids without the '-1' marker, so ``['-1']``, ``[]`` and ``None`` all give
     no rows there (the reference raises on ``None``).
     """
-    if not is_unfiltered(sel.origins):
+    if sel.origin_ids is not None:
         return filter_ids(counties, county_key, sel.origin_ids)
     if sel.regions is None:
         return regions.where(F.lit(False))

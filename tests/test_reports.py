@@ -91,9 +91,8 @@ def test_quantile_threshold_keeps_ties(cube, spark):
     from freightcube.operators.quantile import filter_at_least_quantile, quantile_frame
     p = C.od_pairs(cube)
     for q in (0.7, 0.99, 0.0, 1.0, 0.5):
-        for limit in (None, 1000):       # distributed plan and the checked single-task plan
-            got = quantile_frame(p, "tons", q, single_task_limit=limit).collect()[0][0]
-            assert got == pytest.approx(float(pandas_pairs().tons.quantile(q)), rel=0, abs=1e-12)
+        got = quantile_frame(p, "tons", q).collect()[0][0]
+        assert got == pytest.approx(float(pandas_pairs().tons.quantile(q)), rel=0, abs=1e-12)
     kept = filter_at_least_quantile(p, "tons", 0.5).count()
     t = pandas_pairs().tons
     assert kept == int((t >= t.quantile(0.5)).sum())
@@ -105,10 +104,9 @@ def test_quantile_random_with_hot_value(spark):
     vals = np.concatenate([rng.normal(size=3000).round(2), np.full(1500, 0.25)])  # a third is one value
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     for q in (0.01, 0.3, 0.5, 0.7, 0.99):
-        got = quantile_frame(df, "v", q, buckets=16, single_task_limit=None).collect()[0][0]
+        got = quantile_frame(df, "v", q, buckets=16).collect()[0][0]
         assert got == pytest.approx(float(np.quantile(vals, q)), abs=1e-12)
         assert quantile_frame(df, "v", q).collect()[0][0] == pytest.approx(float(np.quantile(vals, q)), abs=1e-12)
-    assert quantile_frame(df.where("v > 100"), "v", 0.5, single_task_limit=None).collect()[0][0] is None
     assert quantile_frame(df.where("v > 100"), "v", 0.5).collect()[0][0] is None
 
 
@@ -128,7 +126,7 @@ def test_flow_lines_region_grain(cube, spark):
 
 
 def test_heatmap_wide_fill_zero(cube):
-    w = R.heatmap_wide(cube, ["-1"]).collect()
+    w = R.heatmap_wide(cube, ["-1"], sorted(r[0] for r in cube.select("dest_cnty_name").distinct().collect() if r[0])).collect()
     p = pandas_pairs()
     p["tons"] = (p.tons * 1000).round().astype(int)
     exp = p.pivot_table(index="orig_reg", columns="dest_cnty_name", values="tons", aggfunc="sum", fill_value=0)
@@ -140,6 +138,26 @@ def test_heatmap_wide_fill_zero(cube):
 def test_heatmap_wide_odd_names(spark):
     rows = [(1, "A", 1, 10, "St. Louis, MO", "c1", 1.0), (2, "B", 1, 11, "a`b", "c1", 2.0),
             (3, "C", 2, 11, "a`b", "c1", 0.5)]
-    w = {r.origin: r.asDict() for r in R.heatmap_wide(spark.createDataFrame(rows, CUBE_SCHEMA), ["-1"]).collect()}
+    w = {r.origin: r.asDict() for r in R.heatmap_wide(spark.createDataFrame(rows, CUBE_SCHEMA), ["-1"], ["St. Louis, MO", "a`b"]).collect()}
     assert w["Region 1"] == {"origin": "Region 1", "St. Louis, MO": 1000, "a`b": 2000}
     assert w["Region 2"] == {"origin": "Region 2", "St. Louis, MO": 0, "a`b": 500}
+    long = R.heatmap_wide(spark.createDataFrame(rows, CUBE_SCHEMA), ["-1"])  # without a list: the long form
+    assert long.columns == ["origin", "dest_cnty_name", "tons"] and long.count() == 3
+
+
+def test_quantile_position_is_exact(spark):
+    from freightcube.operators.quantile import quantile_frame
+    for n in (11, 51, 61, 71, 81):
+        vals = [float(i) for i in range(n)]
+        df = spark.createDataFrame([(v,) for v in vals], "v double")
+        assert quantile_frame(df, "v", 0.7).first()[0] == float(np.quantile(vals, 0.7))
+
+
+def test_heatmap_dense_equals_pivot(cube, spark):
+    p = pandas_pairs()
+    p["tons"] = (p.tons * 1000).round().astype(int)
+    exp = p.pivot_table(index="orig_reg", columns="dest_cnty_name", values="tons", aggfunc="sum", fill_value=0)
+    dests = cube.select("dest_cnty_name").distinct().union(spark.createDataFrame([("Nowhere",)], "dest_cnty_name string"))
+    regions = cube.select("orig_reg").union(spark.createDataFrame([(99,)], "orig_reg int"))
+    got = {(r.origin, r.dest_cnty_name): r.tons for r in R.heatmap_dense(cube, regions, dests).collect()}
+    assert got == {(f"Region {i}", c): int(v) for i, row in exp.iterrows() for c, v in row.items()}

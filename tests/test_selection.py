@@ -26,11 +26,14 @@ def test_apply_selection(spark):
     assert count(Selection.of(origins=["999"])) == 0
 
 
-def test_long_selection_uses_semi_join(spark):
+def test_long_list_and_table_of_ids(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    ids = [str(i) for i in range(5000)]
-    out = apply_selection(df, Selection.of(origins=ids))
-    assert out.count() == 4
+    out = apply_selection(df, Selection.of(origins=[str(i) for i in range(5000)]))
+    assert out.count() == 4 and out.columns == df.columns
+    assert "LeftSemi" not in out._jdf.queryExecution().optimizedPlan().toString()
+    table = spark.createDataFrame([(10,), (10,), (30,), (None,), (999,)], "geoid bigint")
+    out = apply_selection(df, Selection.of(origins=table))
+    assert sorted(r.orig_cnty for r in out.collect()) == [10, 30] and out.columns == df.columns
     assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
 
 
@@ -59,3 +62,9 @@ def test_county_option_cascade(spark):
     assert [(r.group, r.value) for r in two] == [(None, "-1"), ("Region 2", "20")]
     regs = region_options(c).orderBy("ord", "sort_key").collect()
     assert [(r.label, r.value) for r in regs] == [("All", "-1"), ("Region 1", "1"), ("Region 2", "2")]
+
+
+def test_destination_menu(spark):
+    from freightcube.operators.reports import destination_options
+    c = spark.createDataFrame([(5, "B", "S2"), (3, "Z", "S1"), (4, "A", "S2"), (4, "A", "S2")], "geoid int, name string, state_name string")
+    assert [(r.label, r.value) for r in destination_options(c).collect()] == [("All", "-1"), ("Z, S1", "3"), ("A, S2", "4"), ("B, S2", "5")]
