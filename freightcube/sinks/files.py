@@ -18,21 +18,28 @@ from ..operators.spatial import geojson_feature
 def replace_dataset(df: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None]) -> None:
     """Write to a temporary sibling folder, then swap it in for ``path``.
 
-    A failed or interrupted job leaves the previous dataset untouched (an overwrite-mode
-    write would already have deleted it); retried tasks of a lost executor are handled by
-    Spark's commit protocol inside the temporary folder.
+    The previous dataset is moved aside before the new one takes its name and is deleted only
+    then: a crash in between leaves it whole beside ``path`` (``.old-...``), and a failed move
+    puts it back. Retried tasks of a lost executor are handled by Spark's commit protocol
+    inside the temporary folder.
     """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex[:8]}"
+    mark = uuid.uuid4().hex[:8]
+    tmp, old = f"{path.rstrip('/')}.tmp-{mark}", f"{path.rstrip('/')}.old-{mark}"
     write(df.write.mode("errorifexists"), tmp)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+    src, dst, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (tmp, path, old))
     fs = dst.getFileSystem(conf)
-    if fs.exists(dst):
-        fs.delete(dst, True)
+    had = fs.exists(dst)
+    if had and not fs.rename(dst, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(src, dst):
+        if had:
+            fs.rename(aside, dst)
         raise OSError(f"could not move {tmp} to {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def write_key_table(df: DataFrame, path: str, key: str = "geoid") -> None:

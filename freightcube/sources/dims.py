@@ -5,18 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values that must equal the reference's: commodity groups, transport modes and
-# zonal modes, in the reference's order.
-SCTG_COMMODITY_NAMES = {
-    "sctg0109": "Agricultural products",
-    "sctg1014": "Gravel and mining products",
-    "sctg1519": "Coal and other energy products",
-    "sctg2033": "Chemical, wood and metals",
-    "sctg3499": "Manufactured goods and Unknown",
-}
-TRANSPORT_MODE_NAMES = {"11": "Truck/Air", "2": "Rail", "3": "Water", "5": "Multiple modes and mail", "6": "Pipeline"}
-ZONAL_MODE_NAMES = {1: "Truck", 2: "Rail", 3: "Water", 4: "Air", 5: "Pipeline", 6: "Multiple modes and mail", 7: "Other"}
-
 # Labels for the commodity codes of the driver tables (part types).
 PART_TYPE_NAMES = {
     "ECONOMY": "Economy goods",
@@ -37,14 +25,6 @@ def commodity_names(spark: SparkSession, mapping: dict | None = None) -> DataFra
     return literal_dim(spark, mapping or PART_TYPE_NAMES, "commodity_code", "commodity_name")
 
 
-def transport_modes(spark: SparkSession) -> DataFrame:
-    return literal_dim(spark, TRANSPORT_MODE_NAMES, "mode", "mode_name")
-
-
-def zonal_modes(spark: SparkSession) -> DataFrame:
-    return literal_dim(spark, ZONAL_MODE_NAMES, "mode", "mode_name", "int")
-
-
 def lookup(df: DataFrame, dim: DataFrame, key: str, last_wins_order: str | None = None) -> DataFrame:
     """JN4 / PRJ9: left lookup of ``dim`` columns by ``key``.
 

@@ -31,9 +31,17 @@ LTL_CARRIER_SCHEMA = _schema(("Company Name", S), ("State", S), ("Latitude", D),
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """SRC4: header CSV with quoted fields (commas inside quotes stay in one field)."""
-    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE").schema(schema).csv(path))
+    """SRC4: header CSV with quoted fields (commas inside quotes stay in one field).
+
+    The header must have the schema's names in its order (checked at once; a blank name is
+    ``_c0``), and a value that is not of its column's type fails the query that reads it.
+    """
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
+    names = reader.csv(path).columns
+    if names != schema.fieldNames():
+        raise ValueError(f"{path} has the columns {names}, not {schema.fieldNames()}")
+    # Spark compares the header of every further file itself, unless a name is blank.
+    return reader.option("enforceSchema", "_c0" in names).schema(schema).csv(path)
 
 
 def with_point(df: DataFrame, lon: str = "Longitude", lat: str = "Latitude", name: str = "geometry") -> DataFrame:
@@ -55,7 +63,12 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_regional_hubs(spark: SparkSession, path: str) -> DataFrame:
     """PRJ10: lon / lat renamed to Longitude / Latitude, then the point."""
-    df = read_csv(spark, path, REGIONAL_HUB_SCHEMA).withColumnsRenamed({"lon": "Longitude", "lat": "Latitude"})
+    return read_point_table(spark, path, REGIONAL_HUB_SCHEMA)
+
+
+def read_point_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Terminals, hubs or carriers by one of the layouts above, with their point."""
+    df = read_csv(spark, path, schema).withColumnsRenamed({"lon": "Longitude", "lat": "Latitude"})
     return with_point(df)
 
 
@@ -66,7 +79,10 @@ _FEATURE_SCHEMA = T.StructType([
     T.StructField("properties", T.MapType(S, S)),
     T.StructField("geometry", T.StructType([T.StructField("type", S), T.StructField("coordinates", S)])),
 ])
-_COLLECTION_SCHEMA = T.StructType([T.StructField("type", S), T.StructField("features", T.ArrayType(_FEATURE_SCHEMA))])
+_COLLECTION_SCHEMA = T.StructType([T.StructField("type", S), T.StructField("crs", S),
+                                   T.StructField("features", T.ArrayType(_FEATURE_SCHEMA))])
+# Names of longitude / latitude reference systems in a ``crs`` member.
+LON_LAT_CRS = ("CRS84", "EPSG::4326", "EPSG:4326", "EPSG::4269", "EPSG:4269")
 
 _COORD_TYPES = {
     "Point": "array<double>",
@@ -89,7 +105,13 @@ def read_geojson(spark: SparkSession, path: str, properties: list[str] | None =
         feats = spark.read.schema(_FEATURE_SCHEMA).json(path)
     else:
         fc = spark.read.option("multiLine", True).schema(_COLLECTION_SCHEMA).json(path)
-        feats = fc.select(F.explode("features").alias("f")).select("f.*")
+        known = F.col("crs").isNull()
+        for name in LON_LAT_CRS:
+            known = known | F.col("crs").contains(name)
+        # GEO5: coordinates are degrees; another reference system fails the query
+        feats = fc.where(F.when(known, F.lit(True)).otherwise(
+            F.raise_error(F.concat(F.lit("not longitude / latitude: "), F.col("crs"))).cast("boolean"))) \
+            .select(F.explode("features").alias("f")).select("f.*")
     cols = [F.col("properties").getItem(p).alias(p) for p in (properties or [])]
     return feats.select(*cols, F.col("properties"), F.col("geometry.type").alias("geometry_type"),
                         F.col("geometry.coordinates").alias("coordinates_json"))
@@ -100,9 +122,14 @@ def geometry_from_geojson(df: DataFrame) -> DataFrame:
 
     Points become struct<x, y>; LineString an array of points; Polygon and MultiPolygon a
     multipolygon (array of polygons of rings); MultiLineString an array of lines.
+    Coordinates outside the range of longitude / latitude fail the query (GEO5).
     """
+    def within(v, most):
+        return F.when(v.isNull() | (F.abs(v) <= F.lit(most)), v).otherwise(
+            F.raise_error(F.concat(F.lit("not a longitude / latitude: "), v.cast("string"))).cast("double"))
+
     def pt(a):
-        return F.struct(F.element_at(a, 1).alias("x"), F.element_at(a, 2).alias("y"))
+        return F.struct(within(F.element_at(a, 1), 180.0).alias("x"), within(F.element_at(a, 2), 90.0).alias("y"))
 
     def parsed(kind):
         return F.from_json(F.col("coordinates_json"), _COORD_TYPES[kind])
@@ -125,6 +152,14 @@ def read_terminal_geojson(spark: SparkSession, path: str) -> DataFrame:
                     F.col("point.x").alias("lon"), F.col("point.y").alias("lat"))
 
 
+def rail_lines(features: DataFrame, owner: str = "RROWNER1") -> DataFrame:
+    """Rail features of :func:`geometry_from_geojson` as the buffer join takes them: one row
+    (owner, geometry) per line, the parts of a MultiLineString each on their own."""
+    parts = F.concat(F.when(F.col("line").isNotNull(), F.array("line")).otherwise(F.array().cast("array<array<struct<x:double,y:double>>>")),
+                     F.coalesce("lines", F.array().cast("array<array<struct<x:double,y:double>>>")))
+    return features.select(F.col("properties").getItem(owner).alias("owner"), F.explode(parts).alias("geometry"))
+
+
 _GEOMETRY_JSON = T.StructType([T.StructField("type", S), T.StructField("coordinates", S)])
 
 

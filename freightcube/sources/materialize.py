@@ -2,10 +2,10 @@
 
 The reference keeps its load-time ETL results in pickles; here they are Parquet datasets
 under the shared checkpoint folder (``spark.checkpoint.dir``). The dataset key includes a
-fingerprint of the input files (paths, sizes, modification times), so new input data
-yields a new dataset instead of a stale read. A dataset is written to a temporary folder
-and renamed into place, so readers never see a half-written one and a lost executor
-only causes its tasks to be retried.
+fingerprint of the input folders, so new input data yields a new dataset instead of a stale
+read. Every build writes a folder of its own inside the dataset's folder, and Spark's job commit
+marks it with ``_SUCCESS``; readers take a marked folder and ignore all others. Nothing is
+renamed, so an interrupted build, on any kind of store, leaves only a folder that is never read.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import path_exists, scratch_path
+from ..session import scratch_path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -26,24 +26,30 @@ def _fs(spark: SparkSession, path: str):
 
 
 def input_fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
-    """Hash of (path, length, modification time) of every file under ``paths``."""
+    """Hash of (path, total length, number of files, modification time) of every input.
+
+    Each input is summarised by its file system in one call, however many files it has. A
+    file that is overwritten in place by one of the same length inside a nested folder is
+    not seen; a caller that does this passes another ``version``.
+    """
     h = hashlib.sha256()
     for path in sorted(paths):
         p, fs = _fs(spark, path)
-        h.update(path.encode())
         if not fs.exists(p):
-            h.update(b"missing")
+            h.update(repr((path, "missing")).encode())
             continue
-        it = fs.listFiles(p, True)
-        entries = []
-        while it.hasNext():
-            st = it.next()
-            entries.append((str(st.getPath()), int(st.getLen()), int(st.getModificationTime())))
-        for e in sorted(entries):
-            h.update(repr(e).encode())
+        summary = fs.getContentSummary(p)
+        h.update(repr((path, summary.getLength(), summary.getFileCount(), fs.getFileStatus(p).getModificationTime())).encode())
     return h.hexdigest()[:16]
 
 
+def _committed(spark: SparkSession, path: str) -> str | None:
+    """The first build folder below ``path`` that is marked as complete."""
+    marker, fs = _fs(spark, f"{path}/build-*/_SUCCESS")
+    found = fs.globStatus(marker) or []
+    return min((str(f.getPath().getParent()) for f in found), default=None)
+
+
 def materialized(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame],
                  cluster_by: Sequence[str] = (), version: str = "1") -> DataFrame:
     """Return the Parquet dataset ``name`` for these inputs, building it once if missing.
@@ -53,16 +59,13 @@ def materialized(spark: SparkSession, name: str, inputs: Sequence[str], build: C
     filters on those keys skip files and row groups.
     """
     path = scratch_path(spark, f"{name}-v{version}-{input_fingerprint(spark, inputs)}")
-    if not path_exists(spark, f"{path}/_SUCCESS"):
+    done = _committed(spark, path)
+    if done is None:
         df = build()
         if cluster_by:
             df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-        tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-        df.write.mode("overwrite").parquet(tmp)
-        src, fs = _fs(spark, tmp)
-        dst, _ = _fs(spark, path)
-        if not fs.exists(dst):
-            fs.rename(src, dst)
-        else:  # another writer finished first; theirs is equivalent
-            fs.delete(src, True)
-    return spark.read.parquet(path)
+        df.write.parquet(f"{path}/build-{uuid.uuid4().hex}")
+        done = _committed(spark, path)  # that of another writer, perhaps; theirs is equivalent
+        if done is None:
+            raise OSError(f"no complete build of {name} below {path}")
+    return spark.read.parquet(done)
