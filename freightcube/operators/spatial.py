@@ -5,8 +5,10 @@ polygon = array<ring>, ring = array<point> (closed), multipolygon = array<polygo
 
 Range predicates never run as nested loops: both sides are mapped to grid cells, the
 join is an equi-join on the cell (hash / sort-merge, AQE splits skewed cells), and the
-exact predicate is the residual. Each candidate pair is evaluated in exactly one cell,
-so no ``distinct`` over candidates is needed.
+exact predicate is the residual. In the radius join a point has one cell, so a pair is
+evaluated once. In the buffer join segments and edges span cells and a line meets a polygon
+in many of them, so its pairs are made distinct. Where only one side's keys are wanted, the
+``*_near_*`` forms are semi joins that never make pairs.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed values that must equal the reference's.
 EARTH_RADIUS_MILES = 3958.8
 MILES_PER_DEGREE = 69.0
+
 DEG2RAD = math.pi / 180.0
 
 
@@ -56,27 +60,41 @@ def radius_join(points: DataFrame, centers: DataFrame, miles: float, point_key:
     everywhere on the sphere, so there is no polar or date-line special case, and a dense
     area splits into many cells instead of one latitude band.
     """
-    points = _non_null_coords(points, [point_key], ["lon", "lat"])
-    centers = _non_null_coords(centers, [center_key], ["lon", "lat"])
+    p, c, theta = _cells_on_sphere(points, centers, miles, radius, [point_key], [center_key])
+    return c.join(p, [c["c_" + x] == p["p_" + x] for x in ("gx", "gy", "gz")]).where(_within(theta)).select(center_key, point_key)
+
+
+def points_near_centers(points: DataFrame, centers: DataFrame, miles: float, point_key: str = "geoid",
+                        radius: float = EARTH_RADIUS_MILES) -> DataFrame:
+    """JN7 + SET3: the keys of the points that have any center within ``miles``, as a left semi
+    join (no pairs are made). Centers at one location are one center."""
+    places = centers.select("lon", "lat").distinct()
+    p, c, theta = _cells_on_sphere(points, places, miles, radius, [point_key], [])
+    same = (p["p_gx"] == c["c_gx"]) & (p["p_gy"] == c["c_gy"]) & (p["p_gz"] == c["c_gz"])
+    return p.join(c, same & _within(theta), "left_semi").select(point_key)
+
+
+def _within(theta: float) -> Column:
+    return haversine_angle(F.col("c_lat"), F.col("c_lon"), F.col("p_lat"), F.col("p_lon")) <= F.lit(theta)
+
+
+def _cells_on_sphere(points: DataFrame, centers: DataFrame, miles: float, radius: float, point_keys: list[str],
+                     center_keys: list[str]) -> tuple[DataFrame, DataFrame, float]:
+    """Points with their cell (p_gx, p_gy, p_gz), centers with the cells they reach (c_...), and the search angle."""
+    points = _non_null_coords(points, point_keys, ["lon", "lat"])
+    centers = _non_null_coords(centers, center_keys, ["lon", "lat"])
     theta = miles / radius
     chord = 2.0 * math.sin(theta / 2.0) * (1.0 + 1e-9) + 1e-12
     side = 2.0 * chord
-    px, py, pz = _unit(F.col("lat"), F.col("lon"))
-    p = points.select(F.col(point_key), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"),
-                      F.floor(px / F.lit(side)).alias("cx"), F.floor(py / F.lit(side)).alias("cy"),
-                      F.floor(pz / F.lit(side)).alias("cz"))
-    cx, cy, cz = _unit(F.col("lat"), F.col("lon"))
-
-    def span(v: Column) -> Column:
-        return F.sequence(F.floor((v - F.lit(chord)) / F.lit(side)), F.floor((v + F.lit(chord)) / F.lit(side)))
-
-    c = (centers.select(F.col(center_key), F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"),
-                        span(cx).alias("sx"), span(cy).alias("sy"), span(cz).alias("sz"))
-         .withColumn("cx", F.explode("sx")).withColumn("cy", F.explode("sy")).withColumn("cz", F.explode("sz"))
-         .drop("sx", "sy", "sz"))
-    j = c.join(p, ["cx", "cy", "cz"])
-    ang = haversine_angle(F.col("c_lat"), F.col("c_lon"), F.col("p_lat"), F.col("p_lon"))
-    return j.where(ang <= F.lit(theta)).select(center_key, point_key)
+    unit = _unit(F.col("lat"), F.col("lon"))
+    p = points.select(*point_keys, F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"),
+                      *[F.floor(v / F.lit(side)).alias(f"p_g{x}") for x, v in zip("xyz", unit)])
+    reach = [F.sequence(F.floor((v - F.lit(chord)) / F.lit(side)), F.floor((v + F.lit(chord)) / F.lit(side))) for v in unit]
+    c = centers.select(*center_keys, F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"),
+                       *[v.alias(f"s{x}") for x, v in zip("xyz", reach)])
+    for x in "xyz":
+        c = c.withColumn(f"c_g{x}", F.explode(f"s{x}")).drop(f"s{x}")
+    return p, c, theta
 
 
 # ------------------------------------------------------------------ SET3 / SET4
@@ -239,52 +257,76 @@ def segment_edge_near(r: float) -> Column:
     return segment_edge_maybe_near(r) & exact
 
 
-def lines_near_polygons(lines: DataFrame, polygons: DataFrame, r: float, line_keys: list[str],
-                        polygon_key: str = "geoid", cell: float = 1.0) -> DataFrame:
-    """JN8: (line keys..., polygon key) for every line whose r-buffer intersects a polygon.
-
-    Distance <= r is the definition (a round buffer; GEOS approximates it with chords).
-    Two equi-joins on grid cells, both with code-generated residuals:
-
-    * segments (cells of their buffered cover) x polygon edges (cells of their cover):
-      the segment crosses an edge or comes within r of it;
-    * the first vertex of each line (its cell) x polygon bounding boxes (their cells):
-      the vertex lies inside the polygon (even-odd ray casting over the polygon's edges),
-      which catches a line lying wholly inside a large polygon. A line that meets a
-      polygon otherwise crosses or nears its boundary, so one vertex per line suffices.
-    """
-    s = line_segments(lines, line_keys)
+def _segment_rows(lines: DataFrame, line_keys: list[str], r: float, cell: float) -> DataFrame:
+    """Segments with each cell (s_gx, s_gy) of their buffered cover. Before the (interpreted) cover they are
+    spread by their own coordinates, so neither one small file nor one owner's lines stay together."""
+    s = line_segments(lines, line_keys).repartition(F.xxhash64("sx1", "sy1", "sx2", "sy2"))
+    cells = segment_cells(F.col("sx1"), F.col("sy1"), F.col("sx2"), F.col("sy2"), r, cell)
+    return s.withColumn("g", F.explode(cells)).select("*", F.col("g.gx").alias("s_gx"), F.col("g.gy").alias("s_gy")).drop("g")
+
+
+def _edge_rows(polygons: DataFrame, polygon_key: str, cell: float) -> DataFrame:
     e = polygon_edge_rows(polygons, polygon_key)
-    # spread segments before the (interpreted) cell cover, then distribute the exploded
-    # rows by cell: the join needs that distribution, and one small input file must not
-    # leave all candidate pairs in one task
-    s = s.repartition(*line_keys)
-    sc = s.withColumn("g", F.explode(segment_cells(F.col("sx1"), F.col("sy1"), F.col("sx2"), F.col("sy2"), r, cell))) \
-        .select("*", "g.gx", "g.gy").drop("g").repartition("gx", "gy")
-    ec = e.withColumn("g", F.explode(segment_cells(F.col("ex1"), F.col("ey1"), F.col("ex2"), F.col("ey2"), 0.0, cell))) \
-        .select("*", "g.gx", "g.gy").drop("g")
-    near = sc.join(ec, ["gx", "gy"]).where(segment_edge_near(r)).select(*line_keys, polygon_key)
+    cells = segment_cells(F.col("ex1"), F.col("ey1"), F.col("ex2"), F.col("ey2"), 0.0, cell)
+    return e.withColumn("g", F.explode(cells)).select("*", F.col("g.gx").alias("e_gx"), F.col("g.gy").alias("e_gy")).drop("g")
+
+
+def _starts_inside(lines: DataFrame, polygons: DataFrame, line_keys: list[str], polygon_key: str, cell: float,
+                   salts: int) -> DataFrame:
+    """(line keys..., polygon key) where the first vertex of the line lies in the polygon.
 
+    A line that meets a polygon crosses or nears its boundary or lies wholly inside, so one
+    vertex per line decides the rest. Vertices meet bounding boxes in cells; both sides are a few
+    numbers a row, and the vertices of a cell are dealt to ``salts`` sub-cells that each have
+    the boxes. The edges of a polygon join the few candidates by its key, not by cell.
+    """
     pts = F.flatten(F.flatten(F.col("geometry")))
     xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
-    boxes = polygons.select(polygon_key, polygon_edges(F.col("geometry")).alias("edges"),
-                            F.array_min(xs).alias("pminx"), F.array_min(ys).alias("pminy"),
+    boxes = polygons.select(polygon_key, F.array_min(xs).alias("pminx"), F.array_min(ys).alias("pminy"),
                             F.array_max(xs).alias("pmaxx"), F.array_max(ys).alias("pmaxy"))
-    boxes = boxes.withColumn("g", F.explode(_bbox_cells(F.col("pminx"), F.col("pminy"), F.col("pmaxx"),
-                                                         F.col("pmaxy"), cell))).select("*", "g.gx", "g.gy").drop("g")
-    # a line meeting a polygon either crosses / nears its boundary (found above) or lies
-    # wholly inside it, so one vertex per line decides the rest
+    boxes = boxes.withColumn("g", F.explode(_bbox_cells(F.col("pminx"), F.col("pminy"), F.col("pmaxx"), F.col("pmaxy"), cell)))
+    boxes = boxes.select("*", "g.gx", "g.gy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).drop("g")
     first = lines.where(F.size("geometry") > F.lit(0)).select(
         *line_keys, F.element_at("geometry", 1)["x"].alias("sx1"), F.element_at("geometry", 1)["y"].alias("sy1"))
     starts = _non_null_coords(first, line_keys, ["sx1", "sy1"]).select(
-        *line_keys, "sx1", "sy1", F.floor(F.col("sx1") / F.lit(cell)).alias("gx"),
-        F.floor(F.col("sy1") / F.lit(cell)).alias("gy"))
+        *line_keys, "sx1", "sy1", F.floor(F.col("sx1") / F.lit(cell)).alias("gx"), F.floor(F.col("sy1") / F.lit(cell)).alias("gy"),
+        F.pmod(F.xxhash64(*line_keys, "sx1", "sy1"), F.lit(salts)).cast("int").alias("salt"))
     inside_box = ((F.col("sx1") >= F.col("pminx")) & (F.col("sx1") <= F.col("pmaxx"))
                   & (F.col("sy1") >= F.col("pminy")) & (F.col("sy1") <= F.col("pmaxy")))
-    cand = starts.join(boxes, ["gx", "gy"]).where(inside_box)
-    inside = cand.where(point_in_edges(_Pt(F.col("sx1"), F.col("sy1")), F.col("edges"))) \
-        .select(*line_keys, polygon_key)
-    return near.unionByName(inside).distinct()
+    candidates = starts.join(boxes, ["gx", "gy", "salt"]).where(inside_box).select(*line_keys, "sx1", "sy1", polygon_key)
+    edges = polygons.select(polygon_key, polygon_edges(F.col("geometry")).alias("edges"))
+    inside = candidates.join(edges, polygon_key).where(point_in_edges(_Pt(F.col("sx1"), F.col("sy1")), F.col("edges")))
+    return inside.select(*line_keys, polygon_key)
+
+
+def lines_near_polygons(lines: DataFrame, polygons: DataFrame, r: float, line_keys: list[str],
+                        polygon_key: str = "geoid", cell: float = 1.0, salts: int = 8) -> DataFrame:
+    """JN8: the distinct (line keys..., polygon key) of lines whose r-buffer intersects a polygon.
+
+    Distance <= r is the definition (a round buffer; GEOS approximates it with chords). Two
+    equi-joins on grid cells, both with code-generated residuals: segments (cells of their
+    buffered cover) x polygon edges (cells of their cover), where one crosses or comes within r of
+    the other; and first vertices x bounding boxes, for lines wholly inside a polygon.
+
+    ``cell`` is the side of a grid cell in the unit of the coordinates: about the length of
+    a typical segment or edge; smaller where the data are denser, since work in a cell
+    grows with segments times edges. A hot cell of the first join is split by AQE.
+    """
+    sc, ec = _segment_rows(lines, line_keys, r, cell), _edge_rows(polygons, polygon_key, cell)
+    near = sc.join(ec, (sc["s_gx"] == ec["e_gx"]) & (sc["s_gy"] == ec["e_gy"])).where(segment_edge_near(r)).select(*line_keys, polygon_key)
+    return near.unionByName(_starts_inside(lines, polygons, line_keys, polygon_key, cell, salts)).distinct()
+
+
+def polygons_near_lines(lines: DataFrame, polygons: DataFrame, r: float, polygon_key: str = "geoid", cell: float = 1.0,
+                        salts: int = 8) -> DataFrame:
+    """JN8 + SET3: the keys of the polygons that any line comes within ``r`` of, as semi joins: no
+    (line, polygon) pairs but the few where a line may lie wholly inside."""
+    sc, ec = _segment_rows(lines, [], r, cell), _edge_rows(polygons, polygon_key, cell)
+    near = ec.join(sc, (sc["s_gx"] == ec["e_gx"]) & (sc["s_gy"] == ec["e_gy"]) & segment_edge_near(r), "left_semi").select(polygon_key).distinct()
+    numbered = lines.select(F.xxhash64("geometry").alias("line"), "geometry").dropDuplicates(["line"])
+    rest = polygons.select(polygon_key, "geometry").join(near, polygon_key, "left_anti")
+    inside = _starts_inside(numbered, rest, ["line"], polygon_key, cell, salts).select(polygon_key).distinct()
+    return near.union(inside)
 
 
 # ------------------------------------------------------------------ GEO1 centroid
@@ -329,13 +371,10 @@ def polygon_centroid(geometry: Column) -> Column:
 
 # ------------------------------------------------------------------ GEO4 thinning
 
-def simplify_line(geometry: Column, tolerance: float = 0.05) -> Column:
-    """GEO4: Douglas-Peucker thinning of a line (planar degrees), as an Arrow-batched
-    pandas UDF over the coordinate arrays. End points are always kept."""
-    tol = float(tolerance)
-
-    # defined inside so the UDF ships by value (workers need not import this package)
-    def _douglas_peucker(xs: np.ndarray, ys: np.ndarray, tol: float) -> list[int]:
+def _thinning(tol: float):
+    """A function (xs, ys) -> kept indexes; defined inside, so it ships by value (workers need
+    not import this package)."""
+    def kept(xs: np.ndarray, ys: np.ndarray) -> list[int]:
         n = len(xs)
         if n <= 2:
             return list(range(n))
@@ -363,16 +402,44 @@ def simplify_line(geometry: Column, tolerance: float = 0.05) -> Column:
                 stack.append((m, j))
         return [int(i) for i in np.nonzero(keep)[0]]
 
+    return kept
+
+
+def simplify_line(geometry: Column, tolerance: float = 0.05) -> Column:
+    """GEO4: Douglas-Peucker thinning of a line (planar degrees), as an Arrow-batched
+    pandas UDF over the coordinate arrays. End points are always kept."""
+    thin = _thinning(float(tolerance))
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def kept(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else _douglas_peucker(np.asarray(x, dtype=float),
-                                                                   np.asarray(y, dtype=float), tol)
+        return pd.Series([None if x is None else thin(np.asarray(x, dtype=float), np.asarray(y, dtype=float))
                           for x, y in zip(xs, ys)])
 
     idx = kept(F.transform(geometry, lambda p: p["x"]), F.transform(geometry, lambda p: p["y"]))
     return F.transform(idx, lambda i: F.element_at(geometry, i + F.lit(1)))
 
 
+def simplify_polygon(geometry: Column, tolerance: float = 0.05) -> Column:
+    """GEO4 on a multipolygon: every ring is thinned; a ring that would lose its area (fewer
+    than four points, the last repeating the first) stays as it is."""
+    thin = _thinning(float(tolerance))
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType()))))
+    def kept(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        def ring(x, y):
+            found = thin(np.asarray(x, dtype=float), np.asarray(y, dtype=float))
+            return found if len(found) >= 4 else list(range(len(x)))
+        return pd.Series([None if polys is None else [[ring(x, y) for x, y in zip(px, py)] for px, py in zip(polys, ys_)]
+                          for polys, ys_ in zip(xs, ys)])
+
+    def coordinate(name):
+        return F.transform(geometry, lambda poly: F.transform(poly, lambda ring: F.transform(ring, lambda p: p[name])))
+
+    idx = kept(coordinate("x"), coordinate("y"))
+    return F.transform(idx, lambda poly, i: F.transform(poly, lambda ring, j: F.transform(
+        ring, lambda k: F.element_at(F.element_at(F.element_at(geometry, i + F.lit(1)), j + F.lit(1)), k + F.lit(1)))))
+
+
 # ------------------------------------------------------------------ GEO6 / SNK4 GeoJSON
 
 def two_point_line(ox: Column, oy: Column, dx: Column, dy: Column) -> Column:

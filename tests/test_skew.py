@@ -80,3 +80,71 @@ def test_hot_cell_in_radius_join(spark):
     exp = sorted((r.terminal_id, r.geoid) for r in
                  c.crossJoin(p).where(ang <= F.lit(25.0 / EARTH_RADIUS_MILES)).collect())
     assert got == exp and len(got) > 1000
+
+
+def _skewed(spark, run):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = run()
+        return df.collect(), df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _hot_rails(spark):
+    """A third of all lines and squares lie in one grid cell, and one owner has all the lines."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    n = 600
+    x = np.where(np.arange(n) % 3 == 0, 10.5 + rng.uniform(-0.3, 0.3, n), rng.uniform(0, 60, n))
+    y = np.where(np.arange(n) % 3 == 0, 10.5 + rng.uniform(-0.3, 0.3, n), rng.uniform(0, 60, n))
+    point = lambda a, b: {"x": float(a), "y": float(b)}
+    lines = spark.createDataFrame([(i, "ONE", [point(a, b), point(a + 0.02, b + 0.01)]) for i, (a, b) in enumerate(zip(x, y))],
+                                  "feature_id bigint, owner string, geometry array<struct<x double, y double>>")
+    half = 0.05
+    squares = [(i, [[[point(a - half, b - half), point(a + half, b - half), point(a + half, b + half), point(a - half, b + half),
+                      point(a - half, b - half)]]]) for i, (a, b) in enumerate(zip(x[::-1] + 0.01, y[::-1] - 0.01))]
+    polygons = spark.createDataFrame(squares, "geoid bigint, geometry array<array<array<struct<x double, y double>>>>")
+    return lines, polygons
+
+
+def test_hot_cell_and_hot_owner_in_buffer_join(spark):
+    from pyspark.sql import functions as F
+    from freightcube.operators import spatial
+    lines, polygons = _hot_rails(spark)
+    lines, polygons = lines.repartition(4).cache(), polygons.repartition(4).cache()
+    got, plan = _skewed(spark, lambda: spatial.lines_near_polygons(lines, polygons, 0.01, ["feature_id", "owner"]))
+    assert "skew=true" in plan                                       # the hot cell of segments x edges is split
+    everywhere, _ = _skewed(spark, lambda: spatial.lines_near_polygons(lines, polygons, 0.01, ["feature_id", "owner"], cell=100.0))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, everywhere)) and len(got) > 200
+    # one owner's segments do not stay together before the join
+    spread, _ = _skewed(spark, lambda: spatial._segment_rows(lines, ["owner"], 0.01, 1.0).groupBy(F.spark_partition_id()).count())
+    assert len(spread) >= 8 and max(r["count"] for r in spread) < 300
+    # the vertices of the hot cell are dealt to sub-cells
+    near = spatial.polygons_near_lines(lines, polygons, 0.01)
+    assert sorted(r.geoid for r in near.collect()) == sorted({r.geoid for r in got})
+    sub = lines.select(F.pmod(F.xxhash64("feature_id", "owner", F.element_at("geometry", 1)["x"], F.element_at("geometry", 1)["y"]), F.lit(8)).alias("s"),
+                       F.floor(F.element_at("geometry", 1)["x"]).alias("gx"), F.floor(F.element_at("geometry", 1)["y"]).alias("gy"))
+    assert sub.where("gx = 10 and gy = 10").groupBy("s").count().count() == 8
+
+
+def test_semi_join_forms_make_no_pairs(spark):
+    from freightcube.operators import spatial
+    lines, polygons = _hot_rails(spark)
+    plan = spatial.polygons_near_lines(lines, polygons, 0.01)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    points = spark.createDataFrame([(i, -84.0 + i / 100, 31.0) for i in range(50)], "geoid bigint, lon double, lat double")
+    centers = spark.createDataFrame([(i, -84.0, 31.0) for i in range(40)] + [(99, None, 31.0)], "terminal_id bigint, lon double, lat double")
+    near = spatial.points_near_centers(points, centers, 10.0)
+    pairs = spatial.radius_join(points, centers, 10.0)
+    assert sorted(r.geoid for r in near.collect()) == sorted({r.geoid for r in pairs.collect()})
+    optimized = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in optimized and "Join Inner" not in optimized
