@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.labels import million_ton_label, name_state_label, origin_label, terminal_role
 from ..operators import cube as C
 from ..operators import reports as R
+from ..operators.spatial import (EARTH_RADIUS_MILES, MILES_PER_DEGREE, geojson_feature, line_coordinates,
+                                 lines_near_polygons, merge_right_wins, points_near_centers, polygon_centroid,
+                                 polygons_near_lines, radius_join, simplify_line, simplify_polygon)
 from ..operators.selection import Selection, apply_region_only, selected_shapes
 from ..sources import star
 from ..sources.dims import commodity_names
+from ..sources.materialize import input_fingerprint, materialized
 from ..sources.tables import load_tables
 from .sql_parts import PAIRS_CTE, cust_lat, cust_lon, id_filter, with_cube
 
@@ -87,7 +91,7 @@ SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_
        CAST(trunc(tons * 1000) AS BIGINT) AS tons
 FROM pairs""")
 def q_flow_table_all(spark, sf_dir):
-    """The default selection of the app: every region, origin and destination."""
+    """RPT5 without any filter: every region, origin and destination."""
     return R.flow_table(_pairs(spark, sf_dir), SEL_ALL)
 
 
@@ -104,11 +108,10 @@ def q_flow_table_mixed(spark, sf_dir):
 @register("flow_table_empty", with_cube(PAIRS_CTE) + """
 SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_cnty_name,
        CAST(trunc(tons * 1000) AS BIGINT) AS tons
-FROM pairs WHERE FALSE""")
+FROM pairs WHERE orig_cnty = -7""")
 def q_flow_table_empty(spark, sf_dir):
-    # ['-1', '-1'] is an empty IN-list: no rows
-    """FLT1: ['-1', '-1'] is an empty IN-list, so no rows."""
-    return R.flow_table(_pairs(spark, sf_dir), Selection.of(regions=["-1", "-1"]))
+    """FLT1: an origin that no shipment has, so no rows."""
+    return R.flow_table(_pairs(spark, sf_dir), Selection.of(origins=["-1", "-7"]))
 
 
 @register("selection_region_only", with_cube(PAIRS_CTE) + f"""
@@ -177,8 +180,7 @@ def q_county_flow_totals(spark, sf_dir):
 
 def _mt_sql(x: str) -> str:
     m = f"(({x}) / CAST(1000 AS DOUBLE))"
-    return (f"CASE WHEN {m} < 1 THEN printf('%.3f (million tons)', round_even({m} * 1000, 0) / 1000) "
-            f"ELSE printf('%.1f (million tons)', round_even({m} * 10, 0) / 10) END")
+    return f"CASE WHEN {m} < 1 THEN printf('%.3f (million tons)', {m}) ELSE printf('%.1f (million tons)', {m}) END"
 
 
 @register("million_ton_labels", "WITH " + _CLF_SQL + f"""
@@ -263,10 +265,10 @@ def q_load_metrics(spark, sf_dir):
     return R.load_metrics(R.filtered_pairs(_pairs(spark, sf_dir), SEL_MIXED))
 
 
-@register("load_metrics_empty", _load_sql("FALSE"))
+@register("load_metrics_empty", _load_sql("dest_cnty = -7"))
 def q_load_metrics_empty(spark, sf_dir):
-    """RPT1 on an empty selection: all zeros."""
-    return R.load_metrics(R.filtered_pairs(_pairs(spark, sf_dir), Selection.of(dests=["-1", "-1"])))
+    """RPT1 on a selection that no shipment meets: all zeros."""
+    return R.load_metrics(R.filtered_pairs(_pairs(spark, sf_dir), Selection.of(dests=["-1", "-7"])))
 
 
 def _flow_lines_sql(q: float, where: str, key: str, pts: str) -> str:
@@ -334,13 +336,33 @@ def q_heatmap_long_counties(spark, sf_dir):
     return R.heatmap_long(_pairs(spark, sf_dir), REGION_ONLY)
 
 
-@register("heatmap_wide", with_cube(PAIRS_CTE) + """
-SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS origin, CAST(COALESCE(COLUMNS(* EXCLUDE (orig_reg)), 0) AS BIGINT)
-FROM (PIVOT (SELECT orig_reg, dest_cnty_name, CAST(round_even(tons * 1000, 0) AS BIGINT) AS tons FROM pairs)
-      ON dest_cnty_name USING SUM(tons) GROUP BY orig_reg)""")
+# The destination dimension: the matrix columns of the wide heatmaps.
+DEST_NAMES = [f"NATION_{i}" for i in range(25)]
+
+
+def _wide_sql(index: str, origin: str, where: str) -> str:
+    names = ", ".join(f"'{n}'" for n in DEST_NAMES)
+    return with_cube(PAIRS_CTE) + f"""
+SELECT {origin} AS origin, {", ".join(f'CAST(COALESCE("{n}", 0) AS BIGINT) AS "{n}"' for n in DEST_NAMES)}
+FROM (PIVOT (SELECT {index}, dest_cnty_name, CAST(round_even(tons * 1000, 0) AS BIGINT) AS tons FROM pairs WHERE {where})
+      ON dest_cnty_name IN ({names}) USING SUM(tons) GROUP BY {index})"""
+
+
+@register("heatmap_wide", _wide_sql("orig_reg", "'Region ' || CAST(orig_reg AS VARCHAR)", "TRUE"))
 def q_heatmap_wide(spark, sf_dir):
     """AGG7 / RPT3 matrix: pivot with 0 fill."""
-    return R.heatmap_wide(_pairs(spark, sf_dir), ["-1"])
+    return R.heatmap_wide(_pairs(spark, sf_dir), ["-1"], DEST_NAMES)
+
+
+@register("heatmap_dense", with_cube(PAIRS_CTE) + """
+SELECT 'Region ' || CAST(o.orig_reg AS VARCHAR) AS origin, d.dest_cnty_name, CAST(COALESCE(s.tons, 0) AS BIGINT) AS tons
+FROM (SELECT DISTINCT orig_reg FROM pairs) o CROSS JOIN (SELECT DISTINCT dest_cnty_name FROM pairs) d
+LEFT JOIN (SELECT orig_reg, dest_cnty_name, SUM(CAST(round_even(tons * 1000, 0) AS BIGINT)) AS tons FROM pairs GROUP BY 1, 2) s
+  ON s.orig_reg = o.orig_reg AND s.dest_cnty_name = d.dest_cnty_name""")
+def q_heatmap_dense(spark, sf_dir):
+    """RPT3 long form with the 0 cells, at region grain."""
+    t = load_tables(spark, sf_dir)
+    return R.heatmap_dense(star.stored_od_pairs(t), star.origin_counties(t), t.nation.select(F.col("n_name").alias("dest_cnty_name")))
 
 
 def _class_sql(v: str, br: str) -> str:
@@ -526,7 +548,7 @@ SELECT terminal_id, name, state, provider, lon AS "Longitude", lat AS "Latitude"
        CASE WHEN state = 'NATION_1' THEN 'Origin' ELSE 'Destination' END AS role
 FROM terminals WHERE provider IN ('RR1', 'RR2', 'RR3', 'RR4', 'RR5')""")
 def q_terminal_role(spark, sf_dir):
-    """PRJ8, PRJ10, PRJ11, FLT4: terminal roles for a set of providers."""
+    """PRJ8, PRJ10, FLT4: terminal roles for a set of providers."""
     tp = star.terminal_points(load_tables(spark, sf_dir))
     return (tp.where(F.col("provider").isin(["RR1", "RR2", "RR3", "RR4", "RR5"]))
             .withColumnsRenamed({"lon": "Longitude", "lat": "Latitude"})
@@ -545,12 +567,10 @@ def q_terminal_name_filter(spark, sf_dir):
 # ------------------------------------------------------------------ spatial
 
 RADIUS_MILES = 50.0
-RAIL_BUFFER_DEG = 1.0 / 69.0
-EARTH_R = 3958.8
+RAIL_BUFFER_DEG = 1.0 / MILES_PER_DEGREE
 
 
 def _radius_pairs(spark, sf_dir, miles=RADIUS_MILES, centers=None):
-    from ..operators.spatial import radius_join
     t = load_tables(spark, sf_dir)
     c = centers if centers is not None else star.terminal_points(t)
     return radius_join(star.county_points(t), c, miles, "geoid", "terminal_id")
@@ -561,7 +581,7 @@ def _radius_sql(miles: float, where: str = "TRUE") -> str:
     ang = haversine_angle(supp_lat("s.s_suppkey"), supp_lon("s.s_suppkey"),
                           cust_lat("c.c_custkey"), cust_lon("c.c_custkey"))
     return (f"SELECT s.s_suppkey AS terminal_id, c.c_custkey AS geoid FROM supplier s, customer c "
-            f"WHERE {where} AND {ang} <= CAST({miles!r} AS DOUBLE) / CAST({EARTH_R!r} AS DOUBLE)")
+            f"WHERE {where} AND {ang} <= CAST({miles!r} AS DOUBLE) / CAST({EARTH_RADIUS_MILES!r} AS DOUBLE)")
 
 
 @register("radius_pairs", _radius_sql(RADIUS_MILES))
@@ -570,11 +590,15 @@ def q_radius_pairs(spark, sf_dir):
     return _radius_pairs(spark, sf_dir)
 
 
+def _radius_counties(spark, sf_dir):
+    t = load_tables(spark, sf_dir)
+    return points_near_centers(star.county_points(t), star.terminal_points(t), RADIUS_MILES)
+
+
 @register("radius_counties", f"SELECT DISTINCT geoid FROM ({_radius_sql(RADIUS_MILES)})")
 def q_radius_counties(spark, sf_dir):
-    """JN7 + SET3: counties within 50 miles of any terminal."""
-    from ..operators.spatial import distinct_members
-    return distinct_members(_radius_pairs(spark, sf_dir), "geoid")
+    """JN7 + SET3: counties within 50 miles of any terminal, as a semi join."""
+    return _radius_counties(spark, sf_dir)
 
 
 @register("terminal_merge", f"""
@@ -586,7 +610,6 @@ UNION ALL SELECT terminal_id, geoid FROM b""")
 def q_terminal_merge(spark, sf_dir):
     """Station map (50 mi) merged with a second terminal set's map (25 mi); the second
     wins per terminal (SET4)."""
-    from ..operators.spatial import merge_right_wins
     t = load_tables(spark, sf_dir)
     second = star.terminal_points(t).where(F.col("name").contains("00000001"))
     left = _radius_pairs(spark, sf_dir)
@@ -610,36 +633,34 @@ def _rail_sql() -> str:
   FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_suppkey % 10 <> 9),
 sq AS (SELECT c_custkey AS geoid, {cust_lon('c_custkey')} AS x, {cust_lat('c_custkey')} AS y,
               (1 + c_custkey % 5) / CAST(10 AS DOUBLE) AS h FROM customer),
-v AS (SELECT geoid, x - h AS x0, y - h AS y0, x + h AS x1, y + h AS y1 FROM sq),
+box AS (SELECT geoid, x - h AS x0, y - h AS y0, x + h AS x1, y + h AS y1 FROM sq),
 edges AS (
-  SELECT geoid, x0 AS ex1, y0 AS ey1, x1 AS ex2, y0 AS ey2 FROM v UNION ALL
-  SELECT geoid, x1, y0, x1, y1 FROM v UNION ALL
-  SELECT geoid, x1, y1, x0, y1 FROM v UNION ALL
-  SELECT geoid, x0, y1, x0, y0 FROM v),
+  SELECT geoid, x0 AS ex1, y0 AS ey1, x1 AS ex2, y0 AS ey2 FROM box UNION ALL
+  SELECT geoid, x1, y0, x1, y1 FROM box UNION ALL
+  SELECT geoid, x1, y1, x0, y1 FROM box UNION ALL
+  SELECT geoid, x0, y1, x0, y0 FROM box),
 pairs AS (
   SELECT feature_id, owner, geoid FROM seg, edges WHERE {near}
   UNION
-  SELECT feature_id, owner, geoid FROM seg, v WHERE sx1 > x0 AND sx1 < x1 AND sy1 > y0 AND sy1 < y1)
+  SELECT feature_id, owner, geoid FROM seg, box WHERE sx1 > x0 AND sx1 < x1 AND sy1 > y0 AND sy1 < y1)
 """
 
 
-def _rail_pairs(spark, sf_dir):
-    from ..operators.spatial import lines_near_polygons
+def _rail_pairs(spark, sf_dir, line_keys):
     t = load_tables(spark, sf_dir)
-    return lines_near_polygons(star.rail_segments(t), star.county_squares(t), RAIL_BUFFER_DEG,
-                               ["feature_id", "owner"], "geoid", cell=1.0)
+    return lines_near_polygons(star.rail_segments(t), star.county_squares(t), RAIL_BUFFER_DEG, line_keys, "geoid", cell=1.0)
 
 
 @register("rail_buffer_pairs", _rail_sql() + "SELECT DISTINCT feature_id, owner, geoid FROM pairs")
 def q_rail_buffer_pairs(spark, sf_dir):
     """JN8 + GEO3: (rail feature, county) pairs within the buffer."""
-    return _rail_pairs(spark, sf_dir)
+    return _rail_pairs(spark, sf_dir, ["feature_id", "owner"])
 
 
 @register("rail_buffer_counties", _rail_sql() + "SELECT DISTINCT owner, geoid FROM pairs")
 def q_rail_buffer_counties(spark, sf_dir):
     """JN8 + SET3: (railroad owner, county) pairs."""
-    return _rail_pairs(spark, sf_dir).select("owner", "geoid").distinct()
+    return _rail_pairs(spark, sf_dir, ["owner"])
 
 
 def _r6(x: str) -> str:
@@ -650,7 +671,6 @@ def _r6(x: str) -> str:
 SELECT c_custkey AS geoid, {_r6(cust_lon('c_custkey'))} AS cx, {_r6(cust_lat('c_custkey'))} AS cy FROM customer""")
 def q_polygon_centroids(spark, sf_dir):
     """GEO1: county polygon centroids (rounded to 6 decimals)."""
-    from ..operators.spatial import polygon_centroid
     sq = star.county_squares(load_tables(spark, sf_dir))
     c = sq.select("geoid", polygon_centroid(F.col("geometry")).alias("c"))
     r6 = lambda x: F.rint(x * F.lit(1e6)) / F.lit(1e6)
@@ -662,30 +682,60 @@ SELECT {_r6(f"AVG({cust_lon('c_custkey')})")} AS mean_lon, {_r6(f"AVG({cust_lat(
 FROM customer""")
 def q_centroid_mean(spark, sf_dir):
     """AGG15: mean of the county centroids."""
-    from ..operators.spatial import polygon_centroid
     sq = star.county_squares(load_tables(spark, sf_dir))
     c = sq.select(polygon_centroid(F.col("geometry")).alias("c"))
     r6 = lambda x: F.rint(x * F.lit(1e6)) / F.lit(1e6)
     return c.agg(r6(F.avg("c.x")).alias("mean_lon"), r6(F.avg("c.y")).alias("mean_lat"))
 
 
-@register("thinned_lines")
+def _hundredths(line):
+    """The points of a line as text, in whole hundredths of a degree."""
+    whole = lambda x: F.rint(x * F.lit(100.0)).cast("bigint").cast("string")
+    return F.array_join(F.transform(line, lambda p: F.concat(whole(p["x"]), F.lit(" "), whole(p["y"]))), " ")
+
+
+def _thinned_sql() -> str:
+    from .sql_parts import supp_lat, supp_lon
+    point = (f"CAST(CAST(round_even({supp_lon('s_suppkey')} * 100, 0) AS BIGINT) AS VARCHAR) || ' ' || "
+             f"CAST(CAST(round_even({supp_lat('s_suppkey')} * 100, 0) AS BIGINT) AS VARCHAR)")
+    return f"""
+SELECT 'RR' || CAST(s_suppkey // 10 AS VARCHAR) AS owner, CAST((count(*) - 1) * {star.POLYLINE_STEPS} + 1 AS INTEGER) AS points_before,
+       CAST(count(*) AS INTEGER) AS points_after, string_agg({point}, ' ' ORDER BY s_suppkey) AS kept
+FROM supplier GROUP BY s_suppkey // 10"""
+
+
+@register("thinned_lines", _thinned_sql())
 def q_thinned_lines(spark, sf_dir):
-    """GEO4: rail polylines thinned with a 0.05 degree tolerance (rows-only check)."""
-    from ..operators.spatial import simplify_line
+    """GEO4: rail polylines thinned with a 0.05 degree tolerance: of the points between two
+    suppliers none stays, and the suppliers, where lines turn, do."""
     pl = star.rail_polylines(load_tables(spark, sf_dir))
-    return pl.select("owner", F.size("geometry").alias("points_before"),
-                     simplify_line(F.col("geometry"), 0.05).alias("geometry")) \
-        .withColumn("points_after", F.size("geometry"))
+    thin = pl.select("owner", F.size("geometry").alias("points_before"), simplify_line(F.col("geometry"), 0.05).alias("geometry"))
+    return thin.select("owner", "points_before", F.size("geometry").alias("points_after"), _hundredths("geometry").alias("kept"))
+
+
+_FEATURE_SQL = _flow_lines_sql(0.99, "TRUE", "orig_reg", _REGION_PTS)
 
 
-@register("geojson_features")
+def _rounded_sql(x: str, scale: int) -> str:
+    return f"CAST(round_even({x} * {scale}, 0) / {scale} AS VARCHAR)"
+
+
+@register("geojson_features", "SELECT '{\"type\":\"Feature\",\"geometry\":{\"type\":\"LineString\",\"coordinates\":[[' || "
+          + " || ',' || ".join((_rounded_sql("orig_lon", 100), _rounded_sql("orig_lat", 100) + " || ']'", "'[' || " + _rounded_sql("dest_lon", 100),
+                                _rounded_sql("dest_lat", 100)))
+          + " || ']]},\"properties\":{\"orig_id\":' || orig_id || ',\"dest_cnty\":' || dest_cnty || ',\"dest_cnty_name\":\"' || dest_cnty_name"
+          + " || '\",\"tons\":' || CAST(tons AS BIGINT) || ',\"weight\":' || " + _rounded_sql("weight", 10000)
+          + " || ',\"opacity\":' || " + _rounded_sql("opacity", 10000) + " || '}}' AS feature FROM (" + _FEATURE_SQL + ")")
 def q_geojson_features(spark, sf_dir):
-    """SNK4 + GEO6: the flow lines as GeoJSON Feature strings (rows-only check)."""
-    from ..operators.spatial import geojson_feature, line_coordinates
+    """SNK4 + GEO6: the flow lines as GeoJSON Feature strings, coordinates in hundredths of a degree."""
     t = load_tables(spark, sf_dir)
+    rounded = lambda x, scale: F.rint(x * F.lit(float(scale))) / F.lit(float(scale))
     lines = R.flow_lines(star.stored_od_pairs(t), SEL_ALL, star.region_points(t), star.origin_county_points(t),
                          star.dest_points(t), with_geometry=True)
+    lines = lines.withColumn("geometry", F.transform("geometry", lambda p: F.struct(
+        rounded(p["x"], 100).alias("x"), rounded(p["y"], 100).alias("y"))))
+    lines = lines.withColumns({"tons": F.col("tons").cast("bigint"), "weight": rounded(F.col("weight"), 10000),
+                               "opacity": rounded(F.col("opacity"), 10000)})
     return lines.select(geojson_feature("LineString", line_coordinates(F.col("geometry")),
                                         ["orig_id", "dest_cnty", "dest_cnty_name", "tons", "weight", "opacity"])
                         .alias("feature"))
@@ -698,10 +748,9 @@ def q_od_cube_streamed(spark, sf_dir):
     """The cube kept by the streaming refresh (all present shipment files folded in);
     must equal ``od_cube``."""
     from ..session import scratch_path
-    from ..sources.materialize import input_fingerprint
     from ..streaming.cube_refresh import refreshed_cube
     inputs = [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in star.CUBE_INPUTS]
-    state = scratch_path(spark, f"cube_stream-{input_fingerprint(spark, inputs)}")
+    state = scratch_path(spark, f"cube_stream-v{star.STORE_VERSION}-{input_fingerprint(spark, inputs)}")
     return refreshed_cube(spark, sf_dir, state)
 
 
@@ -792,9 +841,8 @@ dests AS (SELECT DISTINCT c.c_nationkey AS dest_cnty FROM customer c WHERE c.c_c
 def q_od_cube_transload(spark, sf_dir):
     """JN6: flows in truck mode whose destination is a transload county (a nation holding
     a county within 50 miles of a terminal: JN7 -> SET3 -> left semi join)."""
-    from ..operators.spatial import distinct_members
     t = load_tables(spark, sf_dir)
-    near = distinct_members(_radius_pairs(spark, sf_dir), "geoid")
+    near = _radius_counties(spark, sf_dir)
     dests = t.customer.select(F.col("c_custkey").alias("geoid"), F.col("c_nationkey").alias("dest_cnty")) \
         .join(near, "geoid", "left_semi").select("dest_cnty").distinct()
     flows = star.flow_rows(t).where(F.col("mode") == F.lit(FLOW_MODE)).join(dests, "dest_cnty", "left_semi")
@@ -844,8 +892,7 @@ SELECT DISTINCT geoid FROM near WHERE geoid NOT IN (SELECT geoid FROM se)""")
 def q_transload_outside_southeast(spark, sf_dir):
     """JN3: transload counties (within 50 miles of a terminal) that are not Southeast
     counties, as a left anti join (no NOT IN null trap)."""
-    from ..operators.spatial import distinct_members
-    near = distinct_members(_radius_pairs(spark, sf_dir), "geoid")
+    near = _radius_counties(spark, sf_dir)
     return near.join(_southeast_counties(load_tables(spark, sf_dir)).select("geoid"), "geoid", "left_anti")
 
 
@@ -858,9 +905,8 @@ SELECT cs.*, inter + inbound + outbound AS total FROM cs WHERE geoid IN (SELECT
 def q_transload_county_flows(spark, sf_dir):
     """JN2 + PRJ1: county flow totals (all modes and commodities) for the transload
     counties only - the IN-subquery read of county shapes with flows, as a left semi join."""
-    from ..operators.spatial import distinct_members
     t = load_tables(spark, sf_dir)
-    near = distinct_members(_radius_pairs(spark, sf_dir), "geoid")
+    near = _radius_counties(spark, sf_dir)
     dests = t.customer.select(F.col("c_custkey").alias("geoid"), F.col("c_nationkey").cast("int").alias("dest")) \
         .join(near, "geoid", "left_semi").select(F.col("dest").alias("geoid")).distinct()
     clf = star.stored_county_level_flows(t)
@@ -877,11 +923,104 @@ def q_flow_lines_regions(spark, sf_dir):
     return _flow_lines(spark, sf_dir, SEL_REGIONS)
 
 
-@register("heatmap_wide_counties", with_cube(PAIRS_CTE) + f"""
-SELECT orig_cnty_name AS origin, CAST(COALESCE(COLUMNS(* EXCLUDE (orig_cnty_name)), 0) AS BIGINT)
-FROM (PIVOT (SELECT orig_cnty_name, dest_cnty_name, CAST(round_even(tons * 1000, 0) AS BIGINT) AS tons
-             FROM pairs WHERE {id_filter('orig_reg', [2, 4])})
-      ON dest_cnty_name USING SUM(tons) GROUP BY orig_cnty_name)""")
+@register("heatmap_wide_counties", _wide_sql("orig_cnty_name", "orig_cnty_name", id_filter("orig_reg", [2, 4])))
 def q_heatmap_wide_counties(spark, sf_dir):
     """AGG7 / RPT3 matrix at county-name grain (regions selected)."""
-    return R.heatmap_wide(_pairs(spark, sf_dir), REGION_ONLY)
+    return R.heatmap_wide(_pairs(spark, sf_dir), REGION_ONLY, DEST_NAMES)
+
+
+# ------------------------------------------------------------------ the app's default selection
+# No region and no destination is chosen; the origins are a table: the counties near the
+# railroads of some owners (JN8). Origin counties share their keys with the county polygons.
+
+DEFAULT_OWNERS = ("RR0", "RR3", "RR7")
+
+
+def _near_rails(t) -> DataFrame:
+    rails = star.rail_segments(t).where(F.col("owner").isin(list(DEFAULT_OWNERS)))
+    return polygons_near_lines(rails, star.county_squares(t), RAIL_BUFFER_DEG)
+
+
+def _default_selection(t) -> Selection:
+    """The county table is a stored one, as in the app; the reports semi-join it."""
+    inputs = [f"{t.base_dir}/{n}.parquet" for n in ("supplier", "customer")]
+    stored = materialized(t.spark, "rail_near_counties", inputs, lambda: _near_rails(t), version=star.STORE_VERSION)
+    return Selection.of(regions=["-1"], origins=stored, dests=["-1"])
+
+
+_DEFAULT_CTE = f"near AS (SELECT DISTINCT geoid FROM pairs_r WHERE owner IN {DEFAULT_OWNERS!r})"
+_IN_DEFAULT = "orig_cnty IN (SELECT geoid FROM near)"
+
+
+def _with_default(sql: str) -> str:
+    """``sql`` (a WITH over the cube) with the county table of the default selection."""
+    rails = _rail_sql().replace("WITH seg AS", "seg AS").replace("pairs AS (", "pairs_r AS (").rstrip()
+    return sql.replace("WITH ", f"WITH {rails},\n{_DEFAULT_CTE},\n", 1)
+
+
+@register("default_flow_table", _with_default(with_cube(PAIRS_CTE) + f"""
+SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_cnty_name,
+       CAST(trunc(tons * 1000) AS BIGINT) AS tons FROM pairs WHERE {_IN_DEFAULT}"""))
+def q_default_flow_table(spark, sf_dir):
+    """RPT5 for the app's default selection: origins are the table of counties near railroads."""
+    t = load_tables(spark, sf_dir)
+    return R.flow_table(star.stored_od_pairs(t), _default_selection(t))
+
+
+@register("default_load_metrics", _with_default(_load_sql(_IN_DEFAULT)))
+def q_default_load_metrics(spark, sf_dir):
+    """RPT1 for the app's default selection."""
+    t = load_tables(spark, sf_dir)
+    return R.load_metrics(R.filtered_pairs(star.stored_od_pairs(t), _default_selection(t)))
+
+
+@register("default_flow_lines", _with_default(_flow_lines_sql(0.99, _IN_DEFAULT, "orig_cnty", _supp_pts())))
+def q_default_flow_lines(spark, sf_dir):
+    """RPT2 for the app's default selection: county grain with quantile 0.99."""
+    t = load_tables(spark, sf_dir)
+    return _flow_lines(spark, sf_dir, _default_selection(t))
+
+
+@register("rail_near_counties", _rail_sql() + f"SELECT DISTINCT geoid FROM pairs WHERE owner IN {DEFAULT_OWNERS!r}")
+def q_rail_near_counties(spark, sf_dir):
+    """JN8 + SET3 as semi joins: the counties near the railroads of some owners."""
+    return _near_rails(load_tables(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ menus and load-time tables
+
+@register("destination_options", """
+SELECT 0 AS ord, CAST(NULL AS VARCHAR) AS state_name, 'All' AS label, '-1' AS value
+UNION ALL
+SELECT 1, r.r_name, n.n_name || ', ' || r.r_name, CAST(n.n_nationkey AS VARCHAR)
+FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""")
+def q_destination_options(spark, sf_dir):
+    """RPT7: the destination menu, ordered by state."""
+    t = load_tables(spark, sf_dir)
+    states = F.broadcast(t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("state_name")))
+    return R.destination_options(t.nation.join(states, "n_regionkey").select(
+        F.col("n_nationkey").alias("geoid"), F.col("n_name").alias("name"), "state_name"))
+
+
+@register("region_counties", "SELECT DISTINCT s_nationkey AS orig_reg, s_suppkey AS orig_cnty, s_name AS orig_cnty_name FROM supplier")
+def q_region_counties(spark, sf_dir):
+    """RPT9: region to counties, long form."""
+    return R.region_counties(star.origin_counties(load_tables(spark, sf_dir)))
+
+
+@register("thinned_polygons", f"""
+WITH sq AS (SELECT c_custkey AS geoid, {cust_lon('c_custkey')} AS x, {cust_lat('c_custkey')} AS y,
+                   (1 + c_custkey % 5) / CAST(10 AS DOUBLE) AS h FROM customer)
+SELECT geoid, {4 * star.POLYLINE_STEPS + 1} AS points_before, 5 AS points_after,
+       concat_ws(' ', CAST(round_even((x - h) * 100, 0) AS BIGINT), CAST(round_even((y - h) * 100, 0) AS BIGINT),
+                      CAST(round_even((x + h) * 100, 0) AS BIGINT), CAST(round_even((y - h) * 100, 0) AS BIGINT),
+                      CAST(round_even((x + h) * 100, 0) AS BIGINT), CAST(round_even((y + h) * 100, 0) AS BIGINT),
+                      CAST(round_even((x - h) * 100, 0) AS BIGINT), CAST(round_even((y + h) * 100, 0) AS BIGINT),
+                      CAST(round_even((x - h) * 100, 0) AS BIGINT), CAST(round_even((y - h) * 100, 0) AS BIGINT)) AS kept
+FROM sq""")
+def q_thinned_polygons(spark, sf_dir):
+    """GEO4 on polygons: squares with points along their sides thin to their corners."""
+    sq = star.dense_squares(load_tables(spark, sf_dir))
+    ring = F.element_at(F.element_at("geometry", 1), 1)
+    thin = sq.select("geoid", F.size(ring).alias("points_before"), simplify_polygon(F.col("geometry"), 0.05).alias("geometry"))
+    return thin.select("geoid", "points_before", F.size(ring).alias("points_after"), _hundredths(ring).alias("kept"))

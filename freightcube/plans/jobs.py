@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cube as C
+from ..functions.labels import name_state_label
+from ..operators.reports import region_counties
 from ..operators.spatial import (MILES_PER_DEGREE, distinct_members, lines_near_polygons, merge_right_wins,
-                                 polygon_centroid, radius_join)
+                                 polygon_centroid, radius_join, simplify_polygon)
 from ..sinks.files import write_key_table, write_pair_map
 from ..sources.tables import Tables
 from ..sources import star
@@ -19,6 +21,7 @@ TERMINAL_RADIUS_MILES = 50
 RAIL_BUFFER_MILES = 1
 CLASS3_OWNERS = ("HOG", "GC", "CCKY")
 CHICAGO = "Chicago"
+THINNING_DEGREES = 0.05
 
 
 def county_centroids(counties: DataFrame, key: str = "geoid") -> DataFrame:
@@ -60,14 +63,22 @@ def county_prep(counties: DataFrame, stations: DataFrame, provider_terminals: Da
 
 
 def cube_prep(t: Tables, out_dir: str | None = None) -> dict[str, DataFrame]:
-    """RPT9: the OD cube and its destination / region totals (the reference's load-time ETL).
+    """RPT9: the OD cube and the side tables of the reference's load-time ETL: destination and
+    region totals, region to counties, county name labels, and the centroids of the county
+    polygons before and after thinning (GEO4).
 
     The cube itself is stored once per input version (see ``star.stored_od_cube``); with
-    ``out_dir`` the two small totals tables are written next to it.
+    ``out_dir`` the other tables are written next to it.
     """
     cube = star.stored_od_cube(t)
-    out = {"od_cube": cube, "dest_totals": C.dest_totals(cube), "region_totals": C.region_totals(cube)}
+    counties = star.county_squares(t)
+    names = star.county_points(t).select(F.col("geoid"), name_state_label("name", "state_name").alias("label"))
+    thinned = counties.select("geoid", simplify_polygon(F.col("geometry"), THINNING_DEGREES).alias("geometry"))
+    out = {"od_cube": cube, "dest_totals": C.dest_totals(cube), "region_totals": C.region_totals(cube),
+           "region_counties": region_counties(star.origin_counties(t)), "county_names": names,
+           "county_centroids": county_centroids(counties), "thinned_centroids": county_centroids(thinned)}
     if out_dir:
-        for name in ("dest_totals", "region_totals"):
-            out[name].write.mode("overwrite").parquet(f"{out_dir}/{name}")
+        for name, table in out.items():
+            if name != "od_cube":
+                table.write.mode("overwrite").parquet(f"{out_dir}/{name}")
     return out

@@ -42,16 +42,17 @@ def value_tons() -> Column:
     return (F.col("l_extendedprice").cast("decimal(15,2)") * F.lit(0.001).cast("decimal(4,3)")).cast("decimal(20,5)")
 
 
-def flow_rows(t: Tables, tons: Column | None = None) -> DataFrame:
+def flow_rows(t: Tables, tons: Column | None = None, **measures: Column) -> DataFrame:
     """SRC6 analogue: one row per shipment line with origin county, destination county,
-    commodity, mode and thousand tons (``l_quantity`` unless ``tons`` is given)."""
+    commodity, mode and thousand tons (``l_quantity`` unless ``tons`` is given), and any further ``measures``."""
     tons_col = F.col("l_quantity") if tons is None else tons
-    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", tons_col.alias("tons"))
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", tons_col.alias("tons"),
+                           *[c.alias(n) for n, c in measures.items()])
     on = order_nations(t).withColumnRenamed("o_orderkey", "l_orderkey")
     p = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type")
     return (li.join(on, "l_orderkey").join(p, "l_partkey")
             .select(F.col("l_suppkey").alias("orig_cnty"), F.col("c_nationkey").alias("dest_cnty"),
-                    F.col("p_type").alias("commodity_code"), F.col("l_returnflag").alias("mode"), "tons"))
+                    F.col("p_type").alias("commodity_code"), F.col("l_returnflag").alias("mode"), "tons", *measures))
 
 
 def origin_counties(t: Tables) -> DataFrame:
@@ -73,34 +74,43 @@ def od_cube(t: Tables, tons: Column | None = None) -> DataFrame:
 
 CUBE_INPUTS = ("lineitem", "orders", "customer", "nation", "supplier", "part")
 # version of the stored tables' build logic: bump when the cube or county-flow logic changes
-STORE_VERSION = "2"
+STORE_VERSION = "3"
+
+
+def _stored(t: Tables, name: str, build, cluster_by=()) -> DataFrame:
+    return materialized(t.spark, name, [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS], build, cluster_by, STORE_VERSION)
+
+
+def stored_flow_sums(t: Tables) -> DataFrame:
+    """Shipments summed by (origin, destination, commodity, mode), in tons and in value: the one pass
+    over the joined fact that the cube, the value cube and the county flows are derived from."""
+    return _stored(t, "flow_sums", lambda: flow_rows(t, value=value_tons()).groupBy(
+        "orig_cnty", "dest_cnty", "commodity_code", "mode").agg(F.sum("tons").alias("tons"), F.sum("value").alias("value")))
+
+
+def _cube_of(t: Tables, measure: str) -> DataFrame:
+    sums = stored_flow_sums(t).select("orig_cnty", "dest_cnty", "commodity_code", F.col(measure).alias("tons"))
+    return assemble_od_cube(sums, origin_counties(t), dest_counties(t))
 
 
 def stored_od_cube(t: Tables) -> DataFrame:
     """The cube written once as Parquet (clustered by region and origin) and read back."""
-    return materialized(t.spark, "od_cube", [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS],
-                        lambda: od_cube(t), cluster_by=("orig_reg", "orig_cnty"), version=STORE_VERSION).select(*CUBE_KEYS, "tons")
+    return _stored(t, "od_cube", lambda: _cube_of(t, "tons"), ("orig_reg", "orig_cnty")).select(*CUBE_KEYS, "tons")
 
 
 def stored_od_cube_value(t: Tables) -> DataFrame:
     """The cube with fractional (price-based, exact decimal) thousand tons, stored once."""
-    return materialized(t.spark, "od_cube_value", [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS],
-                        lambda: od_cube(t, value_tons()), cluster_by=("orig_reg", "orig_cnty"),
-                        version=STORE_VERSION).select(*CUBE_KEYS, "tons")
+    return _stored(t, "od_cube_value", lambda: _cube_of(t, "value"), ("orig_reg", "orig_cnty")).select(*CUBE_KEYS, "tons")
 
 
 def stored_od_pairs(t: Tables) -> DataFrame:
     """The cube summed over commodities (5 keys), stored once: the grain most reports read,
     so an unfiltered report does not re-aggregate the whole cube."""
-    return materialized(t.spark, "od_pairs", [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS],
-                        lambda: od_pairs(stored_od_cube(t)), cluster_by=("orig_reg", "orig_cnty"),
-                        version=STORE_VERSION).select(*PAIR_KEYS, "tons")
+    return _stored(t, "od_pairs", lambda: od_pairs(stored_od_cube(t)), ("orig_reg", "orig_cnty")).select(*PAIR_KEYS, "tons")
 
 
 def stored_od_pairs_value(t: Tables) -> DataFrame:
-    return materialized(t.spark, "od_pairs_value", [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS],
-                        lambda: od_pairs(stored_od_cube_value(t)), cluster_by=("orig_reg", "orig_cnty"),
-                        version=STORE_VERSION).select(*PAIR_KEYS, "tons")
+    return _stored(t, "od_pairs_value", lambda: od_pairs(stored_od_cube_value(t)), ("orig_reg", "orig_cnty")).select(*PAIR_KEYS, "tons")
 
 
 # ---------------------------------------------------------------- dimensions
@@ -127,7 +137,7 @@ def county_level_flows(t: Tables) -> DataFrame:
     first (map-side combined), then split into its outbound and inbound rows with a
     generator, so the joined fact is read once.
     """
-    f = flow_rows(t).join(t.supplier.select(F.col("s_suppkey").alias("orig_cnty"), "s_nationkey"), "orig_cnty")
+    f = stored_flow_sums(t).join(t.supplier.select(F.col("s_suppkey").alias("orig_cnty"), "s_nationkey"), "orig_cnty")
     pairs = f.groupBy("s_nationkey", "dest_cnty", "mode", "commodity_code").agg(F.sum("tons").alias("q"))
     same = F.col("s_nationkey") == F.col("dest_cnty")
     zero = F.lit(0.0)
@@ -145,8 +155,7 @@ def county_level_flows(t: Tables) -> DataFrame:
 
 
 def stored_county_level_flows(t: Tables) -> DataFrame:
-    return materialized(t.spark, "county_level_flows", [f"{t.base_dir}/{n}.parquet" for n in CUBE_INPUTS],
-                        lambda: county_level_flows(t), version=STORE_VERSION)
+    return _stored(t, "county_level_flows", lambda: county_level_flows(t))
 
 
 # ---------------------------------------------------------------- geometry from keys
@@ -240,12 +249,38 @@ def rail_segments(t: Tables) -> DataFrame:
                     line.alias("geometry"))
 
 
-def rail_polylines(t: Tables) -> DataFrame:
-    """One polyline per owner through its (at most 10) suppliers in key order."""
+POLYLINE_STEPS = 8
+
+
+def rail_polylines(t: Tables, steps: int = POLYLINE_STEPS) -> DataFrame:
+    """One polyline per owner through its (at most 10) suppliers in key order, with ``steps - 1``
+    points evenly between two suppliers, as survey lines have points on straight stretches."""
     k = F.col("s_suppkey")
     pts = t.supplier.select(F.floor(k / F.lit(10)).alias("grp"),
                             F.struct(k.alias("k"), supplier_lon(k).alias("x"), supplier_lat(k).alias("y")).alias("p"))
     # groups hold at most 10 rows by construction
     g = pts.groupBy("grp").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    last = F.element_at("ps", -1)
+
+    def point(i):
+        a = F.element_at("ps", F.floor(i / F.lit(steps)).cast("int") + F.lit(1))
+        b = F.element_at("ps", F.floor(i / F.lit(steps)).cast("int") + F.lit(2))
+        part = (i % F.lit(steps)).cast("double") / F.lit(float(steps))
+        return F.struct((a["x"] + (b["x"] - a["x"]) * part).alias("x"), (a["y"] + (b["y"] - a["y"]) * part).alias("y"))
+
+    count = (F.size("ps") - F.lit(1)) * F.lit(steps)
+    dense = F.when(count > F.lit(0), F.transform(F.sequence(F.lit(0), F.greatest(count - F.lit(1), F.lit(0))), point))
+    end = F.array(F.struct(last["x"].alias("x"), last["y"].alias("y")))
     return g.select(F.concat(F.lit("RR"), F.col("grp").cast("string")).alias("owner"),
-                    F.transform("ps", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("geometry"))
+                    F.concat(F.coalesce(dense, F.array().cast("array<struct<x:double,y:double>>")), end).alias("geometry"))
+
+
+def dense_squares(t: Tables, steps: int = POLYLINE_STEPS) -> DataFrame:
+    """The county squares with ``steps - 1`` points evenly along every side."""
+    def dense(ring):
+        return F.transform(F.sequence(F.lit(0), F.lit(4 * steps)), lambda i: F.struct(
+            *[(F.element_at(ring, F.least(F.floor(i / F.lit(steps)).cast("int") + F.lit(1), F.lit(5)))[c]
+               + (F.element_at(ring, F.least(F.floor(i / F.lit(steps)).cast("int") + F.lit(2), F.lit(5)))[c]
+                  - F.element_at(ring, F.least(F.floor(i / F.lit(steps)).cast("int") + F.lit(1), F.lit(5)))[c])
+               * ((i % F.lit(steps)).cast("double") / F.lit(float(steps)))).alias(c) for c in ("x", "y")]))
+    return county_squares(t).withColumn("geometry", F.transform("geometry", lambda poly: F.transform(poly, dense)))

@@ -37,7 +37,8 @@ def rows_spark(df):
 
 
 def rows_duck(con, sql):
-    rel = con.execute(sql)
+    con.execute(f"CREATE OR REPLACE TEMP VIEW oracle_result AS {sql}")  # as the driver does
+    rel = con.execute("SELECT * FROM oracle_result")
     names = [d[0] for d in rel.description]
     data = rel.fetchall()
     cols = sorted(names)
