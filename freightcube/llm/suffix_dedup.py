@@ -258,6 +258,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 200, id_column: str = "doc_
     # Pass 1 and the first half of pass 2: how many suffixes share a digit, and whether they share the context.
     groups = suffixes.groupBy("digit").agg(F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most"))
     groups = groups.where("n >= 2").select("digit", (F.col("least") == F.col("most")).alias("alike"))
+    groups = saved(groups, "digits")  # small; and the join below then has shuffles of its own, so a hot digit can be split
     repeated = saved(suffixes.join(groups, "digit"), "suffixes")
     alike = repeated.where("alike").select("own_id", "text_key", (F.col("position") - pad).alias("begin"),
                                            (F.col("position") + threshold).alias("end"))
