@@ -7,6 +7,7 @@ Column names and types are kept identical on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,18 @@ from ..functions.labels import million_ton_label, name_state_label, origin_label
 from ..operators import cube as C
 from ..operators import reports as R
 from ..operators.spatial import (EARTH_RADIUS_MILES, MILES_PER_DEGREE, geojson_feature, line_coordinates,
-                                 lines_near_polygons, merge_right_wins, points_near_centers, polygon_centroid,
+                                 lines_near_polygons, merge_right_wins, multipolygon_coordinates,
+                                 point_coordinates, points_near_centers, polygon_centroid,
                                  polygons_near_lines, radius_join, simplify_line, simplify_polygon)
 from ..operators.selection import Selection, apply_region_only, selected_shapes
+from ..session import scratch_path
+from ..sinks.files import append_rows, write_csv, write_geojson_lines, write_key_table, write_pair_map
 from ..sources import star
 from ..sources.dims import commodity_names
+from ..sources.files import geometry_from_geojson, read_csv, read_geojson, shapes_from_geojson_column, with_point
 from ..sources.materialize import input_fingerprint, materialized
 from ..sources.tables import load_tables
+from .jobs import county_prep, cube_prep
 from .sql_parts import PAIRS_CTE, cust_lat, cust_lon, id_filter, with_cube
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -747,7 +753,6 @@ def q_geojson_features(spark, sf_dir):
 def q_od_cube_streamed(spark, sf_dir):
     """The cube kept by the streaming refresh (all present shipment files folded in);
     must equal ``od_cube``."""
-    from ..session import scratch_path
     from ..streaming.cube_refresh import refreshed_cube
     inputs = [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in star.CUBE_INPUTS]
     state = scratch_path(spark, f"cube_stream-v{star.STORE_VERSION}-{input_fingerprint(spark, inputs)}")
@@ -1024,3 +1029,106 @@ def q_thinned_polygons(spark, sf_dir):
     ring = F.element_at(F.element_at("geometry", 1), 1)
     thin = sq.select("geoid", F.size(ring).alias("points_before"), simplify_polygon(F.col("geometry"), 0.05).alias("geometry"))
     return thin.select("geoid", "points_before", F.size(ring).alias("points_after"), _hundredths(ring).alias("kept"))
+
+
+# ------------------------------------------------------------------ sinks and file sources
+# Each query writes a table derived from the base tables into the shared folder with one of
+# the sinks and returns what the matching source reads back.
+
+def _export(spark, name: str) -> str:
+    return scratch_path(spark, f"exports/{name}-{uuid.uuid4().hex}")
+
+
+@register("csv_export", with_cube(PAIRS_CTE) + """
+SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_cnty_name,
+       CAST(trunc(tons * 1000) AS BIGINT) AS tons
+FROM pairs""")
+def q_csv_export(spark, sf_dir):
+    """SNK5 + SRC4: the flow table exported as CSV and read with its schema."""
+    table, path = R.flow_table(_pairs(spark, sf_dir), SEL_ALL), _export(spark, "csv")
+    write_csv(table, path)
+    return read_csv(spark, path, table.schema)
+
+
+@register("geojson_terminals", f"""WITH {_terminals_sql()}
+SELECT terminal_id, name, lon AS x, lat AS y FROM terminals""")
+def q_geojson_terminals(spark, sf_dir):
+    """PRJ11 + SNK4 + SRC5: terminal points written as GeoJSON features and read back."""
+    points, path = with_point(star.terminal_points(load_tables(spark, sf_dir)), "lon", "lat"), _export(spark, "geojson")
+    write_geojson_lines(points, path, "Point", point_coordinates(F.col("geometry.x"), F.col("geometry.y")), ["terminal_id", "name"])
+    back = geometry_from_geojson(read_geojson(spark, path, ["terminal_id", "name"], feature_per_line=True))
+    return back.select(F.col("terminal_id").cast("bigint").alias("terminal_id"), "name", "point.x", "point.y")
+
+
+@register("stored_key_table", f"SELECT DISTINCT geoid FROM ({_radius_sql(RADIUS_MILES)})")
+def q_stored_key_table(spark, sf_dir):
+    """SNK1: the counties near terminals as a stored key table."""
+    path = _export(spark, "keys")
+    write_key_table(_radius_counties(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@register("stored_pair_map", _radius_sql(RADIUS_MILES))
+def q_stored_pair_map(spark, sf_dir):
+    """SNK3: terminals to counties as a stored pair table."""
+    path = _export(spark, "pairs")
+    write_pair_map(_radius_pairs(spark, sf_dir), path, "terminal_id", "geoid")
+    return spark.read.parquet(path)
+
+
+@register("appended_rows", "SELECT c_custkey AS geoid, c_name AS name FROM customer")
+def q_appended_rows(spark, sf_dir):
+    """SNK2: counties appended to one table in two loads."""
+    c, path = load_tables(spark, sf_dir).customer, _export(spark, "append")
+    for part in (F.col("c_nationkey") < 13, F.col("c_nationkey") >= 13):
+        append_rows(c.where(part).select(F.col("c_custkey").alias("geoid"), F.col("c_name").alias("name")), path)
+    return spark.read.parquet(path)
+
+
+@register("shape_rows", f"""
+SELECT c_custkey AS geoid, {_r6(cust_lat('c_custkey'))} AS intptlat, {_r6(cust_lon('c_custkey'))} AS intptlon,
+       {_r6(cust_lon('c_custkey'))} AS cx, {_r6(cust_lat('c_custkey'))} AS cy FROM customer""")
+def q_shape_rows(spark, sf_dir):
+    """SRC2: shape rows as a database gives them (GeoJSON text, coordinates as text) parsed into geometry."""
+    t = load_tables(spark, sf_dir)
+    geom = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), multipolygon_coordinates(F.col("geometry")).alias("coordinates")))
+    points = star.county_points(t).select("geoid", F.col("lat").cast("string").alias("intptlat"), F.col("lon").cast("string").alias("intptlon"))
+    rows = star.county_squares(t).select("geoid", geom.alias("geom")).join(points, "geoid")
+    r6 = lambda x: F.rint(x * F.lit(1e6)) / F.lit(1e6)
+    parsed = shapes_from_geojson_column(rows).withColumn("c", polygon_centroid(F.col("multipolygon")))
+    return parsed.select("geoid", r6(F.col("intptlat")).alias("intptlat"), r6(F.col("intptlon")).alias("intptlon"),
+                         r6(F.col("c.x")).alias("cx"), r6(F.col("c.y")).alias("cy"))
+
+
+@register("county_prep", _rail_sql().rstrip() + f""",
+near AS ({_radius_sql(RADIUS_MILES)})
+SELECT DISTINCT 'transload' AS kind, geoid FROM near
+UNION ALL SELECT DISTINCT 'rail', geoid FROM pairs WHERE owner IN {DEFAULT_OWNERS!r}""")
+def q_county_prep(spark, sf_dir):
+    """RPT8: the county preparation job on terminals, polygons and railroads; both stored key tables."""
+    t = load_tables(spark, sf_dir)
+    terminals = star.terminal_points(t)
+    stations = terminals.select(F.col("terminal_id").alias("Code"), F.col("provider").alias("ServiceRR"),
+                                F.col("lon").alias("Longitude"), F.col("lat").alias("Latitude"))
+    added = terminals.where(F.col("terminal_id") % 10 == 0).select(
+        F.concat(F.lit("Chicago "), "name").alias("Location"), F.col("provider").alias("Service Provider"), "lon", "lat")
+    path = _export(spark, "prep")
+    county_prep(star.county_squares(t), stations, added, star.rail_segments(t), path, owners=DEFAULT_OWNERS)
+    kinds = (("transload", "transload_counties"), ("rail", "ll_se_counties"))
+    first, second = (spark.read.parquet(f"{path}/{name}").select(F.lit(kind).alias("kind"), "geoid") for kind, name in kinds)
+    return first.union(second)
+
+
+@register("county_names", """
+SELECT c_custkey AS geoid, c_name || ', ' || n_name AS label FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def q_county_names(spark, sf_dir):
+    """RPT9: county name labels of the load-time tables."""
+    return cube_prep(load_tables(spark, sf_dir))["county_names"]
+
+
+@register("thinned_centroids", f"""
+SELECT c_custkey AS geoid, {_r6(cust_lon('c_custkey'))} AS lon, {_r6(cust_lat('c_custkey'))} AS lat FROM customer""")
+def q_thinned_centroids(spark, sf_dir):
+    """RPT9 + GEO1 + GEO4: centroids of the thinned county polygons."""
+    r6 = lambda x: F.rint(x * F.lit(1e6)) / F.lit(1e6)
+    return cube_prep(load_tables(spark, sf_dir))["thinned_centroids"].select("geoid", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"))
