@@ -48,8 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     under this folder, never with a machine-local folder on a cluster.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    if not path and spark.sparkContext.getCheckpointDir():
+        # Spark appends a folder of this application's own; stored tables outlive it
+        path = spark.sparkContext.getCheckpointDir().rstrip("/").rsplit("/", 1)[0]
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
