@@ -26,9 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sums, saved, ship_by_value, text_or_empty
+from .common import Sums, mixed, saved, ship_by_value, text_or_empty
 
 WINDOW, MAX_CHUNKS, MIN_BITS = 7, 64, 2
+#: Bytes of a text that are hashed at a time.
+PART = 1 << 22
 _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
@@ -44,24 +46,64 @@ class Hasher(Sums):
         if not n:
             return MIN_BITS, np.empty(0, np.int16), np.empty(0, np.int16)
         b = np.frombuffer(data, np.uint8)
-        wide = b.astype(np.uint32) + np.uint32(1)
-        rolling = np.zeros(n, np.uint32)
-        for back in range(min(WINDOW, n)):
-            rolling[back:] += wide[:n - back] * np.uint32(pow(0x01000193, back + 1, 1 << 32))
-        rolling ^= rolling >> np.uint32(15)
-        rolling *= np.uint32(0x2C1B3C6D)
-        rolling ^= rolling >> np.uint32(13)
-        ends = np.flatnonzero((rolling & np.uint32((1 << MIN_BITS) - 1)) == 0)
-        zeros = np.bitwise_count((rolling[ends] & -rolling[ends].astype(np.int64)).astype(np.uint32) - np.uint32(1))
-        ends = ends + 1
+        if n > PART:
+            return self._long(b)
+        ends, zeros = _boundaries(b, MIN_BITS)
         inner = ends < n  # the text's end closes the last chunk anyway
-        ends, zeros = ends[inner], zeros[inner]
-        reaching = np.cumsum(np.bincount(zeros, minlength=33)[::-1])[::-1]
-        bits = MIN_BITS
-        while reaching[bits] + 1 > MAX_CHUNKS:
-            bits += 1
+        bits, first, second = _chosen(ends[inner], zeros[inner], n)
         sums = self.of(b)
-        return (bits, *(self.signature(sums, np.append(ends[zeros >= at], n)) for at in (bits, bits + 1)))
+        return bits, self.signature(sums, first), self.signature(sums, second)
+
+    def _long(self, b: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """The same in parts of PART bytes: only boundaries of about the right block size are kept, and prefix sums only there."""
+        n = len(b)
+        least = max(MIN_BITS, (n // MAX_CHUNKS).bit_length() - 4)
+        while True:
+            ends, zeros, sums, total = [], [], [], 0
+            for at in range(0, n, PART):
+                low = max(0, at - WINDOW + 1)
+                found, z = _boundaries(b[low:at + PART], least)
+                keep = (found + low > at) & (found + low < n)
+                part, step = self.of(b[at:at + PART]), pow(self.STEP, at, 1 << 64)
+                ends.append(found[keep] + low)
+                zeros.append(z[keep])
+                sums += [(total + step * int(part[e - at])) % (1 << 64) for e in ends[-1].tolist()]
+                total = (total + step * int(part[-1])) % (1 << 64)
+            ends, zeros = np.concatenate(ends), np.concatenate(zeros)
+            if len(ends) + 1 > MAX_CHUNKS or least == MIN_BITS:
+                break
+            least -= 1  # fewer boundaries than usual: a smaller block may do
+        bits, *levels = _chosen(ends, zeros, n)
+        prefix = {0: 0, n: total, **dict(zip(ends.tolist(), sums))}
+        inverse = pow(self.STEP, -1, 1 << 64)
+        signatures = []
+        for level in levels:
+            at = [0, *level.tolist()]
+            h = np.array([(prefix[e] - prefix[s]) * pow(inverse, s, 1 << 64) % (1 << 64) for s, e in zip(at, at[1:])], np.uint64)
+            signatures.append((mixed(h) >> np.uint64(52)).astype(np.int16))
+        return bits, *signatures
+
+
+def _boundaries(b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of chunks (exclusive) where at least ``least`` low bits of the rolling hash are zero, and how many are."""
+    wide = b.astype(np.uint32) + np.uint32(1)
+    rolling = np.zeros(len(b), np.uint32)
+    for back in range(min(WINDOW, len(b))):
+        rolling[back:] += wide[:len(b) - back] * np.uint32(pow(0x01000193, back + 1, 1 << 32))
+    rolling ^= rolling >> np.uint32(15)
+    rolling *= np.uint32(0x2C1B3C6D)
+    rolling ^= rolling >> np.uint32(13)
+    at = np.flatnonzero((rolling & np.uint32((1 << least) - 1)) == 0)
+    return at + 1, np.bitwise_count((rolling[at] & -rolling[at].astype(np.int64)).astype(np.uint32) - np.uint32(1))
+
+
+def _chosen(ends: np.ndarray, zeros: np.ndarray, n: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The smallest block (in bits) with at most MAX_CHUNKS chunks, and the chunks' ends at it and at its double."""
+    reaching = np.cumsum(np.bincount(zeros, minlength=34)[::-1])[::-1]
+    bits = MIN_BITS
+    while reaching[bits] + 1 > MAX_CHUNKS:
+        bits += 1
+    return bits, *(np.append(ends[zeros >= at], n) for at in (bits, bits + 1))
 
 
 def show(print_: tuple[int, np.ndarray, np.ndarray]) -> str:

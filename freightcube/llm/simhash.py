@@ -20,6 +20,7 @@ as larger than any other; an empty table gives an empty result. Extra columns ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,30 +34,50 @@ from .common import saved, ship_by_value, text_or_empty, utf8_buffers, whole_gro
 from .graph import connected_components
 
 SEED = 42
-#: Shingles that are hashed at a time, for bounded memory in very long texts.
-BLOCK = 1 << 16
+#: Shingles that are hashed, and bytes of text that are split, at a time, for bounded memory in very long texts.
+BLOCK, PART = 1 << 16, 1 << 22
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Cells up to this many fingerprints compare all pairs at once; larger ones search by component.
 SMALL_CELL = 48
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Bit i is set if it is set in over half of the hashes of the text's shingles."""
-    words = text.lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles, repeats included, in blocks."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - shingle + 1
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
         to = min(n, at + BLOCK)
-        hashes = [digest(joined[i:j], SEED) for i, j in zip(starts[at:to].tolist(), ends[at + shingle - 1:to + shingle - 1].tolist())]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+        yield np.array([digest(joined[i:j], SEED) for i, j in zip(starts[at:to].tolist(), ends[at + shingle - 1:to + shingle - 1].tolist())], "<u8")
+
+
+def _word_runs(text: bytes, shingle: int) -> Iterator[list[bytes]]:
+    """The words of a text in runs that overlap by all but one word of a shingle, so that each shingle is in one run."""
+    at, carried = 0, []
+    while at < len(text):
+        to = min(len(text), at + PART)
+        if to < len(text):  # up to the end of a word
+            space = _SPACE.search(text, to)
+            to = space.start() if space else len(text)
+        words = carried + text[at:to].lower().split()  # bytes: only A-Z change, only ASCII white space splits
+        yield words
+        carried, at = words[len(words) - min(len(words), shingle - 1):], to
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Bit i is set if it is set in over half of the hashes of the text's shingles."""
+    ones, n, words = np.zeros(64, np.int64), 0, []
+    for words in _word_runs(text, shingle):
+        if len(words) < shingle:
+            continue
+        for hashes in _hashes(words, shingle):
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+            n += len(hashes)
+    if not n:  # fewer words than a shingle has: all of them are in the last run
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 

@@ -39,7 +39,8 @@ from .common import Sums, mixed, saved, ship_by_value, utf8_buffers, whole_group
 DIGIT = 50
 #: String starts that are handled at a time, for bounded memory in very long texts.
 BLOCK = 1 << 20
-HOT_CONTEXTS = 50_000
+#: Contexts of one anchor that a task sorts at a time (some 10 kB each while it does).
+HOT_CONTEXTS = 20_000
 NO_ID = -(1 << 63)
 
 

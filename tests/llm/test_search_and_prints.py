@@ -107,6 +107,7 @@ def test_popcount_bound():
 
 def test_simhash_texts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 7)
+    monkeypatch.setattr(simhash, "PART", 20)  # long texts come in parts
     rnd = random.Random(2)
     long = " ".join(rnd.choices(["Alpha", "beta", "GAMMA", "é\x0bx", "d\x1ce", "f g"], k=90))
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n", "x"), (4, "One", "x"), (5, "one two three", "x"), (6, "One two Three four", "x"), (7, long, "x"),
@@ -191,6 +192,15 @@ def test_fingerprint_boundaries():
     assert back[0] == bits and (back[1] == first).all() and (back[2] == second).all()
 
 
+def test_fingerprint_in_parts(monkeypatch):
+    rnd = random.Random(8)
+    texts = [bytes(rnd.choices(b"abcdefgh ", k=n)) for n in (1, 31, 32, 33, 64, 500, 5000, 40_000)] + [b"a" * 3000, b"ab" * 2000]
+    whole = [fingerprints.Hasher().fingerprint(t) for t in texts]
+    monkeypatch.setattr(fingerprints, "PART", 32)
+    parts = [fingerprints.Hasher().fingerprint(t) for t in texts]
+    assert [fingerprints.show(p) for p in parts] == [fingerprints.show(p) for p in whole]
+
+
 def test_fingerprint_likeness():
     rnd = random.Random(5)
     hasher = fingerprints.Hasher()
