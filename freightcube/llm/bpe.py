@@ -30,7 +30,7 @@ NONE = np.int64(1) << 62
 #: Pieces up to this many bytes share arrays of trees.
 SHARED_BYTES = 64
 #: Pieces remembered by a task, and pieces held at a time.
-REMEMBERED, BLOCK = 400_000, 1 << 18
+REMEMBERED, BLOCK = 150_000, 1 << 18
 
 
 def load_vocabulary(path: str) -> list[bytes]:
