@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightcube.llm.bpe import decode_documents, encode_documents
-from freightcube.llm.common import read_table, saved, text_or_empty
+from freightcube.llm.common import quoted, read_table, row_of, saved, text_or_empty
 from freightcube.llm.mixing import mix_sources
 from freightcube.llm.quality import classify_quality
 from freightcube.llm.queries import BYTE_BPE
@@ -37,14 +37,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     cut = remove_repeats(docs, threshold=200, whole_characters=True)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept").cast("string"))
     changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
-    return cut.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return cut.select(*[changed.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of a document as the mix takes whole, and where it takes a part, the first words of another."""
     keys = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("own_id"), F.col("doc_id").isNull().alias("unnamed")]
     text_key = F.xxhash64(text_or_empty("text"), "source").alias("text_key")
-    docs_keyed = docs.select(F.struct(*docs.columns).alias("row"), *keys, text_key)
+    docs_keyed = docs.select(row_of(docs), *keys, text_key)
     names = ["own_id", "unnamed", "text_key"]
     # Rows repeated in full take words together, so that each key has one row on either side of the join.
     mixed = mix_sources(docs, weights=(1, 2, 3), max_epochs=3, extra={"text_key": text_key})
@@ -55,7 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     head = F.array_join(F.slice(F.split(F.regexp_replace("row.text", f"^{WHITE_SPACE}", ""), WHITE_SPACE), 1, words.cast("int")), " ")
     text = F.when(words < F.col("size"), head).otherwise(F.col("row.text"))
     changed = {"text": text, "n_chars": F.when(words < F.col("size"), F.length(head).cast("long")).otherwise(F.col("row.n_chars"))}
-    return parts.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return parts.select(*[changed.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

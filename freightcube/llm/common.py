@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
@@ -48,6 +49,21 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_of(docs: DataFrame) -> Column:
+    """All columns as one struct, ``row``: their names cannot clash with an operator's own."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")
+
+
+def with_row(row: T.StructField, others: str) -> T.StructType:
+    """A schema of ``row`` (a struct of columns of any name) and the columns of a DDL string."""
+    return T.StructType([row, *T.StructType.fromDDL(others).fields])
+
+
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without nulls, as views on Arrow's buffers."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

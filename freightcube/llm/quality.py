@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sums, mixed, saved, ship_by_value, text_or_empty, utf8_buffers
+from .common import Sums, mixed, row_of, saved, ship_by_value, text_or_empty, utf8_buffers, with_row
 
 #: Hashed features are counts in 2 ** FEATURE_BITS places.
 FEATURE_BITS, GRAM = 12, 3
@@ -234,8 +234,8 @@ def classify_quality(docs: DataFrame, train_rows: int = 2_000, threshold: float
     """Every document as ``row`` (its columns), score (chance of good) and keep (score at or above the threshold)."""
     texts = docs.select(F.xxhash64(id_column, text_column).alias("row_key"), text_or_empty(text_column).alias("text"))
     w = train(texts, train_rows)
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    scored = rows.mapInArrow(_scored(w, text_column), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    rows = docs.select(row_of(docs))
+    scored = rows.mapInArrow(_scored(w, text_column), with_row(rows.schema["row"], "score double"))
     return scored.withColumn("keep", F.col("score") >= threshold)
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship_by_value, text_or_empty, utf8_buffers, whole_groups
+from .common import row_of, saved, ship_by_value, text_or_empty, utf8_buffers, whole_groups
 from .graph import connected_components
 
 SEED = 42
@@ -210,7 +210,7 @@ def one_of_each(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_column:
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"))
     stay = least.select(F.coalesce("least.doc_id", F.lit(0)).alias("own_id"), "least.none", F.col("least.text_key").alias("text_key"))
     own_id = F.col(id_column).cast("long")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(own_id, F.lit(0)).alias("own_id"), own_id.isNull().alias("none"),
+    rows = docs.select(row_of(docs), F.coalesce(own_id, F.lit(0)).alias("own_id"), own_id.isNull().alias("none"),
                        F.xxhash64(text_or_empty(text_column)).alias("text_key"))
     keys = ["own_id", "none", "text_key"]
     return rows.join(stay, keys, "left_semi").dropDuplicates(keys).select("row.*")

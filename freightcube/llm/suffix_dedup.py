@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sums, mixed, saved, ship_by_value, utf8_buffers, whole_groups
+from .common import Sums, mixed, row_of, saved, ship_by_value, utf8_buffers, whole_groups, with_row
 
 DIGIT = 50
 #: String starts that are handled at a time, for bounded memory in very long texts.
@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 200, id_column: str = "doc_
     sample = saved(mixed_.groupBy("digit", "context").agg(
         F.count("*").alias("copies"), F.min(F.struct("own_id", "text_key", "position")).alias("at")), "contexts")
     hot = saved(sample.groupBy("digit").count().where(F.col("count") > hot_contexts).select("digit"), "hot-digits")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), own_id, text_key)
+    rows = docs.select(row_of(docs), own_id, text_key)
 
     def fetched(of: DataFrame) -> DataFrame:
         wanted = of.groupBy(F.col("at.own_id").alias("own_id"), F.col("at.text_key").alias("text_key")).agg(
@@ -288,9 +288,9 @@ def remove_repeats(docs: DataFrame, threshold: int = 200, id_column: str = "doc_
     ends = mixed_.join(reach, ["digit", "context"]).select(
         "own_id", "text_key", (F.col("position") - F.col("before")).alias("begin"), (F.col("position") + F.col("behind")).alias("end"))
     spans = alike.union(ends).groupBy("own_id", "text_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    row_type = docs.select(F.struct(*docs.columns).alias("row")).schema["row"].dataType.simpleString()
     return rows.join(spans, ["own_id", "text_key"], "left").select("row", "spans").mapInArrow(
-        _cut(text_column, whole_characters), f"row {row_type}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary")
+        _cut(text_column, whole_characters),
+        with_row(rows.schema["row"], "n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary"))
 
 
 ship_by_value(__name__)
