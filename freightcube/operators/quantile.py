@@ -5,11 +5,11 @@ single global group of a threshold that is the whole column. Here the work is sp
 one plan at every size:
 
 1. distinct values with their counts (map-side combined, so a hot value is one row);
-2. ~``buckets`` value ranges from approximate bounds (one small array, computed once
+2. ``buckets`` value ranges from approximate bounds (one small array, computed once
    as a scalar subquery) and a binary search that maps each value to its range;
-3. exact running counts inside each range (a window partitioned by range) plus an
-   exclusive prefix sum over the per-range totals (one row per range);
-4. the two order statistics around position ``(n - 1) * q`` and the interpolation.
+3. exact running totals over the ranges (one row per range), which name the one or two ranges
+   that hold the order statistics around position ``(n - 1) * q``;
+4. running counts inside those ranges, the two order statistics and the interpolation.
 
 The result is exact whatever the approximate bounds are; they only balance the work.
 """
@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+DEFAULT_BUCKETS = 64
 
 
 def _bucket_of(v: Column, bounds: Column, steps: int) -> Column:
@@ -43,35 +43,30 @@ def quantile_value(df: DataFrame, col: str, q: float, buckets: int = DEFAULT_BUC
     """Exact linear-interpolated quantile of ``col`` as a scalar-subquery Column (NULL on no
     values). Interpolates like NumPy: a + (b - a) * t, or b - (b - a) * (1 - t) when t >= 0.5.
 
-    Two scalar subqueries in total: the stats row (count and approximate bounds) and the
-    final pick, which nests the first. No job runs before the query itself does.
+    Two scalar subqueries in total: the approximate bounds and the final pick, which
+    nests the first. No job runs before the query itself does.
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError("quantile must be within [0, 1]")
     vc = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")) \
         .agg(F.count(F.lit(1)).alias("c"))
     fracs = [i / buckets for i in range(1, buckets)]
-    stats = vc.select(F.struct(F.sum("c").alias("n"),
-                               F.percentile_approx("v", fracs, 10000).alias("bounds")).alias("s")).scalar()
+    bounds = vc.select(F.percentile_approx("v", fracs, 10000)).scalar()
     steps = max(1, math.ceil(math.log2(buckets)) + 1)
-    # the stats subquery is projected first: subqueries may not sit inside lambdas
-    vb = vc.withColumn("_s", stats) \
-        .withColumn("bucket", _bucket_of(F.col("v"), F.col("_s.bounds"), steps)) \
-        .withColumn("n", F.col("_s.n")).drop("_s")
-    within = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = vb.withColumn("cum", F.sum("c").over(within))
-    totals = vb.groupBy("bucket").agg(F.sum("c").alias("bt"))
-    # one row per bucket: a bounded single-partition window
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("bucket", F.coalesce(F.sum("bt").over(before), F.lit(0)).alias("off"))
-    r = running.join(F.broadcast(offsets), "bucket")
-    first = F.col("off") + F.col("cum") - F.col("c")
-    last = first + F.col("c") - F.lit(1)
+    # the bounds are projected first: subqueries may not sit inside lambdas
+    vb = vc.withColumn("_b", bounds).withColumn("bucket", _bucket_of(F.col("v"), F.col("_b"), steps)).drop("_b")
     # NumPy's virtual index for the linear method
-    r = r.select("v", first.alias("first"), last.alias("last"),
-                 ((F.col("n") - F.lit(1)).cast("double") * F.lit(float(q))).alias("pos"))
+    pos = (F.col("n") - F.lit(1)).cast("double") * F.lit(float(q))
     lo_rank, hi_rank = F.floor("pos"), F.ceil("pos")
     covers = lambda k: (F.col("first") <= k) & (k <= F.col("last"))
+    # one row per bucket: a bounded single-partition window; the (at most two) buckets with the ranks remain
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = vb.groupBy("bucket").agg(F.sum("c").alias("bt"))
+    wanted = totals.withColumn("last", F.sum("bt").over(upto) - F.lit(1)).withColumn("first", F.col("last") - F.col("bt") + F.lit(1)) \
+        .withColumn("n", F.sum("bt").over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("pos", pos).where(covers(lo_rank) | covers(hi_rank)).select("bucket", F.col("first").alias("off"), "pos")
+    within = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = vb.select("v", "c", "bucket").join(F.broadcast(wanted), "bucket").withColumn("cum", F.sum("c").over(within))
+    r = r.select("v", (F.col("off") + F.col("cum") - F.col("c")).alias("first"), (F.col("off") + F.col("cum") - F.lit(1)).alias("last"), "pos")
     picked = r.where(covers(lo_rank) | covers(hi_rank)).agg(
         F.max(F.when(covers(lo_rank), F.col("v"))).alias("a"),
         F.max(F.when(covers(hi_rank), F.col("v"))).alias("b"),

@@ -150,7 +150,7 @@ def flow_lines(cube: DataFrame, sel: Selection, region_points: DataFrame, county
     key, pts = ("orig_cnty", county_points) if county_grain else ("orig_reg", region_points)
     g = arcs.groupBy(key, "dest_cnty", "dest_cnty_name").agg(F.sum("tons").alias("tons"))
     mx = g.select(F.max("tons")).scalar()
-    norm = F.when(mx > F.lit(0.0), F.col("tons") / mx)
+    norm = F.try_divide(F.col("tons"), F.greatest(mx, F.lit(0.0)))  # NULL unless the maximum is positive
     g = g.select(F.lit("county" if county_grain else "region").alias("grain"),
                  F.col(key).cast("bigint").alias("orig_id"), "dest_cnty", "dest_cnty_name", "tons",
                  norm.alias("normalized_flow"))
