@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, text_or_empty
+from .common import ship_by_value, small_batches, text_or_empty
 
 NONE = np.int64(1) << 62
 #: Pieces up to this many bytes share arrays of trees.
@@ -233,6 +233,7 @@ def _encode(path: str, pattern: str):
 def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_column: str = "doc_id",
                      text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of every document."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     return texts.mapInArrow(_encode(vocabulary_path, pattern), "doc_id long, n_tokens long, ids binary")
 
@@ -252,6 +253,7 @@ def _decode(path: str):
 
 def decode_documents(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """``encoded`` (doc_id, n_tokens, ids) with ``decoded``, the bytes of its ids."""
+    small_batches(encoded.sparkSession)
     rows = encoded.select("doc_id", "n_tokens", "ids")
     return rows.mapInArrow(_decode(vocabulary_path), "doc_id long, n_tokens long, ids binary, decoded binary")
 

@@ -24,6 +24,22 @@ def ship_by_value(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+#: Most bytes and rows of one Arrow batch between Spark and a Python worker.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to the bounds above, where they are larger.
+
+    Each running operator holds some batches on either side of the pipe, outside the JVM's heap; with whole texts in
+    them the default size would take hundreds of MB of an executor.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = str(spark.conf.get(key, "0")).rstrip("b")
+        if not now.isdigit() or int(now) == 0 or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sums, mixed, saved, ship_by_value, text_or_empty
+from .common import Sums, mixed, saved, ship_by_value, small_batches, text_or_empty
 
 WINDOW, MAX_CHUNKS, MIN_BITS = 7, 64, 2
 #: Bytes of a text that are hashed at a time.
@@ -234,6 +234,7 @@ def fingerprint_documents(docs: DataFrame, id_column: str = "doc_id", text_colum
 
     The edited text is ``edited(text, text of the next document)``.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     order = F.col("doc_id").desc_nulls_last()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sums, mixed, row_of, saved, ship_by_value, text_or_empty, utf8_buffers, with_row
+from .common import Sums, mixed, row_of, saved, ship_by_value, small_batches, text_or_empty, utf8_buffers, with_row
 
 #: Hashed features are counts in 2 ** FEATURE_BITS places.
 FEATURE_BITS, GRAM = 12, 3
@@ -232,6 +232,7 @@ def train(texts: DataFrame, train_rows: int) -> np.ndarray:
 def classify_quality(docs: DataFrame, train_rows: int = 2_000, threshold: float = 0.5, id_column: str = "doc_id",
                      text_column: str = "text") -> DataFrame:
     """Every document as ``row`` (its columns), score (chance of good) and keep (score at or above the threshold)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64(id_column, text_column).alias("row_key"), text_or_empty(text_column).alias("text"))
     w = train(texts, train_rows)
     rows = docs.select(row_of(docs))

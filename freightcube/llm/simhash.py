@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_of, saved, ship_by_value, text_or_empty, utf8_buffers, whole_groups
+from .common import row_of, saved, ship_by_value, small_batches, text_or_empty, utf8_buffers, whole_groups
 from .graph import connected_components
 
 SEED = 42
@@ -95,6 +95,7 @@ def _fingerprints(shingle: int):
 
 def simhash(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, the hash of the text, and the fingerprint ``print`` (the 64 bits as a signed long) of every document."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     return texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_fingerprints(shingle), "doc_id long, text_key long, print long")
 

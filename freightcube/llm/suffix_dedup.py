@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sums, mixed, row_of, saved, ship_by_value, utf8_buffers, whole_groups, with_row
+from .common import Sums, mixed, row_of, saved, ship_by_value, small_batches, utf8_buffers, whole_groups, with_row
 
 DIGIT = 50
 #: String starts that are handled at a time, for bounded memory in very long texts.
@@ -253,6 +253,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 200, id_column: str = "doc_
     remaining bytes). ``whole_characters``: code points of which a run covers a part stay, so kept is UTF-8."""
     if threshold < 2 * DIGIT:
         raise ValueError(f"the threshold must be {2 * DIGIT} bytes or more")
+    small_batches(docs.sparkSession)
     pad = threshold - DIGIT
     own_id, text_key = _keys(docs, id_column, text_column)
     text = F.coalesce(F.col(text_column), F.lit("")).alias("text")

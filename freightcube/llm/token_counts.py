@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import path_exists
-from .common import saved, ship_by_value, text_or_empty
+from .common import saved, ship_by_value, small_batches, text_or_empty
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Characters of text that are encoded in one call; bounds the lists of ids in memory.
@@ -86,6 +86,7 @@ def read_cache(spark: SparkSession, cache_path: str, tokenizer: str) -> DataFram
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_column: str = "doc_id",
                  text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens of every document; counts that ``cache_path`` lacked are appended to it."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     tokenizer = tokenizer_digest(tokenizer_path)
     texts = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
