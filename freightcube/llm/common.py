@@ -35,8 +35,8 @@ def small_batches(spark: SparkSession) -> None:
     them the default size would take hundreds of MB of an executor.
     """
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
-        now = str(spark.conf.get(key, "0")).rstrip("b")
-        if not now.isdigit() or int(now) == 0 or int(now) > most:
+        now = spark.conf.get(key).removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # a value with a unit was chosen by the caller
             spark.conf.set(key, str(most))
 
 
