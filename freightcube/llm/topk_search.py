@@ -34,6 +34,8 @@ from .common import saved, ship_by_value
 
 #: Where all partial sums stay below this, float64 products are exact and fast.
 EXACT = 2.0 ** 53
+#: The floor of a query that has found nothing yet.
+NO_FLOOR = np.iinfo(np.int64).min
 
 
 class Tree:
@@ -74,11 +76,16 @@ class Tree:
         """Per query the scores and ids of its k best (ties: smaller id) that reach its floor."""
         dims = max(queries.shape[1], self.vectors.shape[1])
         queries, vectors, low, high = (_widened(x, dims) for x in (queries, self.vectors, self.low, self.high))
-        largest = [float(np.abs(x).max(initial=0)) for x in (queries, vectors)]
-        if dims * largest[0] * largest[1] < EXACT:
-            queries, vectors, low, high = (x.astype(np.float64) for x in (queries, vectors, low, high))
+        exact = dims * _largest(queries) * _largest(vectors) < EXACT
+        wide, low, high = (x.astype(np.float64) for x in (queries, low, high))
         # No point in a node's box has a larger inner product than its bound.
-        bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+        bounds = np.maximum(wide, 0) @ high.T + np.minimum(wide, 0) @ low.T
+        if exact:
+            queries, vectors, floors = wide, vectors.astype(np.float64), floors.astype(np.float64)
+        else:
+            # Scores are 64-bit whole numbers; bounds are rounded, and raised by more than the rounding can take from them.
+            queries, vectors = queries.astype(np.int64), vectors.astype(np.int64)
+            bounds += (dims + 4) * 2.0 ** -52 * (np.abs(wide) @ np.maximum(np.abs(low), np.abs(high)).T)
         out = []
         for i in range(len(queries)):
             bound, query, kth = bounds[i], queries[i], floors[i]
@@ -107,6 +114,10 @@ class Tree:
         return out
 
 
+def _largest(x: np.ndarray) -> float:
+    return max(float(x.max(initial=0)), -float(x.min(initial=0)))
+
+
 def _widened(x: np.ndarray, dims: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, dims - x.shape[1]))) if x.shape[1] < dims else x
 
@@ -145,7 +156,7 @@ def _run(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _small(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.int32) if len(x) == 0 or np.abs(x).max(initial=0) < 2 ** 31 else x
+    return x.astype(np.int32) if _largest(x) < 2 ** 31 else x
 
 
 def _packed(rows: int, make):
@@ -178,7 +189,7 @@ def _pass_shards(k: int, raise_floors: bool):
                 query_ids, queries, floors = held
                 found = tree.search(queries, query_ids, k, floors)
                 if raise_floors:
-                    floors = np.array([s[-1] if len(s) == k else f for (s, _), f in zip(found, floors)], np.float64)
+                    floors = np.array([s[-1] if len(s) == k else f for (s, _), f in zip(found, floors)], np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pickle.dumps((query_ids, queries, floors))], pa.binary())],
                                                      ["number", "body"])
                 else:
@@ -213,7 +224,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     queries = saved(rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
     n_blocks = -(-queries.count() // block_rows)
     blocks = saved(_numbered(saved(queries.repartition(max(1, n_blocks)).mapInArrow(_packed(
-        block_rows, lambda ids, vectors: (ids, _small(vectors), np.full(len(ids), -np.inf))), "part long, body binary"), "query-parts")), "query-blocks")
+        block_rows, lambda ids, vectors: (ids, _small(vectors), np.full(len(ids), NO_FLOOR))), "part long, body binary"), "query-parts")), "query-blocks")
     n_shards = shards.count()
     hits = "query_id long, vec_id long, score long"
     if not n_shards:

@@ -41,6 +41,24 @@ def test_top_k(spark, how):
     assert sorted(map(tuple, top_k(frame, F.col("vec_id") % 50 == 0, **how).collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("size", [2e4, 3e5])
+def test_top_k_of_large_components(spark, size):
+    """Products beyond 32 bits, and beyond what float64 holds, on both sides and with ties one apart."""
+    rnd = random.Random(8)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(64)]) for i in range(300)]
+    rows += [(300 + i, [rnd.choice((-1, 1)) * size * rnd.random()] * 3 + [i / 1024] + [rnd.gauss(0, 1) for _ in range(60)]) for i in range(40)]
+    rows += [(1000, [size] * 4 + [0.2] * 60), (2000, [-size] + [size] * 63), (3000, [0.2] * 64)]
+    rows += [(4000 + i, [size] * 63 + [size + i / 1024]) for i in range(30)]
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 100 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored[:10], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for how in ({}, {"shard_rows": 16, "block_rows": 3, "leaf_rows": 2}):
+        assert sorted(map(tuple, top_k(frame, F.col("vec_id") % 100 == 0, **how).collect())) == sorted(want)
+
+
 def test_top_k_degenerate(spark):
     schema = "vec_id long, embedding array<float>"
     every = F.col("vec_id") % 100 == 0
