@@ -119,7 +119,11 @@ class Sums:
         return sums
 
     def between(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((sums[ends] - sums[starts]) * self.inverses[starts])
+        return mixed(self.between_unmixed(sums, starts, ends))
+
+    def between_unmixed(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sums of the substrings as if each began the text: that of a and b together is a's plus STEP ** len(a) times b's."""
+        return (sums[ends] - sums[starts]) * self.inverses[starts]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from .common import Sums, mixed, row_of, saved, ship_by_value, small_batches, te
 #: Hashed features are counts in 2 ** FEATURE_BITS places.
 FEATURE_BITS, GRAM = 12, 3
 GOOD, BAD, NONE = 1, 0, -1
-#: Bytes of a text that are looked at together; a longer text is the sum of such parts.
+#: Bytes of a text that are looked at together; words that cross the end of such a part are put together again.
 BLOCK = 1 << 20
 
 LOWER, UPPER, DIGIT, SPACE, MARK, SIGN = range(6)
@@ -43,26 +43,62 @@ MEASURES = ("bytes", "lower", "upper", "digits", "signs", "words", "short_words"
             "distinct_pairs", "distinct_words")
 
 
+class _Distinct:
+    """Distinct 64-bit hashes, given in parts."""
+
+    def __init__(self):
+        self.kept, self.new, self.n_new = np.empty(0, np.uint64), [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.new.append(np.unique(hashes))
+        self.n_new += len(self.new[-1])
+        if self.n_new > max(BLOCK, len(self.kept)):
+            self.count()
+
+    def count(self) -> int:
+        if self.new:
+            self.kept = np.unique(np.concatenate((self.kept, *self.new))) if len(self.kept) or len(self.new) > 1 else self.new[0]
+            self.new, self.n_new = [], 0
+        return len(self.kept)
+
+
 def measures(data: np.ndarray, sums: Sums) -> np.ndarray:
-    """The counts named in MEASURES, of one text's bytes."""
+    """The counts named in MEASURES, of one text's bytes; besides a part, the hashes of its distinct words and pairs are held."""
     total = np.zeros(len(MEASURES), np.int64)
+    words, pairs = _Distinct(), _Distinct()
+    before = np.empty(0, np.uint64)  # the last word so far
+    held = None  # a word that reaches the end of the part: sum, length, whether it has letters or digits, last byte
     for at in range(0, len(data), BLOCK):
         part = data[at:at + BLOCK]
         kind = _CLASSES[part]
         by_kind = np.bincount(kind, minlength=6)
+        total[:5] += (len(part), by_kind[LOWER], by_kind[UPPER], by_kind[DIGIT], by_kind[SIGN])
         inside = np.concatenate(([False], kind != SPACE, [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
-        counts = [len(part), by_kind[LOWER], by_kind[UPPER], by_kind[DIGIT], by_kind[SIGN], len(starts), 0, 0, 0, 0, 0, 0, 0]
-        if len(starts):
-            length = ends - starts
-            plain = np.concatenate(([0], np.cumsum(kind <= DIGIT)))
-            word = sums.between(sums.of(part), starts, ends)
-            last = kind[ends - 1]
-            counts[6:] = [(length <= 3).sum(), (plain[ends] == plain[starts]).sum(), (last == MARK).sum(),
-                          (word[1:] == word[:-1]).sum(), (part[ends - 1] == ord("!")).sum(),
-                          len(np.unique(word[1:] * np.uint64(3) + word[:-1])), len(np.unique(word))]
-        total += counts
+        plain = np.concatenate(([0], np.cumsum(kind <= DIGIT)))
+        found = [sums.between_unmixed(sums.of(part), starts, ends), ends - starts, plain[ends] != plain[starts], part[ends - 1]]
+        if held is not None:
+            if len(starts) and starts[0] == 0:  # it goes on
+                with np.errstate(over="ignore"):
+                    found[0][0] = held[0][0] + found[0][0] * np.uint64(pow(Sums.STEP, int(held[1][0]), 1 << 64))
+                found[1][0] += held[1][0]
+                found[2][0] |= held[2][0]
+            else:
+                found = [np.concatenate(x) for x in zip(held, found)]
+            held = None
+        if at + BLOCK < len(data) and len(ends) and ends[-1] == len(part):
+            held, found = [x[-1:] for x in found], [x[:-1] for x in found]
+        word, length, has_plain, last = mixed(found[0]), *found[1:]
+        if not len(word):
+            continue
+        run = np.concatenate((before, word))
+        before = word[-1:]
+        total[5:11] += (len(word), (length <= 3).sum(), (~has_plain).sum(), (_CLASSES[last] == MARK).sum(),
+                        (run[1:] == run[:-1]).sum(), (last == ord("!")).sum())
+        pairs.add(run[1:] * np.uint64(3) + run[:-1])
+        words.add(word)
+    total[11:] = pairs.count(), words.count()
     return total
 
 

@@ -35,6 +35,17 @@ def test_measures_do_not_depend_on_blocks(monkeypatch):
     assert np.allclose(quality.features(text, [whole[k] for k in quality.MEASURES], Sums()), features)
 
 
+def test_every_measure_is_of_the_whole_text(monkeypatch):
+    rnd = random.Random(5)
+    passage = "".join(rnd.choice(["ab", "The", "x9", "%%", "go!", "end.", "W" * 90, "é"]) + rnd.choice([" ", "  ", "\n"]) for _ in range(60))
+    texts = [passage * 5, passage.strip(), "w" * 500, " " * 300, "", "a", " a", "a b " * 200, passage + "tail"]
+    texts = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    whole = [quality.measures(t, Sums()).tolist() for t in texts]
+    for block in (1, 2, 7, 64, 100, 500):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        assert [quality.measures(t, Sums()).tolist() for t in texts] == whole
+
+
 def test_held_out_accuracy(spark):
     """The labels of the table are not used to fit anything."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
