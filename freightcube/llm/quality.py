@@ -6,7 +6,9 @@ agreement alone, with no label given. The posterior of a document's pattern then
 linear scorer over hashed features of the text, which scores all documents.
 
 The patterns are counted over all documents; there are at most ``3 ** labellers`` of them. The scorer is
-fitted on a sample drawn by hash, of ``train_rows`` documents on average. Votes and features are of whole texts.
+fitted on a sample drawn by hash among the distinct (id, text): one that n rows share is drawn with n times the chance, and
+with the weight of the rows it stands for once that is sure. So the sample has at most ``train_rows`` of them on average,
+each drawn by itself, whatever repeats. Votes and features are of whole texts.
 
 Edge cases: null and empty texts get no votes and the scorer's base score from the prior, so they are rejected only if
 the corpus is mostly bad; a corpus where no labeller votes keeps everything; repeated rows get equal scores; null ids are
@@ -189,12 +191,15 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolera
     return np.where(silent, share, posterior), share, chances
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-7) -> np.ndarray:
-    """Weights and bias (last) of a logistic regression on soft labels, by full-batch adaptive steps."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-7, rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights and bias (last) of a logistic regression on soft labels, by full-batch adaptive steps.
+
+    ``rows``: how many rows each row stands for (default: one)."""
+    rows = np.ones(len(y), np.float32) if rows is None else rows.astype(np.float32)
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1, dtype=np.float32)
     w, power, y = np.zeros(x.shape[1], np.float32), np.full(x.shape[1], 1e-12, np.float32), y.astype(np.float32)
     for _ in range(rounds):
-        gradient = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) @ x / max(1, len(y)) + np.float32(decay) * w
+        gradient = (rows * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y)) @ x / max(np.float32(1), rows.sum()) + np.float32(decay) * w
         power += gradient * gradient
         w -= np.float32(rate) * gradient / np.sqrt(power)
     return w.astype(np.float64)
@@ -210,17 +215,20 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = Sums()
+    """Features of the first row of each key in the task."""
+    sums, seen = Sums(), set()
     for batch in batches:
         raw, ends = utf8_buffers(batch.column("text"))
         out = []
-        for a, b in zip(ends[:-1], ends[1:]):
-            m = measures(raw[a:b], sums)
-            x = features(raw[a:b], m, sums)
+        for key, a, b in zip(batch.column("row_key").to_pylist(), ends[:-1], ends[1:]):
+            if key in seen:
+                continue
+            seen.add(key)
+            x = features(raw[a:b], measures(raw[a:b], sums), sums)
             at = np.flatnonzero(x)
-            out.append(("".join("-01"[v + 1] for v in votes(m[None])[0]), at.astype(np.int32), x[at].astype(np.float32)))
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.int32())),
-                                          pa.array([o[2] for o in out], pa.list_(pa.float32()))], ["pattern", "at", "x"])
+            out.append((key, at.astype(np.int32), x[at].astype(np.float32)))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int32())),
+                                          pa.array([o[2] for o in out], pa.list_(pa.float32()))], ["row_key", "at", "x"])
 
 
 def _scored(w: np.ndarray, text_column: str):
@@ -240,6 +248,14 @@ def _scored(w: np.ndarray, text_column: str):
     return apply
 
 
+def drawn_keys(patterns: DataFrame, rate: float) -> DataFrame:
+    """row_key, pattern and the ``rows`` it stands for in the sample, of the drawn keys with votes; on average at most ``rate`` keys a row."""
+    draw = F.shiftrightunsigned(F.xxhash64("row_key", F.lit(2)), 11) / F.lit(float(1 << 53))
+    counted = patterns.where(F.col("pattern").contains("0") | F.col("pattern").contains("1")).groupBy("row_key", "pattern").count()
+    due = F.col("count") * F.lit(float(rate))
+    return counted.where(draw < due).select("row_key", "pattern", F.greatest(F.lit(1.0), due).alias("rows"))
+
+
 def train(texts: DataFrame, train_rows: int) -> np.ndarray:
     """Weights of the scorer for (row_key, text) rows."""
     patterns = saved(texts.select("row_key", "text").mapInArrow(_measured, "row_key long, pattern string"), "votes")
@@ -250,19 +266,21 @@ def train(texts: DataFrame, train_rows: int) -> np.ndarray:
     table = np.array([["-01".index(c) - 1 for c in p] for p, _ in counted], np.int8)
     posterior, share, _ = estimate(table, np.array([n for _, n in counted], float))
     by_pattern = dict(zip((p for p, _ in counted), posterior))
-    draw = F.shiftrightunsigned(F.xxhash64("row_key", F.lit(2)), 11) / F.lit(float(1 << 53))
-    voted = F.col("pattern").contains("0") | F.col("pattern").contains("1")
-    sample = texts.where(draw < train_rows / total).select("row_key", "text").mapInArrow(
-        _featured, "pattern string, at array<int>, x array<float>").where(voted).toArrow().combine_chunks()
+    drawn = drawn_keys(patterns, train_rows / total)
+    rows = {r["row_key"]: (r["rows"], r["pattern"]) for r in drawn.collect()}
+    keys = texts.sparkSession.createDataFrame([(k,) for k in rows], "row_key long")
+    sample = texts.select("row_key", "text").join(F.broadcast(keys), "row_key", "left_semi").mapInArrow(
+        _featured, "row_key long, at array<int>, x array<float>").dropDuplicates(["row_key"]).toArrow().combine_chunks().sort_by("row_key")
     x = np.zeros((len(sample), 1 << FEATURE_BITS), np.float32)
     for row, at, values in zip(x, sample.column("at"), sample.column("x")):
         row[at.values.to_numpy()] = values.values.to_numpy()
-    y = np.array([by_pattern[p] for p in sample.column("pattern").to_pylist()])
+    stands_for, pattern = zip(*(rows[k] for k in sample.column("row_key").to_pylist())) if len(sample) else ((), ())
+    y = np.array([by_pattern[p] for p in pattern])
     if not len(y):
         w = np.zeros((1 << FEATURE_BITS) + 1)
         w[-1] = np.log(share / (1 - share))
         return w
-    return fit(x, y)
+    return fit(x, y, rows=np.array(stands_for))
 
 
 def classify_quality(docs: DataFrame, train_rows: int = 2_000, threshold: float = 0.5, id_column: str = "doc_id",

@@ -7,7 +7,7 @@ sum inside each range place every record on the line of all bytes, which is cut
 
 The key is (hash of the text, id), so copies of a text stand side by side, and a group
 of copies that fills a range is divided by id. Nothing is gathered but the sample
-(``ranges * samples_per_range`` keys, bounded) and one row of totals per range.
+(on average at most ``ranges * samples_per_range`` distinct keys, whatever repeats) and one row of totals per range.
 
 Edge cases: null text has size 1 (no bytes plus one) and the checksum of the empty text; rows
 repeated in full are records of their own (interchangeable); null ids sort first; an empty table gives
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,20 @@ SAMPLE_SEED = 20
 NULL_ID = -(1 << 63)
 
 
-def _splitters(sample: list[tuple[int, int]], ranges: int) -> list[tuple[int, int]]:
-    """At most ``ranges - 1`` distinct quantiles of the sampled keys."""
+def _splitters(sample: list[tuple[tuple[int, int], float]], ranges: int) -> list[tuple[int, int]]:
+    """At most ``ranges - 1`` distinct quantiles of the sampled (key, weight) pairs."""
     sample = sorted(sample)
-    return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    reached = list(accumulate(weight for _, weight in sample))
+    return sorted({sample[min(len(sample) - 1, bisect.bisect_right(reached, reached[-1] * i / ranges))][0] for i in range(1, ranges)}) if sample else []
+
+
+def _drawn(rows: DataFrame, rate: float) -> DataFrame:
+    """text_hash, order_id and weight of a sample of distinct keys: on average at most ``rate`` of them a byte, however often a key repeats."""
+    # Uniform in [0, 1) from the key itself: reruns draw the same sample.
+    draw = F.shiftrightunsigned(F.xxhash64("text_hash", "order_id", F.lit(SAMPLE_SEED)), 11) / F.lit(float(1 << 53))
+    due = F.col("key_size") * F.lit(float(rate))
+    keys = rows.groupBy("text_hash", "order_id").agg(F.sum("size").alias("key_size"))
+    return keys.where(draw < due).select("text_hash", "order_id", F.greatest(F.lit(1.0), due).alias("weight"))
 
 
 def _deal(bounds: list[tuple[int, int]]):
@@ -70,12 +81,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
     spark = docs.sparkSession
     whole = base.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     ranges = max(min_ranges, min(max_ranges, whole["n"] // rows_per_range))
-    # Uniform in [0, 1) from the record itself: reruns draw the same sample.
-    draw = F.shiftrightunsigned(F.xxhash64("text_hash", "order_id", F.lit(SAMPLE_SEED)), 11) / F.lit(float(1 << 53))
 
-    def sample(rows: DataFrame, size: int, keys: int) -> list[tuple[int, int]]:
-        drawn = rows.where(draw < F.col("size") * F.lit(keys / max(1, size)))
-        return [(r[0], r[1]) for r in drawn.select("text_hash", "order_id").collect()]
+    def sample(rows: DataFrame, size: int, keys: int) -> list[tuple[tuple[int, int], float]]:
+        return [((r[0], r[1]), r[2]) for r in _drawn(rows, keys / max(1, size)).collect()]
 
     bounds = _splitters(sample(base, whole["size"], ranges * samples_per_range), ranges)
     schema = f"{base.schema.simpleString()[7:-1]},key_range:int"
@@ -89,9 +97,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
         if over:
             keys = sum(parts for _, parts in over.values()) * samples_per_range
             again = sample(dealt.where(F.col("key_range").isin(list(over))), sum(s for s, _ in over.values()), keys)
-            by_range: dict[int, list[tuple[int, int]]] = {}
-            for key in again:
-                by_range.setdefault(bisect.bisect_right(bounds, key), []).append(key)
+            by_range: dict[int, list[tuple[tuple[int, int], float]]] = {}
+            for key, weight in again:
+                by_range.setdefault(bisect.bisect_right(bounds, key), []).append((key, weight))
             bounds = sorted({*bounds, *(x for r, ks in by_range.items() if r in over for x in _splitters(ks, over[r][1]))})
         if len(bounds) == before:
             break

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
-from freightcube.llm import queries
+from freightcube.llm import queries, sharding
 from freightcube.llm.mixing import mix_sources
 from freightcube.llm.sharding import shard_by_bytes
 
@@ -79,6 +79,18 @@ def test_shards(spark, how):
         i: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows}
 
 
+def test_shard_sample_is_bounded_by_keys(spark):
+    """Rows repeated in full come to the driver once, with the weight of them all."""
+    frame = spark.createDataFrame([(t, -1, 10) for t in range(8) for _ in range(400)] + [(100 + i, i, 10) for i in range(400)],
+                                  "text_hash long, order_id long, size long")
+    for rate in (0.0005, 0.01):  # 18 and 360 keys due of 36,000 bytes; a repeated key is due 2 and 40 times
+        drawn = sharding._drawn(frame, rate).collect()
+        assert {(r[0], r[2]) for r in drawn if r[1] == -1} == {(t, 4000 * rate) for t in range(8)}
+        assert len(drawn) <= 8 + 3 * 4000 * rate + 5 and all(r[2] == 1 for r in drawn if r[1] >= 0)
+    assert sharding._splitters([((1, 0), 1.0), ((2, 0), 6.0), ((3, 0), 1.0)], 4) == [(2, 0), ]
+    assert sharding._splitters([((i, 0), 1.0) for i in range(8)], 4) == [(2, 0), (4, 0), (6, 0)]
+
+
 def test_shards_degenerate(spark):
     assert shards(spark, []) == []
     got = shards(spark, [(None, None, "x"), (None, None, "x"), (3, "a", "x")])

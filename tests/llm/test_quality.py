@@ -46,6 +46,23 @@ def test_every_measure_is_of_the_whole_text(monkeypatch):
         assert [quality.measures(t, Sums()).tolist() for t in texts] == whole
 
 
+def test_training_draw_is_bounded_by_keys(spark):
+    """Rows repeated in full are one drawn key that stands for its share of the sample."""
+    rows = [(7, "1-0")] * 3000 + [(k, "11-") for k in range(100, 6100)] + [(9, "---")] * 1000
+    drawn = quality.drawn_keys(spark.createDataFrame(rows, "row_key long, pattern string"), 100 / len(rows)).collect()
+    assert [(r["pattern"], r["rows"]) for r in drawn if r["row_key"] == 7] == [("1-0", 30.0)]
+    assert 30 < len(drawn) < 100 and all(r["rows"] == 1 and r["pattern"] == "11-" for r in drawn if r["row_key"] != 7)
+
+
+def test_training_sample_holds_each_text_once(spark, monkeypatch):
+    rnd, sizes = random.Random(2), []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, **how: (sizes.append((len(x), float(how["rows"].sum()))), fit(x, y, **how))[1])
+    rows = [(i, " ".join(rnd.choices(["kalo", "mine", "of", "rust", "the", "and"], k=40)) + ".") for i in range(200)] + [(None, "the cat sat. " * 9)] * 100
+    quality.classify_quality(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), train_rows=300).collect()
+    assert sizes == [(201, 300.0)]
+
+
 def test_held_out_accuracy(spark):
     """The labels of the table are not used to fit anything."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
