@@ -161,3 +161,27 @@ def test_heatmap_dense_equals_pivot(cube, spark):
     regions = cube.select("orig_reg").union(spark.createDataFrame([(99,)], "orig_reg int"))
     got = {(r.origin, r.dest_cnty_name): r.tons for r in R.heatmap_dense(cube, regions, dests).collect()}
     assert got == {(f"Region {i}", c): int(v) for i, row in exp.iterrows() for c, v in row.items()}
+
+
+def test_heatmap_wide_reads_the_nation_table(spark, tmp_path):
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from conftest import SF_ORACLE
+
+    from freightcube.plans import catalog
+
+    for name in os.listdir(SF_ORACLE):
+        if name != "nation.parquet":
+            os.symlink(f"{SF_ORACLE}/{name}", tmp_path / name)
+    nation = pq.read_table(f"{SF_ORACLE}/nation.parquet")
+    names = [f"ELSEWHERE {n}" for n in nation.column("n_name").to_pylist()]
+    pq.write_table(nation.set_column(nation.schema.get_field_index("n_name"), nation.schema.field("n_name"), pa.array(names, nation.schema.field("n_name").type)),
+                   tmp_path / "nation.parquet")
+    for wide, long in ((catalog.q_heatmap_wide, catalog.q_heatmap_long), (catalog.q_heatmap_wide_counties, catalog.q_heatmap_long_counties)):
+        rows = wide(spark, str(tmp_path))
+        assert rows.columns == ["origin", *names]
+        cells = {(r["origin"], n): r[n] for r in rows.collect() for n in names if r[n]}
+        want = {(r["origin"], r["dest_cnty_name"]): r["tons"] for r in long(spark, str(tmp_path)).collect() if r["tons"]}
+        assert cells == want and want
