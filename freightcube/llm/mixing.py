@@ -7,8 +7,9 @@ beyond one pass over the source repeats whole passes (epochs) first.
 
 The prefix sum never gathers a source: sizes are summed by (source, key range), a running
 sum over the ranges of a source gives each range its offset (``16 ** range_digits`` rows
-per source, whatever its size), and a second running sum stays inside one range. The keys
-are hashes, so the ranges of a hot source are equally full.
+per source, and one more for each of the shuffle's partitions), and a second running sum stays inside one range. The keys
+are hashes, so the ranges of a hot source are equally full, but for rows that share a key (null or repeated ids): these stand
+in order of size and then of the text's hash, and Spark's range partitioning cuts them between partitions, down to single rows.
 
 Edge cases: null text counts 0 words; a null source is a source of its own, ordered last;
 rows repeated in full are separate documents with interchangeable results; an empty table gives an empty
@@ -72,16 +73,20 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs:
     documents of a source, and the columns of ``extra``.
     """
     extra = extra or {}
+    text_hash = F.xxhash64(text_or_empty(text_column)) if text_column in docs.columns else F.lit(0).cast("long")
     sized = saved(
         docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"),
                     (word_count(text_column) if size is None else size).alias("size"),
                     F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")).alias("key"),
-                    *[c.alias(n) for n, c in extra.items()]),
+                    text_hash.alias("text_hash"), *[c.alias(n) for n, c in extra.items()]),
         "mix-sizes")
     # Null sources join like any other value through a name and a flag.
-    keyed = (sized.withColumn("name", F.coalesce("source", F.lit("")))
-             .withColumn("unnamed", F.col("source").isNull())
-             .withColumn("key_range", F.substring("key", 1, range_digits)))
+    named = sized.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("unnamed", F.col("source").isNull())
+    order = ["key", "doc_id", "size", "text_hash", *[n for n in extra if "map<" not in sized.schema[n].dataType.simpleString()], "nth_row"]
+    parts = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = saved(named.withColumn("nth_row", F.monotonically_increasing_id()).repartitionByRange(parts, "name", "unnamed", *order)
+                  .withColumn("key_range", F.struct(F.substring("key", 1, range_digits).alias("digits"), F.spark_partition_id().alias("part"))),
+                  "mix-ranges")
     ranges = keyed.groupBy("name", "unnamed", "key_range").agg(F.sum("size").alias("range_size"))
     totals = ranges.groupBy("name", "unnamed").agg(F.sum("range_size").alias("source_size"))
     targets = water_fill(
@@ -91,7 +96,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs:
     along = Window.partitionBy("name", "unnamed").orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(along), F.lit(0))).drop("range_size").join(
         targets, ["name", "unnamed"])
-    inside = (Window.partitionBy("name", "unnamed", "key_range").orderBy("key", "doc_id", "size")
+    inside = (Window.partitionBy("name", "unnamed", "key_range").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
     lined = keyed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
         placed, ["name", "unnamed", "key_range"])

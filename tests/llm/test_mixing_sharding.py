@@ -3,7 +3,8 @@ from collections import defaultdict
 
 import duckdb
 import pytest
-from freightcube.llm import queries, sharding
+from freightcube.llm import mixing, queries, sharding
+from freightcube.llm.common import saved
 from freightcube.llm.mixing import mix_sources
 from freightcube.llm.sharding import shard_by_bytes
 
@@ -52,6 +53,26 @@ def test_targets_and_cuts(spark):
     assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
 
 
+def test_rows_of_one_key_are_divided(spark, monkeypatch):
+    """Most rows of a source have no id, and many of them one text."""
+    tables = {}
+    monkeypatch.setattr(mixing, "saved", lambda df, name: tables.setdefault(name, saved(df, name)))
+    rows = [(i if i < 100 else None, " ".join(["w"] * (1 + (i % 9 if i < 1200 else 4))), s, "x") for s in ("a", "b", None) for i in range(2000)]
+    got = mix(spark, rows)
+    for s, n in (("a", 1), ("b", 2), (None, 3)):
+        ordered = sorted((r for r in got if r["source"] == s), key=lambda r: (r["key"], r["size"], -r["taken"]))
+        size = sum(r["size"] for r in ordered)
+        budget = int(ordered[0]["target"])
+        epochs, rest = divmod(budget, size)
+        assert sum(r["taken"] for r in ordered) == budget and len(ordered) == 2000
+        for r in ordered:
+            assert r["taken"] == epochs * r["size"] + min(r["size"], rest)
+            rest -= min(r["size"], rest)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fullest = max(r["count"] for r in tables["mix-ranges"].groupBy("name", "unnamed", "key_range").count().collect())
+    assert fullest <= 2 * len(rows) / parts  # one key has 1,900 rows in each source
+
+
 def test_mix_degenerate(spark):
     assert mix(spark, []) == []
     assert [r["taken"] for r in mix(spark, [(1, None, None, "x")])] == [0]
