@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightcube.llm.bpe import decode_documents, encode_documents
-from freightcube.llm.common import quoted, read_table, row_of, saved, text_or_empty
+from freightcube.llm.common import quoted, read_table, row_of, saved
 from freightcube.llm.mixing import mix_sources
 from freightcube.llm.quality import classify_quality
 from freightcube.llm.queries import BYTE_BPE
@@ -41,9 +41,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of a document as the mix takes whole, and where it takes a part, the first words of another."""
+    """As many copies of a document as the mix takes whole, and where it takes a part, the first words of another.
+
+    Documents without words (null, empty or white space) have nothing that the mix could take, and leave it.
+    """
     keys = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("own_id"), F.col("doc_id").isNull().alias("unnamed")]
-    text_key = F.xxhash64(text_or_empty("text"), "source").alias("text_key")
+    # A hash of the whole row; hashes pass over nulls, which are therefore told apart by flags.
+    nested = {c for c, t in docs.dtypes if t.startswith(("array", "map", "struct"))}
+    values = [F.to_json(F.struct(quoted(c))) if c in nested else F.col(quoted(c)) for c in docs.columns]
+    text_key = F.xxhash64(*values, *[F.col(quoted(c)).isNull() for c in docs.columns]).alias("text_key")
     docs_keyed = docs.select(row_of(docs), *keys, text_key)
     names = ["own_id", "unnamed", "text_key"]
     # Rows repeated in full take words together, so that each key has one row on either side of the join.

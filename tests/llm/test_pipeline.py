@@ -94,6 +94,15 @@ def test_mixing_stage(stages):
     assert max(Counter(r["doc_id"] for r in after).values()) <= 3
 
 
+def test_mixing_keeps_rows_apart_that_differ_elsewhere(spark):
+    rows = [(1, "a b", "en", "s", 3, ["p", None]), (1, "a b", "de", "s", 3, ["p", None]), (1, "a b", "de", "s", 4, ["p", None]),
+            (1, "a b", None, "s", 4, [None, "p"]), (1, "a b", None, "s", 4, ["p", None]), (2, "a b", "en", "s", None, None), (2, "a b", "en", "s", None, None),
+            (3, " ", "en", "s", 1, None), (4, None, "en", "s", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `an extra` array<string>")
+    got = corpus_pipeline.mixture(spark, docs, SF).collect()
+    assert Counter(map(str, map(tuple, got))) == Counter(map(str, rows[:7]))  # one source, so each row is taken once
+
+
 def test_tokens_stage(stages):
     before, after, _ = stages["byte-level BPE encoding and decoding"]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
