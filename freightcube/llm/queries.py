@@ -12,6 +12,7 @@ from .bpe import decode_documents, encode_documents
 from .chat import format_conversations, read_back
 from .common import read_table, scratch
 from .fingerprints import fingerprint_documents
+from .merkle import fold, leaf_digest, merkle_manifest, proof_digest
 from .mixing import mix_sources
 from .quality import classify_quality
 from .sharding import shard_by_bytes
@@ -83,6 +84,88 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def merkle_rows(docs: DataFrame) -> DataFrame:
+    """The manifest's digests, and the root that each row leads to after some texts lost their line ends."""
+    broken = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(broken, F.regexp_replace("text", "\n", "")).otherwise(F.col("text"))
+    tampered = leaf_digest([text if c == "text" else F.col(c) for c in LEAF_FIELDS])
+    proved = merkle_manifest(docs, LEAF_FIELDS, extra={"tampered": F.unhex(tampered)})
+    folded = proved.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"),
+                           fold(F.lower(F.hex("tampered")), F.col("proof")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_rows(read_table(spark, sf_dir, "documents").select(*LEAF_FIELDS))
+
+
+_OP13_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i) ORDER BY i) AS crcs
+  FROM range(256) t(i)),
+texts AS (
+  SELECT *, CAST(doc_id AS VARCHAR) AS digits FROM documents),
+checked AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         xor(list_reduce(range(1, 1 + length(digits)),
+             lambda c, k: xor(c >> 8, crcs[1 + (xor(c, ord(digits[k])) & 255)]), 4294967295), 4294967295) AS crc
+  FROM texts, crc_table),
+fields AS (
+  SELECT doc_id, source,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         coalesce(text, '') AS text, text IS NULL AS no_text, coalesce(crc % 2 = 0, false) AS broken
+  FROM checked),
+leaves AS (
+  SELECT doc_id, source, sha256(head || CASE WHEN no_text THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         CASE WHEN broken AND NOT no_text THEN sha256(head || strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''))
+              ELSE sha256(head || CASE WHEN no_text THEN '-' ELSE strlen(text) || ':' || text END) END AS tampered
+  FROM fields),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth FROM leaves),
+nodes AS (
+  SELECT source, 0 AS level, nth, leaf AS digest, count(*) OVER (PARTITION BY source) AS width FROM ranked
+  UNION ALL
+  SELECT source, level + 1, nth // 3, sha256(string_agg(digest, '' ORDER BY nth)), CAST(ceil(any_value(width) / 3.0) AS BIGINT)
+  FROM nodes WHERE width > 1 GROUP BY source, level, nth // 3),
+tops AS (SELECT source, digest AS subroot, level AS height FROM nodes WHERE width = 1),
+upper_nodes AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS nth, subroot AS digest, count(*) OVER () AS width FROM tops
+  UNION ALL
+  SELECT level + 1, nth // 3, sha256(string_agg(digest, '' ORDER BY nth)), CAST(ceil(any_value(width) / 3.0) AS BIGINT)
+  FROM upper_nodes WHERE width > 1 GROUP BY level, nth // 3),
+roots AS (SELECT digest AS root FROM upper_nodes WHERE width = 1),
+paths AS (
+  SELECT source, nth AS leaf_nth, level, nth, CAST([] AS STRUCT(l VARCHAR, r VARCHAR)[]) AS proof FROM nodes WHERE level = 0
+  UNION ALL
+  SELECT p.source, p.leaf_nth, p.level + 1, p.nth // 3,
+         list_append(any_value(p.proof), {'l': coalesce(string_agg(s.digest, '' ORDER BY s.nth) FILTER (s.nth < p.nth), ''),
+                                          'r': coalesce(string_agg(s.digest, '' ORDER BY s.nth) FILTER (s.nth > p.nth), '')})
+  FROM paths p JOIN nodes s ON p.source IS NOT DISTINCT FROM s.source AND p.level = s.level AND p.nth // 3 = s.nth // 3
+  WHERE s.width > 1 GROUP BY p.source, p.leaf_nth, p.level, p.nth),
+upper_ranks AS (SELECT source, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS nth FROM tops),
+upper_paths AS (
+  SELECT source, 0 AS level, nth, CAST([] AS STRUCT(l VARCHAR, r VARCHAR)[]) AS proof FROM upper_ranks
+  UNION ALL
+  SELECT p.source, p.level + 1, p.nth // 3,
+         list_append(any_value(p.proof), {'l': coalesce(string_agg(s.digest, '' ORDER BY s.nth) FILTER (s.nth < p.nth), ''),
+                                          'r': coalesce(string_agg(s.digest, '' ORDER BY s.nth) FILTER (s.nth > p.nth), '')})
+  FROM upper_paths p JOIN upper_nodes s ON p.level = s.level AND p.nth // 3 = s.nth // 3
+  WHERE s.width > 1 GROUP BY p.source, p.level, p.nth),
+proofs AS (
+  SELECT r.doc_id, r.leaf, r.tampered, t.subroot, list_concat(p.proof, u.proof) AS proof
+  FROM ranked r JOIN tops t ON r.source IS NOT DISTINCT FROM t.source
+  JOIN paths p ON r.source IS NOT DISTINCT FROM p.source AND r.nth = p.leaf_nth AND p.level = t.height
+  JOIN upper_paths u ON r.source IS NOT DISTINCT FROM u.source AND u.level = (SELECT max(level) FROM upper_nodes))
+SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_concat([''], list_transform(proof, lambda x: x.l || x.r)), 'string_agg', '')) AS proof_sha256,
+       list_reduce(list_transform(proof, lambda x: x.l || '|' || x.r), lambda d, x: sha256(split_part(x, '|', 1) || d || split_part(x, '|', 2)), tampered) AS folded_root,
+       folded_root = root AS verified
+FROM proofs, roots
+"""
+
 _OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
@@ -158,6 +241,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_format": op9_chat_format,
     "op10_mixing": op10_mixing,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": _OP1_SQL, "op9_chat_format": _OP9_SQL, "op10_mixing": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": _OP1_SQL, "op9_chat_format": _OP9_SQL, "op10_mixing": _OP10_SQL,
+                              "op13_merkle": _OP13_SQL}
