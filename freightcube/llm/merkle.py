@@ -58,8 +58,8 @@ def proof_digest(proof: Column) -> Column:
     return F.sha2(F.array_join(F.transform(proof, lambda at: F.concat(at["left"], at["right"])), "").cast("binary"), 256)
 
 
-def _ranked(rows: DataFrame, order: list[str | Column]) -> DataFrame:
-    """``lo``, ``hi`` (a leaf's interval of ranks in its tree) and ``height`` of the tree.
+def _ranked(rows: DataFrame, order: list[str | Column]) -> tuple[DataFrame, int, int]:
+    """``rows`` with ``lo``, ``hi`` (a leaf's interval of ranks in its tree) and ``height`` of the tree; the greatest height; the number of rows.
 
     A range sort numbers the rows of each partition; what precedes a partition in its tree is a prefix sum of counts,
     one for each (tree, partition).
@@ -70,11 +70,12 @@ def _ranked(rows: DataFrame, order: list[str | Column]) -> DataFrame:
     counts = dealt.groupBy(*TREE, "part").agg(F.count("*").alias("count"), F.min("row").alias("first"))
     along, whole = Window.partitionBy(*TREE).orderBy("part"), Window.partitionBy(*TREE)
     offsets = counts.select(
-        *TREE, "part", (F.sum("count").over(along) - F.col("count") - F.col("first")).alias("offset"),
+        *TREE, "part", "count", (F.sum("count").over(along) - F.col("count") - F.col("first")).alias("offset"),
         # The least number of levels whose topmost has one node.
         F.size(F.filter(F.array(*[F.lit(FANOUT ** i) for i in range(40)]), lambda p: p < F.sum("count").over(whole))).alias("height"))
     ranked = dealt.join(offsets, [*TREE, "part"]).withColumn("lo", F.col("row") + F.col("offset"))
-    return ranked.withColumn("hi", F.col("lo") + 1).drop("part", "row", "offset")
+    highest, n = offsets.agg(F.max("height"), F.sum("count")).first()
+    return ranked.withColumn("hi", F.col("lo") + 1).drop("part", "row", "offset", "count"), highest or 0, n or 0
 
 
 def _parents(nodes: Column) -> Column:
@@ -98,19 +99,24 @@ def _siblings(nodes: Column, level: int, lo: Column, hi: Column) -> Column:
     return F.struct(*[F.array_join(F.transform(side, lambda x: _hex(x["digest"])), "").alias(n) for side, n in ((left, "left"), (right, "right"))])
 
 
+def _in_files(buckets: DataFrame, nodes: int) -> DataFrame:
+    """In no more partitions than so many nodes need: each round has a 27th of the one before."""
+    return buckets.coalesce(max(1, min(nodes // 20_000, 1 << 20)))
+
+
 @dataclass
 class _Forest:
     """Trees over ranked leaves: one table of buckets for every three levels, lowest first."""
 
     rounds: list[DataFrame]
+    n: int
 
     @classmethod
-    def over(cls, leaves: DataFrame) -> _Forest:
-        """``leaves``: TREE, lo, hi, height, digest and a struct ``load``."""
-        highest = leaves.agg(F.max("height")).first()[0]
+    def over(cls, leaves: DataFrame, highest: int, n: int) -> _Forest:
+        """``leaves``: ``n`` rows of TREE, lo, hi, height, digest and a struct ``load``."""
         rounds: list[DataFrame] = []
         nodes = leaves
-        for base in range(0, max(1, highest or 0), HEIGHT):
+        for base in range(0, max(1, highest), HEIGHT):
             bucket = F.expr(f"lo div {FANOUT ** (base + HEIGHT)}").alias("bucket")
             members = F.struct("lo", "hi", "digest", *(["load"] if not rounds else []))
             gathered = nodes.groupBy(*TREE, "height", bucket).agg(F.sort_array(F.collect_list(members)).alias("level0"))  # at most 27
@@ -120,9 +126,9 @@ class _Forest:
             top = F.coalesce(*[F.col(f"level{k}")[0]["digest"] for k in range(HEIGHT, -1, -1)])
             gathered = gathered.withColumn("digest", top).withColumn("lo", F.col("level0")[0]["lo"])
             gathered = gathered.withColumn("hi", F.element_at("level0", -1)["hi"]).withColumn("topmost", F.col("height") <= base + HEIGHT)
-            rounds.append(saved(gathered.drop("bucket", f"level{HEIGHT}"), "merkle-buckets"))
+            rounds.append(saved(_in_files(gathered.drop("bucket", f"level{HEIGHT}"), n // FANOUT ** base), "merkle-buckets"))
             nodes = rounds[-1].where(~F.col("topmost")).select(*TREE, "height", "lo", "hi", "digest")
-        return cls(rounds)
+        return cls(rounds, n)
 
     def roots(self) -> DataFrame:
         out = [r.where("topmost").select(*TREE, "digest") for r in self.rounds]
@@ -158,7 +164,7 @@ class _Forest:
                 proof = self._proof(base + HEIGHT, F.col("own.lo"), F.col("own.hi")).alias("above")
                 placed = placed.select(*TREE, F.struct(*[c for c in buckets.columns if c not in TREE]).alias("own"), "root", "above").union(
                     lifted.select(*TREE, "own", "root", proof)).select(*TREE, "own.*", "root", "above")
-            upper = saved(placed, "merkle-paths") if nth else placed
+            upper = saved(_in_files(placed, self.n // FANOUT ** base), "merkle-paths") if nth else placed
         leaves = upper.withColumn("leaf", F.explode("level0"))
         return leaves.select(*TREE, F.col("leaf.lo").alias("lo"), "leaf.load", "leaf.digest", "root",
                              self._proof(0, F.col("leaf.lo"), F.col("leaf.hi")).alias("proof"))
@@ -178,16 +184,17 @@ def merkle_manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source"
         F.coalesce(source, F.lit("")).alias("name"), source.isNull().alias("unnamed"), F.col(quoted(id_column)).alias("id"),
         F.unhex(leaf_digest([F.col(quoted(c)) for c in fields])).alias("digest"),
         F.struct(F.monotonically_increasing_id().alias("nth"), *[c.alias(n) for n, c in extra.items()]).alias("more")), "merkle-leaves")
-    leaves = _ranked(rows, ["id", "digest", "more.nth"]).withColumn("load", F.struct("id", "more"))
-    sources = _Forest.over(saved(leaves.drop("id", "more"), "merkle-intervals"))
+    ranked, highest, n = _ranked(rows, ["id", "digest", "more.nth"])
+    sources = _Forest.over(ranked.select(*TREE, "lo", "hi", "height", "digest", F.struct("id", "more").alias("load")), highest, n)
     subroots = sources.roots().select(F.lit("").alias("name"), F.lit(False).alias("unnamed"), "digest",
                                       F.struct(*TREE).alias("load"), (~F.col("unnamed")).alias("named"), F.col("name").alias("id"))
     # Spark orders strings by their UTF-8 bytes.
-    whole = _Forest.over(saved(_ranked(saved(subroots, "merkle-subroots"), ["named", "id"]).drop("named", "id"), "merkle-intervals"))
+    ranked, highest, n = _ranked(saved(subroots.coalesce(1 + n // 1_000_000), "merkle-subroots"), ["named", "id"])
+    whole = _Forest.over(ranked.drop("named", "id"), highest, n)
     root = whole.roots().select("digest").first()  # one row
     top = whole.roots().select(*TREE, F.col("digest").alias("root"), F.array().cast("array<struct<left:string,right:string>>").alias("above"))
     above = whole.proofs(top).select("load.*", F.col("digest").alias("root"), F.col("proof").alias("above"))
-    proved = sources.proofs(saved(above, "merkle-sources"))
+    proved = sources.proofs(saved(_in_files(above, n), "merkle-sources"))
     return proved.select(
         F.col("load.id").alias("doc_id"), F.when(~F.col("unnamed"), F.col("name")).alias("source"), F.col("lo").alias("rank"),
         _hex(F.col("digest")).alias("leaf"), _hex(F.col("root")).alias("subroot"),
