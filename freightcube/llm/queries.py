@@ -20,6 +20,7 @@ from .simhash import print_hex, simhash_components
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .topk_search import top_k
+from .whitening import whiten
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -84,6 +85,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def whitened_rows(vectors: DataFrame) -> DataFrame:
+    """One row per vector and component; deviations beyond 64 bits are null."""
+    rows, model = whiten(vectors, components=32, scale=64, shift=1_000_000)
+    explained = F.array(*[F.lit(x) for x in (model.explained if model else [])]).cast("array<double>")
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"),
+                       F.col("deviation").try_cast("long").alias("deviation"), "whitened", F.element_at(explained, F.col("at") + 1).alias("explained"),
+                       F.lit(model.identity_error if model else 0.0).alias("identity_error"))
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_rows(read_table(spark, sf_dir, "embeddings"))
+
+
 LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -241,6 +256,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_format": op9_chat_format,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
     "op13_merkle": op13_merkle,
 }
 
