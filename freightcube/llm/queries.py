@@ -12,6 +12,7 @@ from .bpe import decode_documents, encode_documents
 from .chat import format_conversations, read_back
 from .common import read_table, scratch
 from .fingerprints import fingerprint_documents
+from .html_text import extract_pages
 from .merkle import fold, leaf_digest, merkle_manifest, proof_digest
 from .mixing import mix_sources
 from .quality import classify_quality
@@ -99,6 +100,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_rows(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -257,6 +263,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_mixing": op10_mixing,
     "op11_whitening": op11_whitening,
+    "op12_html_text": op12_html_text,
     "op13_merkle": op13_merkle,
 }
 
