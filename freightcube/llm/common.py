@@ -75,6 +75,13 @@ def row_of(docs: DataFrame) -> Column:
     return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row. Hashes pass over nulls, which are therefore told apart by flags."""
+    nested = {c for c, t in docs.dtypes if t.startswith(("array", "map", "struct"))}
+    values = [F.to_json(F.struct(quoted(c))) if c in nested else F.col(quoted(c)) for c in docs.columns]
+    return F.xxhash64(F.lit("row"), *values, *[F.col(quoted(c)).isNull() for c in docs.columns])
+
+
 def with_row(row: T.StructField, others: str) -> T.StructType:
     """A schema of ``row`` (a struct of columns of any name) and the columns of a DDL string."""
     return T.StructType([row, *T.StructType.fromDDL(others).fields])

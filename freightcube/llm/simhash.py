@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_of, saved, ship_by_value, small_batches, text_or_empty, utf8_buffers, whole_groups
+from .common import row_hash, row_of, saved, ship_by_value, small_batches, text_or_empty, utf8_buffers, whole_groups
 from .graph import connected_components
 
 SEED = 42
@@ -88,16 +88,17 @@ def _fingerprints(shingle: int):
             raw = memoryview(raw)
             prints = np.fromiter((fingerprint(bytes(raw[a:b]), shingle) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())),
                                  np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(prints.view(np.int64))], ["doc_id", "text_key", "print"])
+            keys = ["doc_id", "text_key", "row_key"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(prints.view(np.int64))], [*keys, "print"])
 
     return apply
 
 
 def simhash(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, the hash of the text, and the fingerprint ``print`` (the 64 bits as a signed long) of every document."""
+    """doc_id, hashes of the text and of the whole row, and the fingerprint ``print`` (the 64 bits as a signed long) of every document."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
-    return texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_fingerprints(shingle), "doc_id long, text_key long, print long")
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"), row_hash(docs).alias("row_key"))
+    return texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_fingerprints(shingle), "doc_id long, text_key long, row_key long, print long")
 
 
 def popcounts(prints: np.ndarray) -> np.ndarray:
@@ -203,17 +204,19 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_
 
 def one_of_each(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_column: str = "doc_id",
                 text_column: str = "text") -> DataFrame:
-    """The documents that stay when each component keeps one: that of the smallest id, and of equal ids the text of the
-    smallest hash. All columns stay; of rows repeated in full one stays."""
+    """The documents that stay when each component keeps one: that of the smallest id, of equal ids the text of the
+    smallest hash, and of equal texts the row of the smallest hash over all its columns, so the order of rows changes nothing.
+    All columns stay; of rows repeated in full one stays."""
     prints = saved(simhash(docs, shingle, id_column, text_column), "simhash")
     rooted = prints.join(fingerprint_components(prints, max_bits), "print")
     # Null ids come last, so they stay only where a component has no other.
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"))
-    stay = least.select(F.coalesce("least.doc_id", F.lit(0)).alias("own_id"), "least.none", F.col("least.text_key").alias("text_key"))
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "row_key")).alias("least"))
+    stay = least.select(F.coalesce("least.doc_id", F.lit(0)).alias("own_id"), "least.none", F.col("least.text_key").alias("text_key"),
+                        F.col("least.row_key").alias("row_key"))
     own_id = F.col(id_column).cast("long")
     rows = docs.select(row_of(docs), F.coalesce(own_id, F.lit(0)).alias("own_id"), own_id.isNull().alias("none"),
-                       F.xxhash64(text_or_empty(text_column)).alias("text_key"))
-    keys = ["own_id", "none", "text_key"]
+                       F.xxhash64(text_or_empty(text_column)).alias("text_key"), row_hash(docs).alias("row_key"))
+    keys = ["own_id", "none", "text_key", "row_key"]  # the hashes are two: equal keys are equal rows
     return rows.join(stay, keys, "left_semi").dropDuplicates(keys).select("row.*")
 
 

@@ -141,6 +141,16 @@ def test_simhash_texts(spark, monkeypatch):
     assert simhash.simhash_components(spark.createDataFrame([], frame.schema)).count() == 0
 
 
+def test_one_of_each_does_not_depend_on_row_order(spark):
+    """Rows equal in id and text, and near copies without id, differ in other columns."""
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i % 3 or None, words if i % 2 else "other " + words[:40], lang, source) for i in range(6) for lang in ("en", "de", None) for source in ("a", None)]
+    schema = "doc_id long, text string, lang string, source string"
+    kept = {tuple(sorted(map(repr, simhash.one_of_each(spark.createDataFrame(order, schema)).collect())))
+            for order in (rows, rows[::-1], rows[5:] + rows[:5])}
+    assert len(kept) == 1
+
+
 def test_simhash_query(spark):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
     prints = [brute_print(t) for _, t in rows]
