@@ -41,6 +41,8 @@ DIGIT = 50
 BLOCK = 1 << 20
 #: Contexts of one anchor that a task sorts at a time, with some 3 kB each (160 MB).
 HOT_CONTEXTS = 50_000
+#: Texts that a task remembers to have fetched from.
+SERVED = 100_000
 NO_ID = -(1 << 63)
 
 
@@ -100,12 +102,21 @@ def _emit_anchors(threshold: int):
 
 
 def _fetch(threshold: int, text_column: str):
-    """The bytes around wanted positions: (digit, context, copies, left, right)."""
+    """The bytes around wanted positions: (digit, context, copies, left, right).
+
+    Rows that share id and text bring the same wishes: a task serves the first of them, as far back as it remembers."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        served: set[tuple[int, int]] = set()
         for batch in batches:
             out, size = [], 0
-            texts = batch.column("row").field(text_column)
-            for text, wanted in zip(texts, batch.column("wanted").to_pylist()):
+            texts, wishes = batch.column("row").field(text_column), batch.column("wanted")
+            for i, key in enumerate(zip(batch.column("own_id").to_pylist(), batch.column("text_key").to_pylist())):
+                if key in served:
+                    continue
+                if len(served) >= SERVED:
+                    served.clear()
+                served.add(key)
+                text, wanted = texts[i], wishes[i].as_py()
                 data = text.as_buffer().to_pybytes()
                 for w in wanted:
                     at = w["position"]
@@ -276,7 +287,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 200, id_column: str = "doc_
     def fetched(of: DataFrame) -> DataFrame:
         wanted = of.groupBy(F.col("at.own_id").alias("own_id"), F.col("at.text_key").alias("text_key")).agg(
             F.collect_list(F.struct("digit", "context", "copies", F.col("at.position").alias("position"))).alias("wanted"))
-        return wanted.join(rows, ["own_id", "text_key"]).select("row", "wanted").mapInArrow(_fetch(threshold, text_column), _CONTEXTS)
+        return wanted.join(rows, ["own_id", "text_key"]).select("own_id", "text_key", "row", "wanted").mapInArrow(_fetch(threshold, text_column), _CONTEXTS)
 
     any_hot = not hot.isEmpty()
     usual = fetched(sample.join(hot, "digit", "left_anti") if any_hot else sample)

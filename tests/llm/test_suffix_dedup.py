@@ -78,3 +78,28 @@ def test_query(spark, sf):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
            for r in queries.op4_suffix_dedup(spark, f"/root/testdata/sf{sf}").collect()}
     assert got == dict(zip((r[0] for r in rows), brute([r[1] for r in rows])))
+
+
+def test_copies_of_a_row_are_fetched_from_once(spark, monkeypatch):
+    """Pass 3 gets each context once for all copies of a row (of one task)."""
+    fetch = suffix_dedup._fetch
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(*how):
+        inner = fetch(*how)
+
+        def apply(batches):
+            for out in inner(batches):
+                count.add(out.num_rows)
+                yield out
+
+        return apply
+
+    monkeypatch.setattr(suffix_dedup, "_fetch", counted)
+    text = "".join(random.Random(2).choices("abcdefgh ", k=900))
+    other = "".join(random.Random(3).choices("abcdefgh ", k=300))
+    # The anchors of the shared part have two contexts each, so they all go to pass 3.
+    docs = spark.createDataFrame([(None, text)] * 2000 + [(7, other + text[300:700] + other[::-1])], "doc_id long, text string").repartition(1)
+    removed = {r["row"]["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert removed == {None: 900, 7: 400}
+    assert 0 < count.value < 100
