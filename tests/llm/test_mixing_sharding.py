@@ -127,3 +127,24 @@ def test_shard_query(spark):
         sums[r["shard"]] += r["size"]
     assert sum(sums.values()) == total and all(abs(s - total / 8) <= most for s in sums.values())
     assert sorted(map(str, got)) == sorted(map(str, queries.op6_sharding(spark, SF).collect()))
+
+
+def test_rows_repeated_in_full_are_divided(spark, monkeypatch):
+    """A third of the rows are one row: no key range, the unit that a task sorts, holds over twice the mean."""
+    ranges = {}
+    deal = sharding._deal
+    monkeypatch.setattr(sharding, "_deal", lambda bounds: ranges.setdefault("bounds", []).append(bounds) or deal(bounds))
+    rows = [(None, "one text of many words", "x")] * 10_000 + [(i, f"text {i} of some words", "x") for i in range(20_000)]
+    got = shards(spark, rows)
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    assert all(sorted(r["slot"] for r in shard) == list(range(len(shard))) for shard in by.values())
+    total = sum(r["size"] for r in got)
+    assert all(abs(sum(r["size"] for r in shard) - total / 8) <= 30 for shard in by.values())
+    bounds = ranges["bounds"][-1]
+    keys = spark.createDataFrame(rows, "doc_id long, text string, shard string").selectExpr(
+        "xxhash64(text) text_hash", f"coalesce(doc_id, {sharding.NULL_ID}) order_id", "xxhash64(monotonically_increasing_id()) salt")
+    filled = [r["count"] for r in keys.mapInArrow(deal(bounds), "text_hash long, order_id long, salt long, key_range int").groupBy("key_range").count().collect()]
+    assert max(filled) <= 2 * len(rows) / len(filled)
