@@ -29,8 +29,10 @@ from .common import ship_by_value, small_batches, text_or_empty
 NONE = np.int64(1) << 62
 #: Pieces up to this many bytes share arrays of trees.
 SHARED_BYTES = 64
-#: Pieces remembered by a task, and pieces held at a time.
-REMEMBERED, BLOCK = 150_000, 1 << 18
+#: Pieces, and bytes of them and their ids, remembered by a task; pieces held at a time.
+REMEMBERED, REMEMBERED_BYTES, BLOCK = 150_000, 32 << 20, 1 << 18
+#: Pieces of more bytes are held in typed arrays (some 50 bytes of memory a byte) and not in faster lists.
+LISTED = 1 << 16
 
 
 def load_vocabulary(path: str) -> list[bytes]:
@@ -60,6 +62,7 @@ class Encoder:
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.base + right
@@ -120,15 +123,20 @@ class Encoder:
         n = len(piece)
         width = 1 << (n - 1).bit_length()
         none, base, pairs = int(NONE), int(self.base), self.pairs
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        follows, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = self._rank(np.array(ids[:-1]), np.array(ids[1:]))
-        leaves = np.full(width, NONE, np.int64)
-        leaves[:n - 1] = np.where(ranks < NONE, ranks * width + np.arange(n - 1), NONE)
-        levels = [leaves]
-        while len(levels[-1]) > 1:
-            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
-        tree = [none, *np.concatenate(levels[::-1]).tolist()]
+        held = memoryview if n > LISTED else np.ndarray.tolist
+        ids_ = np.empty(n, np.int32)
+        tree_ = np.full(2 * width, NONE, np.int64)  # node 1 is the root, the leaves start at width
+        for at in range(0, n, LISTED):
+            part = self.single[np.frombuffer(piece, np.uint8, min(LISTED + 1, n - at), at)]
+            ids_[at:at + len(part)] = part
+            ranks = self._rank(part[:-1], part[1:])
+            tree_[width + at:width + at + len(ranks)] = np.where(ranks < NONE, ranks * width + np.arange(at, at + len(ranks)), NONE)
+        low = width
+        while low > 1:
+            np.minimum(tree_[low:2 * low:2], tree_[low + 1:2 * low:2], out=tree_[low >> 1:low])
+            low >>= 1
+        ids, tree = held(ids_), held(tree_)
+        follows, before = held(np.arange(1, n + 1, dtype=np.int32)), held(np.arange(-1, n - 1, dtype=np.int32))
 
         def put(at, rank):
             node = width + at
@@ -152,7 +160,8 @@ class Encoder:
             put(at, pairs.get(rank * base + ids[after]) if after < n else None)
             if before[at] >= 0:
                 put(before[at], pairs.get(ids[before[at]] * base + rank))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+        ids_ = np.asarray(ids, np.int32)
+        return ids_[ids_ >= 0].astype("<u4").tobytes()
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian unsigned 32-bit integers."""
@@ -180,10 +189,12 @@ class Encoder:
         """The table of pieces with all of ``pieces`` in it."""
         pieces = set(pieces)
         new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > REMEMBERED or self.known_bytes > REMEMBERED_BYTES:  # plus those of one call
             self.known.clear()
-            new = list(pieces)
-        self.known.update(zip(new, self.encode([p.encode() for p in new])))
+            self.known_bytes, new = 0, list(pieces)
+        ids = self.encode([p.encode() for p in new])
+        self.known.update(zip(new, ids))
+        self.known_bytes += sum(map(len, new)) + sum(map(len, ids))
         return self.known
 
 

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -47,6 +48,27 @@ def test_long_pieces_alone_and_together(tik):
         assert [encoder._alone(p) for p in pieces] == encoder._together(pieces, 1 << (n - 1).bit_length() if n > 1 else 2)
 
 
+def test_very_long_piece(tik):
+    """One unbroken piece, held in typed arrays: equal to the library, and in memory bounded by its length."""
+    encoder = bpe.Encoder(bpe.load_vocabulary(RANKS))
+    piece = bytes(random.Random(6).choices(b"etaoinshrdlu", k=3 * bpe.LISTED))
+    tracemalloc.start()
+    ids = encoder._alone(piece)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(piece) + (8 << 20)
+    assert np.frombuffer(ids, "<u4").tolist() == tik.encode_ordinary(piece.decode())
+
+
+def test_memory_of_pieces_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 20_000)
+    encoder = bpe.Encoder(bpe.load_vocabulary(RANKS))
+    for i in range(60):
+        known = encoder.learn([f"{i}" * 500, "the"])
+        assert "the" in known and f"{i}" * 500 in known
+        assert sum(len(k) + len(v) for k, v in known.items()) <= 20_000 + 5 * 1000
+
+
 def test_byte_bpe_table(spark, tik, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", 64)  # long texts come in blocks
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
