@@ -6,8 +6,8 @@ polygon = array<ring>, ring = array<point> (closed), multipolygon = array<polygo
 Range predicates never run as nested loops: both sides are mapped to grid cells, the
 join is an equi-join on the cell (hash / sort-merge, AQE splits skewed cells), and the
 exact predicate is the residual. In the radius join a point has one cell, so a pair is
-evaluated once. In the buffer join segments and edges span cells and a line meets a polygon
-in many of them, so its pairs are made distinct. Where only one side's keys are wanted, the
+evaluated once. In the buffer join the cells are the leaves of a quadtree over both sides; segments and edges
+span leaves, and a pair is judged in one of them. Where only one side's keys are wanted, the
 ``*_near_*`` forms are semi joins that never make pairs.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quadtree import ROWS_PER_LEAF, Box, Quadtree, entered_here, quadtree_of
+
 # Fixed values that must equal the reference's.
 EARTH_RADIUS_MILES = 3958.8
 MILES_PER_DEGREE = 69.0
@@ -171,36 +173,6 @@ class _Pt:
         return self._c[k]
 
 
-def _bbox_cells(minx: Column, miny: Column, maxx: Column, maxy: Column, cell: float) -> Column:
-    xs = F.sequence(F.floor(minx / F.lit(cell)), F.floor(maxx / F.lit(cell)))
-    ys = F.sequence(F.floor(miny / F.lit(cell)), F.floor(maxy / F.lit(cell)))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("gx"), y.alias("gy")))))
-
-
-def segment_cells(x1: Column, y1: Column, x2: Column, y2: Column, r: float, cell: float) -> Column:
-    """Grid cells touched by the r-buffer of segment (x1,y1)-(x2,y2): per cell column, the
-    y-range of the part of the segment whose buffer reaches that column, grown by r. A
-    superset of the exact cover, far smaller than the bounding box for long diagonals."""
-    eps = 1e-9
-    g, rr = F.lit(cell), F.lit(r + eps)
-    minx, maxx = F.least(x1, x2), F.greatest(x1, x2)
-    dx = x2 - x1
-
-    def y_at(x):
-        return y1 + (x - x1) * (y2 - y1) / dx
-
-    def column(gx):
-        xa = F.greatest(minx, gx * g - rr)
-        xb = F.least(maxx, (gx + F.lit(1)) * g + rr)
-        ya = F.when(dx == F.lit(0.0), F.least(y1, y2)).otherwise(F.least(y_at(xa), y_at(xb)))
-        yb = F.when(dx == F.lit(0.0), F.greatest(y1, y2)).otherwise(F.greatest(y_at(xa), y_at(xb)))
-        ys = F.sequence(F.floor((ya - rr) / g), F.floor((yb + rr) / g))
-        return F.transform(ys, lambda gy: F.struct(gx.alias("gx"), gy.alias("gy")))
-
-    cols = F.sequence(F.floor((minx - rr) / g), F.floor((maxx + rr) / g))
-    return F.flatten(F.transform(cols, column))
-
-
 def _non_null_coords(df: DataFrame, keys: list[str], coords: list[str]) -> DataFrame:
     """Drop rows with a missing coordinate, then declare the coordinates non-nullable.
 
@@ -257,76 +229,110 @@ def segment_edge_near(r: float) -> Column:
     return segment_edge_maybe_near(r) & exact
 
 
-def _segment_rows(lines: DataFrame, line_keys: list[str], r: float, cell: float) -> DataFrame:
-    """Segments with each cell (s_gx, s_gy) of their buffered cover. Before the (interpreted) cover they are
-    spread by their own coordinates, so neither one small file nor one owner's lines stay together."""
-    s = line_segments(lines, line_keys).repartition(F.xxhash64("sx1", "sy1", "sx2", "sy2"))
-    cells = segment_cells(F.col("sx1"), F.col("sy1"), F.col("sx2"), F.col("sy2"), r, cell)
-    return s.withColumn("g", F.explode(cells)).select("*", F.col("g.gx").alias("s_gx"), F.col("g.gy").alias("s_gy")).drop("g")
+SEGMENT, EDGE = ("sx1", "sy1", "sx2", "sy2"), ("ex1", "ey1", "ex2", "ey2")
 
 
-def _edge_rows(polygons: DataFrame, polygon_key: str, cell: float) -> DataFrame:
-    e = polygon_edge_rows(polygons, polygon_key)
-    cells = segment_cells(F.col("ex1"), F.col("ey1"), F.col("ex2"), F.col("ey2"), 0.0, cell)
-    return e.withColumn("g", F.explode(cells)).select("*", F.col("g.gx").alias("e_gx"), F.col("g.gy").alias("e_gy")).drop("g")
+EDGE_BOX = ("bx0", "by0", "bx1", "by1")
 
 
-def _starts_inside(lines: DataFrame, polygons: DataFrame, line_keys: list[str], polygon_key: str, cell: float,
-                   salts: int) -> DataFrame:
-    """(line keys..., polygon key) where the first vertex of the line lies in the polygon.
+def _placed_edges(tree: Quadtree, edges: DataFrame, r: float) -> DataFrame:
+    """Edges in the leaves of their bounding boxes, which are grown by r and a margin above rounding."""
+    x1, y1, x2, y2 = map(F.col, EDGE)
+    grow = F.lit(float(r) * (1 + 1e-9) + 1e-9 * tree.side)
+    box = (F.least(x1, x2) - grow, F.least(y1, y2) - grow, F.greatest(x1, x2) + grow, F.greatest(y1, y2) + grow)
+    boxed = edges.select("*", *[c.alias(n) for n, c in zip(EDGE_BOX, box)])
+    return tree.place(boxed, tuple(map(F.col, EDGE_BOX)), "e_").drop("e_left", "e_low")
 
-    A line that meets a polygon crosses or nears its boundary or lies wholly inside, so one
-    vertex per line decides the rest. Vertices meet bounding boxes in cells; both sides are a few
-    numbers a row, and the vertices of a cell are dealt to ``salts`` sub-cells that each have
-    the boxes. The edges of a polygon join the few candidates by its key, not by cell.
-    """
+
+def _near_here(r: float) -> Column:
+    """The test of a segment and an edge that share a leaf: true in the leaf where the segment enters the edge's grown box."""
+    return entered_here((F.col("sx1"), F.col("sy1")), tuple(map(F.col, EDGE_BOX))) & segment_edge_near(r)
+
+
+def _tree_over(segments: DataFrame, edges: DataFrame, rows_per_leaf: int) -> Quadtree:
+    middle = lambda ends: ((F.col(ends[0]) + F.col(ends[2])) / 2, (F.col(ends[1]) + F.col(ends[3])) / 2)
+    return quadtree_of((segments, *middle(SEGMENT)), (edges, *middle(EDGE)), rows_per_leaf=rows_per_leaf)
+
+
+def _spread_segments(lines: DataFrame, line_keys: list[str]) -> DataFrame:
+    """Segments dealt by their own coordinates, so neither one small file nor one owner's lines stay together."""
+    return line_segments(lines, line_keys).repartition(F.xxhash64(*SEGMENT))
+
+
+def _boxes(polygons: DataFrame, polygon_key: str) -> DataFrame:
     pts = F.flatten(F.flatten(F.col("geometry")))
     xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
-    boxes = polygons.select(polygon_key, F.array_min(xs).alias("pminx"), F.array_min(ys).alias("pminy"),
-                            F.array_max(xs).alias("pmaxx"), F.array_max(ys).alias("pmaxy"))
-    boxes = boxes.withColumn("g", F.explode(_bbox_cells(F.col("pminx"), F.col("pminy"), F.col("pmaxx"), F.col("pmaxy"), cell)))
-    boxes = boxes.select("*", "g.gx", "g.gy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).drop("g")
+    return polygons.select(polygon_key, F.array_min(xs).alias("pminx"), F.array_min(ys).alias("pminy"),
+                           F.array_max(xs).alias("pmaxx"), F.array_max(ys).alias("pmaxy"))
+
+
+BOX = ("pminx", "pminy", "pmaxx", "pmaxy")
+
+
+def _first_vertices(lines: DataFrame, line_keys: list[str]) -> DataFrame:
     first = lines.where(F.size("geometry") > F.lit(0)).select(
         *line_keys, F.element_at("geometry", 1)["x"].alias("sx1"), F.element_at("geometry", 1)["y"].alias("sy1"))
-    starts = _non_null_coords(first, line_keys, ["sx1", "sy1"]).select(
-        *line_keys, "sx1", "sy1", F.floor(F.col("sx1") / F.lit(cell)).alias("gx"), F.floor(F.col("sy1") / F.lit(cell)).alias("gy"),
-        F.pmod(F.xxhash64(*line_keys, "sx1", "sy1"), F.lit(salts)).cast("int").alias("salt"))
-    inside_box = ((F.col("sx1") >= F.col("pminx")) & (F.col("sx1") <= F.col("pmaxx"))
-                  & (F.col("sy1") >= F.col("pminy")) & (F.col("sy1") <= F.col("pmaxy")))
-    candidates = starts.join(boxes, ["gx", "gy", "salt"]).where(inside_box).select(*line_keys, "sx1", "sy1", polygon_key)
+    return _non_null_coords(first, line_keys, ["sx1", "sy1"])
+
+
+def _starts_inside(tree: Quadtree, starts: DataFrame, polygons: DataFrame, line_keys: list[str], polygon_key: str) -> DataFrame:
+    """(line keys..., polygon key) where the first vertex of the line lies in the polygon.
+
+    A line that meets a polygon crosses or nears its boundary or lies wholly inside, so one
+    vertex per line decides the rest. Vertices meet bounding boxes in the leaves of the tree; both sides are a few
+    numbers a row. The edges of a polygon join the few candidates by its key, not by leaf.
+    """
+    x, y = F.col("sx1"), F.col("sy1")
+    at = tree.place(starts, (x, y, x, y), "s_", spread=F.struct(x, y))
+    boxes = _boxes(polygons, polygon_key).where(F.col("pminx").isNotNull() & F.col("pminy").isNotNull())
+    boxes = tree.place(boxes, tuple(map(F.col, BOX)), "e_")
+    inside_box = (x >= F.col("pminx")) & (x <= F.col("pmaxx")) & (y >= F.col("pminy")) & (y <= F.col("pmaxy"))
+    # A vertex is in one leaf, so it meets a box once.
+    candidates = at.join(boxes, ["leaf", "salt"]).where(inside_box).select(*line_keys, "sx1", "sy1", polygon_key)
     edges = polygons.select(polygon_key, polygon_edges(F.col("geometry")).alias("edges"))
-    inside = candidates.join(edges, polygon_key).where(point_in_edges(_Pt(F.col("sx1"), F.col("sy1")), F.col("edges")))
+    inside = candidates.join(edges, polygon_key).where(point_in_edges(_Pt(x, y), F.col("edges")))
     return inside.select(*line_keys, polygon_key)
 
 
 def lines_near_polygons(lines: DataFrame, polygons: DataFrame, r: float, line_keys: list[str],
-                        polygon_key: str = "geoid", cell: float = 1.0, salts: int = 8) -> DataFrame:
+                        polygon_key: str = "geoid", rows_per_leaf: int = ROWS_PER_LEAF) -> DataFrame:
     """JN8: the distinct (line keys..., polygon key) of lines whose r-buffer intersects a polygon.
 
     Distance <= r is the definition (a round buffer; GEOS approximates it with chords). Two
-    equi-joins on grid cells, both with code-generated residuals: segments (cells of their
-    buffered cover) x polygon edges (cells of their cover), where one crosses or comes within r of
-    the other; and first vertices x bounding boxes, for lines wholly inside a polygon.
-
-    ``cell`` is the side of a grid cell in the unit of the coordinates: about the length of
-    a typical segment or edge; smaller where the data are denser, since work in a cell
-    grows with segments times edges. A hot cell of the first join is split by AQE.
+    equi-joins on the leaves of a quadtree over both sides, with code-generated residuals: segments
+    x polygon edges (their boxes grown by r), where one crosses or comes within r of the other, each pair judged in one leaf;
+    and first vertices x bounding boxes, for lines wholly inside a polygon. The tree follows the density of
+    the data, so work is spread whatever the units, the lengths and the clusters are.
     """
-    sc, ec = _segment_rows(lines, line_keys, r, cell), _edge_rows(polygons, polygon_key, cell)
-    near = sc.join(ec, (sc["s_gx"] == ec["e_gx"]) & (sc["s_gy"] == ec["e_gy"])).where(segment_edge_near(r)).select(*line_keys, polygon_key)
-    return near.unionByName(_starts_inside(lines, polygons, line_keys, polygon_key, cell, salts)).distinct()
+    segments, edges = _spread_segments(lines, line_keys), polygon_edge_rows(polygons, polygon_key)
+    tree = _tree_over(line_segments(lines, []), edges, rows_per_leaf)
+    sc = tree.place_segments(segments, tuple(map(F.col, SEGMENT)), spread=F.struct(*line_keys, *SEGMENT))
+    ec = _placed_edges(tree, edges, r)
+    near = sc.join(ec, ["leaf", "salt"]).where(_near_here(r)).select(*line_keys, polygon_key)
+    return near.unionByName(_starts_inside(tree, _first_vertices(lines, line_keys), polygons, line_keys, polygon_key)).distinct()
 
 
-def polygons_near_lines(lines: DataFrame, polygons: DataFrame, r: float, polygon_key: str = "geoid", cell: float = 1.0,
-                        salts: int = 8) -> DataFrame:
+def polygons_near_lines(lines: DataFrame, polygons: DataFrame, r: float, polygon_key: str = "geoid",
+                        rows_per_leaf: int = ROWS_PER_LEAF) -> DataFrame:
     """JN8 + SET3: the keys of the polygons that any line comes within ``r`` of, as semi joins: no
-    (line, polygon) pairs but the few where a line may lie wholly inside."""
-    sc, ec = _segment_rows(lines, [], r, cell), _edge_rows(polygons, polygon_key, cell)
-    near = ec.join(sc, (sc["s_gx"] == ec["e_gx"]) & (sc["s_gy"] == ec["e_gy"]) & segment_edge_near(r), "left_semi").select(polygon_key).distinct()
-    numbered = lines.select(F.xxhash64("geometry").alias("line"), "geometry").dropDuplicates(["line"])
-    rest = polygons.select(polygon_key, "geometry").join(near, polygon_key, "left_anti")
-    inside = _starts_inside(numbered, rest, ["line"], polygon_key, cell, salts).select(polygon_key).distinct()
-    return near.union(inside)
+    (line, polygon) pairs but the few where a line may lie wholly inside.
+
+    Polygons whose bounding box touches no leaf with a segment go before any of their edges is made or shuffled.
+    """
+    segments = line_segments(lines, []).distinct()
+    boxes = _boxes(polygons, polygon_key)
+    middle = ((F.col("pminx") + F.col("pmaxx")) / 2, (F.col("pminy") + F.col("pmaxy")) / 2)
+    tree = quadtree_of((segments, (F.col("sx1") + F.col("sx2")) / 2, (F.col("sy1") + F.col("sy2")) / 2), (boxes, *middle), rows_per_leaf=rows_per_leaf)
+    sc = tree.place_segments(segments, tuple(map(F.col, SEGMENT)), spread=F.struct(*SEGMENT))
+    points = F.flatten(F.flatten("geometry"))
+    box = tuple(of(F.transform(points, lambda p: p[axis])) + F.lit(grow) for of, grow in ((F.array_min, -r), (F.array_max, r)) for axis in "xy")
+    candidates = polygons.select(polygon_key, "geometry").where(tree.touching(box, sc))
+    ec = _placed_edges(tree, polygon_edge_rows(candidates, polygon_key), r)
+    same = (sc["leaf"] == ec["leaf"]) & (sc["salt"] == ec["salt"])
+    near = ec.join(sc, same & _near_here(r), "left_semi").select(polygon_key)
+    # Lines that begin at one point are one start.
+    inside = _starts_inside(tree, _first_vertices(lines, []).distinct(), candidates, [], polygon_key)
+    return near.union(inside).distinct()
 
 
 # ------------------------------------------------------------------ GEO1 centroid

@@ -660,7 +660,7 @@ pairs AS (
 
 def _rail_pairs(spark, sf_dir, line_keys):
     t = load_tables(spark, sf_dir)
-    return lines_near_polygons(star.rail_segments(t), star.county_squares(t), RAIL_BUFFER_DEG, line_keys, "geoid", cell=1.0)
+    return lines_near_polygons(star.rail_segments(t), star.county_squares(t), RAIL_BUFFER_DEG, line_keys, "geoid")
 
 
 @register("rail_buffer_pairs", _rail_sql() + "SELECT DISTINCT feature_id, owner, geoid FROM pairs")

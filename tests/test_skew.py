@@ -121,19 +121,22 @@ def test_hot_cell_and_hot_owner_in_buffer_join(spark):
     from freightcube.operators import spatial
     lines, polygons = _hot_rails(spark)
     lines, polygons = lines.repartition(4).cache(), polygons.repartition(4).cache()
-    got, plan = _skewed(spark, lambda: spatial.lines_near_polygons(lines, polygons, 0.01, ["feature_id", "owner"]))
-    assert "skew=true" in plan                                       # the hot cell of segments x edges is split
-    everywhere, _ = _skewed(spark, lambda: spatial.lines_near_polygons(lines, polygons, 0.01, ["feature_id", "owner"], cell=100.0))
+    got, _ = _skewed(spark, lambda: spatial.lines_near_polygons(lines, polygons, 0.01, ["feature_id", "owner"], rows_per_leaf=50))
+    everywhere, plan = _skewed(spark, lambda: spatial.lines_near_polygons(lines, polygons, 0.01, ["feature_id", "owner"], rows_per_leaf=10 ** 9))
+    assert "skew=true" in plan                                       # a hot leaf of segments x edges would be split
     assert sorted(map(tuple, got)) == sorted(map(tuple, everywhere)) and len(got) > 200
     # one owner's segments do not stay together before the join
-    spread, _ = _skewed(spark, lambda: spatial._segment_rows(lines, ["owner"], 0.01, 1.0).groupBy(F.spark_partition_id()).count())
+    spread, _ = _skewed(spark, lambda: spatial._spread_segments(lines, ["owner"]).groupBy(F.spark_partition_id()).count())
     assert len(spread) >= 8 and max(r["count"] for r in spread) < 300
-    # the vertices of the hot cell are dealt to sub-cells
-    near = spatial.polygons_near_lines(lines, polygons, 0.01)
+    near = spatial.polygons_near_lines(lines, polygons, 0.01, rows_per_leaf=50)
     assert sorted(r.geoid for r in near.collect()) == sorted({r.geoid for r in got})
-    sub = lines.select(F.pmod(F.xxhash64("feature_id", "owner", F.element_at("geometry", 1)["x"], F.element_at("geometry", 1)["y"]), F.lit(8)).alias("s"),
-                       F.floor(F.element_at("geometry", 1)["x"]).alias("gx"), F.floor(F.element_at("geometry", 1)["y"]).alias("gy"))
-    assert sub.where("gx = 10 and gy = 10").groupBy("s").count().count() == 8
+    # the cluster with a third of both sides is cut into many leaves of about equal rows
+    segments, edges = spatial.line_segments(lines, []), spatial.polygon_edge_rows(polygons, "geoid")
+    tree = spatial._tree_over(segments, edges, 50)
+    ends = tuple(map(F.col, spatial.SEGMENT))
+    for placed in (tree.place_segments(segments, ends, spread=F.struct(*ends)), spatial._placed_edges(tree, edges, 0.01)):
+        filled = [r["count"] for r in placed.groupBy("leaf", "salt").count().collect()]
+        assert len(filled) > 20 and max(filled) < 0.1 * sum(filled)
 
 
 def test_semi_join_forms_make_no_pairs(spark):

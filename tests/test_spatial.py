@@ -78,7 +78,7 @@ def test_buffer_join_cases(spark):
         ("crossing", [{"x": 35.0, "y": 0.5}, {"x": 45.0, "y": -0.5}]),         # crosses polygon 3, far vertices
         ("long", [{"x": -30.0, "y": 30.0}, {"x": 60.0, "y": -30.0}, {"x": 60.0, "y": 30.0}]),
     ], LINE_SCHEMA)
-    got = set(pairs(S.lines_near_polygons(lines, polys, r, ["owner"], "geoid", cell=1.0), "owner", "geoid"))
+    got = set(pairs(S.lines_near_polygons(lines, polys, r, ["owner"], "geoid"), "owner", "geoid"))
     assert ("inside", 1) in got
     assert ("at_r", 2) in got
     assert ("beyond", 2) not in got
@@ -135,9 +135,13 @@ def test_buffer_join_random_equals_brute_force(spark):
     lines = [(f"L{i}", [{"x": float(a), "y": float(b)} for a, b in zip(rng.uniform(-1, 11, 4), rng.uniform(-1, 11, 4))])
              for i in range(25)]
     pdf, ldf = spark.createDataFrame(polys, POLY_SCHEMA), spark.createDataFrame(lines, LINE_SCHEMA)
-    for cell in (0.5, 2.0):
-        got = set(pairs(S.lines_near_polygons(ldf, pdf, 0.3, ["owner"], "geoid", cell=cell), "owner", "geoid"))
-        assert got == brute_buffer(ldf.collect(), pdf.collect(), 0.3)
+    want = brute_buffer(ldf.collect(), pdf.collect(), 0.3)
+    for rows_per_leaf in (5, 40, 10_000):
+        got = set(pairs(S.lines_near_polygons(ldf, pdf, 0.3, ["owner"], "geoid", rows_per_leaf), "owner", "geoid"))
+        assert got == want
+        some = ldf.where("owner < 'L15'")
+        near = [r.geoid for r in S.polygons_near_lines(some, pdf, 0.3, "geoid", rows_per_leaf).collect()]
+        assert sorted(near) == sorted({g for o, g in want if o < "L15"})
 
 
 def test_centroid_hole_and_multipolygon(spark):
