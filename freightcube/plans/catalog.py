@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import million_ton_label, name_state_label, origin_label, terminal_role
 from ..operators import cube as C
 from ..operators import reports as R
+from ..operators.topology import thin_coverage
 from ..operators.spatial import (EARTH_RADIUS_MILES, MILES_PER_DEGREE, geojson_feature, line_coordinates,
                                  lines_near_polygons, merge_right_wins, multipolygon_coordinates,
                                  point_coordinates, points_near_centers, polygon_centroid,
@@ -1045,6 +1046,32 @@ def _export(spark, name: str) -> str:
     return scratch_path(spark, f"exports/{name}-{uuid.uuid4().hex}")
 
 
+def _coverage_sql() -> str:
+    side = "SELECT geoid, {x} AS x, {y} AS y FROM cells"
+    corners = [side.format(x=f"(c + {i}) * 10", y=f"(r + {j}) * 10") for i in (0, 1) for j in (0, 1)]
+    level = [side.format(x="c * 10 + 5", y=f"(r + {j}) * 10 + 2") + f" WHERE (c + 2 * (r + {j})) % 3 = 0" for j in (0, 1)]
+    upright = [side.format(x=f"(c + {i}) * 10 + 2", y="r * 10 + 5") + f" WHERE (2 * (c + {i}) + r) % 5 = 0" for i in (0, 1)]
+    return f"""
+WITH cells AS (SELECT c_custkey AS geoid, c_custkey % {star.COVERAGE_COLUMNS} AS c, c_custkey // {star.COVERAGE_COLUMNS} AS r FROM customer),
+points AS ({" UNION ALL ".join(corners + level + upright)})
+SELECT geoid, {4 * star.COVERAGE_STEPS + 1} AS points_before, CAST(count(*) + 1 AS INTEGER) AS points_after,
+       string_agg(x || ' ' || y, ', ' ORDER BY x, y) AS kept
+FROM points GROUP BY geoid"""
+
+
+@register("thinned_coverage", _coverage_sql())
+def q_thinned_coverage(spark, sf_dir):
+    """GEO4: a coverage of counties thinned with shared borders: of each side its ends stay and the apex, where it has one, for
+    both neighbours. Kept points in tenths of a degree."""
+    coverage = star.county_coverage(load_tables(spark, sf_dir))
+    ring = lambda g: F.element_at(F.element_at(g, 1), 1)
+    thin = thin_coverage(coverage, 0.05).select("geoid", F.size(ring(F.col("geometry"))).alias("points_after"), ring(F.col("geometry")).alias("ring"))
+    tenths = F.transform(F.slice("ring", 2, F.size("ring") - 1), lambda p: F.struct(*[F.rint(p[n] * 10.0).cast("bigint").alias(n) for n in "xy"]))
+    text = F.array_join(F.transform(F.array_sort(tenths), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", ")
+    before = coverage.select("geoid", F.size(ring(F.col("geometry"))).alias("points_before"))
+    return before.join(thin, "geoid").select("geoid", "points_before", "points_after", text.alias("kept"))
+
+
 @register("csv_export", with_cube(PAIRS_CTE) + """
 SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_cnty_name,
        CAST(trunc(tons * 1000) AS BIGINT) AS tons

@@ -69,3 +69,11 @@ def materialized(spark: SparkSession, name: str, inputs: Sequence[str], build: C
         if done is None:
             raise OSError(f"no complete build of {name} below {path}")
     return spark.read.parquet(done)
+
+
+def stored_step(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read back: an intermediate table that is used more than once or in
+    rounds. A lost executor then costs a read, and the rows are computed once."""
+    path = scratch_path(df.sparkSession, f"steps/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

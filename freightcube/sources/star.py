@@ -236,6 +236,35 @@ def county_squares(t: Tables) -> DataFrame:
                              F.array(F.array(ring)).alias("geometry"))
 
 
+#: Cells in a row of the county coverage, and points on a side of a cell.
+COVERAGE_COLUMNS, COVERAGE_STEPS = 100, 8
+
+
+def county_coverage(t: Tables) -> DataFrame:
+    """A coverage of counties that share borders: customer k has the cell in column k % 100 and row k div 100 of a grid of degrees.
+
+    Every side has COVERAGE_STEPS points. Some sides are tents with their apex 0.2 degrees off: horizontal ones where (column + 2 row)
+    % 3 = 0, vertical ones where (2 column + row) % 5 = 0; the others are straight. (geoid, geometry)
+    """
+    k = F.col("c_custkey")
+    steps = F.lit(float(COVERAGE_STEPS))
+
+    def side(level: bool, c, r, back: bool):
+        tent = F.when(((c + 2 * r) % 3 if level else (2 * c + r) % 5) == 0, F.lit(0.2)).otherwise(F.lit(0.0))
+        order = F.sequence(F.lit(COVERAGE_STEPS), F.lit(1), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(COVERAGE_STEPS - 1))
+
+        def point(i):
+            along, off = i / steps, tent * (F.lit(1.0) - F.abs(i / steps * 2 - F.lit(1.0)))
+            return F.struct((c + (along if level else off)).alias("x"), (r + (off if level else along)).alias("y"))
+
+        return F.transform(order, point)
+
+    c, r = k % COVERAGE_COLUMNS, F.floor(k / COVERAGE_COLUMNS)
+    open_ring = F.concat(side(True, c, r, False), side(False, c + 1, r, False), side(True, c, r + 1, True), side(False, c, r, True))
+    ring = F.concat(open_ring, F.slice(open_ring, 1, 1))
+    return t.customer.select(k.alias("geoid"), F.array(F.array(ring)).alias("geometry"))
+
+
 def rail_segments(t: Tables) -> DataFrame:
     """Rail features: a 2-point line from supplier k to supplier k+1 where k % 10 <> 9;
     owner = 'RR' || (k div 10). (feature_id, owner, geometry array<struct<x, y>>)."""
