@@ -65,6 +65,41 @@ def write_geojson_lines(df: DataFrame, path: str, geometry_type: str, coordinate
     replace_dataset(out, path, lambda w, p: w.text(p))
 
 
+def write_feature_collection(df: DataFrame, path: str, geometry_type: str, coordinates, properties: list[str]) -> None:
+    """SNK4: one valid FeatureCollection file at ``path``, replaced when it is complete.
+
+    Tasks write the features as parts, in which all but the first begin with a comma. The parts are then copied one after the other
+    between the collection's head and foot, as bytes through a buffer: no row is made of them again.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    mark = uuid.uuid4().hex[:8]
+    parts, whole = f"{path}.parts-{mark}", f"{path}.tmp-{mark}"
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition, and so of its file
+    lines = df.select(F.concat(F.when(first, "").otherwise(","), geojson_feature(geometry_type, coordinates, properties)).alias("value"))
+    lines.write.option("maxRecordsPerFile", 0).text(parts)
+    src, tmp, dst = (jvm.org.apache.hadoop.fs.Path(p) for p in (parts, whole, path))
+    fs = dst.getFileSystem(conf)
+    files = sorted(str(f.getPath()) for f in fs.listStatus(src) if f.getLen() and f.getPath().getName().startswith("part-"))
+    out = fs.create(tmp)
+    try:
+        out.write(b'{"type":"FeatureCollection","features":[')
+        for i, name in enumerate(files):
+            if i:
+                out.write(b",")
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+            part.close()
+        out.write(b"]}")
+    finally:
+        out.close()
+    if fs.exists(dst):
+        fs.delete(dst, True)
+    if not fs.rename(tmp, dst):
+        raise OSError(f"could not move {whole} to {path}")
+    fs.delete(src, True)
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     """SNK5: CSV export (e.g. the flow table) with a header line in every part file."""
     replace_dataset(df, path, lambda w, p: w.option("header", header).csv(p))

@@ -6,7 +6,9 @@ loudly instead of silently changing column types.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,13 +76,13 @@ def read_point_table(spark: SparkSession, path: str, schema: T.StructType) -> Da
 
 # ------------------------------------------------------------------ GeoJSON
 
-_FEATURE_SCHEMA = T.StructType([
+FEATURE_SCHEMA = T.StructType([
     T.StructField("type", S),
     T.StructField("properties", T.MapType(S, S)),
     T.StructField("geometry", T.StructType([T.StructField("type", S), T.StructField("coordinates", S)])),
 ])
 _COLLECTION_SCHEMA = T.StructType([T.StructField("type", S), T.StructField("crs", S),
-                                   T.StructField("features", T.ArrayType(_FEATURE_SCHEMA))])
+                                   T.StructField("features", T.ArrayType(FEATURE_SCHEMA))])
 # Names of longitude / latitude reference systems in a ``crs`` member.
 LON_LAT_CRS = ("CRS84", "EPSG::4326", "EPSG:4326", "EPSG::4269", "EPSG:4269")
 
@@ -95,26 +97,34 @@ _COORD_TYPES = {
 
 def read_geojson(spark: SparkSession, path: str, properties: list[str] | None = None,
                  feature_per_line: bool = False) -> DataFrame:
-    """SRC5: a FeatureCollection file (or, for large inputs, one Feature per line).
+    """SRC5: a FeatureCollection file of moderate size, read by one task (``collection.read_feature_collection`` splits
+    large ones), or one Feature per line.
 
     Properties are read as strings into a map (key order in the file does not matter)
     and projected to columns; the geometry keeps its type and its coordinates as JSON
     text, parsed per type by :func:`geometry_from_geojson`.
     """
     if feature_per_line:
-        feats = spark.read.schema(_FEATURE_SCHEMA).json(path)
+        feats = spark.read.schema(FEATURE_SCHEMA).json(path)
     else:
         fc = spark.read.option("multiLine", True).schema(_COLLECTION_SCHEMA).json(path)
-        known = F.col("crs").isNull()
-        for name in LON_LAT_CRS:
-            known = known | F.col("crs").contains(name)
+        known = F.col("crs").isNull() | lon_lat_crs(F.col("crs"))
         # GEO5: coordinates are degrees; another reference system fails the query
         feats = fc.where(F.when(known, F.lit(True)).otherwise(
             F.raise_error(F.concat(F.lit("not longitude / latitude: "), F.col("crs"))).cast("boolean"))) \
             .select(F.explode("features").alias("f")).select("f.*")
+    return feature_columns(feats, properties)
+
+
+def lon_lat_crs(crs) -> Column:
+    """GEO5: whether a ``crs`` member names a longitude / latitude reference system."""
+    return reduce(lambda a, b: a | b, [crs.contains(name) for name in LON_LAT_CRS])
+
+
+def feature_columns(features: DataFrame, properties: list[str] | None = None) -> DataFrame:
     cols = [F.col("properties").getItem(p).alias(p) for p in (properties or [])]
-    return feats.select(*cols, F.col("properties"), F.col("geometry.type").alias("geometry_type"),
-                        F.col("geometry.coordinates").alias("coordinates_json"))
+    return features.select(*cols, F.col("properties"), F.col("geometry.type").alias("geometry_type"),
+                           F.col("geometry.coordinates").alias("coordinates_json"))
 
 
 def geometry_from_geojson(df: DataFrame) -> DataFrame:
