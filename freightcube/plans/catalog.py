@@ -23,9 +23,11 @@ from ..operators.spatial import (EARTH_RADIUS_MILES, MILES_PER_DEGREE, geojson_f
                                  polygons_near_lines, radius_join, simplify_line, simplify_polygon)
 from ..operators.selection import Selection, apply_region_only, selected_shapes
 from ..session import scratch_path
-from ..sinks.files import append_rows, write_csv, write_geojson_lines, write_key_table, write_pair_map
+from .county_refresh import TERMINAL, CountyMaps
+from ..sinks.files import append_rows, write_csv, write_feature_collection, write_geojson_lines, write_key_table, write_pair_map
 from ..sources import star
 from ..sources.dims import commodity_names
+from ..sources.collection import read_feature_collection
 from ..sources.files import geometry_from_geojson, read_csv, read_geojson, shapes_from_geojson_column, with_point
 from ..sources.materialize import input_fingerprint, materialized
 from ..sources.tables import load_tables
@@ -1118,6 +1120,36 @@ def q_appended_rows(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@register("geojson_collection", f"""
+SELECT c_custkey AS geoid, 'county ' || c_custkey AS label, {_r6(cust_lon('c_custkey'))} AS cx, {_r6(cust_lat('c_custkey'))} AS cy FROM customer""")
+def q_geojson_collection(spark, sf_dir):
+    """SNK4 + SRC5: county polygons written as one FeatureCollection file and read back by byte ranges."""
+    squares, path = star.county_squares(load_tables(spark, sf_dir)), f"{_export(spark, 'collection')}.geojson"
+    labelled = squares.select("geoid", F.concat(F.lit("county "), F.col("geoid").cast("string")).alias("label"), "geometry")
+    write_feature_collection(labelled, path, "MultiPolygon", multipolygon_coordinates(F.col("geometry")), ["geoid", "label"])
+    back = geometry_from_geojson(read_feature_collection(spark, path, ["geoid", "label"]))
+    r6 = lambda x: F.rint(x * F.lit(1e6)) / F.lit(1e6)
+    c = back.select(F.col("geoid").cast("bigint").alias("geoid"), "label", polygon_centroid(F.col("multipolygon")).alias("c"))
+    return c.select("geoid", "label", r6(F.col("c.x")).alias("cx"), r6(F.col("c.y")).alias("cy"))
+
+
+@register("county_maps_refreshed", f"""WITH near AS ({_radius_sql(RADIUS_MILES)})
+SELECT geoid, CAST(count(DISTINCT terminal_id) AS BIGINT) AS support FROM near GROUP BY geoid""")
+def q_county_maps_refreshed(spark, sf_dir):
+    """RPT8 by change sets: all terminals and counties are taken in, a third of the terminals a degree off and the counties of some
+    nations missing; a refresh then moves the terminals and adds the counties. Counties near terminals and how many are near."""
+    t = load_tables(spark, sf_dir)
+    terminals = star.terminal_points(t).select(F.col("terminal_id").cast("string").alias("key"), "lon", "lat")
+    counties = star.county_squares(t)
+    moved, late = terminals.where(F.pmod(F.xxhash64("key"), F.lit(3)) == 0), counties.where("cluster < 3")
+    before = terminals.join(moved.select("key"), "key", "left_anti").union(moved.withColumn("lon", F.col("lon") + 1))
+    known = counties.join(late.select("geoid"), "geoid", "left_anti")
+    maps = CountyMaps(spark, _export(spark, "county-maps"), miles=RADIUS_MILES)
+    maps.refresh(known, before, changed_terminals=before.select("key"))
+    maps.refresh(counties, terminals, changed_terminals=moved.select("key"), changed_counties=late.select("geoid"))
+    return maps.counties(TERMINAL)
+
+
 @register("shape_rows", f"""
 SELECT c_custkey AS geoid, {_r6(cust_lat('c_custkey'))} AS intptlat, {_r6(cust_lon('c_custkey'))} AS intptlon,
        {_r6(cust_lon('c_custkey'))} AS cx, {_r6(cust_lat('c_custkey'))} AS cy FROM customer""")
