@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import million_ton_label, name_state_label, origin_label, terminal_role
 from ..operators import cube as C
 from ..operators import reports as R
+from ..operators.grid_filter import grid_rows
 from ..operators.topology import thin_coverage
 from ..operators.spatial import (EARTH_RADIUS_MILES, MILES_PER_DEGREE, geojson_feature, line_coordinates,
                                  lines_near_polygons, merge_right_wins, multipolygon_coordinates,
@@ -878,6 +879,25 @@ def q_flow_table_grid(spark, sf_dir):
         .orderBy(F.col("tons").desc(), "orig_cnty_name", "dest_cnty_name")
 
 
+_GRID_MODEL = {
+    "tons": {"operator": "OR", "conditions": [{"type": "inRange", "filter": 3000, "filterTo": 9000}, {"type": "greaterThanOrEqual", "filter": 40000}]},
+    "orig_cnty_name": {"type": "notContains", "filter": "7"},
+    "dest_cnty_name": {"operator": "OR", "conditions": [{"type": "startsWith", "filter": "nation_1"}, {"type": "endsWith", "filter": "A"}, {"type": "blank"}]},
+}
+
+
+@register("flow_table_filtered", with_cube(PAIRS_CTE) + """
+SELECT * FROM (
+  SELECT 'Region ' || CAST(orig_reg AS VARCHAR) AS orig_reg, orig_cnty_name, dest_cnty_name,
+         CAST(trunc(tons * 1000) AS BIGINT) AS tons
+  FROM pairs)
+WHERE ((tons > 3000 AND tons < 9000) OR tons >= 40000) AND NOT contains(orig_cnty_name, '7')
+  AND (starts_with(lower(dest_cnty_name), 'nation_1') OR lower(dest_cnty_name) LIKE '%a' OR trim(dest_cnty_name) = '')""")
+def q_flow_table_filtered(spark, sf_dir):
+    """FLT8: the flow table by a filter model on three columns and a sort order on two."""
+    return grid_rows(R.flow_table(_pairs(spark, sf_dir), SEL_ALL), _GRID_MODEL, [("tons", "desc"), ("orig_cnty_name", "asc")])
+
+
 # ------------------------------------------------------------------ load-time county tables
 
 _SE_SQL = """se AS (
