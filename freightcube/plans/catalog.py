@@ -25,6 +25,7 @@ from ..operators.spatial import (EARTH_RADIUS_MILES, MILES_PER_DEGREE, geojson_f
 from ..operators.selection import Selection, apply_region_only, selected_shapes
 from ..session import scratch_path
 from .county_refresh import TERMINAL, CountyMaps
+from ..sinks.committed import CommittedTable
 from ..sinks.files import append_rows, write_csv, write_feature_collection, write_geojson_lines, write_key_table, write_pair_map
 from ..sources import star
 from ..sources.dims import commodity_names
@@ -1140,6 +1141,16 @@ def q_appended_rows(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@register("committed_loads", "SELECT c_custkey AS geoid, c_name AS name FROM customer")
+def q_committed_loads(spark, sf_dir):
+    """SNK2 with load ids: counties appended in three loads, each of them twice."""
+    c, table = load_tables(spark, sf_dir).customer, CommittedTable(spark, _export(spark, "committed"))
+    for load in (0, 1, 2, 0, 1, 2):
+        part = c.where(F.pmod(F.col("c_nationkey"), F.lit(3)) == load)
+        table.append(part.select(F.col("c_custkey").alias("geoid"), F.col("c_name").alias("name")), f"load {load}")
+    return table.read()
+
+
 @register("geojson_collection", f"""
 SELECT c_custkey AS geoid, 'county ' || c_custkey AS label, {_r6(cust_lon('c_custkey'))} AS cx, {_r6(cust_lat('c_custkey'))} AS cy FROM customer""")
 def q_geojson_collection(spark, sf_dir):
