@@ -29,6 +29,7 @@ from ..sinks.committed import CommittedTable
 from ..sinks.files import append_rows, write_csv, write_feature_collection, write_geojson_lines, write_key_table, write_pair_map
 from ..sources import star
 from ..sources.dims import commodity_names
+from ..sources.sql_functions import register_flow_functions
 from ..sources.collection import read_feature_collection
 from ..sources.files import geometry_from_geojson, read_csv, read_geojson, shapes_from_geojson_column, with_point
 from ..sources.materialize import input_fingerprint, materialized
@@ -847,13 +848,16 @@ def q_cube_summary_value(spark, sf_dir):
 
 # ------------------------------------------------------------------ JN6 with its semi join
 
-@register("od_cube_transload", f"""
+_TRANSLOAD_SQL = (f"""
 WITH near AS ({_radius_sql(RADIUS_MILES)}),
 dests AS (SELECT DISTINCT c.c_nationkey AS dest_cnty FROM customer c WHERE c.c_custkey IN (SELECT geoid FROM near)),
 """ + with_cube().replace("WITH ", "", 1).replace(
     "WHERE s.s_name IS NOT NULL",
     f"WHERE l.l_returnflag = '{FLOW_MODE}' AND c.c_nationkey IN (SELECT dest_cnty FROM dests) AND s.s_name IS NOT NULL")
     + "SELECT * FROM cube")
+
+
+@register("od_cube_transload", _TRANSLOAD_SQL)
 def q_od_cube_transload(spark, sf_dir):
     """JN6: flows in truck mode whose destination is a transload county (a nation holding
     a county within 50 miles of a terminal: JN7 -> SET3 -> left semi join)."""
@@ -865,6 +869,16 @@ def q_od_cube_transload(spark, sf_dir):
     return C.assemble_od_cube(flows, star.origin_counties(t), star.dest_counties(t))
 
 
+@register("od_cube_sql_function", _TRANSLOAD_SQL)
+def q_od_cube_sql_function(spark, sf_dir):
+    """SRC6 + SRC1: the transload cube as SQL text that calls a set-returning function."""
+    t = load_tables(spark, sf_dir)
+    dests = t.customer.select(F.col("c_custkey").alias("geoid"), F.col("c_nationkey").alias("dest_cnty")) \
+        .join(_radius_counties(spark, sf_dir), "geoid", "left_semi").select("dest_cnty").distinct()
+    register_flow_functions(spark, star.flow_rows(t), star.origin_counties(t), star.dest_counties(t), {"transload_flows": dests})
+    return spark.sql(f"SELECT * FROM transload_flows('{FLOW_MODE}')")
+
+
 # ------------------------------------------------------------------ FLT8 grid filter and sort
 
 @register("flow_table_grid", with_cube(PAIRS_CTE) + """
