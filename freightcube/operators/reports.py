@@ -204,19 +204,27 @@ def heatmap_wide(cube: DataFrame, regions, dest_names: list[str] | None = None)
                     *[F.coalesce(quoted(c), F.lit(0).cast("bigint")).alias(c) for c in dest_names])
 
 
-def heatmap_dense(cube: DataFrame, regions_dim: DataFrame, dests_dim: DataFrame) -> DataFrame:
+def heatmap_dense(cube: DataFrame, regions_dim: DataFrame, dests_dim: DataFrame, names_per_tile: int = 1_000) -> DataFrame:
     """RPT3, long form with the 0 cells, at region grain: every region of ``regions_dim``
     (orig_reg) that has a flow against every destination of ``dests_dim`` (dest_cnty_name) that has one.
 
-    The grid is made of the two dimensions, each reduced to what occurs, not of the fact: each
-    region row carries the list of destination names (one aggregate over the dimension) and explodes it.
+    The grid is made of the two dimensions, each reduced to what occurs, not of the fact, and in tiles: either dimension is dealt to
+    ranges of about ``names_per_tile`` names, a name goes to each tile of its row or column of tiles, and the two
+    meet by tile. A tile is some ``names_per_tile`` names on either side however many there are, and no row holds a list of names.
     """
     f, _, _ = _heat_base(cube, None)
     sums = f.groupBy("orig_reg", "dest_cnty_name").agg(F.sum("tons").alias("tons"))
-    used = dests_dim.select("dest_cnty_name").join(sums.select("dest_cnty_name"), "dest_cnty_name", "left_semi")
-    names = used.select(F.array_sort(F.collect_set("dest_cnty_name"))).scalar()
+    dests = dests_dim.select("dest_cnty_name").distinct().join(sums.select("dest_cnty_name"), "dest_cnty_name", "left_semi")
     origins = regions_dim.select("orig_reg").distinct().join(sums.select("orig_reg"), "orig_reg", "left_semi")
-    grid = origins.withColumn("names", names).select("orig_reg", F.explode("names").alias("dest_cnty_name"))
+    tiles = {side: df.select(F.greatest(F.ceil(F.count("*") / F.lit(names_per_tile)), F.lit(1)).cast("int")).scalar() for side, df in (("o", origins), ("d", dests))}
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        # the counts are projected first: subqueries may not sit inside generators
+        counted = df.withColumn("_own", tiles[own]).withColumn("_other", tiles[other])
+        return counted.select(key, F.pmod(F.xxhash64(key), "_own").cast("int").alias(f"tile_{own}"),
+                              F.explode(F.sequence(F.lit(0), F.col("_other") - F.lit(1))).alias(f"tile_{other}"))
+
+    grid = dealt(origins, "orig_reg", "o", "d").join(dealt(dests, "dest_cnty_name", "d", "o"), ["tile_o", "tile_d"])
     return grid.join(sums, ["orig_reg", "dest_cnty_name"], "left").select(
         region_label("orig_reg").alias("origin"), "dest_cnty_name", F.coalesce("tons", F.lit(0)).cast("bigint").alias("tons"))
 

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from freightcube.operators import cube as C
 from freightcube.operators import reports as R
@@ -185,3 +186,17 @@ def test_heatmap_wide_reads_the_nation_table(spark, tmp_path):
         cells = {(r["origin"], n): r[n] for r in rows.collect() for n in names if r[n]}
         want = {(r["origin"], r["dest_cnty_name"]): r["tons"] for r in long(spark, str(tmp_path)).collect() if r["tons"]}
         assert cells == want and want
+
+
+def test_heatmap_dense_of_many_names(spark):
+    """A hundred thousand destinations: in tiles, without a list of them anywhere."""
+    n = 100_000
+    cube = spark.range(n).select(F.col("id").alias("orig_cnty"), F.concat(F.lit("o"), "id").alias("orig_cnty_name"), (F.col("id") % 4).alias("orig_reg"),
+                                 F.col("id").alias("dest_cnty"), F.concat(F.lit("d"), "id").alias("dest_cnty_name"), F.lit("c").alias("commodity_code"),
+                                 F.lit(1.0).alias("tons"))
+    unused = spark.createDataFrame([(99, "nowhere")], "orig_reg long, dest_cnty_name string")
+    dense = R.heatmap_dense(cube, cube.select("orig_reg").union(unused.select("orig_reg")), cube.select("dest_cnty_name").union(unused.select("dest_cnty_name")))
+    got = dense.groupBy("origin").agg(F.count("*").alias("cells"), F.countDistinct("dest_cnty_name").alias("names"), F.sum("tons").alias("tons")).collect()
+    assert sorted(map(tuple, got)) == [(f"Region {i}", n, n, 1000 * n // 4) for i in range(4)]
+    plan = dense._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect" not in plan and "Cross" not in plan
