@@ -6,7 +6,8 @@ digest that the table lacks is encoded, and its count is appended. The counts of
 from the table, so a later run over a grown corpus encodes only what is new.
 
 The copies of a text (a third of all rows, perhaps) meet as 32-byte digests that are
-combined before the shuffle; their texts are not sent. Normalising must not change
+combined before the shuffle, which chooses one row of each missing digest; every text then passes one
+shuffle to the join that keeps the chosen ones. Normalising must not change
 counts: it makes null the empty text and nothing else.
 
 Edge cases: null and empty texts have 0 bytes and the count the tokenizer gives the empty text; repeated rows keep
