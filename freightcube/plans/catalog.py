@@ -31,7 +31,7 @@ from ..sources import star
 from ..sources.dims import commodity_names
 from ..sources.sql_functions import register_flow_functions
 from ..sources.collection import read_feature_collection
-from ..sources.files import geometry_from_geojson, read_csv, read_geojson, shapes_from_geojson_column, with_point
+from ..sources.files import WEB_MERCATOR, geometry_from_geojson, read_csv, read_geojson, shapes_from_geojson_column, to_web_mercator, with_point
 from ..sources.materialize import input_fingerprint, materialized
 from ..sources.tables import load_tables
 from .jobs import county_prep, cube_prep
@@ -1178,6 +1178,17 @@ def q_geojson_collection(spark, sf_dir):
     return c.select("geoid", "label", r6(F.col("c.x")).alias("cx"), r6(F.col("c.y")).alias("cy"))
 
 
+@register("reprojected_terminals", f"""WITH {_terminals_sql()}
+SELECT terminal_id, {_r6("lon")} AS lon, {_r6("lat")} AS lat FROM terminals""")
+def q_reprojected_terminals(spark, sf_dir):
+    """GEO5: terminals written as a collection in web Mercator metres, read back and changed to degrees."""
+    points, path = star.terminal_points(load_tables(spark, sf_dir)), f"{_export(spark, 'mercator')}.geojson"
+    write_feature_collection(points, path, "Point", point_coordinates(*to_web_mercator(F.col("lon"), F.col("lat"))), ["terminal_id"], crs=WEB_MERCATOR)
+    back = geometry_from_geojson(read_feature_collection(spark, path, ["terminal_id"], crs=WEB_MERCATOR), WEB_MERCATOR)
+    r6 = lambda x: F.rint(x * F.lit(1e6)) / F.lit(1e6)
+    return back.select(F.col("terminal_id").cast("bigint").alias("terminal_id"), r6(F.col("point.x")).alias("lon"), r6(F.col("point.y")).alias("lat"))
+
+
 @register("county_maps_refreshed", f"""WITH near AS ({_radius_sql(RADIUS_MILES)})
 SELECT geoid, CAST(count(DISTINCT terminal_id) AS BIGINT) AS support FROM near GROUP BY geoid""")
 def q_county_maps_refreshed(spark, sf_dir):

@@ -6,6 +6,7 @@ or a single task.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -65,8 +66,9 @@ def write_geojson_lines(df: DataFrame, path: str, geometry_type: str, coordinate
     replace_dataset(out, path, lambda w, p: w.text(p))
 
 
-def write_feature_collection(df: DataFrame, path: str, geometry_type: str, coordinates, properties: list[str]) -> None:
-    """SNK4: one valid FeatureCollection file at ``path``, replaced when it is complete.
+def write_feature_collection(df: DataFrame, path: str, geometry_type: str, coordinates, properties: list[str], crs: str | None = None) -> None:
+    """SNK4: one valid FeatureCollection file at ``path``, replaced when it is complete. ``crs`` names the reference system
+    of the coordinates in a member of the collection.
 
     Tasks write the features as parts, in which all but the first begin with a comma. The parts are then copied one after the other
     between the collection's head and foot, as bytes through a buffer: no row is made of them again.
@@ -83,7 +85,8 @@ def write_feature_collection(df: DataFrame, path: str, geometry_type: str, coord
     files = sorted(str(f.getPath()) for f in fs.listStatus(src) if f.getLen() and f.getPath().getName().startswith("part-"))
     out = fs.create(tmp)
     try:
-        out.write(b'{"type":"FeatureCollection","features":[')
+        head = {"type": "FeatureCollection", **({"crs": {"type": "name", "properties": {"name": crs}}} if crs else {})}
+        out.write(f'{json.dumps(head)[:-1]},"features":['.encode())
         for i, name in enumerate(files):
             if i:
                 out.write(b",")

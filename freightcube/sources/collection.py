@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import FEATURE_SCHEMA, feature_columns, lon_lat_crs
+from .files import FEATURE_SCHEMA, LON_LAT, feature_columns, names_crs
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -149,14 +149,15 @@ def second_level_objects(spark: SparkSession, path: str) -> DataFrame:
     return parts.where("whole").select("text", "crs").union(across.select("text", "crs"))
 
 
-def read_feature_collection(spark: SparkSession, path: str, properties: list[str] | None = None) -> DataFrame:
+def read_feature_collection(spark: SparkSession, path: str, properties: list[str] | None = None, crs: str = LON_LAT) -> DataFrame:
     """SRC5: the rows of ``read_geojson`` for FeatureCollection files of any size and layout, each read by many tasks.
 
-    GEO5: a ``crs`` member that names another reference system than longitude / latitude fails the query.
+    GEO5: ``crs`` is the reference system that the files are in; a ``crs`` member that names another one fails the query.
+    Coordinates stay as they are here; ``geometry_from_geojson(df, crs)`` makes degrees of them.
     """
     objects = second_level_objects(spark, path)
-    crs = F.col("text")
-    objects = objects.where(F.when(~F.col("crs") | lon_lat_crs(crs), F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("not longitude / latitude: "), crs)).cast("boolean"))).where("NOT crs")
+    text = F.col("text")
+    objects = objects.where(F.when(~F.col("crs") | names_crs(text, crs), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("not longitude / latitude: " if crs == LON_LAT else f"not {crs}: "), text)).cast("boolean"))).where("NOT crs")
     features = objects.select(F.from_json("text", FEATURE_SCHEMA).alias("f")).select("f.*").where("type = 'Feature'")
     return feature_columns(features, properties)

@@ -6,6 +6,7 @@ loudly instead of silently changing column types.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,9 +117,36 @@ def read_geojson(spark: SparkSession, path: str, properties: list[str] | None =
     return feature_columns(feats, properties)
 
 
-def lon_lat_crs(crs) -> Column:
-    """GEO5: whether a ``crs`` member names a longitude / latitude reference system."""
-    return reduce(lambda a, b: a | b, [crs.contains(name) for name in LON_LAT_CRS])
+LON_LAT, WEB_MERCATOR = "EPSG:4326", "EPSG:3857"
+#: Names of each reference system that a source may be in.
+CRS_NAMES = {LON_LAT: LON_LAT_CRS, WEB_MERCATOR: ("EPSG::3857", "EPSG:3857")}
+#: The sphere of the web Mercator projection (a fixed value), in metres.
+MERCATOR_RADIUS = 6378137.0
+
+
+def names_crs(crs: Column, system: str) -> Column:
+    """GEO5: whether a ``crs`` member names this reference system."""
+    return reduce(lambda a, b: a | b, [crs.contains(name) for name in CRS_NAMES[system]])
+
+
+def lon_lat_crs(crs: Column) -> Column:
+    return names_crs(crs, LON_LAT)
+
+
+def to_lon_lat(x: Column, y: Column, system: str) -> tuple[Column, Column]:
+    """GEO5: coordinates of a reference system as degrees of longitude and latitude."""
+    if system == LON_LAT:
+        return x, y
+    degrees = F.lit(180.0 / math.pi)
+    lon, lat = x / F.lit(MERCATOR_RADIUS) * degrees, (F.atan(F.exp(y / F.lit(MERCATOR_RADIUS))) * F.lit(2.0) - F.lit(math.pi / 2)) * degrees
+    # The date line, up to rounding, is 180 degrees.
+    return F.when(F.abs(F.abs(lon) - F.lit(180.0)) < F.lit(1e-9), F.signum(lon) * F.lit(180.0)).otherwise(lon), lat
+
+
+def to_web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """GEO5: degrees as web Mercator metres (latitudes short of the poles)."""
+    radians = F.lit(math.pi / 180.0)
+    return lon * radians * F.lit(MERCATOR_RADIUS), F.log(F.tan(lat * radians / F.lit(2.0) + F.lit(math.pi / 4))) * F.lit(MERCATOR_RADIUS)
 
 
 def feature_columns(features: DataFrame, properties: list[str] | None = None) -> DataFrame:
@@ -127,8 +155,9 @@ def feature_columns(features: DataFrame, properties: list[str] | None = None) ->
                            F.col("geometry.coordinates").alias("coordinates_json"))
 
 
-def geometry_from_geojson(df: DataFrame) -> DataFrame:
-    """Parse ``coordinates_json`` into the nested point / line / multipolygon structs.
+def geometry_from_geojson(df: DataFrame, crs: str = LON_LAT) -> DataFrame:
+    """Parse ``coordinates_json`` into the nested point / line / multipolygon structs, in degrees; ``crs`` is the reference system
+    that the text is in.
 
     Points become struct<x, y>; LineString an array of points; Polygon and MultiPolygon a
     multipolygon (array of polygons of rings); MultiLineString an array of lines.
@@ -139,7 +168,8 @@ def geometry_from_geojson(df: DataFrame) -> DataFrame:
             F.raise_error(F.concat(F.lit("not a longitude / latitude: "), v.cast("string"))).cast("double"))
 
     def pt(a):
-        return F.struct(within(F.element_at(a, 1), 180.0).alias("x"), within(F.element_at(a, 2), 90.0).alias("y"))
+        lon, lat = to_lon_lat(F.element_at(a, 1), F.element_at(a, 2), crs)
+        return F.struct(within(lon, 180.0).alias("x"), within(lat, 90.0).alias("y"))
 
     def parsed(kind):
         return F.from_json(F.col("coordinates_json"), _COORD_TYPES[kind])

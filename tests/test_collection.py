@@ -1,6 +1,7 @@
 """FeatureCollections cut at any byte, against the reader that takes a file whole."""
 
 import json
+import math
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from freightcube.operators.spatial import point_coordinates
 from freightcube.sinks.files import write_feature_collection
 from freightcube.sources import collection
 from freightcube.sources.collection import read_feature_collection
-from freightcube.sources.files import read_geojson
+from freightcube.sources.files import WEB_MERCATOR, geometry_from_geojson, read_geojson, to_lon_lat, to_web_mercator
 from pyspark.sql import functions as F
 
 NASTY = ["plain", 'quote " inside', "brace } and { and [", "back\\slash", 'ends with \\', '\\" }', '{"type": "Feature"}', "é 漢字 🙂", "", "line\nbreak", '"crs": {']
@@ -64,7 +65,7 @@ def test_equals_the_whole_reader(spark, tmp_path, small_splits, seed, size, inde
 
 
 def test_another_reference_system_fails(spark, tmp_path, small_splits):
-    body = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "EPSG:3857"}}, "features": list(features(random.Random(1), 3))}
+    body = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "EPSG:32617"}}, "features": list(features(random.Random(1), 3))}
     (tmp_path / "c.geojson").write_text(json.dumps(body))
     for size in (30, 1 << 20):
         small_splits(size)
@@ -91,3 +92,21 @@ def test_written_collections_are_read_back(spark, tmp_path, small_splits, n, par
     small_splits(300)
     back = read_feature_collection(spark, path, ["id", "name"])
     assert sorted((int(r["id"]), r["name"]) for r in back.collect()) == [(i, f'a "}}{{" \\ {i}') for i in range(n)]
+
+
+def test_web_mercator_is_changed_to_degrees(spark, tmp_path, small_splits):
+    """GEO5: known points, there and back, and a file that names another system than the caller."""
+    known = [(0.0, 0.0, 0.0, 0.0), (180.0, 0.0, 20037508.342789244, 0.0), (-84.39, 33.75, -9394251.8, 6378137.0 * math.asinh(math.tan(math.radians(33.75)))), (10.0, -60.0, 1113194.9, -8399737.9)]
+    df = spark.createDataFrame(known, "lon double, lat double, mx double, my double")
+    mx, my = to_web_mercator(F.col("lon"), F.col("lat"))
+    lon, lat = to_lon_lat(mx, my, WEB_MERCATOR)
+    for r in df.select("*", mx.alias("x"), my.alias("y"), lon.alias("back_lon"), lat.alias("back_lat")).collect():
+        assert abs(r["x"] - r["mx"]) < 0.1 and abs(r["y"] - r["my"]) < 0.1
+        assert abs(r["back_lon"] - r["lon"]) < 1e-9 and abs(r["back_lat"] - r["lat"]) < 1e-9
+    path = str(tmp_path / "m.geojson")
+    write_feature_collection(df.withColumn("name", F.lit("p")), path, "Point", point_coordinates(mx, my), ["name", "lon"], crs=WEB_MERCATOR)
+    small_splits(90)
+    read = geometry_from_geojson(read_feature_collection(spark, path, ["lon"], crs=WEB_MERCATOR), WEB_MERCATOR)
+    assert sorted((round(r["point"]["x"], 6), round(r["point"]["y"], 6)) for r in read.collect()) == sorted((a, b) for a, b, _, _ in known)
+    with pytest.raises(Exception, match="not longitude / latitude"):
+        read_feature_collection(spark, path).collect()
