@@ -11,7 +11,9 @@ the Manhattan bound first and are then verified on the fingerprints themselves.
 Work is on distinct fingerprints: copies, however many, are one row. A cell never
 emits its pairs: it emits a spanning forest of its links, from which
 components follow exactly. In a small cell all pairs are compared, side by side for all cells; in a large one
-each point searches only the points that no component has reached yet.
+each point searches only the points that no component has reached yet. A cell with more than ``BLOCK_PRINTS`` fingerprints (a family of
+documents from one template) is dealt to blocks, and every two blocks meet as a cell of their own: the links are the
+same, no task holds more than two blocks, and the work is spread, though it still grows with the square of the family.
 
 Edge cases: null text is empty; texts without words have fingerprint zero and link like any
 other; texts shorter than a shingle are one shingle; repeated rows keep a row each; null ids count
@@ -39,6 +41,8 @@ BLOCK, PART = 1 << 16, 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Cells up to this many fingerprints compare all pairs at once; larger ones search by component.
 SMALL_CELL = 48
+#: Fingerprints of one cell that a task holds on either side.
+BLOCK_PRINTS = 4096
 
 
 def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
@@ -188,6 +192,13 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     component_id is the smallest doc_id in it."""
     distinct = saved(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "prints")
     cells = distinct.select("print").mapInArrow(_cell_keys(max_bits), "cell long, print long")
+    # Few rows: each stands for more than BLOCK_PRINTS fingerprints.
+    large = saved(cells.groupBy("cell").count().where(F.col("count") > BLOCK_PRINTS).select(
+        "cell", F.ceil(F.col("count") / BLOCK_PRINTS).cast("int").alias("blocks")), "large-cells")
+    own, other = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = cells.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select("cell", "print", "blocks", own.alias("own"), other.alias("other"))
+    pair = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))  # unequal pairs of one key only meet in vain
+    cells = dealt.select(F.when(F.col("blocks") == 1, F.col("cell")).otherwise(pair).alias("cell"), "print")
     links = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(max_bits), "a long, b long")
     roots = connected_components(links).withColumnRenamed("node", "print")
     rooted = distinct.join(roots, "print", "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))

@@ -141,6 +141,32 @@ def test_simhash_texts(spark, monkeypatch):
     assert simhash.simhash_components(spark.createDataFrame([], frame.schema)).count() == 0
 
 
+def test_large_cells_are_dealt_to_blocks(spark, monkeypatch):
+    """A family of near fingerprints, a third of all: the components of all pairs, and no task with more than two blocks of a cell."""
+    rnd = random.Random(13)
+    base = rnd.getrandbits(64)
+    family = {base ^ sum(1 << b for b in rnd.sample(range(64), rnd.choice([1, 2, 2, 9]))) for _ in range(300)}
+    prints = sorted(family | {rnd.getrandbits(64) for _ in range(300)})
+    frame = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "doc_id long, print long")
+    held = spark.sparkContext.accumulator(0)
+    groups = simhash.whole_groups
+
+    def watched(batches, key):
+        for table in groups(batches, key):
+            cells = table.column(key).to_numpy()
+            held.add(int(np.unique(cells, return_counts=True)[1].max() > 64))
+            yield table
+
+    want = brute_components(range(len(prints)), prints, 4)
+    for block in (4096, 16):
+        monkeypatch.setattr(simhash, "BLOCK_PRINTS", block)
+        monkeypatch.setattr(simhash, "whole_groups", watched)
+        before = held.value
+        got = {r["print"] % (1 << 64): r["component_id"] for r in simhash.fingerprint_components(frame, 4).collect()}
+        assert got == {p: want[i] for i, p in enumerate(prints)}
+        assert (held.value > before) == (block == 4096)  # two blocks of 16 are some 32 fingerprints
+
+
 def test_one_of_each_does_not_depend_on_row_order(spark):
     """Rows equal in id and text, and near copies without id, differ in other columns."""
     words = " ".join(f"w{i}" for i in range(60))
