@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -67,6 +70,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/freightcube/{name}"
 
 
+#: Folders made within the scopes that are open, innermost last; on the driver only.
+_SCOPES: list[list[str]] = []
+
+
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table. ``scratch_scope`` removes those made inside it."""
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the intermediate tables that are made inside, at the end; results must be written or collected by then.
+
+    A path taken out of the list that this gives is kept. Results that are read later, and whatever is made outside any scope, stay in
+    the shared folder.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            remove_path(spark, path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop file system of ``path`` (local, HDFS, object store)."""
     jvm = spark.sparkContext._jvm

@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import scratch_path
+from ..session import scratch_path, temporary_path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -74,6 +74,6 @@ def materialized(spark: SparkSession, name: str, inputs: Sequence[str], build: C
 def stored_step(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared folder and read back: an intermediate table that is used more than once or in
     rounds. A lost executor then costs a read, and the rows are computed once."""
-    path = scratch_path(df.sparkSession, f"steps/{name}-{uuid.uuid4().hex}")
+    path = temporary_path(df.sparkSession, f"steps/{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
