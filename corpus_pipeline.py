@@ -18,6 +18,7 @@ from freightcube.llm.quality import classify_quality
 from freightcube.llm.queries import BYTE_BPE
 from freightcube.llm.simhash import one_of_each
 from freightcube.llm.suffix_dedup import remove_repeats
+from freightcube.session import remove_path, scratch_scope
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -84,7 +85,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage made on its way goes when its result is written, and that goes when the next one's is."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with scratch_scope(spark) as made:
+            docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+            result = made.pop()  # written last
+        if before:
+            remove_path(spark, before)
+        before = result
     return docs
