@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..session import temporary_path
 
 #: Words are runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -46,7 +45,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared checkpoint folder."""
-    return scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
+    return temporary_path(spark, f"llm/{name}")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

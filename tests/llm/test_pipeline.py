@@ -122,3 +122,14 @@ def test_empty_input(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = saved(stage(spark, docs, SF), "test-empty")
     assert docs.count() == 0
+
+
+def test_a_run_leaves_only_its_result(spark):
+    import os
+
+    from freightcube.session import scratch_path
+    folder = scratch_path(spark, "llm").removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    docs = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-byte-level-BPE") and docs.count() > 100
