@@ -231,7 +231,8 @@ def thin_coverage(polygons: DataFrame, tolerance: float, key: str = "geoid", row
     ``key`` names the polygons: it is unique and not null. Rings of fewer than three vertices stay as they are; null
     geometries stay null.
     """
-    rings = stored_step(_rings(polygons.where(F.col("geometry").isNotNull()), key), "thinning-rings")
+    # Dealt by key first: the steps on points are work for every core, whatever files the polygons come from.
+    rings = stored_step(_rings(polygons.where(F.col("geometry").isNotNull()).select(key, "geometry").repartition(key), key), "thinning-rings")
     parts = stored_step(_named(_arcs(rings, _junctions(rings))), "thinning-parts")
     distinct = parts.groupBy("arc").agg(F.first("points").alias("points"))  # equal for all of an arc
     arcs = stored_step(distinct.mapInArrow(_thin(float(tolerance)), T.StructType([*distinct.schema.fields, T.StructField("kept", T.ArrayType(T.IntegerType()))])),
