@@ -47,9 +47,10 @@ ASIDE = frozenset("aside button canvas dialog footer head iframe menu nav noscri
 ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 #: Words of class names and ids of such elements.
 ASIDE_WORDS = re.compile(
-    r"ads?|adbox|adslot|adsense|advert\w*|sponsor\w*|promo\w*|banners?|nav|navs|navbar|navigation|menus?|submenu|breadcrumbs?|"
-    r"sidebars?|aside|masthead|footer|colophon|cookies?|consent|gdpr|notices?|popups?|modals?|newsletter|subscribe|subscription|"
-    r"comments?|commentlist|disqus|respond|replies|share|sharing|social|related|widgets?|toolbar|pagination|pager|login")
+    r"ad(s|box|slot|sense|unit|block|banner|container|wrapper|space)?|advert\w*|sponsor\w*|promo(s|tion|tions|ted)?|banners?|"
+    r"nav(s|bar|links?|menu|list|items?|igation)?|(sub|top|main)?menu(s|bar|items?)?|breadcrumbs?|sidebars?|aside|masthead|footer\w*|colophon|"
+    r"cookies?\w*|consent|gdpr|notices?|popups?|modals?|newsletter\w*|subscribe\w*|subscription\w*|comment(s|list|form|box|area|section|thread)?|disqus|"
+    r"respond|replies|share|sharing|social|related|widgets?|toolbar|pagination|pager|login")
 #: Names that speak of the layout, not of the element.
 LAYOUT = frozenset("has hide is no page show with without".split())
 #: What an element's text is: in a form, in an article's header, or aside for good.

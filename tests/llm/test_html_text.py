@@ -45,6 +45,7 @@ AROUND = [
     f"<footer><p>&copy; 2024 {LONG}</p></footer>",
     "<!-- <p>a comment</p> --><![if IE]><![endif]><?php echo 1 ?>",
     f"<div role=navigation><p>{LONG}</p></div>",
+    f"<div class=cookieconsent-bar><p>{LONG}</p></div><div id=mainMenu><p>{LONG}</p></div><p class=adBanner>{LONG}</p>",
 ]
 
 
@@ -107,3 +108,9 @@ def test_odd_tables(spark):
     assert len(out) == len(rows) and all(r[c] == c for r in out for c in names)
     assert html_text.extract_pages(spark.createDataFrame([], schema)).collect() == []
     assert html_text.extract_pages(df.select("html")).count() == len(rows)
+
+
+def test_names():
+    gone = lambda name: html_text.aside_by_name(name)[0]
+    assert all(map(gone, ["ad", "top-ad", "navLinks", "site_nav", "topmenu", "comment-list", "user-comments", "Footer2", "cookie-notice", "sidebar-left", "x promo"]))
+    assert not any(map(gone, ["article-body", "no-sidebar", "has-comments", "lead", "commentary", "address", "shade", "navy-text", "radio", "content", "", None]))
