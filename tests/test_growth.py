@@ -1,0 +1,95 @@
+"""Work is dealt by what it is, not by the bytes of the files it comes from; pairs are made once; no geometry goes through the driver."""
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from freightcube.operators import spatial as S
+from freightcube.plans.jobs import county_prep
+from freightcube.sinks.files import write_pair_map
+from freightcube.sources import star
+from freightcube.sources.tables import load_tables
+
+from conftest import SF_SMALL
+
+
+def test_geometry_of_one_file_is_made_by_all_tasks(spark):
+    t = load_tables(spark, SF_SMALL)
+    assert t.customer.rdd.getNumPartitions() == 1
+    for polygons in (star.county_squares(t), star.dense_squares(t), star.county_coverage(t)):
+        filled = polygons.groupBy(F.spark_partition_id()).count().collect()
+        assert len(filled) >= 8 and sum(r["count"] for r in filled) == t.customer.count()
+
+
+def test_buffer_join_sends_no_polygons_to_the_driver(spark):
+    t = load_tables(spark, SF_SMALL)
+    pairs = S.lines_near_polygons(star.rail_segments(t), star.county_squares(t), 1 / 69, ["owner"])
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") == 3
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(S, "TESTS_PER_TASK", 200)
+
+
+def _places(spark, n, key, step):
+    """Keys near each other, some of them twice, at two places, null, or without a place."""
+    rows = [(i, -84.0 + (i * step % 100) / 100, 31.0 + (i * step % 37) / 50) for i in range(n)]
+    rows += [rows[0], rows[1], (3, -84.01, 31.01), (None, -84.0, 31.0), (None, -84.0, 31.0), (n, None, 31.0)]
+    return spark.createDataFrame(rows, f"{key} bigint, lon double, lat double")
+
+
+def _brute(points, centers, miles):
+    p = points.select("geoid", F.col("lon").alias("a"), F.col("lat").alias("b"))
+    near = S.haversine_angle(F.col("lat"), F.col("lon"), F.col("b"), F.col("a")) <= F.lit(miles / S.EARTH_RADIUS_MILES)
+    return centers.crossJoin(p).where(near).select("terminal_id", "geoid")
+
+
+def _sorted(rows):
+    return sorted(map(tuple, rows), key=str)
+
+
+def test_radius_join_in_blocks_is_exact(spark, small_blocks):
+    points, centers = _places(spark, 120, "geoid", 7), _places(spark, 50, "terminal_id", 13)
+    expected = _brute(points, centers, 20.0)
+    got = S.radius_join(points, centers, 20.0)
+    assert got.rdd.getNumPartitions() > 8          # tasks follow the pairs to test, not the few bytes of the inputs
+    assert _sorted(got.collect()) == _sorted(expected.collect())
+    once = S.distinct_radius_join(points, centers, 20.0)
+    assert _sorted(once.collect()) == _sorted(expected.distinct().collect())
+
+
+def test_distinct_pairs_are_written_as_they_are_dealt(spark, tmp_path):
+    pairs = spark.range(40).repartition(5).select(F.col("id").alias("terminal_id"), F.col("id").alias("geoid"))
+    write_pair_map(pairs, f"{tmp_path}/map", "terminal_id", "geoid", repeats=False)
+    assert len(list((tmp_path / "map").glob("part-*"))) == 5
+    twice = pairs.union(pairs)
+    write_pair_map(twice, f"{tmp_path}/map", "terminal_id", "geoid")
+    assert spark.read.parquet(f"{tmp_path}/map").count() == 40
+
+
+def test_county_prep_reads_the_pairs_that_it_wrote(spark, tmp_path):
+    t = load_tables(spark, SF_SMALL)
+    points = star.terminal_points(t)
+    stations = points.select(F.col("terminal_id").alias("Code"), F.col("provider").alias("ServiceRR"), F.col("lon").alias("Longitude"),
+                             F.col("lat").alias("Latitude"))
+    stations = stations.union(stations.limit(3))
+    added = points.limit(2).select(F.lit("Chicago").alias("Location"), F.col("provider").alias("Service Provider"), "lon", "lat")
+    out = county_prep(star.county_squares(t), stations, added, star.rail_segments(t), f"{tmp_path}/prep", owners=["RR0"])
+    stored = pq.read_table(tmp_path / "prep" / "terminal_county_map").to_pylist()
+    assert len(stored) == len({(r["terminal_id"], r["geoid"]) for r in stored}) > 0
+    assert out["transload_counties"].inputFiles() == out["terminal_county_map"].inputFiles()
+    assert "terminal_county_map" in out["transload_counties"].inputFiles()[0]
+    near = {r.geoid for r in out["railroad_county_map"].collect()}
+    assert near == {r.geoid for r in spark.read.parquet(f"{tmp_path}/prep/ll_se_counties").collect()}
+    assert "LeftSemi" in out["ll_se_counties"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_flow_values_are_exact_decimals(spark):
+    t = load_tables(spark, SF_SMALL)
+    sums = star.stored_flow_sums(t)
+    assert dict(sums.dtypes)["value"] == "decimal(30,5)"
+    whole = t.lineitem.agg(F.sum(star.value_tons())).first()[0]
+    assert sums.agg(F.sum("value")).first()[0] == whole
