@@ -54,9 +54,11 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_pair_map(pairs: DataFrame, path: str, key: str, member: str) -> None:
-    """SNK3: key -> members as a pair table (sorted within files for compact reads)."""
-    out = pairs.select(key, member).distinct().sortWithinPartitions(key, member)
+def write_pair_map(pairs: DataFrame, path: str, key: str, member: str, repeats: bool = True) -> None:
+    """SNK3: key -> members as a pair table (sorted within files for compact reads). Pairs that the caller knows to be distinct
+    (``repeats`` false) are written as they are dealt, without a shuffle."""
+    out = pairs.select(key, member)
+    out = (out.distinct() if repeats else out).sortWithinPartitions(key, member)
     replace_dataset(out, path, lambda w, p: w.parquet(p))
 
 
