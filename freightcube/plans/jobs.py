@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import cube as C
 from ..functions.labels import name_state_label
 from ..operators.reports import region_counties
-from ..operators.spatial import (MILES_PER_DEGREE, distinct_members, lines_near_polygons, merge_right_wins,
-                                 polygon_centroid, radius_join, simplify_polygon)
+from ..operators.spatial import (MILES_PER_DEGREE, distinct_members, distinct_radius_join, lines_near_polygons, merge_right_wins,
+                                 polygon_centroid, polygons_near_lines, simplify_polygon)
 from ..sinks.files import write_key_table, write_pair_map
 from ..sources.tables import Tables
 from ..sources import star
@@ -48,14 +48,19 @@ def county_prep(counties: DataFrame, stations: DataFrame, provider_terminals: Da
                          F.col("Longitude").alias("lon"), F.col("Latitude").alias("lat"))
     chi = provider_terminals.where(F.col("Location").contains(CHICAGO)).select(
         F.concat_ws("|", F.col("Location"), F.col("`Service Provider`")).alias("terminal_id"), "lon", "lat")
-    pairs = merge_right_wins(radius_join(cents, st, miles), radius_join(cents, chi, miles),
+    # A right key replaces a left one whole, so left centers with a right key go before any pair is made.
+    st = st.join(chi.select("terminal_id"), "terminal_id", "left_anti")
+    pairs = merge_right_wins(distinct_radius_join(cents, st, miles), distinct_radius_join(cents, chi, miles),
                              chi.select("terminal_id"), "terminal_id")
+    if out_dir:
+        # The pairs are made once: what follows reads them.
+        write_pair_map(pairs, f"{out_dir}/terminal_county_map", "terminal_id", "geoid", repeats=False)
+        pairs = counties.sparkSession.read.schema(pairs.schema).parquet(f"{out_dir}/terminal_county_map")
     transload = distinct_members(pairs, "geoid")
     rail = rail_lines.where(F.col("owner").isin(list(owners)))
     near_rail = lines_near_polygons(rail, counties, rail_miles / MILES_PER_DEGREE, ["owner"], "geoid")
-    ll_se = distinct_members(near_rail, "geoid")
+    ll_se = polygons_near_lines(rail, counties, rail_miles / MILES_PER_DEGREE, "geoid")
     if out_dir:
-        write_pair_map(pairs, f"{out_dir}/terminal_county_map", "terminal_id", "geoid")
         write_key_table(transload, f"{out_dir}/transload_counties")
         write_key_table(ll_se, f"{out_dir}/ll_se_counties")
     return {"terminal_county_map": pairs, "transload_counties": transload, "railroad_county_map": near_rail,
