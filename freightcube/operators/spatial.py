@@ -102,14 +102,82 @@ def distinct_radius_join(points: DataFrame, centers: DataFrame, miles: float, po
 
     A pair can only repeat where one of its keys has several locations: only the pairs of such keys are made distinct.
     """
-    (p_one, p_more), (c_one, c_more) = _by_locations(points, point_key), _by_locations(centers, center_key)
+    (p_one, p_more), (c_one, c_more) = by_locations(points, point_key), by_locations(centers, center_key)
     join = lambda p, c: radius_join(p, c, miles, point_key, center_key, radius)
     if p_more.isEmpty() and c_more.isEmpty():
         return join(p_one, c_one)
     return join(p_one, c_one).union(join(p_one.union(p_more), c_more).union(join(p_more, c_one)).distinct())
 
 
-def _by_locations(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+#: Places of a cell that ``radius_blocks`` tests one by one, and the level at which cells are halved no more.
+LEAF_PLACES, DEEPEST = 32, 24
+
+
+def radius_blocks(points: DataFrame, centers: DataFrame, miles: float, point_key: str = "geoid", center_key: str = "terminal_id",
+                  radius: float = EARTH_RADIUS_MILES, mark: str = "") -> tuple[DataFrame, DataFrame]:
+    """The pairs of ``radius_join`` without a row for each: (center, block) and (block, point). A center is paired with every point of its blocks.
+
+    A block has the points of a cell, of any level, that lies whole within the angle of the center, or those at one place. Cells are halved
+    only where the edge of a center's ball cuts their bounding box, so a center has few blocks however many points are near.
+    ``mark`` begins the names of the blocks. A key with several locations may be paired twice.
+    """
+    centers = stored_step(_non_null_coords(centers, [center_key], ["lon", "lat"]).distinct(), "radius-centers")
+    p, c, theta = _cells_on_sphere(points, centers.select("lon", "lat").distinct(), miles, radius, [point_key], [])
+    side, here = _cell_side(theta), ["c_lon", "c_lat", "c_ux", "c_uy", "c_uz"]
+    # A point that is not finite is within no angle, and would leave a cell without a box.
+    points = p.where(~F.isnan(F.col("p_ux") + F.col("p_uy") + F.col("p_uz"))).drop("p_gx", "p_gy", "p_gz")
+    points = stored_step(points.distinct(), "radius-points")
+    places = stored_step(points.drop(point_key).distinct(), "radius-places")
+
+    def in_cells(rows: DataFrame, level: int) -> DataFrame:
+        return rows.withColumns({f"g{x}": F.floor(F.col(f"p_u{x}") / F.lit(side / 2 ** level)) for x in "xyz"})
+
+    whole, leaves = [], []
+    up = {f"up_{x}": F.col(f"c_g{x}") for x in "xyz"}
+    open_cells = c.select(*here, *[v.alias(n) for n, v in up.items()])
+    for level in range(DEEPEST + 1):
+        cells = in_cells(places, level).groupBy(*CELL).agg(F.count("*").alias("places"), *[
+            of(f"p_u{x}").alias(f"{n}_{x}") for x in "xyz" for n, of in (("least", F.min), ("most", F.max))])
+        cells = cells.withColumns({f"up_{x}": F.shiftright(f"g{x}", 1) if level else F.col(f"g{x}") for x in "xyz"})
+        met = open_cells.join(cells, list(up)).withColumn("whole", _box_within(theta))
+        met = stored_step(met.where("whole IS NOT NULL").select(*here, *CELL, "places", "whole"), f"radius-cells-{level}")
+        whole.append(met.where("whole").select("c_lon", "c_lat", *CELL))
+        cut = met.where("NOT whole")
+        leaves.append(cut if level == DEEPEST else cut.where(F.col("places") <= LEAF_PLACES))
+        open_cells = cut.where(F.col("places") > LEAF_PLACES).select(*here, *[F.col(f"g{x}").alias(n) for x, n in zip("xyz", up)])
+        if open_cells.isEmpty():
+            break
+    at_places = None
+    for level, cut in enumerate(leaves):
+        tested = cut.join(in_cells(places, level), CELL).where(_within(theta)).select("c_lon", "c_lat", "p_lon", "p_lat")
+        at_places = tested if at_places is None else at_places.union(tested)
+    at_places = stored_step(at_places, "radius-at-places")
+    # Each kind of block: the centers' places that have it, and the points in it.
+    place = F.concat(F.lit(f"{mark}p"), F.col("p_lon").cast("string"), F.lit(","), F.col("p_lat").cast("string"))
+    used = at_places.select("p_lon", "p_lat").distinct().withColumn("block", place)
+    hits = at_places.select("c_lon", "c_lat", place.alias("block"))
+    members = points.join(used, ["p_lon", "p_lat"]).select("block", point_key)
+    for level, found in enumerate(whole):
+        cell = F.concat(F.lit(f"{mark}{level}"), *[F.concat(F.lit(","), F.col(x).cast("string")) for x in CELL])
+        hits = hits.union(found.select("c_lon", "c_lat", cell.alias("block")))
+        members = members.union(in_cells(points, level).join(found.select(*CELL).distinct(), CELL).select(cell.alias("block"), point_key))
+    pairs = centers.join(hits, (F.col("lon") == F.col("c_lon")) & (F.col("lat") == F.col("c_lat"))).select(center_key, "block")
+    return pairs, members
+
+
+def _box_within(theta: float) -> Column:
+    """Whether all points of a cell's box (``least_x``, ``most_x`` ...) are within the angle of a center: NULL if none is, false if it must be
+    looked at closer. Distances to the ends of the box round as those to its points do, so this agrees with ``_within``."""
+    near2 = far2 = None
+    for x in "xyz":
+        below, above = F.col(f"c_u{x}") - F.col(f"least_{x}"), F.col(f"most_{x}") - F.col(f"c_u{x}")
+        near, far = F.greatest(-below, -above, F.lit(0.0)), F.greatest(F.abs(below), F.abs(above))
+        near2, far2 = (near * near, far * far) if near2 is None else (near2 + near * near, far2 + far * far)
+    sure, may = _chords2(theta)
+    return F.when(near2 <= F.lit(may), far2 < F.lit(sure))
+
+
+def by_locations(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(key, lon, lat), once each, of the keys with one location, and of those with several."""
     places = _non_null_coords(rows, [key], ["lon", "lat"])
     at = F.struct("lon", "lat")
@@ -135,12 +203,26 @@ def _within(theta: float) -> Column:
     for x in "xyz":
         d = F.col(f"c_u{x}") - F.col(f"p_u{x}")
         chord2 = d * d if chord2 is None else chord2 + d * d
-    chord = 2.0 * math.sin(min(theta, math.pi) / 2.0)
-    sure, may = max(0.0, chord * (1.0 - 1e-7) - 1e-9) ** 2, (chord * (1.0 + 1e-7) + 1e-9) ** 2
+    sure, may = _chords2(theta)
     exact = haversine_angle(F.col("c_lat"), F.col("c_lon"), F.col("p_lat"), F.col("p_lon")) <= F.lit(theta)
     return (chord2 < F.lit(sure)) | ((chord2 <= F.lit(may)) & exact)
 
 
+def _chords2(theta: float) -> tuple[float, float]:
+    """Squared chords: what is below the first is within the angle, what is above the second is not."""
+    chord = 2.0 * math.sin(min(theta, math.pi) / 2.0)
+    return max(0.0, chord * (1.0 - 1e-7) - 1e-9) ** 2, (chord * (1.0 + 1e-7) + 1e-9) ** 2
+
+
+def _reach(theta: float) -> float:
+    """The chord of the angle, a little longer."""
+    return 2.0 * math.sin(theta / 2.0) * (1.0 + 1e-9) + 1e-12
+
+
+def _cell_side(theta: float) -> float:
+    return 2.0 * _reach(theta)
+
+
 def _cells_on_sphere(points: DataFrame, centers: DataFrame, miles: float, radius: float, point_keys: list[str],
                      center_keys: list[str]) -> tuple[DataFrame, DataFrame, float]:
     """Points with their cell (p_gx, p_gy, p_gz), centers with the cells they reach (c_...), both with their place on the unit sphere
@@ -148,8 +230,7 @@ def _cells_on_sphere(points: DataFrame, centers: DataFrame, miles: float, radius
     points = _non_null_coords(points, point_keys, ["lon", "lat"])
     centers = _non_null_coords(centers, center_keys, ["lon", "lat"])
     theta = miles / radius
-    chord = 2.0 * math.sin(theta / 2.0) * (1.0 + 1e-9) + 1e-12
-    side = 2.0 * chord
+    chord, side = _reach(theta), _cell_side(theta)
     unit = _unit(F.col("lat"), F.col("lon"))
     p = points.select(*point_keys, F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"), *[v.alias(f"p_u{x}") for x, v in zip("xyz", unit)],
                       *[F.floor(v / F.lit(side)).alias(f"p_g{x}") for x, v in zip("xyz", unit)])

@@ -8,6 +8,10 @@ the terminals, lines and counties that were added, moved or deleted since:
 * what differs is written as deltas: a pair comes (+1) or goes (-1), and a county's support, the number of keys that reach it,
   moves by the sum. A county leaves its list when nothing supports it any more.
 
+Pairs of terminals and counties grow with the product of the two, so they are stored by blocks of counties: a row says that a key has
+every county of a block, and the members of blocks are a table of their own. Pairs of rail lines, and those of keys with several
+locations, name the county itself. ``pairs`` gives one row for each pair of either.
+
 A refresh writes to folders of its own and counts once its commit file is there. Epochs are claimed by creating a file that must not exist, and a
 refresh whose input is no longer the latest fails, so of two writers one does; one that died leaves only folders that nobody reads. ``compact`` folds all deltas into a snapshot, so that reads
 stay bounded however many refreshes there were.
@@ -16,25 +20,63 @@ stay bounded however many refreshes there were.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.spatial import MILES_PER_DEGREE, lines_near_polygons, radius_join
+from ..operators.spatial import MILES_PER_DEGREE, by_locations, lines_near_polygons, polygon_centroid, radius_blocks, radius_join
 from ..sources.materialize import stored_step
-from .jobs import RAIL_BUFFER_MILES, TERMINAL_RADIUS_MILES, county_centroids
+from .jobs import RAIL_BUFFER_MILES, TERMINAL_RADIUS_MILES
 
 TERMINAL, RAIL = "terminal", "rail"
 #: Partitions of stored pairs by key and by county.
 PARTS = 16
-SCHEMA = "key string, geoid bigint, n int, key_part int, geo_part int"
+#: A row has a block, or, where that is NULL, a county. ``geo_part`` is that of the block or the county.
+SCHEMA = "key string, block string, geoid bigint, n int, key_part int, geo_part int"
+MEMBERS = "block string, geoid bigint, geo_part int"
 
 
 def _part(column: str):
     return F.pmod(F.xxhash64(column), F.lit(PARTS)).cast("int")
 
 
+class Found(NamedTuple):
+    """Pairs of keys and counties that come (n = 1) or go (-1): those that name the county (key, geoid, n), and by blocks (key, block, n) with
+    the blocks' members (block, geoid)."""
+
+    named: DataFrame
+    blocks: DataFrame
+    members: DataFrame
+
+    def union(self, other: Found) -> Found:
+        return Found(*[mine.unionByName(theirs) for mine, theirs in zip(self, other)])
+
+    def gone(self) -> Found:
+        """The same pairs taken back."""
+        back = F.negative("n").alias("n")
+        return Found(self.named.select("key", "geoid", back), self.blocks.select("key", "block", back), self.members)
+
+    def pairs(self) -> DataFrame:
+        """The (key, geoid) pairs, one row for each."""
+        of_blocks = _summed(self.blocks, "key", "block").join(self.members, "block").select("key", "geoid", "n")
+        return _summed(self.named.select("key", "geoid", "n").union(of_blocks), "key", "geoid").where("n > 0").drop("n")
+
+    def folded(self, mark: str) -> Found:
+        """The same pairs in blocks that do not overlap: counties that are in the same blocks are together."""
+        alike = self.members.groupBy("geoid").agg(F.sort_array(F.collect_set("block")).alias("within"))
+        alike = stored_step(alike.withColumn("new", F.concat(F.lit(mark), F.md5(F.array_join("within", ";")))), "alike-counties")
+        renamed = alike.select("new", "within").distinct().select("new", F.explode("within").alias("block"))
+        blocks = self.blocks.join(renamed, "block").select("key", F.col("new").alias("block"), "n")
+        blocks = stored_step(_summed(blocks, "key", "block"), "blocks-folded")
+        members = alike.select(F.col("new").alias("block"), "geoid").join(blocks.select("block").distinct(), "block", "left_semi")
+        return Found(_summed(self.named, "key", "geoid"), blocks, members)
+
+
+def _summed(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.sum("n").cast("int").alias("n")).where("n <> 0")
+
+
 class CountyMaps:
     """Stored (key, geoid) pairs of terminals and of rail lines, and the counties that they support."""
 
@@ -83,9 +125,13 @@ class CountyMaps:
 
     # -------------------------------------------------- reads
 
+    def _found(self, kind: str) -> Found:
+        stored, members = self._stored(f"pairs-{kind}", SCHEMA), self._stored(f"members-{kind}", MEMBERS)
+        return Found(stored.where("block IS NULL").drop("block"), stored.where("block IS NOT NULL").drop("geoid"), members)
+
     def pairs(self, kind: str) -> DataFrame:
         """The current (key, geoid) pairs."""
-        return self._stored(f"pairs-{kind}", SCHEMA).groupBy("key", "geoid").agg(F.sum("n").alias("n")).where("n > 0").drop("n")
+        return self._found(kind).pairs()
 
     def counties(self, kind: str) -> DataFrame:
         """The counties that any key supports, with how many do."""
@@ -94,16 +140,28 @@ class CountyMaps:
 
     def _touched(self, kind: str, keys: DataFrame | None, geoids: DataFrame | None) -> DataFrame:
         """The current pairs of changed keys and counties, from the partitions that these fall in."""
-        stored = self._stored(f"pairs-{kind}", SCHEMA)
-        found = []
-        if keys is not None:
-            found.append(stored.where(F.col("key_part").isin(self._parts(keys, "key"))).join(keys, "key", "left_semi"))
+        found = self._of_keys(kind, keys) if keys is not None else None
         if geoids is not None:
-            of_counties = stored.where(F.col("geo_part").isin(self._parts(geoids, "geoid"))).join(geoids, "geoid", "left_semi")
-            found.append(of_counties if keys is None else of_counties.join(keys, "key", "left_anti"))
-        columns = [f.select("key", "geoid", "n") for f in found]
-        both = columns[0] if len(columns) == 1 else columns[0].union(columns[1])
-        return both.groupBy("key", "geoid").agg(F.sum("n").alias("n")).where("n > 0").drop("n")
+            of_counties = self._of_counties(kind, keys, geoids, "")
+            found = of_counties if found is None else found.union(of_counties)
+        return found.pairs()
+
+    def _of_keys(self, kind: str, keys: DataFrame) -> Found:
+        """The current pairs of changed keys."""
+        (named, blocks, members), parts = self._found(kind), self._parts(keys, "key")
+        of_keys = lambda rows: rows.where(F.col("key_part").isin(parts)).join(keys, "key", "left_semi")
+        return Found(_summed(of_keys(named), "key", "geoid"), _summed(of_keys(blocks), "key", "block"), members.select("block", "geoid"))
+
+    def _of_counties(self, kind: str, keys: DataFrame | None, geoids: DataFrame, mark: str) -> Found:
+        """The current pairs of changed counties, without those of changed keys, in blocks of changed counties alone."""
+        (named, blocks, members), parts = self._found(kind), self._parts(geoids, "geoid")
+        of_counties = lambda rows: rows.where(F.col("geo_part").isin(parts)).join(geoids, "geoid", "left_semi")
+        members = stored_step(of_counties(members).select("block", "geoid"), "members-changed")
+        touched = members.select("block").distinct()
+        named, blocks = of_counties(named), blocks.where(F.col("geo_part").isin(self._parts(touched, "block"))).join(touched, "block", "left_semi")
+        if keys is not None:
+            named, blocks = (rows.join(keys, "key", "left_anti") for rows in (named, blocks))
+        return Found(named, blocks, members).folded(mark)
 
     @staticmethod
     def _parts(changed: DataFrame, column: str) -> list[int]:
@@ -123,43 +181,72 @@ class CountyMaps:
         epoch, read = self._next_epoch(), self._live()
         folder = f"data-{epoch:09d}-{uuid.uuid4().hex[:8]}"
         geoids = None if changed_counties is None else stored_step(changed_counties.select(F.col("geoid").cast("bigint")).distinct(), "changed-counties")
-        sides: list[tuple[str, DataFrame | None, DataFrame | None, Callable[[DataFrame, DataFrame], DataFrame]]] = [
-            (TERMINAL, terminals, changed_terminals,
-             lambda t, c: radius_join(county_centroids(c), t.select("key", "lon", "lat"), self.miles, "geoid", "key")),
-            (RAIL, lines, changed_lines,
-             lambda t, c: lines_near_polygons(t.select("key", "geometry"), c, self.rail_miles / MILES_PER_DEGREE, ["key"], "geoid"))]
-        for kind, table, changed, join in sides:
+        for kind, table, changed in ((TERMINAL, terminals, changed_terminals), (RAIL, lines, changed_lines)):
             keys = None if changed is None else stored_step(changed.select(F.col("key").cast("string")).distinct(), f"changed-{kind}")
             if table is None or (keys is None and geoids is None):
-                delta = self.spark.createDataFrame([], "key string, geoid bigint, n int")
+                self._write(kind, folder, self._nothing())
+                continue
+            if kind == TERMINAL:
+                # Made once, and stored with the NULL ones: a filter would go to where the counties are read, and make them there.
+                of = counties if keys is not None else counties.join(geoids, "geoid", "left_semi")
+                made = stored_step(of.select(F.col("geoid").cast("bigint").alias("geoid"), polygon_centroid(F.col("geometry")).alias("c")), "centroids")
+                join, joined = self._near_terminals, made.where("c IS NOT NULL").select("geoid", F.col("c.x").alias("lon"), F.col("c.y").alias("lat"))
             else:
-                table = table.withColumn("key", F.col("key").cast("string"))
-                found = [] if keys is None else [join(table.join(keys, "key", "left_semi"), counties)]
-                if geoids is not None:
-                    found.append(join(table, counties.join(geoids, "geoid", "left_semi")))
-                now = found[0] if len(found) == 1 else found[0].union(found[1].select(*found[0].columns))
-                now = stored_step(now.select("key", F.col("geoid").cast("bigint").alias("geoid")).distinct(), f"pairs-{kind}")
-                was = stored_step(self._touched(kind, keys, geoids), f"was-{kind}")
-                delta = now.join(was, ["key", "geoid"], "left_anti").withColumn("n", F.lit(1)).union(
-                    was.join(now, ["key", "geoid"], "left_anti").withColumn("n", F.lit(-1)))
+                join, joined = self._near_lines, counties
+            table, delta = table.withColumn("key", F.col("key").cast("string")), self._nothing()
+            # Names of blocks begin with the number of their refresh, so no later one has the same.
+            if keys is not None:
+                was = self._of_keys(kind, keys)._replace(members=delta.members)  # stored with their blocks
+                delta = delta.union(join(table.join(keys, "key", "left_semi"), joined, f"{epoch}k")).union(was.gone())
+            if geoids is not None:
+                others = table if keys is None else table.join(keys, "key", "left_anti")
+                delta = delta.union(join(others, joined.join(geoids, "geoid", "left_semi"), f"{epoch}c"))
+                delta = delta.union(self._of_counties(kind, keys, geoids, f"{epoch}w").gone())
             self._write(kind, folder, delta)
         self._commit(epoch, "delta", folder, read)
         return epoch
 
-    def _write(self, kind: str, folder: str, delta: DataFrame) -> None:
-        delta = delta.withColumns({"key_part": _part("key"), "geo_part": _part("geoid")})
-        path = f"{self.folder}/{folder}/pairs-{kind}"
+    def _nothing(self) -> Found:
+        return Found(*[self.spark.createDataFrame([], schema) for schema in (
+            "key string, geoid bigint, n int", "key string, block string, n int", "block string, geoid bigint")])
+
+    def _near_terminals(self, terminals: DataFrame, centroids: DataFrame, mark: str) -> Found:
+        terminals = stored_step(terminals.select("key", "lon", "lat"), "terminals")
+        (p_one, p_more), (c_one, c_more) = by_locations(centroids, "geoid"), by_locations(terminals, "key")
+        blocks, members = radius_blocks(p_one, c_one, self.miles, "geoid", "key", mark=mark)
+        found = self._nothing()._replace(blocks=blocks.withColumn("n", F.lit(1)), members=members)
+        if p_more.isEmpty() and c_more.isEmpty():
+            return found
+        # A pair of a key with several locations may come from more than one.
+        join = lambda p, c: radius_join(p, c, self.miles, "geoid", "key")
+        several = join(p_one.union(p_more), c_more).union(join(p_more, c_one)).distinct()
+        return found._replace(named=several.withColumn("n", F.lit(1)))
+
+    def _near_lines(self, lines: DataFrame, counties: DataFrame, _: str) -> Found:
+        near = lines_near_polygons(lines.select("key", "geometry"), counties, self.rail_miles / MILES_PER_DEGREE, ["key"], "geoid")
+        near = near.select("key", F.col("geoid").cast("bigint").alias("geoid")).distinct()
+        return self._nothing()._replace(named=near.withColumn("n", F.lit(1)))
+
+    def _write(self, kind: str, folder: str, delta: Found) -> None:
+        path, known = f"{self.folder}/{folder}", self._stored(f"members-{kind}", MEMBERS).select("block", "geoid")
+        # Pairs that go and come again are left out.
+        named = _summed(delta.named, "key", "geoid").withColumns({"block": F.lit(None).cast("string"), "geo_part": _part("geoid")})
+        rows = named.unionByName(delta.blocks.withColumns({"geoid": F.lit(None).cast("bigint"), "geo_part": _part("block")}))
         # One file for each partition, however many tasks there are.
-        delta.repartition("key_part", "geo_part").write.partitionBy("key_part", "geo_part").parquet(path)
-        written = self.spark.read.schema(SCHEMA).parquet(path)
-        written.groupBy("geoid").agg(F.sum("n").cast("bigint").alias("n")).where("n <> 0").write.parquet(f"{self.folder}/{folder}/support-{kind}")
+        rows.withColumn("key_part", _part("key")).repartition("key_part", "geo_part").write.partitionBy("key_part", "geo_part").parquet(f"{path}/pairs-{kind}")
+        delta.members.withColumn("geo_part", _part("geoid")).repartition("geo_part").write.partitionBy("geo_part").parquet(f"{path}/members-{kind}")
+        written = self.spark.read.schema(SCHEMA).parquet(f"{path}/pairs-{kind}")
+        members = known.union(self.spark.read.schema(MEMBERS).parquet(f"{path}/members-{kind}").select("block", "geoid"))
+        of_blocks = written.where("block IS NOT NULL").groupBy("block").agg(F.sum("n").alias("n")).join(members, "block").select("geoid", "n")
+        support = written.where("block IS NULL").select("geoid", "n").union(of_blocks).groupBy("geoid").agg(F.sum("n").cast("bigint").alias("n"))
+        support.where("n <> 0").write.parquet(f"{path}/support-{kind}")
 
     def compact(self) -> None:
         """Fold everything committed into one snapshot."""
         epoch, read = self._next_epoch(), self._live()
         folder = f"data-{epoch:09d}-{uuid.uuid4().hex[:8]}"
         for kind in (TERMINAL, RAIL):
-            self._write(kind, folder, self.pairs(kind).withColumn("n", F.lit(1)))
+            self._write(kind, folder, self._found(kind).folded(f"{epoch}s"))
         self._commit(epoch, "snapshot", folder, read)
 
 

@@ -103,3 +103,23 @@ def test_uncommitted_refreshes_are_not_read(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError, match="meanwhile"):  # one that has not seen the last commit
         maps._commit(7, "delta", "data-x", [])
     assert maps.refresh(c, t, ln, t.select("key")) == 8 and maps.pairs(TERMINAL).count() == 1
+
+
+def test_terminals_store_blocks_of_counties(spark, tmp_path):
+    draw = random.Random(5)
+    near = lambda: (draw.uniform(-83.6, -83.4), draw.uniform(32.4, 32.6))
+    terminals, counties = {f"t{i}": near() for i in range(60)}, {i: (*near(), 0.1) for i in range(200)}
+    t, _, c = frames(spark, terminals, {}, counties)
+    maps = CountyMaps(spark, str(tmp_path / "maps"))
+    maps.refresh(c, t, changed_terminals=t.select("key"))
+    assert maps.pairs(TERMINAL).count() == 60 * 200
+    stored = [spark.read.parquet(f"{maps.folder}/{maps._live()[0]}/{name}").count() for name in ("pairs-terminal", "members-terminal")]
+    assert sum(stored) < 60 * 200 / 10
+    # A county that moves away leaves its blocks, and comes back; a key with several locations is one key.
+    for place, support in (((-60.0, 10.0, 0.1), 0), (counties[7], 60)):
+        t, _, c = frames(spark, terminals, {}, {**counties, 7: place})
+        maps.refresh(c, t.union(t.where("key = 't3'").withColumn("lat", F.col("lat") + 0.01)), changed_terminals=t.where("key = 't3'").select("key"),
+                     changed_counties=c.where("geoid = 7").select("geoid"))
+        assert {r["geoid"]: r["support"] for r in maps.counties(TERMINAL).collect()} == {g: 60 if g != 7 else support for g in counties if g != 7 or support}
+    maps.compact()
+    assert maps.pairs(TERMINAL).count() == 60 * 200

@@ -32,6 +32,20 @@ def test_radius_join_equals_brute_force(spark):
             pairs(brute_radius(cp, tp, miles), "terminal_id", "geoid")
 
 
+def test_radius_blocks_equal_radius_join(spark, monkeypatch):
+    monkeypatch.setattr(S, "LEAF_PLACES", 4)  # several levels of cells
+    rng = np.random.default_rng(8)
+    place = lambda: (float(rng.uniform(-84, -82)), float(rng.uniform(32, 34)))
+    rows = [(i, *place()) for i in range(500)] + [(1000 + i, -83.0, 33.0) for i in range(40)] + [(2000, float("nan"), 33.0), (2001, None, 33.0), (None, -83.1, 33.1)]
+    points = spark.createDataFrame(rows + rows[:9], "geoid bigint, lon double, lat double")
+    centers = spark.createDataFrame([(f"t{i}", *place()) for i in range(60)] + [("at", -83.0, 33.0), ("nan", -83.0, float("nan"))],
+                                    "terminal_id string, lon double, lat double")
+    hits, members = S.radius_blocks(points, centers, 40.0, mark="b")
+    got = pairs(hits.join(members, "block").na.fill(-1), "terminal_id", "geoid")
+    want = pairs(S.radius_join(points.distinct(), centers, 40.0).na.fill(-1), "terminal_id", "geoid")
+    assert got == want and hits.count() < len(want) / 2
+
+
 def test_radius_join_worldwide_and_poles(spark):
     rng = np.random.default_rng(3)
     lat = np.degrees(np.arcsin(rng.uniform(-1, 1, 400)))
